@@ -8,6 +8,27 @@ from pyspark.sql import functions as F
 from chronoscribe.functions.text import _c
 
 
+def fixed(value: str | Column, digits: int) -> Column:
+    """Text with ``digits`` decimals, rounded from the exact binary value (ties to even).
+
+    ``format_string`` rounds the shortest decimal form of a double half up, which differs on values
+    such as 0.15. Here the product with the power of ten is kept with its rounding error.
+    """
+    v = _c(value).cast("double")
+    x, scale = F.abs(v), float(10 ** digits)
+    p = x * F.lit(scale)
+    big = x * F.lit(134_217_729.0)  # 2**27 + 1 splits a double into two halves
+    high = big - (big - x)
+    error = (high * F.lit(scale) - p) + (x - high) * F.lit(scale)
+    below = F.floor(p)
+    past = (p - below - F.lit(0.5)) + error
+    units = below + F.when((past > 0) | ((past == 0) & (below % 2 == 1)), F.lit(1)).otherwise(F.lit(0))
+    whole = F.floor(units / F.lit(10 ** digits)).cast("string")
+    tail = F.lpad((units % F.lit(10 ** digits)).cast("string"), digits, "0")
+    text = whole if digits == 0 else F.concat(whole, F.lit("."), tail)
+    return F.when(v < 0, F.concat(F.lit("-"), text)).otherwise(text)
+
+
 def mtok(tokens: str | Column) -> Column:
     return _c(tokens) / F.lit(1e6)
 
@@ -16,22 +37,22 @@ def format_tokens(tokens: str | Column) -> Column:
     """``999``, ``1.5k``, ``2.50M``."""
     n = _c(tokens)
     return (F.when((n >= 0) & (n < 1_000), n.cast("string"))
-            .when((n >= 1_000) & (n < 1_000_000), F.format_string("%.1fk", n / F.lit(1e3)))
-            .otherwise(F.format_string("%.2fM", n / F.lit(1e6))))
+            .when((n >= 1_000) & (n < 1_000_000), F.concat(fixed(n / F.lit(1e3), 1), F.lit("k")))
+            .otherwise(F.concat(fixed(n / F.lit(1e6), 2), F.lit("M"))))
 
 
 def format_bytes(size: str | Column) -> Column:
     """Decimal file-size text: ``512 bytes``, ``12 KB``, ``3.4 MB``, ``1.25 GB``."""
     n = _c(size)
     return (F.when(n < 1_000, F.concat(n.cast("string"), F.lit(" bytes")))
-            .when(n < 1_000_000, F.format_string("%.0f KB", n / F.lit(1e3)))
-            .when(n < 1_000_000_000, F.format_string("%.1f MB", n / F.lit(1e6)))
-            .when(n < 1_000_000_000_000, F.format_string("%.2f GB", n / F.lit(1e9)))
-            .otherwise(F.format_string("%.2f TB", n / F.lit(1e12))))
+            .when(n < 1_000_000, F.concat(fixed(n / F.lit(1e3), 0), F.lit(" KB")))
+            .when(n < 1_000_000_000, F.concat(fixed(n / F.lit(1e6), 1), F.lit(" MB")))
+            .when(n < 1_000_000_000_000, F.concat(fixed(n / F.lit(1e9), 2), F.lit(" GB")))
+            .otherwise(F.concat(fixed(n / F.lit(1e12), 2), F.lit(" TB"))))
 
 
 def percent_text(fraction: str | Column) -> Column:
-    return F.format_string("%.1f%%", _c(fraction) * F.lit(100.0))
+    return F.concat(fixed(_c(fraction) * F.lit(100.0), 1), F.lit("%"))
 
 
 def whole_percent(fraction: str | Column) -> Column:

@@ -21,6 +21,13 @@ def summary_prompts(captures: DataFrame, keys: list[str] = (), params: Params =
     """One row per chunk: features, sampled screen text and the prompt."""
     keys = list(keys)
     chunked = chunk_hybrid(captures, keys, params.chunk_seconds, params.min_chunk_seconds, **size)
+    return prompts_of_chunks(chunked, keys, params, templates, tz, **size)
+
+
+def prompts_of_chunks(chunked: DataFrame, keys: list[str] = (), params: Params = Params(),
+                      templates: Templates = Templates(), tz: str = "UTC", **size) -> DataFrame:
+    """The same for rows that carry a ``chunkId`` already."""
+    keys = list(keys)
     parts = with_sections(
         chunked, [*keys, "chunkId"], params.summary_max_keyframes, params.summary_max_deltas,
         params.summary_keyframe_chars, params.summary_delta_chars, tz, **size)
