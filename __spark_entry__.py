@@ -710,13 +710,15 @@ def _index(spark, d):
 
 @query("build_postings", f"WITH {DC}, {CAP_TOK} SELECT term, count(*) AS occurrences, count(DISTINCT id) AS rows, CAST(sum(pos - 1) AS BIGINT) AS positions FROM tk GROUP BY term")
 def _(spark, d):
-    return _index(spark, d).postings.groupBy("term").agg(
-        F.count(F.lit(1)).alias("occurrences"), F.countDistinct("id").alias("rows"), F.sum("pos").alias("positions"))
+    postings = search.build_postings(documents(spark, d), {c: c for c in search.CAPTURE_FIELDS}, stem=False)
+    # Two steps: a frequent term is first reduced to one row per document.
+    per_row = postings.groupBy("term", "id").agg(F.count(F.lit(1)).alias("n"), F.sum("pos").alias("p"))
+    return per_row.groupBy("term").agg(F.sum("n").alias("occurrences"), F.count(F.lit(1)).alias("rows"), F.sum("p").alias("positions"))
 
 
 @query("document_lengths", f"WITH {DC}, {CAP_TOK} SELECT id, len FROM ln")
 def _(spark, d):
-    return _index(spark, d).lengths
+    return search.document_lengths(documents(spark, d), {c: c for c in search.CAPTURE_FIELDS})
 
 
 _PHRASES = [["of", "the"], ["the", "the"], ["in"], ["es", "src1"]]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from chronoscribe.functions.text import _c
+from chronoscribe.functions.text import _c, let
 
 
 def fixed(value: str | Column, digits: int) -> Column:
@@ -14,19 +14,27 @@ def fixed(value: str | Column, digits: int) -> Column:
     ``format_string`` rounds the shortest decimal form of a double half up, which differs on values
     such as 0.15. Here the product with the power of ten is kept with its rounding error.
     """
+    scale = F.lit(float(10 ** digits))
+
+    def halves(x: Column) -> Column:
+        big = x * F.lit(134_217_729.0)  # 2**27 + 1 splits a double into two halves
+        return F.struct(x.alias("x"), (x * scale).alias("p"), (big - (big - x)).alias("high"))
+
+    def units(h: Column) -> Column:
+        error = (h["high"] * scale - h["p"]) + (h["x"] - h["high"]) * scale
+        return F.struct(F.floor(h["p"]).alias("n"), ((h["p"] - F.floor(h["p"]) - F.lit(0.5)) + error).alias("past"))
+
+    def rounded(u: Column) -> Column:
+        return u["n"] + F.when((u["past"] > 0) | ((u["past"] == 0) & (u["n"] % 2 == 1)), F.lit(1)).otherwise(F.lit(0))
+
+    def text(n: Column) -> Column:
+        whole = F.floor(n / F.lit(10 ** digits)).cast("string")
+        return whole if digits == 0 else F.concat(
+            whole, F.lit("."), F.lpad((n % F.lit(10 ** digits)).cast("string"), digits, "0"))
+
     v = _c(value).cast("double")
-    x, scale = F.abs(v), float(10 ** digits)
-    p = x * F.lit(scale)
-    big = x * F.lit(134_217_729.0)  # 2**27 + 1 splits a double into two halves
-    high = big - (big - x)
-    error = (high * F.lit(scale) - p) + (x - high) * F.lit(scale)
-    below = F.floor(p)
-    past = (p - below - F.lit(0.5)) + error
-    units = below + F.when((past > 0) | ((past == 0) & (below % 2 == 1)), F.lit(1)).otherwise(F.lit(0))
-    whole = F.floor(units / F.lit(10 ** digits)).cast("string")
-    tail = F.lpad((units % F.lit(10 ** digits)).cast("string"), digits, "0")
-    text = whole if digits == 0 else F.concat(whole, F.lit("."), tail)
-    return F.when(v < 0, F.concat(F.lit("-"), text)).otherwise(text)
+    body = let(let(let(let(F.abs(v), halves), units), rounded), text)
+    return F.concat(F.when(v < 0, F.lit("-")).otherwise(F.lit("")), body)
 
 
 def mtok(tokens: str | Column) -> Column:

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from chronoscribe.functions.text import _c, strip_code_fences
+from chronoscribe.functions.text import _c, let, strip_code_fences
 
 
-def _document(col: str | Column) -> Column:
-    return F.try_parse_json(strip_code_fences(col))
+def _document(col: str | Column, body) -> Column:
+    """``body`` of the parsed reply; the text is cleaned and parsed once."""
+    return let(F.try_parse_json(strip_code_fences(col)), body)
 
 
 def _kind(v: Column) -> Column:
@@ -28,23 +29,34 @@ def _text_member(v: Column, name: str) -> Column:
 
 def _objects(v: Column) -> Column:
     """Members of an array that holds nothing but objects; anything else gives an empty array."""
-    items = F.try_variant_get(v, "$", "array<variant>")
-    plain = ~F.exists(items, lambda x: x.isNull() | ~_kind(x).startswith("OBJECT"))
-    return F.when(_kind(v).startswith("ARRAY") & plain, items).otherwise(F.array().cast("array<variant>"))
+    none = F.array().cast("array<variant>")
+
+    def only_objects(items: Column) -> Column:
+        plain = ~F.exists(items, lambda x: x.isNull() | ~_kind(x).startswith("OBJECT"))
+        return F.when(items.isNotNull() & plain, items).otherwise(none)
+
+    return F.when(_kind(v).startswith("ARRAY"), let(F.try_variant_get(v, "$", "array<variant>"), only_objects)).otherwise(none)
 
 
 def parse_summary(col: str | Column) -> Column:
     """``struct(summary, keyTopics)``. No string ``summary``: the raw reply. ``key_topics`` counts
     only when every member is a string."""
-    v = _document(col)
-    is_object = _kind(v).startswith("OBJECT")
-    topics = _member(v, "key_topics")
-    values = F.try_variant_get(v, "$.key_topics", "array<string>")
-    strings = (_kind(topics) == "ARRAY<STRING>") & ~F.exists(values, lambda x: x.isNull())
     none = F.array().cast("array<string>")
-    return F.struct(
-        F.coalesce(F.when(is_object, _text_member(v, "summary")), _c(col)).alias("summary"),
-        F.when(is_object & strings, values).otherwise(none).alias("keyTopics"))
+
+    def topics(v: Column) -> Column:
+        def all_strings(values: Column) -> Column:
+            return F.when(~F.exists(values, lambda x: x.isNull()), values)
+
+        strings = _kind(_member(v, "key_topics")) == "ARRAY<STRING>"
+        return F.when(strings, let(F.try_variant_get(v, "$.key_topics", "array<string>"), all_strings))
+
+    def read(v: Column) -> Column:
+        is_object = _kind(v).startswith("OBJECT")
+        return F.struct(F.when(is_object, _text_member(v, "summary")).alias("summary"),
+                        F.coalesce(F.when(is_object, topics(v)), none).alias("keyTopics"))
+
+    return let(F.struct(_c(col).alias("raw"), _document(col, read).alias("p")), lambda r: F.struct(
+        F.coalesce(r["p"]["summary"], r["raw"]).alias("summary"), r["p"]["keyTopics"].alias("keyTopics")))
 
 
 def parse_relevant_ids(col: str | Column, valid: str | Column) -> Column:
@@ -54,9 +66,10 @@ def parse_relevant_ids(col: str | Column, valid: str | Column) -> Column:
         kind = _kind(_member(x, "id"))
         whole = F.try_variant_get(x, "$.id", "bigint")
         part = F.try_variant_get(x, "$.id", "double").cast("long")
-        return F.when(kind == "BIGINT", whole).when((kind == "DOUBLE") | (kind == "FLOAT") | kind.startswith("DECIMAL"), part)
+        real = (kind == "DOUBLE") | (kind == "FLOAT") | kind.startswith("DECIMAL")
+        return F.when(kind == "BIGINT", whole).when(real, part)
 
-    ids = F.transform(_objects(_document(col)), to_id)
+    ids = _document(col, lambda v: F.transform(_objects(v), to_id))
     return F.filter(ids, lambda i: i.isNotNull() & F.array_contains(_c(valid), i))
 
 
@@ -72,5 +85,5 @@ def parse_citations(col: str | Column, now: Column) -> Column:
             _text_member(x, "relevance_explanation").alias("relevance_explanation"),
             F.coalesce(_text_member(x, "source"), F.lit("capture")).alias("source"))
 
-    items = F.transform(_objects(_document(col)), citation)
+    items = _document(col, lambda v: F.transform(_objects(v), citation))
     return F.filter(items, lambda c: c["relevant_text"].isNotNull() & c["relevance_explanation"].isNotNull())

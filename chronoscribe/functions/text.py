@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -98,11 +100,14 @@ def render_template(template: str, values: dict[str, str | Column]) -> Column:
     return F.concat(*parts) if parts else F.lit("")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, evaluated once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip_code_fences(col: str | Column) -> Column:
     """Trim; drop an opening fence line and a closing fence; trim again."""
-    space = r"(?U)^\s+|\s+$"
-    s = F.regexp_replace(_c(col), space, "")
-    s = F.when(s.startswith("```") & s.contains("\n"),
-               F.regexp_replace(s, r"\A[^\n]*\n", "")).otherwise(s)
-    s = F.when(s.endswith("```"), F.regexp_replace(s, r"```\z", "")).otherwise(s)
-    return F.regexp_replace(s, space, "")
+    s = _c(col)
+    for pattern in (r"(?U)\A\s+|\s+\z", r"\A```[^\n]*\n", r"```\z", r"(?U)\A\s+|\s+\z"):
+        s = F.regexp_replace(s, pattern, "")
+    return s

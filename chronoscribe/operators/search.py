@@ -4,8 +4,8 @@ A query is a list of words; every word is a phrase of one or more tokens that
 must be adjacent in one field, and all phrases must occur (in any fields). Two
 ways lead to the same ranking:
 
-* ``rank_documents`` scans the texts: one row stays one row, nothing is shuffled
-  but the top-k, so it suits a table without an index;
+* ``rank_documents`` scans the texts once: one row stays one row, nothing is
+  shuffled but the top-k, so it suits a table without an index;
 * ``TextIndex`` reads only the postings of the query's terms.
 
 Statistics (row count, mean length, rows per phrase) are always those of the
@@ -25,6 +25,7 @@ from chronoscribe.functions.clock import local_time, seconds_before
 from chronoscribe.functions.stems import stem as stem_one
 from chronoscribe.functions.stems import stem_tokens
 from chronoscribe.functions.text import TOKEN_PATTERN, like_contains, raw_tokens
+from chronoscribe.session import stored
 
 # BM25 parameters and the floor of the inverse document frequency.
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
@@ -116,13 +117,15 @@ def rank_documents(docs: DataFrame, fields: list[str | Column], phrases: list[li
         F.inline(F.array(F.struct(
             (F.size("__tokens") - F.lit(len(fields) - 1)).alias("__len"),
             *[_occurrences(tokens, p).alias(n) for p, n in zip(phrases, names)]))))
+    # A few numbers per row are stored, so that the texts are read once for statistics and ranks.
+    counted = stored(counted)
     stats = counted.agg(
         F.count(F.lit(1)).alias("__rows"), F.avg("__len").alias("__mean"),
         *[F.count_if(F.col(n) > 0).alias(f"__df{i}") for i, n in enumerate(names)])
     matched = counted
     for n in names:
         matched = matched.filter(F.col(n) > 0)
-    scored = matched.withColumn("__one", F.lit(1)).join(F.broadcast(stats.withColumn("__one", F.lit(1))), "__one")
+    scored = matched.withColumn("__s", stats.select(F.struct("*")).scalar()).select("*", "__s.*")
     score = F.lit(0.0)
     for i, n in enumerate(names):
         score = score + _idf(F.col("__rows"), F.col(f"__df{i}")) * _weight(F.col(n), F.col("__len"), F.col("__mean"))
@@ -178,37 +181,48 @@ def search_summaries(summaries: DataFrame, text: str, limit: int = 20, now=None,
 # -- postings ----------------------------------------------------------------
 
 
+def token_rows(docs: DataFrame, fields: dict[str, str | Column], stem: bool = True, id: str = "id") -> DataFrame:
+    """``(id, len, f)``: number of tokens of a row and the token arrays of its fields as
+    ``array<struct<field, tokens>>``."""
+    tokens = [raw_tokens(col) for col in fields.values()]
+    if stem:
+        tokens = [stem_tokens(t) for t in tokens]
+    rows = docs.select(F.col(id).alias("id"), F.array(*[
+        F.struct(F.lit(name).alias("field"), t.alias("tokens")) for name, t in zip(fields, tokens)]).alias("f"))
+    return rows.select("id", F.aggregate("f", F.lit(0), lambda n, x: n + F.size(x["tokens"])).alias("len"), "f")
+
+
+def _postings(rows: DataFrame) -> DataFrame:
+    # ``inline`` makes the members columns of their own: a generator that still carried the struct
+    # would copy the whole token array beside every token.
+    return rows.select("id", F.inline("f")).select("id", "field", F.posexplode("tokens").alias("pos", "term"))
+
+
 def build_postings(docs: DataFrame, fields: dict[str, str | Column], stem: bool = True, id: str = "id") -> DataFrame:
     """``(id, field, pos, term)``, one row per token; a map-only job."""
-    arrays = docs.select(F.col(id).alias("id"), F.explode(F.array(*[
-        F.struct(F.lit(name).alias("field"), raw_tokens(col).alias("tokens")) for name, col in fields.items()
-    ])).alias("f")).select("id", "f.field", "f.tokens")
-    if stem:
-        arrays = arrays.withColumn("tokens", stem_tokens("tokens"))
-    return arrays.select("id", "field", F.posexplode("tokens").alias("pos", "term"))
+    return _postings(token_rows(docs, fields, stem, id))
 
 
 def document_lengths(docs: DataFrame, fields: dict[str, str | Column], id: str = "id") -> DataFrame:
     """``(id, len)``: tokens over all fields. Stemming does not change the number of tokens."""
-    sizes = [F.size(raw_tokens(c)) for c in fields.values()]
-    total = sizes[0]
-    for s in sizes[1:]:
-        total = total + s
-    return docs.select(F.col(id).alias("id"), total.alias("len"))
+    return token_rows(docs, fields, False, id).select("id", "len")
 
 
 def phrase_occurrences(postings: DataFrame, phrases: list[list[str]]) -> DataFrame:
     """``(id, phrase, tf)`` of each phrase number in each row that contains it."""
-    terms = sorted({t for p in phrases for t in p})
-    wanted = F.array(*[
-        F.struct(F.lit(t).alias("t"), F.lit(i).alias("phrase"), F.lit(o).alias("o"), F.lit(len(p)).alias("n"))
-        for i, p in enumerate(phrases) for o, t in enumerate(p)])
-    hits = (postings.filter(F.col("term").isin(terms))
-            .select("id", "field", "pos", F.explode(
-                F.filter(wanted, lambda w: w["t"] == F.col("term"))).alias("w")))
-    starts = hits.groupBy("id", "field", F.col("w.phrase").alias("phrase"), (F.col("pos") - F.col("w.o")).alias("s")) \
-        .agg(F.count(F.lit(1)).alias("c"), F.first("w.n").alias("n")).filter("c = n")
-    return starts.groupBy("id", "phrase").agg(F.count(F.lit(1)).alias("tf"))
+    places: dict[str, list[Column]] = {}
+    for i, p in enumerate(phrases):
+        for o, t in enumerate(p):
+            places.setdefault(t, []).append(
+                F.struct(F.lit(i).alias("phrase"), F.lit(o).alias("o"), F.lit(len(p)).alias("n")))
+    lookup = F.create_map(*[c for t, where in places.items() for c in (F.lit(t), F.array(*where))])
+    hits = (postings.filter(F.col("term").isin(sorted(places)))
+            .select("id", "field", "pos", F.inline(F.element_at(lookup, F.col("term")))))
+    # Only phrases of several tokens need their starts told apart; the others are counted map-side.
+    start = F.when(F.col("n") > 1, F.col("pos") - F.col("o"))
+    starts = hits.groupBy("id", "field", "phrase", "n", start.alias("s")).agg(F.count(F.lit(1)).alias("c"))
+    found = F.sum(F.when(F.col("n") == 1, F.col("c")).otherwise((F.col("c") == F.col("n")).cast("long")))
+    return starts.groupBy("id", "phrase").agg(found.alias("tf")).filter("tf > 0")
 
 
 @dataclass
@@ -221,8 +235,13 @@ class TextIndex:
     buckets: int | None = None
 
     @classmethod
-    def build(cls, docs: DataFrame, fields: dict[str, str | Column], stem: bool = True, id: str = "id") -> "TextIndex":
-        return cls(build_postings(docs, fields, stem, id), document_lengths(docs, fields, id), stem)
+    def build(cls, docs: DataFrame, fields: dict[str, str | Column], stem: bool = True, id: str = "id",
+              keep: bool = True) -> "TextIndex":
+        """With ``keep`` the token arrays are stored, so each text is tokenised once however often
+        the index is read; without it everything stays lazy (as for ``save``)."""
+        rows = token_rows(docs, fields, stem, id)
+        rows = stored(rows) if keep else rows
+        return cls(_postings(rows), rows.select("id", "len"), stem)
 
     @staticmethod
     def _bucket(buckets: int) -> Column:
@@ -260,18 +279,21 @@ class TextIndex:
         probe = spark.createDataFrame([(t,) for t in terms], "term string").select(self._bucket(self.buckets))
         return self.postings.filter(F.col("bucket").isin(sorted({r[0] for r in probe.collect()})))
 
+    def _corpus(self) -> Column:
+        """``struct(rows, mean)`` of the whole table as a scalar subquery."""
+        return self.lengths.agg(F.struct(F.count(F.lit(1)).alias("rows"), F.avg("len").alias("mean"))).scalar()
+
     def rank(self, phrases: list[list[str]]) -> DataFrame:
         """``(id, rank)`` of the rows that contain every phrase."""
         if not phrases:
             return self.lengths.select("id", F.lit(0.0).alias("rank")).filter(F.lit(False))
         tf = phrase_occurrences(self._of_terms(sorted({t for p in phrases for t in p})), phrases)
-        corpus = self.lengths.agg(F.count(F.lit(1)).alias("rows"), F.avg("len").alias("mean"))
-        # One row per phrase of the query, beside one row for the corpus.
+        # One row per phrase of the query.
         df = tf.groupBy("phrase").agg(F.count(F.lit(1)).alias("df"))
-        stats = df.withColumn("one", F.lit(1)).join(F.broadcast(corpus.withColumn("one", F.lit(1))), "one")
-        weighted = (tf.join(F.broadcast(stats), "phrase").join(self.lengths, "id")
-                    .select("id", "phrase",
-                            (_idf(F.col("rows"), F.col("df")) * _weight(F.col("tf"), F.col("len"), F.col("mean"))).alias("w")))
+        weighted = (tf.join(F.broadcast(df), "phrase").join(self.lengths, "id")
+                    .withColumn("__c", self._corpus()).select(
+                        "id", "phrase", (_idf(F.col("__c.rows"), F.col("df"))
+                                         * _weight(F.col("tf"), F.col("len"), F.col("__c.mean"))).alias("w")))
         return (weighted.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("w"))
                 .filter(F.col("n") == len(phrases)).select("id", (-F.col("w")).alias("rank")))
 
@@ -308,7 +330,8 @@ def search_many(index: TextIndex, queries: DataFrame, limit: int = 50, query_id:
     phrases = query_phrases(queries, index.stem, query_id, text)
     terms = phrases.select("term").distinct()
     hits = index.postings.join(terms, "term", "left_semi")
-    doc_terms = hits.groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"))
+    # Read three times below: frequencies, candidates, weights.
+    doc_terms = stored(hits.groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf")))
     term_df = doc_terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     rare = (phrases.join(term_df, "term", "left")
             .groupBy("query_id").agg(F.min_by("term", F.struct(F.coalesce("df", F.lit(0)), "term")).alias("term")))
@@ -330,9 +353,8 @@ def search_many(index: TextIndex, queries: DataFrame, limit: int = 50, query_id:
                   .join(multi_tf, ["id", "tokens"]).join(multi_df, "tokens")
                   .select("query_id", "id", "phrase", "phrases", "tf", "df"))
 
-    corpus = index.lengths.agg(F.count(F.lit(1)).alias("rows"), F.avg("len").alias("mean")).withColumn("one", F.lit(1))
     found = (single_tf.unionByName(multi_rows).join(index.lengths, "id")
-             .withColumn("one", F.lit(1)).join(F.broadcast(corpus), "one"))
+             .withColumn("__c", index._corpus()).select("*", "__c.*"))
     w = _idf(F.col("rows"), F.col("df")) * _weight(F.col("tf"), F.col("len"), F.col("mean"))
     ranked = (found.groupBy("query_id", "id")
               .agg(F.count(F.lit(1)).alias("n"), F.first("phrases").alias("phrases"), F.sum(w).alias("w"))

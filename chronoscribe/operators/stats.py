@@ -44,9 +44,8 @@ def table_stats(captures: DataFrame, summaries: DataFrame) -> DataFrame:
 
 
 def _beside(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Columns of two one-row frames in one row."""
-    return (a.withColumn("__one", F.lit(1)).join(F.broadcast(b.withColumn("__one", F.lit(1))), "__one")
-            .drop("__one"))
+    """Columns of the one-row frame ``b`` beside those of ``a``, as one scalar subquery."""
+    return a.withColumn("__b", b.select(F.struct("*")).scalar()).select("*", "__b.*").drop("__b")
 
 
 def time_span(captures: DataFrame, tz: str = "UTC") -> DataFrame:

@@ -41,10 +41,9 @@ def capture_index(captures: DataFrame, stem: bool = True) -> TextIndex:
 
 
 def _for_each_prompt(prompts: DataFrame, rows: DataFrame) -> DataFrame:
-    """The same few ``rows`` (a top-k) beside every prompt, as one array on a one-row side."""
-    packed = rows.agg(F.collect_list(F.struct(*rows.columns)).alias("__rows")).withColumn("__one", F.lit(1))
-    return (prompts.select("prompt_id").withColumn("__one", F.lit(1)).join(F.broadcast(packed), "__one")
-            .select("prompt_id", F.explode("__rows").alias("__r")).select("prompt_id", "__r.*"))
+    """The same few ``rows`` (a top-k) beside every prompt: one array from a scalar subquery."""
+    packed = rows.agg(F.collect_list(F.struct(*rows.columns))).scalar()
+    return prompts.select("prompt_id", F.inline(packed))
 
 
 def _numbered(rows: DataFrame, ts: str) -> DataFrame:

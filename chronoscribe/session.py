@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,14 +27,11 @@ def build_session(app: str = "chronoscribe", master: str | None = None, **conf:
     return b.getOrCreate()
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage by a reliable checkpoint.
+def _shared_folder(spark: SparkSession) -> str:
+    """The cluster's ``spark.checkpoint.dir``, which all executors reach.
 
-    The folder is the cluster's ``spark.checkpoint.dir``. Only a local session
-    without that setting gets a folder of its own; on a cluster a machine-local
-    folder would die with its machine, so a missing setting is an error there.
-    """
-    spark = df.sparkSession
+    Only a local session without that setting gets a folder of its own; on a cluster a machine-local
+    folder would die with its machine, so a missing setting is an error there."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -42,4 +40,27 @@ def durable(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
             folder = tempfile.mkdtemp(prefix="chronoscribe-checkpoint-")
         sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut lineage by a reliable checkpoint; partitions and their order stay as they are."""
+    _shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Cut lineage by a written table: compressed, and later reads take only the columns they need."""
+    spark = df.sparkSession
+    path = f"{_shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal a scan with fewer partitions than cores out to all cores, for costly work per row.
+
+    A large table has more partitions than that and is left alone. For plain scans only: counting
+    the partitions of a plan with shuffles would run it."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
