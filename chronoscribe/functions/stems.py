@@ -61,7 +61,7 @@ def _replace(w: str, rules: list[tuple[str, str]]) -> str:
 
 def porter(w: str) -> str:
     """Stem of one lower-case word."""
-    if w.endswith(("sses", "ies")):
+    if (w.endswith("sses") and len(w) > 4) or (w.endswith("ies") and len(w) > 3):
         w = w[:-2]
     elif w.endswith("s") and not w.endswith("ss"):
         w = w[:-1]
