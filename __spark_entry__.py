@@ -20,6 +20,7 @@ from chronoscribe.plans import api, retrieve, summarize
 from chronoscribe.plans.complete import Completion
 from chronoscribe.params import Params
 from chronoscribe.plans.prompts import Templates
+from chronoscribe.session import ship
 from chronoscribe.sources import tables, views
 from chronoscribe.streaming import machine
 
@@ -33,7 +34,11 @@ _SQL: dict[str, str] = {}
 
 def query(name: str, sql: str | None = None):
     def register(fn):
-        _QUERIES[name] = lambda spark, folder: _plain(fn(spark, folder))
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            ship(spark, __file__)
+            return _plain(fn(spark, folder))
+
+        _QUERIES[name] = run
         if sql is not None:
             _SQL[name] = sql.strip()
         return fn

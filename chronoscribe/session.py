@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,6 +29,30 @@ def build_session(app: str = "chronoscribe", master: str | None = None, **conf:
     return b.getOrCreate()
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession, *files: str) -> None:
+    """Send this package (and ``files``) to the Python workers, once per application.
+
+    Not needed where the package is installed on every machine."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="chronoscribe-"), "chronoscribe.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for folder, _, names in os.walk(package):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.relpath(path, os.path.dirname(package)))
+        for path in files:
+            z.write(path, os.path.basename(path))
+    sc.addPyFile(archive)
+    _SHIPPED.add(sc.applicationId)
+
+
 def _shared_folder(spark: SparkSession) -> str:
     """The cluster's ``spark.checkpoint.dir``, which all executors reach.
 
