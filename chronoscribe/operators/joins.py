@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoscribe.operators.scan import newest
+from chronoscribe.operators.sequence import look_up
 
 
 def summaries_in_ranges(summaries: DataFrame, ranges: DataFrame, bucket_seconds: int = 3600,
-                        salt: int = 1) -> DataFrame:
+                        salt: int = 8) -> DataFrame:
     """Summaries against many closed ranges ``(range_id, start, end)`` by interval overlap.
 
     Both sides are laid over time buckets and joined on the bucket, so no row meets a row from
@@ -53,11 +54,12 @@ def resolve_captures(captures: DataFrame, summaries: DataFrame, relevant: DataFr
 def with_parent(captures: DataFrame, columns: list[str] = ("ts", "appName", "ocrText")) -> DataFrame:
     """Deltas with ``parent_*`` columns of their keyframe; null where the parent is gone.
 
-    One parent may have a large part of all deltas, so the join is left to adaptive skew handling
-    and only the named parent columns travel."""
+    Only the named parent columns travel. Deltas without a parent id are kept out of the match by
+    their own id; a parent with very many deltas is split by adaptive skew handling."""
     deltas = captures.filter(F.col("frameType") == "delta")
-    parents = captures.select(F.col("id").alias("parent_id"), *[F.col(c).alias(f"parent_{c}") for c in columns])
-    return deltas.join(parents, F.col("keyframeId") == F.col("parent_id"), "left")
+    parents = captures.select(F.col("id").alias("parent_id"), *[F.col(c).alias(f"parent_{c}") for c in columns],
+                              F.lit(True).alias("__asks"))
+    return look_up(deltas, F.col("keyframeId").isNotNull(), "keyframeId", parents, "parent_id")
 
 
 def ordered_union_distinct(parts: list[DataFrame], id: str = "id", position: str | None = None,

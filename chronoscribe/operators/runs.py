@@ -23,11 +23,11 @@ ROWS_PER_TASK = 2_000_000
 _SLICE = "__slice"
 
 
-def longest(df: DataFrame, keys: list[str]) -> int:
-    """Rows of the longest sequence; counts are combined map-side."""
+def sizes(df: DataFrame, keys: list[str]) -> tuple[int, int]:
+    """Rows of the longest sequence and of the table; counts are combined map-side."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    row = counts.agg(F.max("n").alias("n")).first()
-    return row["n"] or 0
+    row = counts.agg(F.max("n").alias("longest"), F.sum("n").alias("all")).first()
+    return row["longest"] or 0, row["all"] or 0
 
 
 class Runs:
@@ -43,12 +43,13 @@ class Runs:
         limit = ROWS_PER_TASK if rows_per_task is None else rows_per_task
         self.keys, self.ts, self.id = list(keys), ts, id
         self.wide = None
-        rows = longest(df, self.keys) if cut is None else None
-        self.cut = cut if cut is not None else rows > limit
+        one, rows = (0, 0) if cut is not None else sizes(df, self.keys)
+        self.cut = cut if cut is not None else one > limit
         if self.cut:
             n = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-            if slices is None and rows:
-                n = max(n, -(-rows // limit) * 2)
+            if slices is None:
+                # Range bounds come from a sample: aim at half the limit.
+                n = max(n, -(-2 * rows // limit))
             if needs is not None:
                 # Only what the scan looks at is sliced; the rest rejoins by id at the end.
                 self.wide = df

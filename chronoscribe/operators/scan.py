@@ -17,6 +17,10 @@ from chronoscribe.functions.text import preview
 from chronoscribe.operators.sequence import is_keyframe
 
 
+# Above this many literals a list of ids becomes a table.
+LONG_LIST = 1_000
+
+
 def newest(df: DataFrame, limit: int | None, ts: str = "ts", id: str = "id") -> DataFrame:
     """Newest first. With a limit this is a top-k over partitions, not a global sort."""
     out = df.orderBy(F.col(ts).desc(), F.col(id).desc())
@@ -34,6 +38,8 @@ def captures_between(captures: DataFrame, start, end, limit: int | None = None)
 
 def captures_by_ids(captures: DataFrame, ids: list[int] | DataFrame) -> DataFrame:
     """Rows with the given ids, newest first. A frame of ids is matched by semi-join."""
+    if not isinstance(ids, DataFrame) and len(ids) > LONG_LIST:
+        ids = captures.sparkSession.createDataFrame([(i,) for i in ids], "id long")
     if isinstance(ids, DataFrame):
         wanted = ids.select(F.col(ids.columns[0]).alias("__id"))
         hit = captures.join(wanted, F.col("id") == F.col("__id"), "left_semi")

@@ -32,8 +32,8 @@ K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 
 CAPTURE_FIELDS = ["fullOcrText", "windowTitle", "appName"]
 
-# Ranked ids are broadcast to fetch wide rows only up to this many.
-BROADCAST_IDS = 100_000
+# Ranked ids become a scan filter, or are broadcast, only up to these numbers.
+FEW_IDS, BROADCAST_IDS = 1_000, 100_000
 
 
 def summary_fields() -> list[Column]:
@@ -137,8 +137,16 @@ def best(ranked: DataFrame, limit: int, id: str = "id") -> DataFrame:
 
 
 def fetch(table: DataFrame, top: DataFrame, limit: int, id: str = "id") -> DataFrame:
-    """Wide rows of the ranked ids, best first."""
+    """Wide rows of the ranked ids, best first.
+
+    Up to ``FEW_IDS`` ids are read off first and become a filter of the scan, which then skips the
+    row groups without them; up to ``BROADCAST_IDS`` the ranked ids are broadcast; beyond that they
+    are joined like any other table."""
     small = top.select(F.col(id).alias("__id"), "rank")
+    if limit <= FEW_IDS:
+        ranked = small.collect()
+        small = table.sparkSession.createDataFrame(ranked, small.schema)
+        table = table.filter(F.col(id).isin([r["__id"] for r in ranked]) if ranked else F.lit(False))
     if limit <= BROADCAST_IDS:
         small = F.broadcast(small)
     return table.join(small, F.col(id) == F.col("__id")).drop("__id").orderBy("rank", id)
@@ -337,8 +345,10 @@ def search_many(index: TextIndex, queries: DataFrame, limit: int = 50, query_id:
             .groupBy("query_id").agg(F.min_by("term", F.struct(F.coalesce("df", F.lit(0)), "term")).alias("term")))
     candidates = doc_terms.join(rare, "term").select("query_id", "id")
 
-    single = phrases.filter("phraseLen = 1").select("query_id", "phrase", "phrases", "term")
-    single_tf = (candidates.join(single, "query_id").join(doc_terms, ["id", "term"]).join(term_df, "term")
+    # Frequencies join the few query terms, not the many rows.
+    single = (phrases.filter("phraseLen = 1").join(term_df, "term")
+              .select("query_id", "phrase", "phrases", "term", "df"))
+    single_tf = (candidates.join(single, "query_id").join(doc_terms, ["id", "term"])
                  .select("query_id", "id", "phrase", "phrases", "tf", "df"))
 
     # Phrases of several tokens: occurrences are found once per distinct phrase.

@@ -123,6 +123,16 @@ def group_captures(df: DataFrame, keys: list[str] = (), **size) -> DataFrame:
             .drop("__head", "__group").frame())
 
 
+def look_up(rows: DataFrame, asks: Column, key: str, found: DataFrame, found_key: str, own: str = "id") -> DataFrame:
+    """Left join of the rows where ``asks`` holds with ``found`` (unique ``found_key`` and a true
+    ``__asks``). The other rows join on their own id, flagged so that they meet nothing: as nulls
+    they would all fall into one partition."""
+    flagged = rows.withColumn("__ask", F.coalesce(asks, F.lit(False))).withColumn(
+        "__key", F.when(F.col("__ask"), F.col(key)).otherwise(F.col(own)))
+    hit = (F.col("__ask") == F.col("__asks")) & (F.col("__key") == F.col(found_key))
+    return flagged.join(found, hit, "left").drop("__ask", "__key", "__asks")
+
+
 def capture_groups(table: DataFrame, start: dt.datetime | Column | str, end: dt.datetime | Column | str,
                    keys: list[str] = (), limit: int | None = None, **size) -> DataFrame:
     """Groups of the rows in the closed range. ``groupId`` as in ``group_captures``, except that a
@@ -132,10 +142,12 @@ def capture_groups(table: DataFrame, start: dt.datetime | Column | str, end: dt.
     rows = table.filter(F.col("ts").between(instant(start), instant(end)))
     if limit is not None:
         rows = rows.orderBy("ts", "id").limit(limit)
-    # Parent lookup: only deltas ask, and only the id column of the table answers.
-    parents = table.select(F.col("id").alias("__pid"))
-    asks = rows.withColumn("__ask", F.when(~is_keyframe(), F.col("keyframeId")))
-    rows = asks.join(parents, F.col("__ask") == F.col("__pid"), "left").drop("__ask")
+    # Parent lookup. The ids that are asked for are made distinct and looked up in the id column of
+    # the table first, so one parent with very many deltas is a single row there.
+    asked = rows.filter(~is_keyframe() & F.col("keyframeId").isNotNull()).select(F.col("keyframeId").alias("__a")).distinct()
+    living = (table.select(F.col("id").alias("__pid")).join(asked, F.col("__pid") == F.col("__a"), "left_semi")
+              .withColumn("__asks", F.lit(True)))
+    rows = look_up(rows, ~is_keyframe() & F.col("keyframeId").isNotNull(), "keyframeId", living, "__pid")
     runs = Runs(rows, keys, **size)
     head = F.struct(F.coalesce(F.when(is_keyframe(), F.col("id")), F.col("__pid")).alias("id"),
                     F.lit(False).alias("own"), (~is_keyframe()).alias("outside"))

@@ -16,7 +16,7 @@ BASE = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
 def spark(tmp_path_factory):
     from chronoscribe.session import build_session
     s = build_session(
-        "tests", "local[4]", spark__sql__shuffle__partitions="4", spark__ui__enabled="false",
+        "tests", "local[8]", spark__sql__shuffle__partitions="3", spark__ui__enabled="false",
         spark__ui__showConsoleProgress="false", spark__driver__memory="6g",
         spark__checkpoint__dir=str(tmp_path_factory.mktemp("checkpoint")))
     s.sparkContext.setLogLevel("OFF")

@@ -22,7 +22,7 @@ def con():
 def canonical(df):
     df = df[sorted(df.columns)].copy()
     for c in df.columns:
-        df[c] = [None if v is None or v is pd.NaT or v != v else (repr(float(v)) if isinstance(v, float) else str(v)) for v in df[c]]
+        df[c] = [None if pd.isna(v) else (repr(float(v)) if isinstance(v, float) else str(v)) for v in df[c]]
     return df.fillna("<null>").sort_values(list(df.columns)).reset_index(drop=True)
 
 
