@@ -481,7 +481,7 @@ def _windows(src: str, width: int, key: str = "device") -> str:
 
 @query("chunk_by_time", f"WITH RECURSIVE {EV}, {_windows('events_c', 86400)} SELECT id, device, windowStart FROM windowed")
 def _(spark, d):
-    return seq.chunk_by_time(events(spark, d), ["device"], 86_400).select("id", "device", "windowStart")
+    return seq.chunk_by_time(events(spark, d).select("id", "ts", "device"), ["device"], 86_400).select("id", "device", "windowStart")
 
 
 @query("chunk_by_time_one_sequence", f"""WITH RECURSIVE {EV}, e1 AS (SELECT id, ts, 0 AS k FROM events_c), {_windows('e1', 21600, 'k')}
@@ -510,7 +510,8 @@ def _hybrid(src: str, width: int, minimum: int) -> str:
 
 @query("chunk_hybrid", f"WITH RECURSIVE {EV}, {_hybrid('events_c', 86400, 3600)} SELECT id, device, windowStart, chunkId FROM hybrid")
 def _(spark, d):
-    return seq.chunk_hybrid(events(spark, d), ["device"], 86_400, 3_600).select("id", "device", "windowStart", "chunkId")
+    rows = events(spark, d).select("id", "ts", "device", "appName")
+    return seq.chunk_hybrid(rows, ["device"], 86_400, 3_600).select("id", "device", "windowStart", "chunkId")
 
 
 @query("merge_short_chunks", f"""WITH {EV}, f AS (SELECT *, lag(appName) OVER (PARTITION BY device ORDER BY ts, id) IS DISTINCT FROM appName AS new FROM events_c),
@@ -535,8 +536,8 @@ FEATURES = """feat AS (SELECT device, chunkId, min(ts) AS startTs, max(ts) AS en
 @query("chunk_features", f"""WITH RECURSIVE {EV}, {_hybrid('events_c', 86400, 3600)}, {FEATURES}
   SELECT device, chunkId, startTs, endTs, captureCount, primaryApp, appNames, captureIds FROM feat JOIN prime USING (device, chunkId)""")
 def _(spark, d):
-    c = seq.chunk_hybrid(events(spark, d), ["device"], 86_400, 3_600).select(
-        "device", "chunkId", "ts", "id", "appName", "windowTitle")
+    rows = events(spark, d).select("id", "ts", "device", "appName", "windowTitle")
+    c = seq.chunk_hybrid(rows, ["device"], 86_400, 3_600)
     return seq.chunk_features(c, ["device"]).withColumns({x: _list(x) for x in ("appNames", "captureIds")}).drop("primaryWindowTitle")
 
 

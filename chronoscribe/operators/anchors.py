@@ -35,8 +35,9 @@ def _key_breaks(batch: pa.RecordBatch, keys: list[str], last: tuple | None) -> t
     return new, tuple(batch.column(k)[n - 1].as_py() for k in keys)
 
 
-def _marker(keys: list[str], value: str, width, strict: bool, carried: str | None):
-    """mapInArrow function that appends the anchor value of each row."""
+def _marker(keys: list[str], value: str, width, strict: bool, carried: str | None, starts_only: bool = False):
+    """mapInArrow function that appends the anchor value of each row, or keeps the first row of
+    each window only."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, anchor = None, None
@@ -46,17 +47,21 @@ def _marker(keys: list[str], value: str, width, strict: bool, carried: str | Non
             new, last = _key_breaks(batch, keys, last)
             values = batch.column(value).to_pylist()
             carry = batch.column(carried).to_pylist() if carried else None
-            out = []
+            out, starts = [], []
             for i, (v, fresh) in enumerate(zip(values, new.tolist())):
                 if fresh:
                     anchor = carry[i] if carry and carry[i] is not None else v
-                if v - anchor > width or (not strict and v - anchor == width):
+                opens = v - anchor > width or (not strict and v - anchor == width)
+                if opens:
                     anchor = v
+                if fresh or opens:
+                    starts.append(i)
                 out.append(anchor)
             arrays = [c for name, c in zip(batch.schema.names, batch.columns) if name != carried]
             names = [name for name in batch.schema.names if name != carried]
             arrays.append(pa.array(out, type=batch.column(value).type))
-            yield pa.RecordBatch.from_arrays(arrays, names=[*names, "__anchor"])
+            marked = pa.RecordBatch.from_arrays(arrays, names=[*names, "__anchor"])
+            yield marked.take(pa.array(starts, pa.int64())) if starts_only else marked
 
     return mark
 
@@ -152,11 +157,18 @@ def mark_anchors(runs: Runs, value: str, width, out: str, strict: bool = False)
     df, keys = runs.rows, runs.keys
     kind = df.schema[value].dataType
     if not runs.cut:
-        df = df.repartition(*keys) if keys else df.coalesce(1)
-        df = df.sortWithinPartitions(*keys, runs.ts, runs.id)
-        schema = _with_fields(df.schema, T.StructField("__anchor", kind))
-        runs.rows = df.mapInArrow(_marker(keys, value, width, strict, None), schema) \
-            .withColumnRenamed("__anchor", out)
+        # Only key, order and value visit Python, and only the rows that start a window come back.
+        # They are laid among the full rows, which move once and see the latest start before them.
+        lean = df.select(*dict.fromkeys([*keys, runs.ts, runs.id, value]))
+        lean = (lean.repartition(*keys) if keys else lean.coalesce(1)).sortWithinPartitions(*keys, runs.ts, runs.id)
+        schema = _with_fields(lean.schema, T.StructField("__anchor", kind))
+        starts = lean.mapInArrow(_marker(keys, value, width, strict, None, starts_only=True), schema)
+        starts = starts.select(*dict.fromkeys([*keys, runs.ts, runs.id]), "__anchor", F.lit(0).alias("__row"))
+        mixed = df.withColumn("__row", F.lit(1)).unionByName(starts, allowMissingColumns=True)
+        before = (Window.partitionBy(*keys).orderBy(runs.ts, runs.id, "__row")
+                  .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        runs.rows = (mixed.withColumn(out, F.last("__anchor", ignorenulls=True).over(before))
+                     .filter("__row = 1").drop("__row", "__anchor"))
         return runs
 
     order = Window.partitionBy(*keys)

@@ -188,5 +188,5 @@ class Runs:
         rows = self.rows.drop(_SLICE) if self.cut else self.rows
         if self.wide is None:
             return rows
-        added = [c for c in rows.columns if c not in self.wide.columns]
+        added = [c for c in rows.columns if c not in self.wide.columns and c != self.id]
         return self.wide.join(rows.select(self.id, *added), self.id)

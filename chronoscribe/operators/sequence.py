@@ -29,7 +29,7 @@ def _windows(runs: Runs, seconds: float) -> Runs:
 
 def chunk_by_time(df: DataFrame, keys: list[str] = (), window: float = 300.0, **size) -> DataFrame:
     """Add ``windowStart``: anchored windows of ``window`` seconds per key."""
-    return _windows(Runs(df, list(keys), **size), window).frame()
+    return _windows(Runs(df, list(keys), needs=[], **size), window).frame()
 
 
 def _mark_starts(runs: Runs, starts: Column) -> Runs:
@@ -42,7 +42,7 @@ def _mark_starts(runs: Runs, starts: Column) -> Runs:
 
 def chunk_by_app_switch(df: DataFrame, keys: list[str] = (), app: str = "appName", **size) -> DataFrame:
     """Add ``chunkId`` (id of the chunk's first row): a chunk ends where the app changes."""
-    runs = Runs(df, list(keys), **size).previous("__prev", F.col(app))
+    runs = Runs(df, list(keys), needs=[app], **size).previous("__prev", F.col(app))
     _mark_starts(runs, F.col("__prev").isNull() | ~F.col("__prev.v").eqNullSafe(F.col(app)))
     return (runs.with_column("chunkId", F.col("__chunk.id"))
             .drop("__prev", "__new", "__chunk").frame())
@@ -52,7 +52,7 @@ def merge_short_chunks(chunks: DataFrame, keys: list[str] = (), minimum: float =
                        start: str = "startTs", end: str = "endTs", **size) -> DataFrame:
     """Over a table of chunks add ``mergedId``: a chunk shorter than ``minimum`` seconds joins
     the one before it; the first chunk of a key stands on its own."""
-    runs = Runs(chunks, list(keys), ts=start, id=id, **size).previous("__prev", F.col(id))
+    runs = Runs(chunks, list(keys), ts=start, id=id, needs=[end], **size).previous("__prev", F.col(id))
     own = F.col("__prev").isNull() | (elapsed_seconds(start, end) >= F.lit(float(minimum)))
     runs.last_where("mergedId", own if minimum > 0 else F.lit(True), F.col(id))
     return runs.drop("__prev").frame()
@@ -80,7 +80,7 @@ def chunk_hybrid(df: DataFrame, keys: list[str] = (), window: float = 300.0, min
                  app: str = "appName", **size) -> DataFrame:
     """Add ``windowStart`` and ``chunkId``: anchored windows, cut at app switches, then chunks
     shorter than ``minimum`` seconds joined to the chunk before them in the same window."""
-    return _hybrid(Runs(df, list(keys), **size), window, minimum, app).frame()
+    return _hybrid(Runs(df, list(keys), needs=[app], **size), window, minimum, app).frame()
 
 
 def chunk_feature_columns(ts: str = "ts", id: str = "id") -> list[Column]:
@@ -118,7 +118,7 @@ def _walk_groups(runs: Runs) -> Runs:
 def group_captures(df: DataFrame, keys: list[str] = (), **size) -> DataFrame:
     """Add ``groupId`` (id of the head) and ``isHead``: a keyframe opens a group, later deltas join
     it by position, deltas before any keyframe stand alone."""
-    runs = _walk_groups(Runs(df, list(keys), **size))
+    runs = _walk_groups(Runs(df, list(keys), needs=["frameType"], **size))
     return (runs.with_column("groupId", F.col("__group.id")).with_column("isHead", F.col("__head"))
             .drop("__head", "__group").frame())
 
@@ -148,7 +148,7 @@ def capture_groups(table: DataFrame, start: dt.datetime | Column | str, end: dt.
     living = (table.select(F.col("id").alias("__pid")).join(asked, F.col("__pid") == F.col("__a"), "left_semi")
               .withColumn("__asks", F.lit(True)))
     rows = look_up(rows, ~is_keyframe() & F.col("keyframeId").isNotNull(), "keyframeId", living, "__pid")
-    runs = Runs(rows, keys, **size)
+    runs = Runs(rows, keys, needs=["frameType", "__pid"], **size)
     head = F.struct(F.coalesce(F.when(is_keyframe(), F.col("id")), F.col("__pid")).alias("id"),
                     F.lit(False).alias("own"), (~is_keyframe()).alias("outside"))
     # A keyframe, or a delta with a living parent, can set the current head. A delta does so only
@@ -163,7 +163,7 @@ def capture_groups(table: DataFrame, start: dt.datetime | Column | str, end: dt.
 
 def group_members(grouped: DataFrame, keys: list[str] = (), **size) -> DataFrame:
     """Add ``position`` (1 = head) and ``groupSize`` inside each ``groupId``."""
-    return (Runs(grouped, [*keys, "groupId"], **size).position("position")
+    return (Runs(grouped, [*keys, "groupId"], needs=[], **size).position("position")
             .total("groupSize", F.lit(1).cast("long")).frame())
 
 
@@ -182,6 +182,6 @@ def is_evenly_spaced(index: Column, count: Column, k: int) -> Column:
 
 def evenly_spaced(df: DataFrame, k: int, keys: list[str] = (), **size) -> DataFrame:
     """Keep ``k`` evenly spaced rows per key (all of them if there are no more than ``k``)."""
-    runs = Runs(df, list(keys), **size).position("__pos").total("__n", F.lit(1).cast("long"))
+    runs = Runs(df, list(keys), needs=[], **size).position("__pos").total("__n", F.lit(1).cast("long"))
     return (runs.filter(is_evenly_spaced(F.col("__pos") - 1, F.col("__n"), k))
             .drop("__pos", "__n").frame())

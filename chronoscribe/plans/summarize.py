@@ -20,7 +20,11 @@ def summary_prompts(captures: DataFrame, keys: list[str] = (), params: Params =
                     templates: Templates = Templates(), tz: str = "UTC", **size) -> DataFrame:
     """One row per chunk: features, sampled screen text and the prompt."""
     keys = list(keys)
-    chunked = chunk_hybrid(captures, keys, params.chunk_seconds, params.min_chunk_seconds, **size)
+    # Texts are shortened to what a prompt can show before anything moves.
+    shown = max(params.summary_keyframe_chars, params.summary_delta_chars) + 1
+    lean = captures.select(*dict.fromkeys([*keys, "id", "ts", "appName", "windowTitle", "frameType", "changePercentage"]),
+                           F.substring("ocrText", 1, shown).alias("ocrText"))
+    chunked = chunk_hybrid(lean, keys, params.chunk_seconds, params.min_chunk_seconds, **size)
     return prompts_of_chunks(chunked, keys, params, templates, tz, **size)
 
 
