@@ -984,21 +984,57 @@ def _echo(messages, model, max_tokens, system, temperature):
     return Completion(f"[^1]: {len(body)}", len(body), 1)
 
 
-@query("enrich")
+def _renamed(sql: str) -> str:
+    """The same CTEs under other names, for a second search in one statement."""
+    import re
+    names = "tk|ln(?!\\()|corpus|qw|qp|okq|ph|pt|occ|ptf|pdf|idf|hit|many|recent|allc|cands"
+    return re.sub(rf"(?<!\.)\b({names})\b", r"\1_s", sql)
+
+
+# Length of the fixed text around prompt and captures in the templates.
+_AROUND_PROMPT = len(Templates().footnotes_user.replace("{query}", "").replace("{captures}", ""))
+_AROUND_QUERY = len(Templates().citations_user.replace("{query}", "").replace("{captures}", ""))
+
+# Both retrieval paths with the stand-in model, which finds every summary relevant.
+_CONTEXT = f"""{DC}, {SM}, {BQ}, {_renamed(_CANDS.replace(SM + ', ', '').replace(BQ + ', ', ''))},
+  via AS (SELECT prompt_id, id FROM cands_s WHERE id IN (SELECT id FROM sums ORDER BY startTs DESC, id DESC LIMIT 1000)),
+  {CAP_TOK}, {_many_sql('bq', 25)},
+  recent AS (SELECT id FROM docs_c WHERE NOT isSummarized AND ts BETWEEN TIMESTAMP '{DOC_START}' AND TIMESTAMP '{DOC_END}' ORDER BY ts DESC, id DESC LIMIT 25),
+  both_ AS (SELECT prompt_id, id FROM via UNION SELECT query_id, many.id FROM many JOIN docs_c ON docs_c.id = many.id AND NOT isSummarized
+    UNION SELECT query_id, recent.id FROM bq, recent),
+  picked AS (SELECT both_.prompt_id, docs_c.* FROM both_ JOIN docs_c USING (id) QUALIFY row_number() OVER (PARTITION BY prompt_id ORDER BY ts DESC, id DESC) <= 50),
+  {_sections('picked', 'prompt_id', 10, 5, 3000, 500)},
+  counted AS (SELECT prompt_id, count(*) AS captures_examined FROM picked GROUP BY prompt_id),
+  searched AS (SELECT prompt_id, count(*) AS summaries_searched FROM cands_s GROUP BY prompt_id),
+  answer AS (SELECT bq.query_id AS prompt_id, bq.text, captures_examined, summaries_searched,
+      length(bq.text) + length(rendered.text) AS size
+    FROM bq JOIN rendered ON rendered.prompt_id = bq.query_id JOIN counted ON counted.prompt_id = bq.query_id JOIN searched ON searched.prompt_id = bq.query_id)"""
+
+
+@query("enrich", f"""WITH {_CONTEXT} SELECT prompt_id, text AS originalPrompt,
+  text || chr(10) || chr(10) || '---' || chr(10) || '## Context References' || chr(10) || chr(10) || '[^1]: ' || CAST(size + {_AROUND_PROMPT} AS VARCHAR) AS enrichedPrompt,
+  summaries_searched, captures_examined, CAST(NULL AS VARCHAR) AS error FROM answer""")
 def _(spark, d):
     return retrieve.enrich(_prompts(spark, d), documents(spark, d), summaries(spark, d), DOC_START, DOC_END, _echo, stem=False)
 
 
-@query("query_citations")
+@query("query_citations", f"""WITH {_CONTEXT} SELECT prompt_id, text,
+  '[{{"timestamp":"2024-01-01T14:00:00Z","app_name":"Unknown","relevant_text":"' || CAST(size + {_AROUND_QUERY} AS VARCHAR)
+    || '","relevance_explanation":"size","source":"capture"}}]' AS citations,
+  summaries_searched, captures_examined, CAST(NULL AS VARCHAR) AS error FROM answer""")
 def _(spark, d):
     out = retrieve.query_citations(_prompts(spark, d), documents(spark, d), summaries(spark, d), DOC_START, DOC_END, DOC_NOW, _echo, stem=False)
     return out.withColumn("citations", F.to_json("citations"))
 
 
-@query("progressive_summarize")
+@query("progressive_summarize", f"""WITH RECURSIVE {CV}, {_hybrid('conv_c', 300, 15)}, {FEATURES}, {_sections('hybrid', 'device, chunkId', 10, 3, 2000, 300)}
+  SELECT startTs, endTs, appNames, '' AS keyTopics, captureIds, '[^1]: ' || CAST(length('Period: ' || strftime(startTs, '%H:%M:%S') || ' - ' || strftime(endTs, '%H:%M:%S')
+    || ' (' || CAST((epoch_us(endTs) - epoch_us(startTs)) // 1000000 AS VARCHAR) || 's)') + length(chr(10) || 'Application: ' || primaryApp || chr(10) || 'Window: Unknown' || chr(10) || chr(10))
+    + length(text) AS VARCHAR) AS summary
+  FROM feat JOIN prime USING (device, chunkId) JOIN rendered USING (device, chunkId)""")
 def _(spark, d):
-    made, _, _ = summarize.progressive_summarize(conversations(spark, d), "2024-12-01 00:00:00", _echo, ["device"])
-    return made.withColumns({c: _list(c) for c in ("appNames", "keyTopics", "captureIds")})
+    made, _, _ = summarize.progressive_summarize(conversations(spark, d), "2034-01-01 00:00:00", _echo, ["device"])
+    return made.withColumns({c: _list(c) for c in ("appNames", "keyTopics", "captureIds")}).drop("id", "chunkKey")
 
 
 # -- frames and regions -------------------------------------------------------------------------------------
