@@ -74,7 +74,10 @@ def tile_diff(frames: DataFrame, noise: float = NOISE, **size) -> DataFrame:
 
     Tiles, not frames, are spread by key, so one busy stream uses as many tasks as it has tiles.
     """
-    tiles = Runs(cut_tiles(frames), ["stream", "row", "col"], **size)
+    # A tile has no more rows than its stream has frames, and frames are counted without their pixels.
+    order = Runs(frames.select("stream", "ts", "id"), ["stream"], **size).previous("__p", F.col("id"))
+    tile_size = size if order.cut else {**size, "cut": False}
+    tiles = Runs(cut_tiles(frames), ["stream", "row", "col"], **tile_size)
     tiles.previous("__prev", F.struct("id", "width", "height", "bytes"))
     before = F.col("__prev.v")
     same_size = (before["width"] == F.col("width")) & (before["height"] == F.col("height"))
@@ -82,7 +85,6 @@ def tile_diff(frames: DataFrame, noise: float = NOISE, **size) -> DataFrame:
     tiles.with_column("__pid", before["id"])
     sums = tiles.drop("bytes", "__prev").frame()
     # The previous tile must belong to the very frame before this one, not to an older one.
-    order = Runs(frames.select("stream", "ts", "id"), ["stream"], **size).previous("__p", F.col("id"))
     prior = order.frame().select(F.col("id"), F.col("__p.v").alias("previousId"))
     rows = sums.join(prior, "id")
     total = F.when(F.col("__pid") == F.col("previousId"), F.col("total"))

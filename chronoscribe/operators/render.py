@@ -39,10 +39,10 @@ def with_sections(rows: DataFrame, keys: list[str], max_keyframes: int = 10, max
     runs.running_sum("__g", head).total("__gn", head).position("__pos")
     runs.last_where("__gpos", F.col("__head"), F.col("__pos"))
     runs.with_column("__d", F.col("__pos") - F.col("__gpos") - 1)
-    group_cut = False if not runs.cut else None
+    inner_size = size if runs.cut else {**size, "cut": False}
     lean = runs.with_column("__kf_in", is_evenly_spaced(F.col("__g") - 1, F.col("__gn"), max_keyframes)).frame()
     # Groups are parts of the sequences measured above; only cut sequences need a new measure.
-    inner = Runs(lean, [*keys, "__g"], cut=group_cut, **{k: v for k, v in size.items() if k == "rows_per_task"})
+    inner = Runs(lean, [*keys, "__g"], **inner_size)
     inner.total("__dn", (~F.col("__head")).cast("long"))
     shown = F.col("__kf_in") & (F.col("__head") | is_evenly_spaced(F.col("__d"), F.col("__dn"), max_deltas))
     inner.with_column("section", F.when(shown, _section(keyframe_chars, delta_chars, tz)))

@@ -34,16 +34,16 @@ class Runs:
     """``df`` as keyed sequences. Each method adds a column and returns the runs.
 
     ``id`` is the table's primary key. ``needs`` names the columns, beside key, time and id, that
-    the scan reads.
+    the scan reads. ``measured`` has the same keys and rows as ``df`` but is cheaper to count.
     """
 
     def __init__(self, df: DataFrame, keys: list[str], ts: str = "ts", id: str = "id",
                  rows_per_task: int | None = None, cut: bool | None = None, slices: int | None = None,
-                 needs: list[str] | None = None):
+                 needs: list[str] | None = None, measured: DataFrame | None = None):
         limit = ROWS_PER_TASK if rows_per_task is None else rows_per_task
         self.keys, self.ts, self.id = list(keys), ts, id
         self.wide = None
-        one, rows = (0, 0) if cut is not None else sizes(df, self.keys)
+        one, rows = (0, 0) if cut is not None else sizes(df if measured is None else measured, self.keys)
         self.cut = cut if cut is not None else one > limit
         if self.cut:
             n = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -58,7 +58,8 @@ def merge_short_chunks(chunks: DataFrame, keys: list[str] = (), minimum: float =
     return runs.drop("__prev").frame()
 
 
-def _hybrid(runs: Runs, window: float, minimum: float, app: str) -> Runs:
+def hybrid_runs(runs: Runs, window: float, minimum: float, app: str = "appName") -> Runs:
+    """``chunk_hybrid`` on measured sequences."""
     _windows(runs, window)
     runs.previous("__prev", F.struct(F.col("windowStart"), F.col(app).alias("app")))
     opens = F.col("__prev").isNull() | (F.col("__prev.v.windowStart") != F.col("windowStart"))
@@ -80,7 +81,7 @@ def chunk_hybrid(df: DataFrame, keys: list[str] = (), window: float = 300.0, min
                  app: str = "appName", **size) -> DataFrame:
     """Add ``windowStart`` and ``chunkId``: anchored windows, cut at app switches, then chunks
     shorter than ``minimum`` seconds joined to the chunk before them in the same window."""
-    return _hybrid(Runs(df, list(keys), needs=[app], **size), window, minimum, app).frame()
+    return hybrid_runs(Runs(df, list(keys), needs=[app], **size), window, minimum, app).frame()
 
 
 def chunk_feature_columns(ts: str = "ts", id: str = "id") -> list[Column]:
@@ -144,11 +145,12 @@ def capture_groups(table: DataFrame, start: dt.datetime | Column | str, end: dt.
         rows = rows.orderBy("ts", "id").limit(limit)
     # Parent lookup. The ids that are asked for are made distinct and looked up in the id column of
     # the table first, so one parent with very many deltas is a single row there.
+    in_range = rows
     asked = rows.filter(~is_keyframe() & F.col("keyframeId").isNotNull()).select(F.col("keyframeId").alias("__a")).distinct()
     living = (table.select(F.col("id").alias("__pid")).join(asked, F.col("__pid") == F.col("__a"), "left_semi")
               .withColumn("__asks", F.lit(True)))
     rows = look_up(rows, ~is_keyframe() & F.col("keyframeId").isNotNull(), "keyframeId", living, "__pid")
-    runs = Runs(rows, keys, needs=["frameType", "__pid"], **size)
+    runs = Runs(rows, keys, needs=["frameType", "__pid"], measured=in_range, **size)
     head = F.struct(F.coalesce(F.when(is_keyframe(), F.col("id")), F.col("__pid")).alias("id"),
                     F.lit(False).alias("own"), (~is_keyframe()).alias("outside"))
     # A keyframe, or a delta with a living parent, can set the current head. A delta does so only

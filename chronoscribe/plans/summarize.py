@@ -9,8 +9,9 @@ from chronoscribe.functions.clock import clock_text, duration_text, elapsed_seco
 from chronoscribe.functions.replies import parse_summary
 from chronoscribe.functions.text import render_template
 from chronoscribe.operators.render import joined_sections, with_sections
+from chronoscribe.operators.runs import Runs
 from chronoscribe.operators.scan import unsummarized_older_than
-from chronoscribe.operators.sequence import chunk_feature_columns, chunk_hybrid
+from chronoscribe.operators.sequence import chunk_feature_columns, hybrid_runs
 from chronoscribe.params import Params
 from chronoscribe.plans.complete import Complete, ai_map, usage_from_responses
 from chronoscribe.plans.prompts import Templates
@@ -24,8 +25,11 @@ def summary_prompts(captures: DataFrame, keys: list[str] = (), params: Params =
     shown = max(params.summary_keyframe_chars, params.summary_delta_chars) + 1
     lean = captures.select(*dict.fromkeys([*keys, "id", "ts", "appName", "windowTitle", "frameType", "changePercentage"]),
                            F.substring("ocrText", 1, shown).alias("ocrText"))
-    chunked = chunk_hybrid(lean, keys, params.chunk_seconds, params.min_chunk_seconds, **size)
-    return prompts_of_chunks(chunked, keys, params, templates, tz, **size)
+    runs = Runs(lean, keys, needs=["appName"], **size)
+    chunked = hybrid_runs(runs, params.chunk_seconds, params.min_chunk_seconds).frame()
+    # A chunk is part of a sequence that has just been measured.
+    inner = size if runs.cut else {**size, "cut": False}
+    return prompts_of_chunks(chunked, keys, params, templates, tz, **inner)
 
 
 def prompts_of_chunks(chunked: DataFrame, keys: list[str] = (), params: Params = Params(),
