@@ -2,7 +2,6 @@
 import sqlite3
 
 import pytest
-from pyspark.sql import functions as F
 
 from chronoscribe.functions.stems import porter, stem
 from chronoscribe.operators import search
