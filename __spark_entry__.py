@@ -6,6 +6,7 @@ maps the same name to SQL over the same tables. Both read whole tables.
 
 from __future__ import annotations
 
+import importlib.util
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -1111,6 +1112,23 @@ def _(spark, d):
     return frames.regions_fallback(documents(spark, d).select(F.col("id").alias("frame_id")), regions, 4)
 
 
+# -- the pipeline's operators, where their subpackage is there ------------------------------------
+
+
+def _present(name: str) -> bool:
+    try:
+        return importlib.util.find_spec(name) is not None
+    except ModuleNotFoundError:
+        return False
+
+
+if _present("chronoscribe.llm.queries"):
+    from chronoscribe.llm import queries as _llm
+
+    for _name, _fn in _llm.QUERIES.items():
+        query(_name, _llm.SQL.get(_name))(_fn)
+
+
 # -- contract ----------------------------------------------------------------------------------------------------
 
 
