@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoscribe.llm import quality, sentence, tokens, warc, winnow
+from chronoscribe.llm import quality, secret, sentence, tokens, warc, weighting, winnow
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -60,3 +60,18 @@ def op9(spark: SparkSession, d: str) -> DataFrame:
     found = winnow.find(table(spark, d, "documents"), table(spark, d, "benchmark"), ["doc_id"])
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@query("op1_secret_scans")
+def op1(spark: SparkSession, d: str) -> DataFrame:
+    found = secret.scan(table(spark, d, "documents"), ["doc_id"])
+    base = F.filter("spans", lambda s: s["number"] < len(secret.BASE))
+    count = lambda n: F.size(F.filter("spans", lambda s: s["number"] == n)).cast("long")
+    return found.select("doc_id", *[count(n).alias(f"n_{r.kind}") for n, r in enumerate(secret.BASE)],
+                        F.sha2(secret.listed(base), 256).alias("base_sha256"), secret.listed(F.col("spans")).alias("spans"))
+
+
+@query("op3_context_tree_weighting")
+def op3(spark: SparkSession, d: str) -> DataFrame:
+    held_out = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(7)) == 2
+    return weighting.score(table(spark, d, "documents"), ["doc_id"], held_out)
