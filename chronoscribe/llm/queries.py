@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoscribe.llm import chat, quality, secret, sentence, tokens, warc, weighting, winnow
+from chronoscribe.llm import chat, quality, radix, secret, sentence, tokens, warc, weighting, winnow
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -87,3 +87,9 @@ def op4(spark: SparkSession, d: str) -> DataFrame:
     turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(F.col("tree").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"), F.sha2(turns, 256).alias("turns_sha256"),
                        F.char_length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"), "formatted_chars")
+
+
+@query("op10_radix_dedup")
+def op10(spark: SparkSession, d: str) -> DataFrame:
+    return radix.remove(table(spark, d, "documents"), ["doc_id"]).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
