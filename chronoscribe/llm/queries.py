@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoscribe.llm import chat, quality, radix, secret, sentence, tokens, warc, weighting, winnow
+from chronoscribe.llm import chat, prefix_tree, quality, radix, secret, sentence, tokens, warc, weighting, winnow
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -93,3 +93,8 @@ def op4(spark: SparkSession, d: str) -> DataFrame:
 def op10(spark: SparkSession, d: str) -> DataFrame:
     return radix.remove(table(spark, d, "documents"), ["doc_id"]).select(
         "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op7_prefix_tree_join")
+def op7(spark: SparkSession, d: str) -> DataFrame:
+    return prefix_tree.join(table(spark, d, "documents")).select("doc_id", "n_shingles", "component_id")
