@@ -172,7 +172,8 @@ def assemble(manifest: DataFrame) -> DataFrame:
     metadata = read(manifest, ("metadata",)).select(
         F.col("concurrent_to").alias("record_id"), F.struct(F.col("record_id").alias("id"), F.col("fields").alias("fields")).alias("metadata"))
     number = lambda name: F.regexp_extract("metadata.fields", rf"(?:^|\n){name}: (-?\d+)", 1).try_cast("bigint")
-    return main.join(request, "record_id", "left").join(metadata, "record_id", "left").select(
+    # Spark cannot know how much a reader of files returns; without the hint it would take it for small.
+    return main.join(request.hint("merge"), "record_id", "left").join(metadata.hint("merge"), "record_id", "left").select(
         number("page-id").alias("page_id"), "target", "record_date",
         F.struct("record_id", "record_type", "payload_digest", "payload_bytes", "http", "payload", "refers_to_target",
                  number("first-page-id").alias("first_page_id")).alias("response"), "request", "metadata")
