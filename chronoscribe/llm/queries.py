@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -98,3 +99,8 @@ def op10(spark: SparkSession, d: str) -> DataFrame:
 @query("op7_prefix_tree_join")
 def op7(spark: SparkSession, d: str) -> DataFrame:
     return prefix_tree.join(table(spark, d, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, d: str) -> DataFrame:
+    return corpus_pipeline.run(spark, d)
