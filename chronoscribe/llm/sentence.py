@@ -31,7 +31,7 @@ from chronoscribe.llm import common
 
 BLANK = "▁"
 #: Words that a worker remembers; beyond it the cache starts anew.
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 #: Words of at most so many characters are merged many at a time.
 SHORT = 48
 _NONE = np.int32(1 << 30)
