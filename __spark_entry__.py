@@ -164,15 +164,15 @@ def _(spark, d):
 
 @query("unsummarized_older_than", f"WITH {EV} SELECT {_C} FROM events_c WHERE NOT isSummarized AND ts <= TIMESTAMP '{NOW}' - INTERVAL 300 SECOND ORDER BY ts, id LIMIT 500")
 def _(spark, d):
-    return scan.unsummarized_older_than(events(spark, d), NOW).select(*_CL)
+    return scan.unsummarized_older_than(events(spark, d), NOW, limit=500).select(*_CL)
 
 
 @query("unsummarized_backlog", f"WITH {EV} SELECT {_C} FROM events_c WHERE NOT isSummarized AND ts <= TIMESTAMP '{NOW}' - INTERVAL 300 SECOND")
 def _(spark, d):
-    return scan.unsummarized_older_than(events(spark, d), NOW, limit=None).select(*_CL)
+    return scan.unsummarized_older_than(events(spark, d), NOW).select(*_CL)
 
 
-@query("unsummarized_between", f"WITH {EV} SELECT {_C} FROM events_c WHERE NOT isSummarized AND ts BETWEEN TIMESTAMP '{START}' AND TIMESTAMP '{END}' ORDER BY ts DESC, id DESC LIMIT 500")
+@query("unsummarized_between", f"WITH {EV} SELECT {_C} FROM events_c WHERE NOT isSummarized AND ts BETWEEN TIMESTAMP '{START}' AND TIMESTAMP '{END}'")
 def _(spark, d):
     return scan.unsummarized_between(events(spark, d), START, END).select(*_CL)
 
@@ -592,18 +592,21 @@ def _(spark, d):
 # -- joins and unions --------------------------------------------------------------------------
 
 
-@query("summaries_in_ranges", f"""WITH {SM}, ranges AS (SELECT o_orderkey AS range_id, TIMESTAMP '2024-01-01' + to_seconds(o_custkey * 977 % 60000) AS a,
-    TIMESTAMP '2024-01-01' + to_seconds(o_custkey * 977 % 60000 + 60 + o_orderkey % 600) AS b FROM orders)
+@query("summaries_in_ranges", f"""WITH {SM}, placed AS (SELECT o_orderkey, o_custkey * 977 % (SELECT max(doc_id) * 60 + 600 FROM documents) AS p FROM orders),
+  ranges AS (SELECT o_orderkey AS range_id, TIMESTAMP '2024-01-01' + to_seconds(p) AS a,
+    TIMESTAMP '2024-01-01' + to_seconds(p + CASE WHEN o_orderkey % 2000 = 0 THEN 100000000 WHEN o_orderkey % 50 = 3 THEN -30 ELSE 60 + o_orderkey % 600 END) AS b FROM placed)
   SELECT range_id, id FROM sums JOIN ranges ON endTs >= a AND startTs <= b""")
 def _(spark, d):
     o = views.table(spark, d, "orders")
-    at = F.col("o_custkey") * 977 % 60000
-    ranges = o.select(F.col("o_orderkey").alias("range_id"), views._at(at).alias("start"),
-                      views._at(at + 60 + F.col("o_orderkey") % 600).alias("end"))
-    return joins.summaries_in_ranges(summaries(spark, d), ranges, 600).select("range_id", "id")
+    # Ranges over the time of all summaries; some span years, some end before they start.
+    last = summaries(spark, d).agg(F.max("id") * 60 + 600).scalar()
+    o = o.withColumn("at", F.col("o_custkey") * 977 % last)
+    length = F.when(F.col("o_orderkey") % 2000 == 0, 100_000_000).when(F.col("o_orderkey") % 50 == 3, -30).otherwise(60 + F.col("o_orderkey") % 600)
+    ranges = o.select(F.col("o_orderkey").alias("range_id"), views._at(F.col("at")).alias("start"), views._at(F.col("at") + length).alias("end"))
+    return joins.summaries_in_ranges(summaries(spark, d), ranges).select("range_id", "id")
 
 
-@query("resolve_captures", f"""WITH {SM}, {EV}, newest AS (SELECT id FROM sums ORDER BY startTs DESC, id DESC LIMIT 1000)
+@query("resolve_captures", f"""WITH {SM}, {EV}, newest AS (SELECT id FROM sums ORDER BY startTs DESC, id DESC)
   SELECT {_C} FROM events_c WHERE id IN (SELECT id FROM newest WHERE id IN (SELECT doc_id FROM labels WHERE quality = 1))""")
 def _(spark, d):
     relevant = views.table(spark, d, "labels").filter("quality = 1").select(F.col("doc_id").alias("id"))
@@ -824,8 +827,8 @@ def _(spark, d):
 
 
 @query("api_list_summaries", f"""WITH {SM} SELECT strftime(startTs, {ISO}) AS start_timestamp, strftime(endTs, {ISO}) AS end_timestamp, app AS app_names,
-  summary, lang || ',' || app AS key_topics FROM sums WHERE endTs >= TIMESTAMP '{DOC_NOW}' - INTERVAL 1440 MINUTE AND startTs <= TIMESTAMP '{DOC_NOW}'
-  ORDER BY startTs DESC, id DESC LIMIT 200""")
+  summary, lang || ',' || app AS key_topics FROM sums WHERE endTs >= TIMESTAMP '{DOC_NOW}' - INTERVAL 5000 MINUTE AND startTs <= TIMESTAMP '{DOC_NOW}'
+  ORDER BY startTs DESC, id DESC LIMIT 1000""")
 def _(spark, d):
     return api.list_summaries(summaries(spark, d), DOC_NOW, 5000, 1000).withColumns(
         {c: _list(c) for c in ("app_names", "key_topics")})
@@ -833,8 +836,8 @@ def _(spark, d):
 
 @query("api_activity_captures", f"""WITH {EV} SELECT strftime(ts, {ISO}) AS timestamp, appName AS app_name, windowTitle AS window_title, fullOcrText AS text,
   'capture' AS kind, frameType AS frame_type, changePercentage AS change_percentage FROM events_c
-  WHERE ts BETWEEN TIMESTAMP '2024-01-15 12:00:00.25' - INTERVAL 720 MINUTE AND TIMESTAMP '2024-01-15 12:00:00.25' + INTERVAL 720 MINUTE
-  ORDER BY ts DESC, id DESC LIMIT 500""")
+  WHERE ts BETWEEN TIMESTAMP '2024-01-15 12:00:00.25' - INTERVAL 299970 SECOND AND TIMESTAMP '2024-01-15 12:00:00.25' + INTERVAL 299970 SECOND
+  ORDER BY ts DESC, id DESC LIMIT 9999""")
 def _(spark, d):
     return api.activity(events(spark, d), summaries(spark, d), NOW, "2024-01-15T12:00:00.25Z", 9999, "captures", 9999)
 
@@ -998,7 +1001,7 @@ _AROUND_QUERY = len(Templates().citations_user.replace("{query}", "").replace("{
 
 # Both retrieval paths with the stand-in model, which finds every summary relevant.
 _CONTEXT = f"""{DC}, {SM}, {BQ}, {_renamed(_CANDS.replace(SM + ', ', '').replace(BQ + ', ', ''))},
-  via AS (SELECT prompt_id, id FROM cands_s WHERE id IN (SELECT id FROM sums ORDER BY startTs DESC, id DESC LIMIT 1000)),
+  via AS (SELECT prompt_id, id FROM cands_s WHERE id IN (SELECT id FROM sums)),
   {CAP_TOK}, {_many_sql('bq', 25)},
   recent AS (SELECT id FROM docs_c WHERE NOT isSummarized AND ts BETWEEN TIMESTAMP '{DOC_START}' AND TIMESTAMP '{DOC_END}' ORDER BY ts DESC, id DESC LIMIT 25),
   both_ AS (SELECT prompt_id, id FROM via UNION SELECT query_id, many.id FROM many JOIN docs_c ON docs_c.id = many.id AND NOT isSummarized

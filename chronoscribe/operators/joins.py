@@ -11,35 +11,53 @@ from chronoscribe.operators.scan import newest
 from chronoscribe.operators.sequence import look_up
 
 
-def summaries_in_ranges(summaries: DataFrame, ranges: DataFrame, bucket_seconds: int = 3600,
-                        salt: int = 8) -> DataFrame:
-    """Summaries against many closed ranges ``(range_id, start, end)`` by interval overlap.
-
-    Both sides are laid over time buckets and joined on the bucket, so no row meets a row from
-    another bucket. A pair that shares several buckets is kept in the first of them only. ``salt``
-    splits the summaries of a crowded bucket over that many tasks.
-    """
-    def first_bucket(c):
-        return F.floor(F.unix_micros(c) / F.lit(bucket_seconds * 1_000_000))
-
-    left = (summaries.filter(F.col("startTs") <= F.col("endTs"))
-            .withColumn("__first", first_bucket("startTs"))
-            .withColumn("__b", F.explode(F.sequence("__first", first_bucket("endTs"))))
-            .withColumn("__salt", F.pmod(F.xxhash64("id"), F.lit(salt)).cast("int")))
-    right = (ranges.filter(F.col("start") <= F.col("end"))
-             .withColumn("__rfirst", first_bucket("start"))
-             .withColumn("__b", F.explode(F.sequence("__rfirst", first_bucket("end"))))
-             .withColumn("__salt", F.explode(F.array(*[F.lit(i) for i in range(salt)]))))
+def _laid(df: DataFrame, start: str, end: str, name: str, base_seconds: int) -> DataFrame:
+    """Ends in order (``__lo``, ``__hi``, microseconds) and the level: intervals of a level are at most as long as its
+    buckets, ``base_seconds * 2**level``."""
+    a, b = F.unix_micros(start), F.unix_micros(end)
+    base = base_seconds * 1_000_000
+    out = df.withColumn(f"__{name}lo", F.least(a, b)).withColumn(f"__{name}hi", F.greatest(a, b))
+    parts = (F.col(f"__{name}hi") - F.col(f"__{name}lo")) / F.lit(base)
+    return out.withColumn(f"__{name}level", F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(parts, F.lit(1.0))))).cast("int"))
+
+
+def summaries_in_ranges(summaries: DataFrame, ranges: DataFrame, base_seconds: int = 60) -> DataFrame:
+    """Summaries against many closed ranges ``(range_id, start, end)`` by ``endTs >= start AND startTs <= end``.
+
+    Intervals are sorted into levels by length. A pair meets at the higher of its two levels, where either
+    lies in at most two buckets (three at a rounding edge), so a range of any length is a few rows for each level
+    that the other side has. The levels of both sides, some dozens of numbers, are read first. A pair that
+    shares two buckets is kept in the first of them. Crowded buckets are split by adaptive skew handling."""
+    left = _laid(summaries, "startTs", "endTs", "l", base_seconds)
+    right = _laid(ranges, "start", "end", "r", base_seconds)
+
+    def levels(df: DataFrame, name: str) -> list[int]:
+        return sorted(r[0] for r in df.select(f"__{name}level").filter(F.col(f"__{name}level").isNotNull()).distinct().collect())
+
+    every = {"l": levels(left, "l"), "r": levels(right, "r")}
+
+    def dealt(df: DataFrame, name: str, other: str) -> DataFrame:
+        own = F.col(f"__{name}level")
+        above = F.filter(F.lit(every[other]).cast("array<int>"), lambda x: x > own)
+        at = df.withColumn("__m", F.explode(F.concat(F.array(own), above)))
+        width = F.lit(base_seconds * 1_000_000) * F.pow(F.lit(2.0), F.col("__m")).cast("long")
+        first = F.col(f"__{name}lo") - F.pmod(F.col(f"__{name}lo"), width)
+        at = at.withColumn("__w", width).withColumn(f"__{name}first", first)
+        return at.withColumn("__b", F.explode(F.sequence(f"__{name}first", F.col(f"__{name}hi") - F.pmod(F.col(f"__{name}hi"), F.col("__w")), "__w"))).drop("__w")
+
+    met = dealt(left, "l", "r").join(dealt(right, "r", "l"), ["__m", "__b"])
     overlap = (F.col("endTs") >= F.col("start")) & (F.col("startTs") <= F.col("end"))
-    once = F.col("__b") == F.greatest("__first", "__rfirst")
-    return left.join(right, ["__b", "__salt"]).filter(overlap & once).drop("__b", "__salt", "__first", "__rfirst")
+    own_level = F.col("__m") == F.greatest("__llevel", "__rlevel")
+    once = F.col("__b") == F.greatest("__lfirst", "__rfirst")
+    return met.filter(overlap & own_level & once).drop(
+        "__m", "__b", *[f"__{n}{c}" for n in "lr" for c in ("lo", "hi", "level", "first")])
 
 
 def resolve_captures(captures: DataFrame, summaries: DataFrame, relevant: DataFrame,
-                     keys: list[str] = (), limit: int | None = 1000) -> DataFrame:
+                     keys: list[str] = (), limit: int | None = None) -> DataFrame:
     """Captures behind the relevant summaries ``(*keys, id)``, each once per key, newest first.
 
-    Only the newest ``limit`` summaries are consulted, as the query defines it."""
+    All summaries are consulted, unless the caller asks for the newest ``limit`` only."""
     keys = list(keys)
     consulted = summaries.select("id", "startTs", "captureIds")
     if limit is not None:

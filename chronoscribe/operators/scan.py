@@ -17,10 +17,6 @@ from chronoscribe.functions.text import preview
 from chronoscribe.operators.sequence import is_keyframe
 
 
-# Above this many literals a list of ids becomes a table.
-LONG_LIST = 1_000
-
-
 def newest(df: DataFrame, limit: int | None, ts: str = "ts", id: str = "id") -> DataFrame:
     """Newest first. With a limit this is a top-k over partitions, not a global sort."""
     out = df.orderBy(F.col(ts).desc(), F.col(id).desc())
@@ -37,23 +33,19 @@ def captures_between(captures: DataFrame, start, end, limit: int | None = None)
 
 
 def captures_by_ids(captures: DataFrame, ids: list[int] | DataFrame) -> DataFrame:
-    """Rows with the given ids, newest first. A frame of ids is matched by semi-join."""
-    if not isinstance(ids, DataFrame) and len(ids) > LONG_LIST:
+    """Rows with the given ids, newest first: a semi-join with the frame (or list) of ids."""
+    if not isinstance(ids, DataFrame):
         ids = captures.sparkSession.createDataFrame([(i,) for i in ids], "id long")
-    if isinstance(ids, DataFrame):
-        wanted = ids.select(F.col(ids.columns[0]).alias("__id"))
-        hit = captures.join(wanted, F.col("id") == F.col("__id"), "left_semi")
-    else:
-        hit = captures.filter(F.col("id").isin(list(ids)) if ids else F.lit(False))
-    return newest(hit, None)
+    wanted = ids.select(F.col(ids.columns[0]).alias("__id"))
+    return newest(captures.join(wanted, F.col("id") == F.col("__id"), "left_semi"), None)
 
 
-def unsummarized_older_than(captures: DataFrame, now, age: float = 300.0, limit: int | None = 500) -> DataFrame:
+def unsummarized_older_than(captures: DataFrame, now, age: float = 300.0, limit: int | None = None) -> DataFrame:
     old = (~F.col("isSummarized")) & (F.col("ts") <= seconds_before(now, age))
     return oldest(captures.filter(old), limit)
 
 
-def unsummarized_between(captures: DataFrame, start, end, limit: int | None = 500) -> DataFrame:
+def unsummarized_between(captures: DataFrame, start, end, limit: int | None = None) -> DataFrame:
     hit = (~F.col("isSummarized")) & F.col("ts").between(instant(start), instant(end))
     return newest(captures.filter(hit), limit)
 

@@ -4,9 +4,12 @@ A query is a list of words; every word is a phrase of one or more tokens that
 must be adjacent in one field, and all phrases must occur (in any fields). Two
 ways lead to the same ranking:
 
-* ``rank_documents`` scans the texts once: one row stays one row, nothing is
-  shuffled but the top-k, so it suits a table without an index;
-* ``TextIndex`` reads only the postings of the query's terms.
+* ``rank_documents`` scans the texts once, stores the rows with a hit and takes the statistics from the same
+  pass; it suits a table without an index;
+* ``TextIndex`` reads only the postings of the query's terms. Every search takes one as ``index``.
+
+Searches without an index, ``search_many`` and ``TextIndex.build(keep=True)`` run jobs when they are called and
+leave tables below ``spark.checkpoint.dir``; ``session.remove_stored`` deletes them.
 
 Statistics (row count, mean length, rows per phrase) are always those of the
 whole table; filters on rows come after scoring and before the limit.
@@ -18,7 +21,7 @@ import math
 from dataclasses import dataclass
 
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronoscribe.functions.clock import local_time, seconds_before
@@ -32,8 +35,9 @@ K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 
 CAPTURE_FIELDS = ["fullOcrText", "windowTitle", "appName"]
 
-# Ranked ids become a scan filter, or are broadcast, only up to these numbers.
-FEW_IDS, BROADCAST_IDS = 1_000, 100_000
+# Query-side tables (terms, phrases of queries) are broadcast up to this number of counted rows; beyond it they
+# are joined like any other table.
+BROADCAST_ROWS = 200_000
 
 
 def summary_fields() -> list[Column]:
@@ -117,19 +121,21 @@ def rank_documents(docs: DataFrame, fields: list[str | Column], phrases: list[li
         F.inline(F.array(F.struct(
             (F.size("__tokens") - F.lit(len(fields) - 1)).alias("__len"),
             *[_occurrences(tokens, p).alias(n) for p, n in zip(phrases, names)]))))
-    # A few numbers per row are stored, so that the texts are read once for statistics and ranks.
-    counted = stored(counted)
-    stats = counted.agg(
-        F.count(F.lit(1)).alias("__rows"), F.avg("__len").alias("__mean"),
-        *[F.count_if(F.col(n) > 0).alias(f"__df{i}") for i, n in enumerate(names)])
+    # One pass over the texts: statistics of all rows are observed while the rows with every phrase are stored.
+    seen = Observation()
+    counted = counted.observe(
+        seen, F.count(F.lit(1)).alias("rows"), F.sum(F.col("__len").cast("long")).alias("tokens"),
+        *[F.count_if(F.col(n) > 0).alias(f"df{i}") for i, n in enumerate(names)])
     matched = counted
     for n in names:
         matched = matched.filter(F.col(n) > 0)
-    scored = matched.withColumn("__s", stats.select(F.struct("*")).scalar()).select("*", "__s.*")
+    matched = stored(matched)
+    stats = seen.get
+    mean = F.lit(float((stats["tokens"] or 0) / max(1, stats["rows"])))
     score = F.lit(0.0)
     for i, n in enumerate(names):
-        score = score + _idf(F.col("__rows"), F.col(f"__df{i}")) * _weight(F.col(n), F.col("__len"), F.col("__mean"))
-    return scored.select(id, *keep, (-score).alias("rank"))
+        score = score + _idf(F.lit(stats["rows"]), F.lit(stats[f"df{i}"])) * _weight(F.col(n), F.col("__len"), mean)
+    return matched.select(id, *keep, (-score).alias("rank"))
 
 
 def best(ranked: DataFrame, limit: int, id: str = "id") -> DataFrame:
@@ -137,48 +143,49 @@ def best(ranked: DataFrame, limit: int, id: str = "id") -> DataFrame:
 
 
 def fetch(table: DataFrame, top: DataFrame, limit: int, id: str = "id") -> DataFrame:
-    """Wide rows of the ranked ids, best first.
-
-    Up to ``FEW_IDS`` ids are read off first and become a filter of the scan, which then skips the
-    row groups without them; up to ``BROADCAST_IDS`` the ranked ids are broadcast; beyond that they
-    are joined like any other table."""
-    small = top.select(F.col(id).alias("__id"), "rank")
-    if limit <= FEW_IDS:
-        ranked = small.collect()
-        small = table.sparkSession.createDataFrame(ranked, small.schema)
-        table = table.filter(F.col(id).isin([r["__id"] for r in ranked]) if ranked else F.lit(False))
-    if limit <= BROADCAST_IDS:
-        small = F.broadcast(small)
+    """Wide rows of the ranked ids, best first. The ids are broadcast: they are a top-``limit``."""
+    small = F.broadcast(top.select(F.col(id).alias("__id"), "rank").limit(limit))
     return table.join(small, F.col(id) == F.col("__id")).drop("__id").orderBy("rank", id)
 
 
-def search_captures(captures: DataFrame, text: str, limit: int = 50, stem: bool = True) -> DataFrame:
+def _ranked(table: DataFrame, fields: list[str | Column], parse, text: str, stem: bool, index: "TextIndex | None",
+            keep: list[str] = ()) -> DataFrame:
+    """``id``, ``rank`` and ``keep`` through the index, whose own stemming counts, or by a scan of the texts."""
+    if index is None:
+        return rank_documents(table, fields, parse(text, stem), stem, keep=keep)
+    ranked = index.rank(parse(text, index.stem))
+    return ranked.join(table.select("id", *keep), "id") if keep else ranked
+
+
+def search_captures(captures: DataFrame, text: str, limit: int = 50, stem: bool = True,
+                    index: "TextIndex | None" = None) -> DataFrame:
     """Best ``limit`` captures of all times, with ``rank``."""
-    ranked = rank_documents(captures, CAPTURE_FIELDS, parse_query(text, stem), stem)
+    ranked = _ranked(captures, CAPTURE_FIELDS, parse_query, text, stem, index)
     return fetch(captures, best(ranked, limit), limit)
 
 
 def search_phrase(captures: DataFrame, text: str, limit: int = 20, chars: int = 120, stem: bool = True,
-                  tz: str = "UTC") -> DataFrame:
+                  tz: str = "UTC", index: "TextIndex | None" = None) -> DataFrame:
     """The whole argument as one phrase, with a text preview."""
-    ranked = rank_documents(captures, CAPTURE_FIELDS, parse_phrase(text, stem), stem)
+    ranked = _ranked(captures, CAPTURE_FIELDS, parse_phrase, text, stem, index)
     return fetch(captures, best(ranked, limit), limit).select(
         "id", local_time("ts", tz).alias("time"), F.col("frameType").alias("type"), F.col("appName").alias("app"),
         F.col("windowTitle").alias("window"), F.substring("fullOcrText", 1, chars).alias("text_preview"), "rank")
 
 
 def search_phrase_summaries(summaries: DataFrame, text: str, limit: int = 20, chars: int = 150, stem: bool = True,
-                            tz: str = "UTC") -> DataFrame:
-    ranked = rank_documents(summaries, summary_fields(), parse_phrase(text, stem), stem)
+                            tz: str = "UTC", index: "TextIndex | None" = None) -> DataFrame:
+    ranked = _ranked(summaries, summary_fields(), parse_phrase, text, stem, index)
     return fetch(summaries, best(ranked, limit), limit).select(
         "id", local_time("startTs", tz).alias("start"), F.to_json("appNames").alias("apps"),
         F.substring("summary", 1, chars).alias("summary_preview"), "rank")
 
 
 def search_summaries(summaries: DataFrame, text: str, limit: int = 20, now=None, minutes: float | None = None,
-                     app: str | None = None, stem: bool = True) -> DataFrame:
+                     app: str | None = None, stem: bool = True, index: "TextIndex | None" = None) -> DataFrame:
     """Best ``limit`` summaries; time and app filters act before the limit, not on the statistics."""
-    ranked = rank_documents(summaries, summary_fields(), parse_query(text, stem), stem, keep=["endTs", "appNames"])
+    keep = ["endTs"] * (minutes is not None) + ["appNames"] * bool(app)
+    ranked = _ranked(summaries, summary_fields(), parse_query, text, stem, index, keep)
     if minutes is not None:
         ranked = ranked.filter(F.col("endTs") >= seconds_before(now, minutes * 60))
     if app:
@@ -257,7 +264,12 @@ class TextIndex:
 
     def save(self, path: str, buckets: int = 64, parts_per_bucket: int = 8, mode: str = "overwrite") -> None:
         """Postings by term bucket, sorted by term inside files. The postings of a frequent term are
-        spread over ``parts_per_bucket`` writers by row id. ``mode="append"`` adds a batch."""
+        spread over ``parts_per_bucket`` writers by row id. ``mode="append"`` adds a batch; ids that are there
+        already are refused, since their postings would count twice (see ``updated``)."""
+        if mode == "append":
+            there = self.lengths.sparkSession.read.parquet(f"{path}/lengths")
+            if not self.lengths.join(there.select("id"), "id", "left_semi").isEmpty():
+                raise ValueError("ids of this batch are in the index; save what ``updated`` gives instead")
         rows = self.postings.withColumn("bucket", self._bucket(buckets))
         (rows.repartition(buckets * parts_per_bucket, "bucket", F.pmod(F.xxhash64("id"), F.lit(parts_per_bucket)))
          .sortWithinPartitions("bucket", "term", "id", "field", "pos")
@@ -275,17 +287,32 @@ class TextIndex:
                          self.stem, self.buckets)
 
     def plus(self, other: "TextIndex") -> "TextIndex":
-        """Add the rows of another batch."""
+        """Add the rows of another batch, which has none of this index's ids. Term buckets stay as they are."""
+        if self.stem != other.stem:
+            raise ValueError("one index stems, the other does not")
         cols = ["id", "field", "pos", "term"]
-        return TextIndex(self.postings.select(cols).unionByName(other.postings.select(cols)),
-                         self.lengths.unionByName(other.lengths), self.stem)
+        mine, more = self.postings.select(*cols), other.postings.select(*cols)
+        if self.buckets is not None:
+            mine = self.postings.select(*cols, "bucket")
+            more = (other.postings.select(*cols, "bucket") if other.buckets == self.buckets
+                    else more.withColumn("bucket", self._bucket(self.buckets)))
+        return TextIndex(mine.unionByName(more), self.lengths.unionByName(other.lengths), self.stem, self.buckets)
+
+    def updated(self, other: "TextIndex") -> "TextIndex":
+        """Rows of ``other`` in place of those with the same id: delete, then insert."""
+        return self.without(other.lengths.select("id")).plus(other)
 
     def _of_terms(self, terms: list[str]) -> DataFrame:
         if self.buckets is None:
             return self.postings
-        spark = self.postings.sparkSession
-        probe = spark.createDataFrame([(t,) for t in terms], "term string").select(self._bucket(self.buckets))
-        return self.postings.filter(F.col("bucket").isin(sorted({r[0] for r in probe.collect()})))
+        return self.of_buckets(self.postings.sparkSession.createDataFrame([(t,) for t in terms], "term string"))
+
+    def of_buckets(self, terms: DataFrame) -> DataFrame:
+        """Postings of the buckets that hold the terms; the driver gets at most one number for each bucket."""
+        if self.buckets is None:
+            return self.postings
+        wanted = terms.select(self._bucket(self.buckets).alias("bucket")).distinct().collect()
+        return self.postings.filter(F.col("bucket").isin(sorted(r[0] for r in wanted)))
 
     def _corpus(self) -> Column:
         """``struct(rows, mean)`` of the whole table as a scalar subquery."""
@@ -335,31 +362,35 @@ def search_many(index: TextIndex, queries: DataFrame, limit: int = 50, query_id:
     All phrases must occur, so the rows that hold a query's rarest term are its only candidates;
     the other terms are looked up for those rows alone.
     """
-    phrases = query_phrases(queries, index.stem, query_id, text)
+    phrases = stored(query_phrases(queries, index.stem, query_id, text))
+    n_phrases = phrases.count()
+    # The queries' side has at most a row for each word of a query; counted, it is broadcast, so that postings stay
+    # where they are. With too many queries Spark joins them by shuffle.
+    few = F.broadcast if n_phrases <= BROADCAST_ROWS else (lambda df: df)
     terms = phrases.select("term").distinct()
-    hits = index.postings.join(terms, "term", "left_semi")
-    # Read three times below: frequencies, candidates, weights.
-    doc_terms = stored(hits.groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf")))
-    term_df = doc_terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    rare = (phrases.join(term_df, "term", "left")
+    hits = index.of_buckets(terms).join(few(terms), "term", "left_semi")
+    # Read three times below: frequencies, candidates, weights. Postings move by id and term, never by term alone.
+    doc_terms = stored(hits.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf")))
+    term_df = stored(doc_terms.groupBy("term").agg(F.count(F.lit(1)).alias("df")))
+    rare = (phrases.join(few(term_df), "term", "left")
             .groupBy("query_id").agg(F.min_by("term", F.struct(F.coalesce("df", F.lit(0)), "term")).alias("term")))
-    candidates = doc_terms.join(rare, "term").select("query_id", "id")
+    candidates = doc_terms.join(few(rare), "term").select("query_id", "id")
 
     # Frequencies join the few query terms, not the many rows.
     single = (phrases.filter("phraseLen = 1").join(term_df, "term")
               .select("query_id", "phrase", "phrases", "term", "df"))
-    single_tf = (candidates.join(single, "query_id").join(doc_terms, ["id", "term"])
+    single_tf = (candidates.join(few(single), "query_id").join(doc_terms, ["id", "term"])
                  .select("query_id", "id", "phrase", "phrases", "tf", "df"))
 
     # Phrases of several tokens: occurrences are found once per distinct phrase.
     multi = phrases.filter("phraseLen > 1")
     distinct_multi = multi.select("tokens", "phraseLen", "offset", "term").distinct()
-    starts = (hits.join(distinct_multi, "term")
+    starts = (hits.join(few(distinct_multi), "term")
               .groupBy("tokens", "id", "field", (F.col("pos") - F.col("offset")).alias("s"))
               .agg(F.count(F.lit(1)).alias("c"), F.first("phraseLen").alias("n")).filter("c = n"))
     multi_tf = starts.groupBy("tokens", "id").agg(F.count(F.lit(1)).alias("tf"))
     multi_df = multi_tf.groupBy("tokens").agg(F.count(F.lit(1)).alias("df"))
-    multi_rows = (candidates.join(multi.filter("offset = 0").select("query_id", "phrase", "phrases", "tokens"), "query_id")
+    multi_rows = (candidates.join(few(multi.filter("offset = 0").select("query_id", "phrase", "phrases", "tokens")), "query_id")
                   .join(multi_tf, ["id", "tokens"]).join(multi_df, "tokens")
                   .select("query_id", "id", "phrase", "phrases", "tf", "df"))
 

@@ -29,7 +29,7 @@ class Params:
     summary_batch_limit: int | None = None
     max_summaries: int = 30
     max_captures: int = 50
-    resolve_limit: int = 1000
+    resolve_limit: int | None = None
     summary_max_keyframes: int = 10
     summary_max_deltas: int = 3
     summary_keyframe_chars: int = 2000

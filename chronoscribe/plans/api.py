@@ -28,17 +28,18 @@ def health(captures: DataFrame, summaries: DataFrame) -> DataFrame:
 
 
 def search(summaries: DataFrame, text: str, now, minutes: int = 1440, limit: int = 20, app: str | None = None,
-           stem: bool = True) -> DataFrame:
-    """Citations of the best matching summaries."""
+           stem: bool = True, index: fts.TextIndex | None = None) -> DataFrame:
+    """Citations of the best matching summaries, found through ``index`` if there is one."""
     text = text.strip()
     if not text:
-        raise InvalidRequest('"text" field must be non-empty')
+        raise InvalidRequest("a search needs some text")
     if limit < 0:
         raise InvalidRequest("limit must not be negative")
-    hits = fts.search_summaries(summaries, text, min(limit, 100), now, minutes, app, stem)
+    hits = fts.search_summaries(summaries, text, limit, now, minutes, app, stem, index)
     return hits.select(
         iso_format("startTs").alias("timestamp"), _joined("appNames").alias("app_name"),
         _none().alias("window_title"), F.col("summary").alias("relevant_text"),
+        # Fixed value: the explanation's text is part of the output.
         F.concat(F.lit("FTS match — topics: "), _joined("keyTopics")).alias("relevance_explanation"),
         F.lit("summary").alias("source"))
 
@@ -50,7 +51,7 @@ def search_metadata(citations: DataFrame, text: str, minutes: int = 1440) -> Dat
 
 
 def list_summaries(summaries: DataFrame, now, minutes: int = 60, limit: int = 50) -> DataFrame:
-    minutes, limit = max(1, min(minutes, 1440)), max(1, min(limit, 200))
+    minutes, limit = max(1, minutes), max(1, limit)
     end = instant(now)
     return scan.summaries_overlapping(summaries, shift(end, -60.0 * minutes), end, limit).select(
         iso_format("startTs").alias("start_timestamp"), iso_format("endTs").alias("end_timestamp"),
@@ -63,7 +64,7 @@ def activity(captures: DataFrame, summaries: DataFrame, now, timestamp: str | No
     unreadable timestamp means now."""
     if kind not in ("captures", "summaries"):
         raise InvalidRequest('"kind" must be "captures" or "summaries"')
-    window_minutes, limit = max(1, min(window_minutes, 1440)), max(1, min(limit, 500))
+    window_minutes, limit = max(1, window_minutes), max(1, limit)
     center = F.coalesce(iso_parse(F.lit(timestamp)), instant(now)) if timestamp is not None else instant(now)
     half = window_minutes * 60 / 2.0
     start, end = shift(center, -half), shift(center, half)

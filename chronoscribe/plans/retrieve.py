@@ -25,8 +25,9 @@ from chronoscribe.operators.search import CAPTURE_FIELDS, TextIndex, search_many
 from chronoscribe.params import Params
 from chronoscribe.plans.complete import Complete, ai_map
 from chronoscribe.plans.prompts import Templates
-from chronoscribe.session import durable
+from chronoscribe.session import durable, stored
 
+# Texts of the output.
 NO_CONTEXT = "\n\n_(No relevant context found from recent activity.)_"
 CONTEXT_HEADING = "\n\n---\n## Context References\n\n"
 
@@ -118,7 +119,8 @@ def context_texts(prompts: DataFrame, captures: DataFrame, summaries: DataFrame,
     direct = unsummarized_candidates(prompts, captures, start, end, params.max_captures, c_index, stem)
     cols = ["prompt_id", "id", "ts"]
     b = direct.select("prompt_id", "id").join(captures.select("id", "ts"), "id").select(cols)
-    picked = merge_candidates(via.select(cols), b, params.max_captures, ["prompt_id"])
+    # At most ``max_captures`` ids for each prompt; read for the rows and for the counts.
+    picked = stored(merge_candidates(via.select(cols), b, params.max_captures, ["prompt_id"]))
     rows = picked.select("prompt_id", "id").join(captures, "id")
     # No key has more than ``max_captures`` rows here, so nothing needs to be measured or cut.
     text = format_hierarchical(rows, ["prompt_id"], params.enrich_max_keyframes, params.enrich_max_deltas,
@@ -165,7 +167,8 @@ def query_citations(prompts: DataFrame, captures: DataFrame, summaries: DataFram
                     complete: Complete, params: Params = Params(), templates: Templates = Templates(),
                     model: str = "default", max_tokens: int = 2048, tz: str = "UTC", stem: bool = True,
                     indexes: tuple[TextIndex, TextIndex] | None = None) -> DataFrame:
-    """Same retrieval; the second call returns citations."""
+    """Same retrieval; the second call returns citations. Blank queries are rejected, as in ``enrich``."""
+    prompts = prompts.filter(F.trim(F.regexp_replace("text", r"(?U)\s+", " ")) != "")
     contexts = context_texts(prompts, captures, summaries, start, end, complete, params, templates, model,
                              max_tokens, tz, stem, indexes)
     replies = _second_call(contexts, templates.citations_user, templates.citations_system, complete, model, max_tokens)

@@ -75,18 +75,26 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_STORED: dict[str, list[str]] = {}
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Cut lineage by a written table: compressed, and later reads take only the columns they need."""
     spark = df.sparkSession
     path = f"{_shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _STORED.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal a scan with fewer partitions than cores out to all cores, for costly work per row.
+def remove_stored(spark: SparkSession) -> int:
+    """Delete the tables that ``stored`` has written for this application so far; their number.
 
-    A large table has more partitions than that and is left alone. For plain scans only: counting
-    the partitions of a plan with shuffles would run it."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    Call it when no frame that was made from them is needed any more, at the latest before the session is
+    stopped: frames of an index or a search read them lazily."""
+    paths = _STORED.pop(spark.sparkContext.applicationId, [])
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    return len(paths)

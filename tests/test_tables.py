@@ -97,14 +97,15 @@ def test_windows_column(spark):
     assert got == [(1, 0, "a", None), (1, 1, "b", "t")]
 
 
-@pytest.mark.parametrize("bucket,salt", [(7, 1), (60, 3), (10_000, 2)])
-def test_range_join(spark, bucket, salt):
+@pytest.mark.parametrize("base", [1, 7, 60, 10_000])
+def test_range_join(spark, base):
     s = [(i, at(i * 13 % 300), at(i * 13 % 300 + i % 40)) for i in range(60)]
-    r = [(i, at(i * 29 % 320), at(i * 29 % 320 + i * 7 % 90)) for i in range(25)]
+    s += [(90, at(50), at(20)), (91, at(-5), at(1_000_000)), (92, None, at(1))]
+    r = [(i, at(i * 29 % 320), at(i * 29 % 320 + i * 7 % 90)) for i in range(25)] + [(40, at(60), at(30)), (41, at(0), at(900_000_000))]
     got = joins.summaries_in_ranges(spark.createDataFrame(s, "id long, startTs timestamp, endTs timestamp"),
-                                    spark.createDataFrame(r, "range_id long, start timestamp, end timestamp"), bucket, salt)
+                                    spark.createDataFrame(r, "range_id long, start timestamp, end timestamp"), base)
     pairs = sorted((x.range_id, x.id) for x in got.collect())
-    assert pairs == sorted((b[0], a[0]) for a in s for b in r if a[2] >= b[1] and a[1] <= b[2])
+    assert pairs == sorted((b[0], a[0]) for a in s for b in r if a[1] and a[2] >= b[1] and a[1] <= b[2])
 
 
 def test_union_and_merge(spark):
@@ -116,3 +117,13 @@ def test_union_and_merge(spark):
     assert [r.id for r in joins.merge_candidates(df.filter("id < 4"), df.filter("id > 2"), 3).collect()] == [5, 4, 3]
     assert joins.merge_candidates(df, df, 2, ["device"]).count() == 2
     assert T.LongType() == df.schema["id"].dataType
+
+
+def test_range_rows_stay_few(spark):
+    """A range of thirty years is laid over some dozens of buckets, however short the summaries are."""
+    s = spark.createDataFrame([(i, at(i), at(i + 2 ** (i % 20))) for i in range(200)], "id long, startTs timestamp, endTs timestamp")
+    r = spark.createDataFrame([(1, at(0), at(950_000_000))], "range_id long, start timestamp, end timestamp")
+    got = joins.summaries_in_ranges(s, r)
+    assert got.count() == 200
+    exploded = joins._laid(r, "start", "end", "r", 60).select("__rlevel").first()[0]
+    assert 20 < exploded < 30
