@@ -18,9 +18,12 @@ rows; other columns are ignored.
 from __future__ import annotations
 
 import re
+from array import array
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -28,9 +31,13 @@ from pyspark.sql import functions as F
 from chronoscribe.llm import common, shards
 
 #: Chunks that a worker remembers; beyond it the cache starts anew.
-REMEMBERED = 600_000
-#: More than one blank in one stretch of white space: such texts are not cut into chunks.
-_WIDE = re.compile(r" \s* ")
+REMEMBERED = 900_000
+#: Bytes that are, or may begin, white space. Texts with a blank before one are not cut into chunks.
+_UNSURE = np.zeros(256, bool)
+_UNSURE[[*range(9, 14), *range(28, 33), 0xC2, 0xE1, 0xE2, 0xE3]] = True
+#: A new chunk's parts: cut where a full stop or comma follows a letter or digit, and around a line break
+#: that stands alone. Both are ends of tokens before any merge.
+_PARTS = re.compile(r" ?[^ \n]*?[^\W_](?=[.,])|(?:(?<=\S)\n(?=\S))|(?: ?[^ \n]|(?<!\S)\n|\n(?!\S)| )(?:[^ \n]|(?<!\S)\n|\n(?!\S))*")
 
 
 class Encoder:
@@ -57,36 +64,59 @@ class Encoder:
         self.added = [t["content"] for t in said.get("added_tokens", [])]
         self.width = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         self.end = np.array([end], self.width).tobytes()
-        self.chunks: dict[str, bytes] = {}
+        self.chunks: dict[bytes, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.width).tobytes()
-                for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text and the end id, as bytes."""
-        whole = [not self.chunked or any(a in t for a in self.added) or bool(_WIDE.search(t)) for t in texts]
-        cut = []
-        for t, w in zip(texts, whole):
-            if w or not t:
-                cut.append(())
-                continue
-            first, *rest = t.split(" ")
-            chunks = [" " + c for c in rest]
-            cut.append([first, *chunks] if first else chunks)
-        new = set().union(*cut).difference(self.chunks)
-        if len(self.chunks) + len(new) > REMEMBERED:
-            new = set().union(*cut)
-            self.chunks.clear()
-        learn = list(new)
-        self.chunks.update(zip(learn, self._ids(learn)))
-        get = self.chunks.__getitem__
-        out = [b"".join(map(get, c)) + self.end for c in cut]
-        full = [i for i, w in enumerate(whole) if w]
-        for i, ids in zip(full, self._ids([texts[i] for i in full])):
+        kind = "H" if self.width.itemsize == 2 else "I"
+        return [array(kind, e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(self, column: pa.Array) -> list[bytes]:
+        """Ids of each text of a string column and the end id, as bytes."""
+        data, off = common.raw(column)
+        n, blob = len(off) - 1, data.tobytes()
+        whole = np.full(n, not self.chunked)
+        wide = np.flatnonzero((data[:-1] == 32) & _UNSURE[data[1:]])
+        whole[np.searchsorted(off, wide, "right") - 1] = True
+        if any(a.encode() in blob for a in self.added):
+            whole |= np.array([any(a in t for a in self.added) for t in column.to_pylist()])
+        cut = data == 32
+        cut[off[:-1][np.diff(off) > 0]] = True
+        start = np.flatnonzero(cut)
+        end = np.append(start[1:], len(data)) if len(start) else start
+        of = np.searchsorted(off, start, "right") - 1
+        plain = ~whole[of]
+        start, end, of = start[plain], end[plain], of[plain]
+        code, distinct = pd.factorize(common.Spans(data).of(start, end))
+        where = np.empty(len(distinct), np.int64)
+        where[code[::-1]] = np.arange(len(code))[::-1]
+        chunks = [blob[s:e] for s, e in zip(start[where].tolist(), end[where].tolist())]
+        ids = self._known(chunks)
+        size = np.array(list(map(len, ids)), np.int64) // self.width.itemsize
+        table = np.frombuffer(b"".join(ids), self.width)
+        place = np.cumsum(size) - size
+        count = size[code]
+        before = np.cumsum(count) - count
+        flat = table[np.repeat(place[code] - before, count) + np.arange(count.sum())].tobytes()
+        edges = np.concatenate([[0], np.cumsum(np.bincount(of, count, n).astype(np.int64))]) * self.width.itemsize
+        out = [flat[s:e] + self.end for s, e in zip(edges[:-1].tolist(), edges[1:].tolist())]
+        full = np.flatnonzero(whole)
+        for i, ids in zip(full, self._ids(column.take(pa.array(full)).to_pylist())):
             out[i] = ids + self.end
         return out
 
+    def _known(self, chunks: list[bytes]) -> list[bytes]:
+        """Ids of distinct chunks; new ones are encoded part by part."""
+        new = [c for c in chunks if c not in self.chunks]
+        if len(self.chunks) + 2 * len(new) > REMEMBERED:
+            self.chunks.clear()
+            new = chunks
+        get = self.chunks.__getitem__
+        parts = {c: tuple(map(str.encode, _PARTS.findall(c.decode()))) for c in new if b"." in c or b"," in c or b"\n" in c}
+        learn = list(set(chain((c for c in new if c not in parts), *parts.values())).difference(self.chunks))
+        self.chunks.update(zip(learn, self._ids(list(map(bytes.decode, learn)))))
+        self.chunks.update([(c, b"".join(map(get, p))) for c, p in parts.items() if len(p) != 1])
+        return list(map(get, chunks))
+
 
 @lru_cache(maxsize=4)
 def encoder(path: str, end: int) -> Encoder:
@@ -108,7 +138,7 @@ def write(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "text
         total = 0
         with system.open_output_stream(f"{path}/{name}.bin") as out:
             for piece in common.pieces(batches, "text"):
-                made = enc.encode(common.column(piece, "text").to_pylist())
+                made = enc.encode(common.column(piece, "text"))
                 out.write(b"".join(made))
                 ends = np.cumsum([len(b) // enc.width.itemsize for b in made]).astype(np.uint64) + np.uint64(total)
                 total = int(ends[-1])

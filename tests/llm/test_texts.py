@@ -107,3 +107,18 @@ def test_registered_digests(spark):
     for r in QUERIES["op5_token_files"](spark, folder).collect():
         ids = bpe.encode(text[r.doc_id], add_special_tokens=False).ids + [0]
         assert r.n_tokens == len(ids) and r.ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
+def test_chunks_are_the_library():
+    """Chunks and their parts against the library, on texts made of what tokens begin and end with."""
+    import random
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+    lib, enc, rng = Tokenizer.from_file(BYTES), tokens.Encoder(BYTES, 0), random.Random(1)
+    some = [" ", " ", "\n", ".", ",", "a", "B", "é", "1", "'s", "'", "_", "日", "(", "\t", "\n\n", "  ", "the", "x.", "\xa0", "’", "²", "<|endoftext|>", "\x1c"]
+    texts = ["".join(rng.choice(some[:-2] if rng.random() < .9 else some) for _ in range(rng.randint(0, 12))) for _ in range(6000)]
+    for at in range(0, len(texts), 500):
+        part = texts[at:at + 500]
+        for t, ids in zip(part, enc.encode(pa.array(part))):
+            assert np.frombuffer(ids, enc.width).tolist() == lib.encode(t, add_special_tokens=False).ids + [0], repr(t)
