@@ -7,6 +7,7 @@ maps the same name to SQL over the same tables. Both read whole tables.
 from __future__ import annotations
 
 import importlib.util
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,8 +22,10 @@ from chronoscribe.plans import api, retrieve, summarize
 from chronoscribe.plans.complete import Completion
 from chronoscribe.params import Params
 from chronoscribe.plans.prompts import Templates
-from chronoscribe.session import ship
+from chronoscribe.session import scratch, ship
 from chronoscribe.sources import tables, views
+from chronoscribe.streaming import capture as cap_stream
+from chronoscribe.streaming import chunks as chunk_stream
 from chronoscribe.streaming import machine
 
 SMALL = "/root/testdata/sf0.001"
@@ -103,11 +106,53 @@ FMT = "'%Y-%m-%d %H:%M:%S'"
 # -- scans, sources, sinks -----------------------------------------------------
 
 
-@query("read_captures", f"WITH {EV} SELECT * EXCLUDE (device) FROM events_c")
+_STORE = "id, ts, appName, appBundleID, windowTitle, ocrText, fullOcrText, textHash, false AS isSummarized, frameType, keyframeId, changePercentage"
+
+
+def _captures_table(spark, d):
+    """Events as a stored captures table, written in two batches."""
+    path = scratch(spark, "captures")
+    rows = S.from_columns(events(spark, d), {n: n for n in S.CAPTURES.names if n != "visibleWindows"}
+                          | {"visibleWindows": F.lit(None).cast(S.WINDOWS)}, S.CAPTURES)
+    for part in (F.col("id") % 3 == 0, F.col("id") % 3 != 0):
+        tables.append_captures(rows.filter(part), path)
+    return path
+
+
+@query("append_captures", f"WITH {EV} SELECT {_STORE} FROM events_c")
+def _(spark, d):
+    return tables.read_captures(spark, _captures_table(spark, d)).drop("visibleWindows")
+
+
+@query("read_captures", f"WITH {EV} SELECT {_STORE} FROM events_c WHERE ts BETWEEN TIMESTAMP '{START}' AND TIMESTAMP '{END}'")
+def _(spark, d):
+    # The date folders outside of the range are not read.
+    return tables.read_captures(spark, _captures_table(spark, d), start=START, end=END).drop("visibleWindows")
+
+
+@query("storage_size", f"WITH {EV} SELECT count(*) > 0 AS has_files, count(*) > 0 AS has_bytes, count(*) AS captures FROM events_c")
+def _(spark, d):
+    path = _captures_table(spark, d)
+    n = tables.read_captures(spark, path).agg(F.count(F.lit(1))).scalar()
+    return tables.storage_size(spark, path).select((F.col("files") > 0).alias("has_files"), (F.col("bytes") > 0).alias("has_bytes"), n.alias("captures"))
+
+
+@query("append_summaries", f"WITH {SM} SELECT id, startTs, endTs, app AS appNames, summary, lang || ',' || app AS keyTopics, CAST(id AS VARCHAR) AS captureIds FROM sums")
+def _(spark, d):
+    path = scratch(spark, "summaries")
+    rows = S.from_columns(summaries(spark, d), {n: n for n in S.SUMMARIES.names}, S.SUMMARIES)
+    tables.append_summaries(rows.filter("id % 2 = 0"), path, "id")
+    tables.append_summaries(rows, path, "id")  # rows that are there already are left out
+    return tables.read_summaries(spark, path).withColumns({c: _list(c) for c in ("appNames", "keyTopics", "captureIds")})
+
+
+@query("append_token_usage", f"WITH {US} SELECT * FROM usages")
 def _(spark, d):
-    return S.from_columns(events(spark, d), {n: n for n in S.CAPTURES.names if n != "visibleWindows"}
-                          | {"visibleWindows": F.lit(None).cast(S.WINDOWS)}, S.CAPTURES) \
-        .drop("visibleWindows").join(events(spark, d).select("id", "visibleWindows"), "id")
+    path = scratch(spark, "usage")
+    rows = S.from_columns(usage(spark, d), {n: n for n in S.TOKEN_USAGE.names}, S.TOKEN_USAGE)
+    for part in (F.col("id") % 2 == 0, F.col("id") % 2 != 0):
+        tables.append_token_usage(rows.filter(part), path)
+    return tables.read_token_usage(spark, path)
 
 
 @query("read_summaries", f"WITH {SM} SELECT id, startTs, endTs, app AS appNames, summary, lang || ',' || app AS keyTopics, CAST(id AS VARCHAR) AS captureIds FROM sums")
@@ -976,16 +1021,18 @@ def _(spark, d):
 
 
 def _echo(messages, model, max_tokens, system, temperature):
-    """Deterministic stand-in for a model: every summary is relevant; the answer tells the prompt's size."""
+    """Deterministic stand-in for a model: every summary is relevant; the answer is a digest of the prompt."""
+    import hashlib
     import json
     import re
     body = messages[0]["content"]
+    digest = hashlib.md5(body.encode()).hexdigest()
     if body.startswith("Prompt:") and "\nSummaries:\n" in body:
         ids = re.findall(r"^\[(\d+)\]: \d\d:\d\d:\d\d - ", body, re.M)
         return Completion(json.dumps([{"id": int(i)} for i in ids]), len(body), len(ids))
     if body.startswith("Query:"):
-        return Completion(json.dumps([{"relevant_text": str(len(body)), "relevance_explanation": "size"}]), len(body), 1)
-    return Completion(f"[^1]: {len(body)}", len(body), 1)
+        return Completion(json.dumps([{"relevant_text": digest, "relevance_explanation": "digest"}]), len(body), 1)
+    return Completion(f"[^1]: {digest}", len(body), 1)
 
 
 def _renamed(sql: str) -> str:
@@ -995,9 +1042,21 @@ def _renamed(sql: str) -> str:
     return re.sub(rf"(?<!\.)\b({names})\b", r"\1_s", sql)
 
 
-# Length of the fixed text around prompt and captures in the templates.
-_AROUND_PROMPT = len(Templates().footnotes_user.replace("{query}", "").replace("{captures}", ""))
-_AROUND_QUERY = len(Templates().citations_user.replace("{query}", "").replace("{captures}", ""))
+def _filled(template: str, **values: str) -> str:
+    """SQL text of a template whose ``{names}`` stand for SQL values."""
+    import re
+    parts = re.split(r"\{(\w+)\}", template)
+    quoted = ["'" + p.replace("'", "''") + "'" for p in parts[::2]]
+    return " || ".join(x for pair in zip(quoted, [*(values[n] for n in parts[1::2]), "''"]) for x in pair)
+
+
+_FOOTNOTES = _filled(Templates().footnotes_user, query="bq.text", captures="rendered.text")
+_CITATIONS = _filled(Templates().citations_user, query="bq.text", captures="rendered.text")
+_SUMMARY = _filled(
+    Templates().summary_user, start_time="strftime(startTs, '%H:%M:%S')", end_time="strftime(endTs, '%H:%M:%S')",
+    duration="(CASE WHEN epoch_us(endTs) - epoch_us(startTs) < 60000000 THEN '' ELSE CAST((epoch_us(endTs) - epoch_us(startTs)) // 60000000 AS VARCHAR) || 'm ' END"
+             " || CAST((epoch_us(endTs) - epoch_us(startTs)) // 1000000 % 60 AS VARCHAR) || 's')",
+    app_name="primaryApp", window_title="'Unknown'", ocr_samples="text")
 
 # Both retrieval paths with the stand-in model, which finds every summary relevant.
 _CONTEXT = f"""{DC}, {SM}, {BQ}, {_renamed(_CANDS.replace(SM + ', ', '').replace(BQ + ', ', ''))},
@@ -1011,20 +1070,20 @@ _CONTEXT = f"""{DC}, {SM}, {BQ}, {_renamed(_CANDS.replace(SM + ', ', '').replace
   counted AS (SELECT prompt_id, count(*) AS captures_examined FROM picked GROUP BY prompt_id),
   searched AS (SELECT prompt_id, count(*) AS summaries_searched FROM cands_s GROUP BY prompt_id),
   answer AS (SELECT bq.query_id AS prompt_id, bq.text, captures_examined, summaries_searched,
-      length(bq.text) + length(rendered.text) AS size
+      md5({_FOOTNOTES}) AS footnotes, md5({_CITATIONS}) AS quotes
     FROM bq JOIN rendered ON rendered.prompt_id = bq.query_id JOIN counted ON counted.prompt_id = bq.query_id JOIN searched ON searched.prompt_id = bq.query_id)"""
 
 
 @query("enrich", f"""WITH {_CONTEXT} SELECT prompt_id, text AS originalPrompt,
-  text || chr(10) || chr(10) || '---' || chr(10) || '## Context References' || chr(10) || chr(10) || '[^1]: ' || CAST(size + {_AROUND_PROMPT} AS VARCHAR) AS enrichedPrompt,
+  text || chr(10) || chr(10) || '---' || chr(10) || '## Context References' || chr(10) || chr(10) || '[^1]: ' || footnotes AS enrichedPrompt,
   summaries_searched, captures_examined, CAST(NULL AS VARCHAR) AS error FROM answer""")
 def _(spark, d):
     return retrieve.enrich(_prompts(spark, d), documents(spark, d), summaries(spark, d), DOC_START, DOC_END, _echo, stem=False)
 
 
 @query("query_citations", f"""WITH {_CONTEXT} SELECT prompt_id, text,
-  '[{{"timestamp":"2024-01-01T14:00:00Z","app_name":"Unknown","relevant_text":"' || CAST(size + {_AROUND_QUERY} AS VARCHAR)
-    || '","relevance_explanation":"size","source":"capture"}}]' AS citations,
+  '[{{"timestamp":"2024-01-01T14:00:00Z","app_name":"Unknown","relevant_text":"' || quotes
+    || '","relevance_explanation":"digest","source":"capture"}}]' AS citations,
   summaries_searched, captures_examined, CAST(NULL AS VARCHAR) AS error FROM answer""")
 def _(spark, d):
     out = retrieve.query_citations(_prompts(spark, d), documents(spark, d), summaries(spark, d), DOC_START, DOC_END, DOC_NOW, _echo, stem=False)
@@ -1032,15 +1091,71 @@ def _(spark, d):
 
 
 @query("progressive_summarize", f"""WITH RECURSIVE {CV}, {_hybrid('conv_c', 300, 15)}, {FEATURES}, {_sections('hybrid', 'device, chunkId', 10, 3, 2000, 300)}
-  SELECT startTs, endTs, appNames, '' AS keyTopics, captureIds, '[^1]: ' || CAST(length('Period: ' || strftime(startTs, '%H:%M:%S') || ' - ' || strftime(endTs, '%H:%M:%S')
-    || ' (' || CAST((epoch_us(endTs) - epoch_us(startTs)) // 1000000 AS VARCHAR) || 's)') + length(chr(10) || 'Application: ' || primaryApp || chr(10) || 'Window: Unknown' || chr(10) || chr(10))
-    + length(text) AS VARCHAR) AS summary
+  SELECT startTs, endTs, appNames, '' AS keyTopics, captureIds, '[^1]: ' || md5({_SUMMARY}) AS summary
   FROM feat JOIN prime USING (device, chunkId) JOIN rendered USING (device, chunkId)""")
 def _(spark, d):
     made, _, _ = summarize.progressive_summarize(conversations(spark, d), "2034-01-01 00:00:00", _echo, ["device"])
     return made.withColumns({c: _list(c) for c in ("appNames", "keyTopics", "captureIds")}).drop("id", "chunkKey")
 
 
+@query("usage_from_responses", f"""WITH RECURSIVE {CV}, {_hybrid('conv_c', 300, 15)}, {FEATURES}, {_sections('hybrid', 'device, chunkId', 10, 3, 2000, 300)}
+  SELECT captures, startTs, 'summarizer' AS caller, 'default' AS model, length({_SUMMARY}) AS "inputTokens", CAST(1 AS BIGINT) AS "outputTokens"
+  FROM (SELECT *, len(string_split("captureIds", ',')) AS captures FROM feat) JOIN prime USING (device, chunkId) JOIN rendered USING (device, chunkId)""")
+def _(spark, d):
+    made, used, _ = summarize.progressive_summarize(conversations(spark, d), "2034-01-01 00:00:00", _echo, ["device"])
+    # Usage rows and summaries come from one reply each: both ids are made from the chunk's key.
+    key = F.xxhash64("chunkKey", F.lit("summarizer")).bitwiseAND(F.lit(2**63 - 1))
+    made = made.select(key.alias("id"), "startTs", F.size("captureIds").alias("captures"))
+    return used.join(made, "id").select("captures", "startTs", "caller", "model", "inputTokens", "outputTokens")
+
+
+# -- streams, drained into a table ---------------------------------------------------------------------------
+
+
+def _drained(stream, spark):
+    path = scratch(spark, "drained")
+    (stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", scratch(spark, "stream")).outputMode("append")
+     .trigger(availableNow=True).start().awaitTermination())
+    return spark.read.schema(stream.schema).parquet(path)
+
+
+def _streamed(spark, df, **options):
+    path = scratch(spark, "source")
+    df.write.parquet(path)
+    return cap_stream.stream_captures(spark, path, df.schema, **options)
+
+
+@query("stream_captures", "SELECT conv_id * 1000 + turn AS id, CAST(conv_id AS VARCHAR) AS device, role AS appName, text AS fullText FROM conversations")
+def _(spark, d):
+    return _drained(_streamed(spark, views.observations_of_conversations(spark, d), max_files=1), spark).select("id", "device", "appName", "fullText")
+
+
+@query("dedup_consecutive_stream", f"""WITH {EV}, p AS (SELECT id, device, textHash, lag(textHash) OVER (PARTITION BY device ORDER BY ts, id) AS h FROM events_c)
+  SELECT id, device FROM p WHERE h IS NULL OR h <> textHash""")
+def _(spark, d):
+    rows = events(spark, d).select("id", "ts", "device", "textHash")
+    return _drained(cap_stream.dedup_consecutive_stream(_streamed(spark, rows)), spark).select("id", "device")
+
+
+@query("dedup_within", f"WITH {EV} SELECT DISTINCT device, textHash FROM events_c")
+def _(spark, d):
+    rows = events(spark, d).select("id", "ts", "device", "textHash")
+    return _drained(cap_stream.dedup_within(_streamed(spark, rows, max_files=1), "4000 days"), spark).select("device", "textHash")
+
+
+@query("chunk_by_time_stream", f"WITH RECURSIVE {EV}, {_windows('events_c', 86400)} SELECT id, device, windowStart, false AS late FROM windowed")
+def _(spark, d):
+    rows = events(spark, d).select("id", "ts", "device", "appName")
+    path = scratch(spark, "source")
+    rows.write.parquet(path)
+    # A later row moves the watermark past all others; its own device stays waiting.
+    last = rows.limit(1).select(F.lit(-1).cast("long").alias("id"), F.lit("2099-01-01 00:00:00").cast("timestamp").alias("ts"), F.lit(-1).cast(rows.schema["device"].dataType).alias("device"), "appName")
+    time.sleep(1.1)  # files are taken in order of their time, which has seconds
+    last.coalesce(1).write.mode("append").parquet(path)
+    stream = cap_stream.stream_captures(spark, path, rows.schema, max_files=1)
+    return _drained(chunk_stream.chunk_by_time_stream(stream, window=86_400, delay="4000 days"), spark).select("id", "device", "windowStart", "late")
+
+
 # -- frames and regions -------------------------------------------------------------------------------------
 
 
@@ -1068,21 +1183,38 @@ _TILES = """px AS (SELECT vec_id AS id, CAST(label AS VARCHAR) AS stream, list_t
   td AS (SELECT id, stream, previousId, CASE WHEN b IS NOT NULL THEN CAST(3 * list_sum(list_transform(range(1, 65), lambda i: abs(a[i] - b[i]))) AS BIGINT) END AS total FROM pp)"""
 
 
+_TILES2 = """px AS (SELECT vec_id AS id, CAST(label AS VARCHAR) AS stream, list_transform(embedding, lambda x: CAST(floor((CAST(x AS DOUBLE) + 1.0) * 127.0) AS BIGINT)) AS a FROM embeddings),
+  pp AS (SELECT id, stream, a, lag(a) OVER (PARTITION BY stream ORDER BY id) AS b, lag(id) OVER (PARTITION BY stream ORDER BY id) AS previousId FROM px),
+  td AS (SELECT id, stream, previousId, r AS "row", c AS col, 3 * (abs(a[i] - b[i]) + abs(a[i + 1] - b[i + 1]) + abs(a[i + 8] - b[i + 8]) + abs(a[i + 9] - b[i + 9])) AS total
+    FROM (SELECT *, r * 16 + c * 2 + 1 AS i FROM pp, range(4) x(r), range(4) y(c))),
+  t2 AS (SELECT *, coalesce(total > 120, true) AS changed FROM td)"""
+
+
+@query("tile_diff_small_tiles", f"""WITH {_TILES2} SELECT id, stream, previousId, "row", col, total, changed FROM t2""")
+def _(spark, d):
+    return frames.tile_diff(_frames(spark, d), tile=2).select("id", "stream", "previousId", "row", "col", "total", "changed")
+
+
 @query("tile_diff", f"WITH {_TILES} SELECT id, stream, previousId, total, coalesce(total > 1920, true) AS changed FROM td")
 def _(spark, d):
     return frames.tile_diff(_frames(spark, d)).select("id", "stream", "previousId", "total", "changed")
 
 
-@query("change_fraction", f"""WITH {_TILES} SELECT stream, id, CAST(1 AS BIGINT) AS tiles, CAST(coalesce(total > 1920, true) AS BIGINT) AS changedTiles,
-  CAST(coalesce(total > 1920, true) AS DOUBLE) AS changedFraction, coalesce(total > 1920, true) AS significant FROM td""")
+@query("change_fraction", f"""WITH {_TILES2} SELECT stream, id, count(*) AS tiles, count(*) FILTER (changed) AS changedTiles,
+  count(*) FILTER (changed) / count(*) AS changedFraction, count(*) FILTER (changed) / count(*) >= 0.5 AS significant FROM t2 GROUP BY stream, id""")
 def _(spark, d):
-    return frames.change_fraction(frames.tile_diff(_frames(spark, d)))
+    return frames.change_fraction(frames.tile_diff(_frames(spark, d), tile=2))
 
 
-@query("merge_changed_tiles", f"""WITH {_TILES} SELECT stream, id, CAST(0 AS BIGINT) AS region, CAST(0 AS BIGINT) AS x, CAST(0 AS BIGINT) AS y, CAST(8 AS BIGINT) AS width,
-  CAST(8 AS BIGINT) AS height FROM td WHERE coalesce(total > 1920, true)""")
+@query("merge_changed_tiles", f"""WITH RECURSIVE {_TILES2}, cells AS (SELECT id, stream, "row" AS r, col AS c FROM t2 WHERE changed),
+  reach AS (SELECT id, r, c, r AS r2, c AS c2 FROM cells
+    UNION SELECT q.id, q.r, q.c, n.r, n.c FROM reach q JOIN cells n ON n.id = q.id AND abs(n.r - q.r2) + abs(n.c - q.c2) = 1),
+  comp AS (SELECT id, r, c, min(r2 * 4 + c2) AS k FROM reach GROUP BY id, r, c),
+  rect AS (SELECT id, k, min(r) AS r0, max(r) AS r1, min(c) AS c0, max(c) AS c1 FROM comp GROUP BY id, k)
+  SELECT stream, id, row_number() OVER (PARTITION BY id ORDER BY k) - 1 AS region, c0 * 2 AS x, r0 * 2 AS y, (c1 - c0 + 1) * 2 AS width, (r1 - r0 + 1) * 2 AS height
+  FROM rect JOIN px USING (id)""")
 def _(spark, d):
-    return frames.merge_changed_tiles(frames.tile_diff(_frames(spark, d)))
+    return frames.merge_changed_tiles(frames.tile_diff(_frames(spark, d), tile=2), tile=2, padding=0)
 
 
 @query("reading_order_text", """WITH RECURSIVE r AS (SELECT vec_id AS f, i, abs(CAST(embedding[i] AS DOUBLE)) AS y, CAST(embedding[1 + i % 64] AS DOUBLE) AS x FROM embeddings, range(1, 65) t(i)),

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,15 +34,15 @@ def cut_tiles(frames: DataFrame, tile: int = TILE) -> DataFrame:
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
             for f in pdf.itertuples(index=False):
+                out = []  # the tiles of one frame, however many frames a batch has
                 grid = np.frombuffer(f.pixels, np.uint8).reshape(f.height, f.width, 4)
                 for y in range(0, f.height, tile):
                     for x in range(0, f.width, tile):
                         part = grid[y:y + tile, x:x + tile, :3]
                         out.append((f.stream, f.ts, f.id, f.width, f.height, y // tile, x // tile,
                                     part.shape[1], part.shape[0], part.tobytes()))
-            yield pd.DataFrame(out, columns=_TILES.names)
+                yield pd.DataFrame(out, columns=_TILES.names)
 
     return frames.select("stream", "ts", "id", "width", "height", "pixels").mapInPandas(cut, _TILES)
 
@@ -49,13 +50,16 @@ def cut_tiles(frames: DataFrame, tile: int = TILE) -> DataFrame:
 @arrow_udf(T.LongType())
 def byte_difference(a: pa.Array, b: pa.Array) -> pa.Array:
     """Sum of absolute differences of two byte strings; null when one is missing or longer."""
-    out = []
-    for x, y in zip(a.to_pylist(), b.to_pylist()):
-        if x is None or y is None or len(x) != len(y):
-            out.append(None)
-        else:
-            out.append(int(np.abs(np.frombuffer(x, np.uint8).astype(np.int32) - np.frombuffer(y, np.uint8)).sum()))
-    return pa.array(out, pa.int64())
+    size = [np.array([-1 if v is None else v for v in pc.binary_length(c).to_pylist()], np.int64) for c in (a, b)]
+    good = (size[0] == size[1]) & (size[0] >= 0)
+    # The bytes of all comparable pairs, one after the other.
+    pick = pa.array(np.flatnonzero(good))
+    x, y = (np.frombuffer(b"".join(c.take(pick).to_pylist()), np.uint8).astype(np.int16) for c in (a, b))
+    ends = np.concatenate([[0], np.cumsum(size[0][good])])
+    running = np.concatenate([[0], np.cumsum(np.abs(x - y), dtype=np.int64)])
+    out = np.zeros(len(good), np.int64)
+    out[good] = running[ends[1:]] - running[ends[:-1]]
+    return pa.array(out, pa.int64(), mask=~good)
 
 
 def tile_threshold(width: str | Column, height: str | Column, noise: float = NOISE) -> Column:
@@ -68,7 +72,7 @@ def tile_changed(total: Column, width: str | Column, height: str | Column, noise
     return total > tile_threshold(width, height, noise)
 
 
-def tile_diff(frames: DataFrame, noise: float = NOISE, **size) -> DataFrame:
+def tile_diff(frames: DataFrame, noise: float = NOISE, tile: int = TILE, **size) -> DataFrame:
     """One row per tile of every frame: ``total`` difference to the frame before it in the stream
     and ``changed``. Without such a frame, or with one of another size, every tile is changed.
 
@@ -77,7 +81,7 @@ def tile_diff(frames: DataFrame, noise: float = NOISE, **size) -> DataFrame:
     # A tile has no more rows than its stream has frames, and frames are counted without their pixels.
     order = Runs(frames.select("stream", "ts", "id"), ["stream"], **size).previous("__p", F.col("id"))
     tile_size = size if order.cut else {**size, "cut": False}
-    tiles = Runs(cut_tiles(frames), ["stream", "row", "col"], **tile_size)
+    tiles = Runs(cut_tiles(frames, tile), ["stream", "row", "col"], **tile_size)
     tiles.previous("__prev", F.struct("id", "width", "height", "bytes"))
     before = F.col("__prev.v")
     same_size = (before["width"] == F.col("width")) & (before["height"] == F.col("height"))

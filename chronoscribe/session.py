@@ -30,6 +30,7 @@ def build_session(app: str = "chronoscribe", master: str | None = None, **conf:
 
 
 _SHIPPED: set[str] = set()
+_STORED: dict[str, list[str]] = {}
 
 
 def ship(spark: SparkSession, *files: str) -> None:
@@ -69,21 +70,24 @@ def _shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder, for a table of this application."""
+    path = f"{_shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _STORED.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Cut lineage by a reliable checkpoint; partitions and their order stay as they are."""
     _shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-_STORED: dict[str, list[str]] = {}
-
-
 def stored(df: DataFrame) -> DataFrame:
     """Cut lineage by a written table: compressed, and later reads take only the columns they need."""
     spark = df.sparkSession
-    path = f"{_shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    path = scratch(spark, "table")
     df.write.parquet(path)
-    _STORED.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
