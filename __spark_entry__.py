@@ -533,7 +533,7 @@ def _(spark, d):
 @query("chunk_by_time_one_sequence", f"""WITH RECURSIVE {EV}, e1 AS (SELECT id, ts, 0 AS k FROM events_c), {_windows('e1', 21600, 'k')}
   SELECT id, windowStart FROM windowed""")
 def _(spark, d):
-    return seq.chunk_by_time(events(spark, d).select("id", "ts"), [], 21_600).select("id", "windowStart")
+    return seq.chunk_by_time(events(spark, d).select("id", "ts"), [], 21_600, cut=True).select("id", "windowStart")
 
 
 @query("chunk_by_app_switch", f"""WITH {EV}, f AS (SELECT *, lag(appName) OVER (PARTITION BY device ORDER BY ts, id) IS DISTINCT FROM appName AS new FROM events_c),
@@ -560,6 +560,12 @@ def _(spark, d):
     return seq.chunk_hybrid(rows, ["device"], 86_400, 3_600).select("id", "device", "windowStart", "chunkId")
 
 
+@query("chunk_hybrid_sliced", f"WITH RECURSIVE {EV}, {_hybrid('events_c', 86400, 3600)} SELECT id, device, windowStart, chunkId FROM hybrid")
+def _(spark, d):
+    rows = events(spark, d).select("id", "ts", "device", "appName")
+    return seq.chunk_hybrid(rows, ["device"], 86_400, 3_600, cut=True).select("id", "device", "windowStart", "chunkId")
+
+
 @query("merge_short_chunks", f"""WITH {EV}, f AS (SELECT *, lag(appName) OVER (PARTITION BY device ORDER BY ts, id) IS DISTINCT FROM appName AS new FROM events_c),
   g AS (SELECT *, count(*) FILTER (new) OVER (PARTITION BY device ORDER BY ts, id ROWS UNBOUNDED PRECEDING) AS n FROM f),
   c AS (SELECT device, arg_min(id, (ts, id)) AS chunkId, min(ts) AS startTs, max(ts) AS endTs FROM g GROUP BY device, n),
@@ -623,6 +629,11 @@ def _(spark, d):
     return render.format_hierarchical(conversations(spark, d), ["device"], 2, 1, 300, 100)
 
 
+@query("format_hierarchical_sliced", f"WITH {CV}, {_sections('conv_c', 'device', 2, 1, 300, 100)} SELECT device, text FROM rendered")
+def _(spark, d):
+    return render.format_hierarchical(conversations(spark, d), ["device"], 2, 1, 300, 100, cut=True)
+
+
 @query("summary_prompts", f"""WITH RECURSIVE {CV}, {_hybrid('conv_c', 6, 1)}, {FEATURES}, {_sections('hybrid', 'device, chunkId', 10, 3, 2000, 300)}
   SELECT device, chunkId, 'At ' || strftime(startTs, '%H:%M:%S') || '-' || strftime(endTs, '%H:%M:%S') || ' for ' ||
     CAST((epoch_us(endTs) - epoch_us(startTs)) // 1000000 AS VARCHAR) || 's in ' || primaryApp || ' (Unknown):' || chr(10) || text AS prompt

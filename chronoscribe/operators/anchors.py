@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chronoscribe.operators.runs import _SLICE, Runs
+from chronoscribe.session import stored
 
 
 def _key_breaks(batch: pa.RecordBatch, keys: list[str], last: tuple | None) -> tuple[np.ndarray, tuple]:
@@ -35,6 +36,20 @@ def _key_breaks(batch: pa.RecordBatch, keys: list[str], last: tuple | None) -> t
     return new, tuple(batch.column(k)[n - 1].as_py() for k in keys)
 
 
+def _next_start(v: np.ndarray, i: int, n: int, anchor, width, strict: bool) -> int:
+    """The first place from ``i`` on whose distance to the anchor opens a window. The search compares sums, so its
+    result is set right by the differences themselves, which may round otherwise."""
+    def opens(k: int) -> bool:
+        return v[k] - anchor > width or (not strict and v[k] - anchor == width)
+
+    j = i + int(np.searchsorted(v[i:n], anchor + width, "right" if strict else "left"))
+    while j > i and opens(j - 1):
+        j -= 1
+    while j < n and not opens(j):
+        j += 1
+    return j
+
+
 def _marker(keys: list[str], value: str, width, strict: bool, carried: str | None, starts_only: bool = False):
     """mapInArrow function that appends the anchor value of each row, or keeps the first row of
     each window only."""
@@ -45,18 +60,25 @@ def _marker(keys: list[str], value: str, width, strict: bool, carried: str | Non
             if not batch.num_rows:
                 continue
             new, last = _key_breaks(batch, keys, last)
-            values = batch.column(value).to_pylist()
-            carry = batch.column(carried).to_pylist() if carried else None
-            out, starts = [], []
-            for i, (v, fresh) in enumerate(zip(values, new.tolist())):
-                if fresh:
-                    anchor = carry[i] if carry and carry[i] is not None else v
-                opens = v - anchor > width or (not strict and v - anchor == width)
-                if opens:
-                    anchor = v
-                if fresh or opens:
-                    starts.append(i)
-                out.append(anchor)
+            v = batch.column(value).to_numpy(zero_copy_only=False)
+            edges = np.flatnonzero(new).tolist()
+            edges = ([] if edges and edges[0] == 0 else [0]) + edges
+            out, starts = np.empty(len(v), v.dtype), []
+            for a, b in zip(edges, [*edges[1:], len(v)]):
+                if new[a]:
+                    given = batch.column(carried)[a].as_py() if carried else None
+                    anchor = v[a] if given is None else given
+                    starts.append(a)
+                # One jump for each window.
+                i = a
+                while i < b:
+                    j = _next_start(v, i, b, anchor, width, strict)
+                    out[i:j] = anchor
+                    if j < b:
+                        anchor = v[j]
+                        if not (j == a and new[a]):
+                            starts.append(j)
+                    i = j
             arrays = [c for name, c in zip(batch.schema.names, batch.columns) if name != carried]
             names = [name for name in batch.schema.names if name != carried]
             arrays.append(pa.array(out, type=batch.column(value).type))
@@ -160,7 +182,7 @@ def mark_anchors(runs: Runs, value: str, width, out: str, strict: bool = False)
         # Only key, order and value visit Python, and only the rows that start a window come back.
         # They are laid among the full rows, which move once and see the latest start before them.
         lean = df.select(*dict.fromkeys([*keys, runs.ts, runs.id, value]))
-        lean = (lean.repartition(*keys) if keys else lean.coalesce(1)).sortWithinPartitions(*keys, runs.ts, runs.id)
+        lean = (lean.repartition(*keys) if keys else lean.repartition(1)).sortWithinPartitions(*keys, runs.ts, runs.id)
         schema = _with_fields(lean.schema, T.StructField("__anchor", kind))
         starts = lean.mapInArrow(_marker(keys, value, width, strict, None, starts_only=True), schema)
         starts = starts.select(*dict.fromkeys([*keys, runs.ts, runs.id]), "__anchor", F.lit(0).alias("__row"))
@@ -176,6 +198,7 @@ def mark_anchors(runs: Runs, value: str, width, out: str, strict: bool = False)
              .select(_SLICE, *keys, F.count(F.lit(1)).over(order).alias("__n"),
                      (F.min(_SLICE).over(order) == F.col(_SLICE)).alias("__opens"))
              .filter("__n > 1").drop("__n"))
+    parts = stored(parts)
     tag = ["__opens"]
     cut_rows = _null_safe_join(df.select(_SLICE, *keys, value), parts, keys, "inner", tag)
     map_schema = T.StructType(
@@ -183,11 +206,13 @@ def mark_anchors(runs: Runs, value: str, width, out: str, strict: bool = False)
          T.StructField("__opens", T.BooleanType()),
          T.StructField("__entry", kind), T.StructField("__exit", kind)])
     maps = cut_rows.mapInArrow(_exit_maps(keys, value, width, strict), map_schema)
-    maps = maps.repartition(*keys) if keys else maps.coalesce(1)
+    # Only the maps meet in one task, not the slices that they are made from.
+    maps = maps.repartition(*keys) if keys else maps.repartition(1)
     carry = maps.sortWithinPartitions(*keys, _SLICE, "__entry").mapInArrow(
         _chain(keys, width, strict),
         T.StructType([*[df.schema[k] for k in keys], T.StructField(_SLICE, T.IntegerType()),
                       T.StructField("__carry", kind)]))
+    carry = stored(carry)
     rows = _null_safe_join(df, carry, keys, "left", ["__carry"])
     schema = _with_fields(df.schema, T.StructField("__anchor", kind))
     runs.rows = rows.mapInArrow(_marker(keys, value, width, strict, "__carry"), schema) \

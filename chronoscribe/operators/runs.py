@@ -7,7 +7,9 @@ one key is longer, its rows are cut into contiguous slices by range partitioning
 on ``(key, ts, id)``; every slice is scanned on its own, and what one slice must
 hand to the next travels in a carry table. A slice boundary cuts at most one
 key, so the carry table has no more rows than there are slices and can always be
-broadcast.
+broadcast. Each carry table is stored by a job of its own when its column is
+added, so the slices stand once in the plan of the result however many columns
+are chained.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoscribe.session import durable
+from chronoscribe.session import durable, stored
 
 ROWS_PER_TASK = 2_000_000
 _SLICE = "__slice"
@@ -91,6 +93,7 @@ class Runs:
                  .filter("__n > 1 AND __c IS NOT NULL")
                  .select(F.col(_SLICE).alias("__s"), "__c",
                          *[F.col(k).alias(f"__k{i}") for i, k in enumerate(self.keys)]))
+        carry = stored(carry)
         match = reduce(
             lambda a, b: a & b,
             [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(self.keys)],
@@ -160,6 +163,7 @@ class Runs:
                 .filter("__n > 1")
                 .select(F.col(_SLICE).alias("__s"), F.col(group).alias("__g"), "__a", "__b",
                         *[F.col(k).alias(f"__k{i}") for i, k in enumerate(self.keys)]))
+        wide = stored(wide)
         match = reduce(
             lambda a, b: a & b,
             [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(self.keys)],

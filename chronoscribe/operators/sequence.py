@@ -84,7 +84,7 @@ def chunk_hybrid(df: DataFrame, keys: list[str] = (), window: float = 300.0, min
     return hybrid_runs(Runs(df, list(keys), needs=[app], **size), window, minimum, app).frame()
 
 
-def chunk_feature_columns(ts: str = "ts", id: str = "id") -> list[Column]:
+def chunk_feature_columns(ts: str = "ts", id: str = "id", members_too: bool = True) -> list[Column]:
     order = F.struct(F.col(ts), F.col(id))
     members = F.sort_array(F.collect_list(F.struct(F.col(ts).alias("t"), F.col(id).alias("i"))))
     return [
@@ -94,15 +94,18 @@ def chunk_feature_columns(ts: str = "ts", id: str = "id") -> list[Column]:
         F.mode(F.col("appName"), True).alias("primaryApp"),
         F.sort_array(F.collect_set("appName")).alias("appNames"),
         F.max_by(F.struct(F.col("windowTitle").alias("v")), order)["v"].alias("primaryWindowTitle"),
-        F.transform(members, lambda m: m["i"]).alias("captureIds"),
+        *([F.transform(members, lambda m: m["i"]).alias("captureIds")] if members_too else []),
     ]
 
 
 def chunk_features(chunked: DataFrame, keys: list[str] = (), chunk: str = "chunkId",
-                   ts: str = "ts", id: str = "id") -> DataFrame:
+                   ts: str = "ts", id: str = "id", members: bool = True) -> DataFrame:
     """One row per chunk: time span, most frequent app (ties: alphabetical), sorted apps, title of
-    the last row, member ids in order."""
-    return chunked.groupBy(*keys, chunk).agg(*chunk_feature_columns(ts, id))
+    the last row, member ids in order.
+
+    The ids of a chunk are one array. Hybrid chunks and windows bound it; for chunks that nothing bounds
+    (``chunk_by_app_switch``) ``members=False`` leaves it out."""
+    return chunked.groupBy(*keys, chunk).agg(*chunk_feature_columns(ts, id, members))
 
 
 # -- keyframe groups ---------------------------------------------------------
@@ -178,8 +181,13 @@ def is_evenly_spaced(index: Column, count: Column, k: int) -> Column:
     if k <= 1:
         return (count <= k) | ((index == 0) & F.lit(k == 1))
     step = (count - 1).cast("double") / F.lit(float(k - 1))
-    chosen = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: (i.cast("double") * step).cast("long"))
-    return (count <= k) | F.array_contains(chosen, index.cast("long"))
+    near = F.floor(index.cast("double") / F.nullif(step, F.lit(0.0)))
+    # Rounding aside, only the multiples next to the index can be cut to it.
+    hit = F.lit(False)
+    for d in (-1, 0, 1):
+        i = near + d
+        hit = hit | (i.between(0, k - 1) & ((i.cast("double") * step).cast("long") == index.cast("long")))
+    return (count <= k) | F.coalesce(hit, F.lit(False))
 
 
 def evenly_spaced(df: DataFrame, k: int, keys: list[str] = (), **size) -> DataFrame:

@@ -209,7 +209,7 @@ def classify_frames(observations: DataFrame, keys: list[str] = ("device",), para
         states = _slice_states(runs.rows, keys, params)
         carry = runs.rows.sparkSession.sparkContext.broadcast(states)
         return runs.rows.mapInPandas(_runner(keys, keep, params, carry, False), schema)
-    ordered = (rows.repartition(*keys) if keys else rows.coalesce(1)).sortWithinPartitions(*keys, "ts", "id")
+    ordered = (rows.repartition(*keys) if keys else rows.repartition(1)).sortWithinPartitions(*keys, "ts", "id")
     return ordered.mapInPandas(_runner(keys, keep, params, None, False), schema)
 
 

@@ -215,3 +215,18 @@ def test_render(spark, size, limits):
     got = {r.device: r.text for r in render.format_hierarchical(captures(spark, rows), ["device"], *limits, **size).collect()}
     for part in per_device(rows):
         assert got[part[0]["device"]] == loop_render(part, *limits)
+
+
+def test_slices_stand_once_in_the_plan(spark):
+    """However many columns are chained, the stored slices are scanned once by the result."""
+    df = captures(spark, [dict(id=i, t=i * 7 % 500, app="AB"[i % 2], type="keyframe" if i % 5 == 0 else "delta") for i in range(120)]).drop("device")
+    counts = []
+    for columns in (1, 3, 6):
+        runs = Runs(df.select("id", "ts", "appName"), [], cut=True, slices=4)
+        for k in range(columns):
+            runs.running_sum(f"s{k}", F.lit(1).cast("long"))
+        plan = runs.frame()._jdf.queryExecution().executedPlan().toString()
+        counts.append(plan.count("Scan ExistingRDD"))
+    assert counts[0] == counts[-1]
+    hybrid = seq.chunk_hybrid(df, [], 100, 15, cut=True)
+    assert hybrid._jdf.queryExecution().executedPlan().toString().count("Scan ExistingRDD") <= 3
