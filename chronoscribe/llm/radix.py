@@ -101,33 +101,41 @@ def _batch(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
 
+def _dealt(block: int, parts: int, gram, cover, own, text, low, more) -> list[tuple]:
+    """Rows (part, block, kind, entries) of one block's entries, by the high bits of ``gram``. Of equal ones only those of the
+    block's first document leave it; the others are repeats already and go to parts from ``parts`` on."""
+    order = np.lexsort((own, cover, gram))
+    gram, cover, own, text, low, more = (x[order] for x in (gram, cover, own, text, low, more))
+    new = np.append(True, (gram[1:] != gram[:-1]) | (cover[1:] != cover[:-1])) if len(gram) else np.zeros(0, bool)
+    later = own > own[np.flatnonzero(new)][np.cumsum(new) - 1] if len(own) else new
+    rows = [(parts + block % parts, *r) for r in _by_block(np.full(int(later.sum()), block), REPEAT, text[later], low[later], more[later])]
+    gram, cover, own, text, low, more = (x[~later] for x in (gram, cover, own, text, low, more))
+    part = (gram >> np.uint64(48)).astype(np.int64) % parts
+    order = np.lexsort((low, text, part))
+    edges = np.searchsorted(part[order], np.arange(parts + 1))
+    for p in range(parts):
+        o = order[edges[p]:edges[p + 1]]
+        if len(o):
+            # 40 bits of the first digit beside the part, 32 of the second.
+            rows.append((p, block, OPEN, _packed(
+                gram=gram[o].astype(np.uint32), gram_high=(gram[o] >> np.uint64(32)).astype(np.uint8), cover=cover[o].astype(np.uint32),
+                order=own[o], text=text[o].astype(np.int32), low=low[o].astype(np.int32), more=more[o].astype(np.uint8))))
+    return rows
+
+
+_NAMES = ["part", "block", "kind", "entries"]
+_KINDS = [pa.int32(), pa.int64(), pa.int32(), pa.binary()]
+
+
 def _deal(blocks: DataFrame, parts: int) -> DataFrame:
-    """First digit: (part, block, kind, entries). Parts from ``parts`` on hold what a block has settled itself."""
+    """First digit: (part, block, kind, entries)."""
     def run(batches):
         for batch in batches:
             for block, stored in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 texts = pa.ipc.open_stream(stored).read_all().combine_chunks().to_batches()[0]
-                data, off = common.raw(common.column(texts, "text"))
-                order_of = common.column(texts, "order").to_numpy()
-                gram, cover, text, low, more = anchors(data, off)
-                order = np.lexsort((order_of[text], cover, gram))
-                gram, cover, text, low, more = gram[order], cover[order], text[order], low[order], more[order]
-                new = np.append(True, (gram[1:] != gram[:-1]) | (cover[1:] != cover[:-1])) if len(gram) else np.zeros(0, bool)
-                own = order_of[text]
-                later = own > own[np.flatnonzero(new)][np.cumsum(new) - 1] if len(own) else new
-                rows = [(parts + block % parts, *r) for r in _by_block(np.full(int(later.sum()), block), REPEAT, text[later], low[later], more[later])]
-                gram, cover, text, low, more, own = (x[~later] for x in (gram, cover, text, low, more, own))
-                part = (gram >> np.uint64(48)).astype(np.int64) % parts
-                order = np.lexsort((low, text, part))
-                edges = np.searchsorted(part[order], np.arange(parts + 1))
-                for p in range(parts):
-                    o = order[edges[p]:edges[p + 1]]
-                    if len(o):
-                        rows.append((p, block, OPEN, _packed(
-                            gram=gram[o].astype(np.uint32), gram_high=(gram[o] >> np.uint64(32)).astype(np.uint16), cover=cover[o].astype(np.uint32),
-                            cover_high=(cover[o] >> np.uint64(32)).astype(np.uint8), order=own[o], text=text[o].astype(np.int32),
-                            low=low[o].astype(np.int32), more=more[o].astype(np.uint8))))
-                yield _batch(rows, ["part", "block", "kind", "entries"], [pa.int32(), pa.int64(), pa.int32(), pa.binary()])
+                gram, cover, text, low, more = anchors(*common.raw(common.column(texts, "text")))
+                own = common.column(texts, "order").to_numpy()[text]
+                yield _batch(_dealt(block, parts, gram, cover, own, text, low, more), _NAMES, _KINDS)
 
     return blocks.select("block", "data").mapInArrow(run, _ROWS)
 
@@ -144,7 +152,7 @@ def _settle(table: pa.Table) -> pa.Table:
     block = np.repeat(mine.column("block").to_numpy(), [len(g["low"]) for g in got])
     one = {c: np.concatenate([g[c] for g in got]) for c in got[0]}
     gram = one["gram"].astype(np.uint64) | (one["gram_high"].astype(np.uint64) << np.uint64(32))
-    cover = one["cover"].astype(np.uint64) | (one["cover_high"].astype(np.uint64) << np.uint64(32))
+    cover = one["cover"]
     order = np.lexsort((one["order"], cover, gram))
     gram, cover, own, block = gram[order], cover[order], one["order"][order], block[order]
     text, low, more = one["text"][order], one["low"][order], one["more"][order]
@@ -194,40 +202,29 @@ def remove(docs: DataFrame, keep: list[str], doc_id: str = "doc_id", text: str =
     texts = blocks.select(F.col("block").alias("block"), "data")
 
     def windows(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = []
+        """Last digit: the suffixes of open entries one by one, as entries of their own."""
+        rows = []
         if right.num_rows:
             block = right.column("block")[0].as_py()
             of, low, more = _entries(right.column("entries").to_pylist())
             for batch in _texts(left):
                 data, off = common.raw(common.column(batch, "text"))
                 owner = np.repeat(np.arange(len(of)), more + 1)
-                step = np.arange(len(owner)) - np.repeat(np.cumsum(more + 1) - more - 1, more + 1)
-                start = low[owner] + step
-                at = off[of[owner]] + start
-                hashes = common.Spans(data).of(at, at + DEPTH)
-                own = common.column(batch, "order").to_numpy()[of[owner]]
-                out.append(pa.RecordBatch.from_arrays(
-                    [pa.array(hashes.view(np.int64)), pa.array(own), pa.array(np.full(len(at), block)), pa.array(of[owner].astype(np.int32)),
-                     pa.array(start.astype(np.int32))], schema))
-        return pa.Table.from_batches(out, schema and pa.schema(list(zip(schema, [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]))))
-
-    schema = ["window", "order", "block", "text", "low"]
+                start = low[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(more + 1) - more - 1, more + 1)
+                text = of[owner]
+                at = off[text] + start
+                h = common.Spans(data).of(at, at + DEPTH)
+                own = common.column(batch, "order").to_numpy()[text]
+                rows += _dealt(block, parts, h, common.mix(h) & np.uint64(0xFFF), own, text, start, np.zeros(len(at), np.int64))
+        return pa.Table.from_batches([_batch(rows, _NAMES, _KINDS)])
+
     open_ = entries.filter(F.col("kind") == OPEN).select("block", "entries")
-    met = texts.groupBy("block").cogroup(open_.groupBy("block")).applyInArrow(
-        windows, "window bigint, order bigint, block bigint, text int, low int")
-    least = met.groupBy("window").agg(F.min("order").alias("least"), F.max("order").alias("most")).filter("least < most").select("window", "least")
-    late = met.hint("merge").join(least, "window").filter("order > least").select("block", "text", "low")
-    marks = entries.filter(F.col("kind") == REPEAT).select(
-        F.col("block").alias("block"), "entries", F.lit(None).cast("int").alias("text"), F.lit(None).cast("int").alias("low")).unionByName(
-        late.select("block", F.lit(None).cast("binary").alias("entries"), "text", "low"))
+    met = texts.groupBy("block").cogroup(open_.groupBy("block")).applyInArrow(windows, _ROWS)
+    late = common.cut(met.groupBy("part").applyInArrow(_settle, "block bigint, kind int, entries binary"))
+    marks = entries.unionByName(late).filter(F.col("kind") == REPEAT).select(F.col("block").alias("block"), "entries")
 
     def apply(left: pa.Table, right: pa.Table) -> pa.Table:
-        whole = right.filter(pa.compute.is_valid(right["entries"]))
-        single = right.filter(pa.compute.is_null(right["entries"]))
-        of, low, more = _entries(whole.column("entries").to_pylist())
-        of = np.concatenate([of, single.column("text").to_numpy().astype(np.int64)])
-        low = np.concatenate([low, single.column("low").to_numpy().astype(np.int64)])
-        more = np.concatenate([more, np.zeros(single.num_rows, np.int64)])
+        of, low, more = _entries(right.column("entries").to_pylist())
         out = []
         for batch in _texts(left):
             data, off = common.raw(common.column(batch, "text"))
