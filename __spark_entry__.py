@@ -40,6 +40,7 @@ def query(name: str, sql: str | None = None):
     def register(fn):
         def run(spark: SparkSession, folder: str) -> DataFrame:
             ship(spark, __file__)
+            spark.conf.set("spark.sql.session.timeZone", "UTC")  # the twins' clock
             return _plain(fn(spark, folder))
 
         _QUERIES[name] = run
@@ -771,7 +772,7 @@ def _(spark, d):
 
 
 def _index(spark, d):
-    return retrieve.capture_index(documents(spark, d), stem=False)
+    return _saved_index(spark, d, "captures")
 
 
 @query("build_postings", f"WITH {DC}, {CAP_TOK} SELECT term, count(*) AS occurrences, count(DISTINCT id) AS rows, CAST(sum(pos - 1) AS BIGINT) AS positions FROM tk GROUP BY term")
@@ -839,6 +840,71 @@ def _(spark, d):
     return search.search_phrase_summaries(summaries(spark, d), "and the", stem=False).withColumn("rank", F.round("rank", 9))
 
 
+_SAVED: dict[tuple, str] = {}
+
+
+def _saved_index(spark, d, kind: str):
+    """An index saved by term buckets, once for each application and folder."""
+    key = (spark.sparkContext.applicationId, d, kind)
+    if key not in _SAVED:
+        path = scratch(spark, f"index-{kind}")
+        rows, fields = {
+            "captures": (documents(spark, d), {c: c for c in search.CAPTURE_FIELDS}),
+            "summaries": (summaries(spark, d), dict(zip(["summary", "keyTopics", "appNames"], search.summary_fields()))),
+        }[kind.split("-")[0]]
+        search.TextIndex.build(rows, fields, kind.endswith("-stemmed"), keep=False).save(path, 16, 2)
+        _SAVED[key] = path
+    return search.TextIndex.load(spark, _SAVED[key], kind.endswith("-stemmed"), 16)
+
+
+@query("search_captures_indexed", f"""WITH {DC}, {CAP_TOK}, {_rank_sql(_q('the and src3'))}
+  SELECT id, ts, appName, fullOcrText, round(rank, 9) AS rank FROM ranked JOIN docs_c USING (id) ORDER BY ranked.rank, id LIMIT 50""")
+def _(spark, d):
+    return search.search_captures(documents(spark, d), "the and src3", 50, index=_saved_index(spark, d, "captures")).select(
+        "id", "ts", "appName", "fullOcrText", F.round("rank", 9).alias("rank"))
+
+
+# No other token has the stem of this word, so the twin needs no stemmer.
+@query("search_captures_stemmed", f"""WITH {DC}, {CAP_TOK}, {_rank_sql(_q('src5'))}
+  SELECT id, round(rank, 9) AS rank FROM ranked ORDER BY ranked.rank, id LIMIT 50""")
+def _(spark, d):
+    return search.search_captures(documents(spark, d), "src5", 50, index=_saved_index(spark, d, "captures-stemmed")).select("id", F.round("rank", 9).alias("rank"))
+
+
+@query("search_summaries_indexed", f"""WITH {SM}, {SUM_TOK}, {_rank_sql(_q('the of'))}
+  SELECT id, startTs, app, summary, round(rank, 9) AS rank FROM ranked JOIN sums USING (id)
+  WHERE endTs >= TIMESTAMP '{DOC_NOW}' - INTERVAL 43200 SECOND AND '["' || app || '"]' LIKE '%src1%' ORDER BY ranked.rank, id LIMIT 20""")
+def _(spark, d):
+    found = search.search_summaries(summaries(spark, d), "the of", 20, DOC_NOW, 720, "SRC1", index=_saved_index(spark, d, "summaries"))
+    return found.select("id", "startTs", F.array_join("appNames", ",").alias("app"), "summary", F.round("rank", 9).alias("rank"))
+
+
+@query("search_phrase_indexed", f"""WITH {DC}, {CAP_TOK}, {_rank_sql([['the', 'of', 'the']])}
+  SELECT id, round(rank, 9) AS rank FROM ranked ORDER BY ranked.rank, id LIMIT 20""")
+def _(spark, d):
+    return search.search_phrase(documents(spark, d), "the of the", index=_saved_index(spark, d, "captures")).select("id", F.round("rank", 9).alias("rank"))
+
+
+@query("api_search_indexed", f"""WITH {SM}, {SUM_TOK}, {_rank_sql(_q('to and'))}
+  SELECT strftime(startTs, '%Y-%m-%dT%H:%M:%SZ') AS timestamp, app AS app_name, summary AS relevant_text
+  FROM ranked JOIN sums USING (id) WHERE endTs >= TIMESTAMP '{DOC_NOW}' - INTERVAL 86400 SECOND ORDER BY ranked.rank, id LIMIT 20""")
+def _(spark, d):
+    return api.search(summaries(spark, d), " to and ", DOC_NOW, index=_saved_index(spark, d, "summaries")).select("timestamp", "app_name", "relevant_text")
+
+
+_CHANGED = DC.replace("FROM documents)", "FROM (SELECT * REPLACE (CASE WHEN doc_id % 5 = 1 THEN lang || ' the changed text ' || source ELSE text END AS text) FROM documents) WHERE doc_id % 7 <> 3)")
+
+
+@query("index_maintenance", f"""WITH {_CHANGED}, {CAP_TOK}, {_rank_sql(_q('the changed'))} SELECT id, round(rank, 9) AS rank FROM ranked""")
+def _(spark, d):
+    docs, fields = documents(spark, d), {c: c for c in search.CAPTURE_FIELDS}
+    index = _saved_index(spark, d, "captures").without(docs.filter("id % 7 = 3").select("id"))  # delete
+    # One row in five gets a new text: update = delete + insert.
+    new = docs.filter("id % 5 = 1 AND id % 7 <> 3").withColumn("fullOcrText", F.concat("windowTitle", F.lit(" the changed text "), "appName"))
+    index = index.updated(search.TextIndex.build(new, fields, False, keep=False))
+    return index.rank(_q("the changed")).select("id", F.round("rank", 9).alias("rank"))
+
+
 def _many_sql(queries_: str, limit: int) -> str:
     """CTE ``many(query_id, id, rank, position)`` for queries whose words may hold several tokens."""
     return f"""qw AS (SELECT query_id, unnest(w) AS word, generate_subscripts(w, 1) AS phrase FROM (
@@ -1007,7 +1073,7 @@ def _prompts(spark, d):
 
 
 def _candidates(spark, d):
-    return retrieve.candidate_summaries(_prompts(spark, d), summaries(spark, d), DOC_START, DOC_END, 30, stem=False)
+    return retrieve.candidate_summaries(_prompts(spark, d), summaries(spark, d), DOC_START, DOC_END, 30, _saved_index(spark, d, "summaries"))
 
 
 @query("candidate_summaries", f"WITH {_CANDS} SELECT prompt_id, id, CAST(priority AS BIGINT) AS priority, position FROM cands")
@@ -1028,7 +1094,11 @@ def _(spark, d):
     UNION ALL SELECT query_id, recent.id, 1, recent.position FROM bq, recent)
   SELECT prompt_id, id, CAST(priority AS BIGINT) AS priority, position FROM allc QUALIFY row_number() OVER (PARTITION BY prompt_id, id ORDER BY priority) = 1""")
 def _(spark, d):
-    return retrieve.unsummarized_candidates(_prompts(spark, d), documents(spark, d), DOC_START, DOC_END, 50, stem=False)
+    return retrieve.unsummarized_candidates(_prompts(spark, d), documents(spark, d), DOC_START, DOC_END, 50, _saved_index(spark, d, "captures"))
+
+
+def _indexes(spark, d):
+    return _saved_index(spark, d, "summaries"), _saved_index(spark, d, "captures")
 
 
 def _echo(messages, model, max_tokens, system, temperature):
@@ -1089,7 +1159,7 @@ _CONTEXT = f"""{DC}, {SM}, {BQ}, {_renamed(_CANDS.replace(SM + ', ', '').replace
   text || chr(10) || chr(10) || '---' || chr(10) || '## Context References' || chr(10) || chr(10) || '[^1]: ' || footnotes AS enrichedPrompt,
   summaries_searched, captures_examined, CAST(NULL AS VARCHAR) AS error FROM answer""")
 def _(spark, d):
-    return retrieve.enrich(_prompts(spark, d), documents(spark, d), summaries(spark, d), DOC_START, DOC_END, _echo, stem=False)
+    return retrieve.enrich(_prompts(spark, d), documents(spark, d), summaries(spark, d), DOC_START, DOC_END, _echo, stem=False, indexes=_indexes(spark, d))
 
 
 @query("query_citations", f"""WITH {_CONTEXT} SELECT prompt_id, text,
@@ -1097,7 +1167,7 @@ def _(spark, d):
     || '","relevance_explanation":"digest","source":"capture"}}]' AS citations,
   summaries_searched, captures_examined, CAST(NULL AS VARCHAR) AS error FROM answer""")
 def _(spark, d):
-    out = retrieve.query_citations(_prompts(spark, d), documents(spark, d), summaries(spark, d), DOC_START, DOC_END, DOC_NOW, _echo, stem=False)
+    out = retrieve.query_citations(_prompts(spark, d), documents(spark, d), summaries(spark, d), DOC_START, DOC_END, DOC_NOW, _echo, stem=False, indexes=_indexes(spark, d))
     return out.withColumn("citations", F.to_json("citations"))
 
 

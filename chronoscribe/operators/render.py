@@ -61,6 +61,3 @@ def format_hierarchical(rows: DataFrame, keys: list[str] = (), max_keyframes: in
     keys = list(keys)
     parts = with_sections(rows, keys, max_keyframes, max_deltas, keyframe_chars, delta_chars, tz, **size)
     return parts.groupBy(*keys).agg(joined_sections().alias("text"))
-
-
-__all__ = ["format_hierarchical", "with_sections", "joined_sections", "is_keyframe"]

@@ -11,7 +11,6 @@ BASE = "2024-01-01 00:00:00"
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
@@ -93,6 +92,3 @@ def tiles_of_embeddings(spark: SparkSession, folder: str) -> DataFrame:
     e = table(spark, folder, "embeddings")
     return e.select(F.col("label").alias("stream"), F.col("vec_id").alias("ts"), F.col("vec_id").alias("id"),
                     F.col("embedding").alias("values"))
-
-
-__all__ = [n for n in dir() if n.startswith(("captures_of", "observations_of", "summaries_of", "usage_of", "tiles_of"))]
