@@ -22,6 +22,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
@@ -30,8 +31,8 @@ from pyspark.sql import functions as F
 from chronoscribe.llm import common
 
 DEPTH = 4
-#: Bytes of text in a block.
-BLOCK = 8 << 20
+#: Bytes of text in a block, and of those that are worked on at a time.
+BLOCK, STEP = 24 << 20, 1 << 20
 WORDS, RUNS = 0, 1
 #: Stands for the end of a text among word hashes.
 END = np.uint64(0x0E5D0F7E87A1B2C3)
@@ -47,25 +48,45 @@ def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def byte_runs(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The run of ``DEPTH + 1`` bytes that ends at each byte of each text and at its end mark, as numbers with
     the latest byte lowest, and their text numbers."""
-    n, size = len(off) - 1, np.diff(off)
-    out = np.full(len(data) + n * (DEPTH + 1), 0xFF, np.uint8)
-    text = np.repeat(np.arange(n), size)
-    out[np.arange(len(data)) + text * (DEPTH + 1) + DEPTH] = data
-    last = np.repeat(np.arange(n), size + 1)
-    at = np.arange(len(data) + n) + (last + 1) * DEPTH
-    key = np.zeros(len(at), np.uint64)
-    for k in range(DEPTH, -1, -1):
-        key = (key << np.uint64(8)) | out[at - k]
-    return key, last
-
-
-def _counted(keys: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys, sorted, and how often each stands in training texts."""
-    all_keys = np.unique(keys)
-    seen, n = np.unique(keys[train], return_counts=True)
-    count = np.zeros(len(all_keys), np.int64)
-    count[np.searchsorted(all_keys, seen)] = n
-    return all_keys, count
+    n, mark = len(off) - 1, b"\xff"
+    texts = [data[off[i]:off[i + 1]].tobytes() for i in range(n)]
+    out = np.frombuffer(mark * DEPTH + (mark * (DEPTH + 1)).join(texts) + mark, np.uint8).astype(np.uint64)
+    key = np.zeros(len(out) - DEPTH, np.uint64)
+    for k in range(DEPTH + 1):
+        key = (key << np.uint64(8)) | out[k:len(out) - DEPTH + k]
+    real = np.ones(len(key), bool)  # but for the marks in front of a text
+    end = off[1:-1] + np.arange(n - 1) * (DEPTH + 1)
+    for k in range(1, DEPTH + 1):
+        real[end + k] = False
+    return key[real], np.repeat(np.arange(n), np.diff(off) + 1)
+
+
+class _Counts:
+    """Distinct keys of many pieces and how often each stands in training texts."""
+
+    def __init__(self):
+        self.keys, self.counts = [], []
+
+    def add(self, keys: np.ndarray, train: np.ndarray) -> None:
+        code, distinct = pd.factorize(keys)
+        self.keys.append(distinct)
+        self.counts.append(np.bincount(code[train], minlength=len(distinct)))
+
+    def rows(self, block: int, kind: int):
+        code, distinct = pd.factorize(np.concatenate(self.keys))
+        n = np.bincount(code, np.concatenate(self.counts), len(distinct)).astype(np.int64)
+        for at in range(0, len(distinct), 100_000):
+            k = distinct[at:at + 100_000].view(np.int64)
+            yield _rows(np.full(len(k), block), kind, k, n[at:at + 100_000], None)
+
+
+def _rows(block, kind, key, n, data) -> pa.RecordBatch:
+    size = len(block)
+    none = lambda t: pa.nulls(size, t)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(block), none(pa.int32()) if kind is None else pa.array(np.full(size, kind, np.int32)), none(pa.int64()) if key is None else pa.array(key),
+         none(pa.int64()) if n is None else pa.array(n), none(pa.binary()) if data is None else pa.array([data], pa.binary())],
+        ["block", "kind", "key", "n", "data"])
 
 
 def blocks(docs: DataFrame, keep: list[str], text: str, held_out: Column) -> DataFrame:
@@ -76,25 +97,32 @@ def blocks(docs: DataFrame, keep: list[str], text: str, held_out: Column) -> Dat
     limit = BLOCK
 
     def run(batches):
-        task = TaskContext.get().taskAttemptId()
-        for i, piece in enumerate(common.pieces(batches, "text", limit)):
-            block = (task << 24) + i
-            data, off = common.raw(common.column(piece, "text"))
-            data = common.folded(data)
-            train = ~common.column(piece, "held_out").to_numpy(zero_copy_only=False)
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, piece.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
-                w.write_batch(piece)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([block]), pa.array([None], pa.int32()), pa.array([None], pa.int64()), pa.array([None], pa.int64()),
-                 pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "kind", "key", "n", "data"])
-            for kind, (keys, of) in ((WORDS, word_hashes(data, off)), (RUNS, byte_runs(data, off))):
-                key, n = _counted(keys, train[of])
-                for at in range(0, len(key), 100_000):
-                    k = key[at:at + 100_000].view(np.int64)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(k), block)), pa.array(np.full(len(k), kind, np.int32)), pa.array(k),
-                         pa.array(n[at:at + 100_000]), pa.nulls(len(k), pa.binary())], ["block", "kind", "key", "n", "data"])
+        task, i = TaskContext.get().taskAttemptId() << 24, 0
+        held, size = [], 0
+
+        def emit(block):
+            sink, words, byte = pa.BufferOutputStream(), _Counts(), _Counts()
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                for piece in held:
+                    w.write_batch(piece)
+                    data, off = common.raw(common.column(piece, "text"))
+                    data = common.folded(data)
+                    train = ~common.column(piece, "held_out").to_numpy(zero_copy_only=False)
+                    for count, (keys, of) in ((words, word_hashes(data, off)), (byte, byte_runs(data, off))):
+                        count.add(keys, train[of])
+            yield _rows([block], None, None, None, sink.getvalue().to_pybytes())
+            yield from words.rows(block, WORDS)
+            yield from byte.rows(block, RUNS)
+
+        for piece in common.pieces(batches, "text", min(limit, STEP)):
+            held.append(piece)
+            size += common.column(piece, "text").nbytes
+            if size >= limit:
+                yield from emit(task + i)
+                held, size, i = [], 0, i + 1
+                pa.default_memory_pool().release_unused()
+        if held:
+            yield from emit(task + i)
 
     return common.cut(rows.mapInArrow(run, "block bigint, kind int, key bigint, n bigint, data binary"))
 
@@ -182,11 +210,13 @@ def score(docs: DataFrame, keep: list[str], held_out: Column, text: str = "text"
                 data, off = common.raw(common.column(batch, "text"))
                 data, n = common.folded(data), batch.num_rows
                 keys, of = word_hashes(data, off)
-                c = found[WORDS][1][np.searchsorted(found[WORDS][0], keys)]
+                code, seen = pd.factorize(keys)
+                c = found[WORDS][1][np.searchsorted(found[WORDS][0], seen)][code]
                 base = np.bincount(of, np.log10((c + 1) / (total + 1 * (distinct + 1))), n)
                 tokens, known = np.bincount(of, minlength=n), np.bincount(of[c > 0], minlength=n)
                 keys, of = byte_runs(data, off)
-                nats = np.bincount(of, found[RUNS][1][np.searchsorted(found[RUNS][0], keys)], n)
+                code, seen = pd.factorize(keys)
+                nats = np.bincount(of, found[RUNS][1][np.searchsorted(found[RUNS][0], seen)][code], n)
                 out.append(pa.RecordBatch.from_arrays(
                     [*[batch.column(i) for i in range(len(keep))], common.column(batch, "held_out"), pa.array(tokens), pa.array(known),
                      pa.array(np.full(n, total)), pa.array(base), pa.array(nats / math.log(10)),
