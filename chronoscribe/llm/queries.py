@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoscribe.llm import chat, prefix_tree, quality, radix, secret, sentence, tokens, warc, weighting, winnow
+from chronoscribe.llm import chat, common, prefix_tree, quality, radix, secret, sentence, sql, tokens, warc, weighting, winnow
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -19,7 +19,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def query(name: str, sql: str | None = None):
     def register(fn):
-        QUERIES[name] = fn
+        def run(spark: SparkSession, d: str) -> DataFrame:
+            common.bounded(spark)
+            return fn(spark, d)
+
+        QUERIES[name] = run
         if sql:
             SQL[name] = sql.strip()
         return fn
@@ -48,7 +52,7 @@ def op6(spark: SparkSession, d: str) -> DataFrame:
                            F.col("response.first_page_id").alias("refers_to"))
 
 
-@query("op8_quality_rules")
+@query("op8_quality_rules", sql.quality_rules())
 def op8(spark: SparkSession, d: str) -> DataFrame:
     rows = quality.ledger(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "ledger.*")
     base, full = quality.failed(F.col("failures"), "base-1"), quality.failed(F.col("failures"), quality.POLICY)
@@ -56,14 +60,14 @@ def op8(spark: SparkSession, d: str) -> DataFrame:
                        base.alias("base_failed"), (~base & ~full).alias("kept"))
 
 
-@query("op9_winnowing")
+@query("op9_winnowing", sql.winnowing())
 def op9(spark: SparkSession, d: str) -> DataFrame:
     found = winnow.find(table(spark, d, "documents"), table(spark, d, "benchmark"), ["doc_id"])
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-@query("op1_secret_scans")
+@query("op1_secret_scans", sql.secrets())
 def op1(spark: SparkSession, d: str) -> DataFrame:
     found = secret.scan(table(spark, d, "documents"), ["doc_id"])
     base = F.filter("spans", lambda s: s["number"] < len(secret.BASE))
@@ -78,7 +82,7 @@ def op3(spark: SparkSession, d: str) -> DataFrame:
     return weighting.score(table(spark, d, "documents"), ["doc_id"], held_out)
 
 
-@query("op4_reply_trees")
+@query("op4_reply_trees", sql.chats())
 def op4(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "conversations").select("conv_id", "turn", "role", "text")
     odd = "\\### Assistant: </turn> ok"
@@ -96,7 +100,7 @@ def op10(spark: SparkSession, d: str) -> DataFrame:
         "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-@query("op7_prefix_tree_join")
+@query("op7_prefix_tree_join", sql.jaccard())
 def op7(spark: SparkSession, d: str) -> DataFrame:
     return prefix_tree.join(table(spark, d, "documents")).select("doc_id", "n_shingles", "component_id")
 
