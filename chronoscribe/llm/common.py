@@ -10,14 +10,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chronoscribe.session import durable, stored
 
 #: Bytes of text that are worked on at a time.
-PIECE = 2 << 20
+PIECE = 1 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -86,6 +86,7 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str, limit: int = PIECE) ->
             to = max(at + 1, int(np.searchsorted(off, off[at] + limit, "right")) - 1)
             yield batch.slice(at, to - at)
             at = to
+        pa.default_memory_pool().release_unused()
 
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
@@ -173,6 +174,13 @@ def with_struct(df: DataFrame, text: str, name: str, fields: str, fn) -> DataFra
     return wide.mapInArrow(run, schema)
 
 
+def bounded(spark: SparkSession) -> None:
+    """Let Spark hand texts to Python workers in batches of a few MB instead of ten thousand rows. The registered
+    queries and the pipeline's stages set this for their session."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` from a table in the shared folder: a job of its own, no lineage."""
     return stored(df)

@@ -31,7 +31,7 @@ from chronoscribe.llm import common
 
 BLANK = "▁"
 #: Words that a worker remembers; beyond it the cache starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 #: Words of at most so many characters are merged many at a time.
 SHORT = 48
 _NONE = np.int32(1 << 30)
@@ -206,7 +206,7 @@ def encode(docs: DataFrame, model: str, text: str = "text", ids: str = "ids", ch
 
     def run(batches):
         voc = vocabulary(model)
-        for piece in common.pieces(batches, whole):
+        for piece in common.pieces(batches, whole, 2 * common.PIECE):
             out = pa.array(encode_texts(voc, common.column(piece, whole).to_pylist(), check), pa.binary())
             yield pa.RecordBatch.from_arrays([*piece.columns[:len(names)], out], [*names, ids])
 

@@ -137,7 +137,7 @@ def write(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "text
         offsets, ids = [np.zeros(1, np.uint64)], []
         total = 0
         with system.open_output_stream(f"{path}/{name}.bin") as out:
-            for piece in common.pieces(batches, "text"):
+            for piece in common.pieces(batches, "text", 2 * common.PIECE):
                 made = enc.encode(common.column(piece, "text"))
                 out.write(b"".join(made))
                 ends = np.cumsum([len(b) // enc.width.itemsize for b in made]).astype(np.uint64) + np.uint64(total)

@@ -6,32 +6,49 @@ Parquet and read again as the next one's documents. All but the last return the
 
 from __future__ import annotations
 
+import functools
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from chronoscribe.llm import common, prefix_tree, quality, secret, sentence, winnow
 
 
+def _stage(fn):
+    """A stage whose texts reach Python workers in batches of bounded size."""
+    @functools.wraps(fn)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        common.bounded(spark)
+        return fn(spark, docs, sf_dir)
+
+    return run
+
+
+@_stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass all rules of the current policy."""
     return quality.keep(docs)
 
 
+@_stage
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents connected by links, the one with the smallest id."""
     return prefix_tree.one_of_each(docs)
 
 
+@_stage
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a run of words of the benchmark."""
     return winnow.drop_hits(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@_stage
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets replaced by their kind."""
     return secret.redact(docs)
 
 
+@_stage
 def piece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents with the SentencePiece ids of their texts."""
     return sentence.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), ids=common.fresh(docs, "ids"))
