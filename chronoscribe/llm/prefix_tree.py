@@ -6,11 +6,11 @@ that look frequent last. Two documents link when 100 * intersection >= ``PERCENT
 * Documents of one set are one node. ``features`` gives each node its prefix: the shingles of which a partner
   must share one.
 * Candidates come in two rounds. The first takes the nodes that share one of a few minima of the set and pairs each with the
-  least node among them: that connects groups of near copies without listing their pairs. The second takes all
+  most central among them: that connects groups of near copies without listing their pairs. The second takes all
   nodes that share a prefix shingle and are not yet connected, so no link between two components is lost, whatever the
   size of the groups.
-  Pairs must fit in length, in position, and in the parity of 1,024 bits, which differs in at most as many bits as
-  the sets differ in shingles.
+  Pairs must fit in length, in the number of prefix shingles they share, and in the parity of 1,024 bits, which differs in at most
+  as many bits as the sets differ in shingles.
 * ``linked`` verifies: the candidates of one probe stand in a prefix tree in global order; it is traversed with the probe's set,
   sharing the overlap of common prefixes, and a subtree is left when what remains of either set cannot reach
   the overlap that is needed.
@@ -33,10 +33,14 @@ from chronoscribe.llm.graph import components
 
 N, PERCENT = 4, 85
 MINIMA, PARITY = 4, 1024
-#: Slots of the table of frequent shingles, which orders them: 1 MiB at any size. It never decides about a link.
-SLOTS = 1 << 20
+#: Slots of the table of frequent shingles, which orders them: 16 MiB at any size. It never decides about a link.
+SLOTS = 1 << 24
+#: A shingle is frequent where so many texts of a chunk of so many shingles have it.
+OFTEN, CHUNK = 3, 4 << 20
 #: Candidates that one prefix tree holds; a probe with more is dealt to several.
 TREE = 256
+#: Asked texts are broadcast by their ids up to this counted number (some 10 MB); beyond it texts are shuffled to them.
+BROADCAST_ROWS = 200_000
 _SIGN = [f"s{i}" for i in range(PARITY // 64)]
 
 
@@ -68,22 +72,37 @@ def ordered_sets(data: np.ndarray, off: np.ndarray, classes: np.ndarray) -> tupl
 
 
 def _classes(docs: DataFrame) -> np.ndarray:
-    """The class of frequency of each slot, from the slots that stand out in some task. The driver gets at most SLOTS rows."""
+    """The class of frequency of each slot, from the shingles that several texts of some chunk have. The driver gets at most
+    SLOTS bytes."""
     def run(batches):
-        seen, total = np.zeros(SLOTS, np.int64), 0
+        held, size = [], 0
+
+        def emit():
+            hot, n = np.unique(np.concatenate(held), return_counts=True)
+            hot, n = hot[n >= OFTEN], n[n >= OFTEN]
+            return pa.RecordBatch.from_arrays([pa.array((hot & np.uint64(SLOTS - 1)).astype(np.int64)), pa.array(n)], ["slot", "n"])
+
         for piece in common.pieces(batches, "text"):
-            data, off = common.raw(common.column(piece, "text"))
-            h, text = shingles(data, off)
+            h, text = shingles(*common.raw(common.column(piece, "text")))
             once = np.unique(common.within(h, text), return_index=True)[1]
-            seen += np.bincount((h[once] & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
-            total += len(once)
-        even = total / SLOTS
-        hot = np.flatnonzero(seen > even + 6 * even ** .5 + 4)
-        yield pa.RecordBatch.from_arrays([pa.array(hot), pa.array(seen[hot])], ["slot", "n"])
-
-    rows = docs.mapInArrow(run, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+            held.append(h[once])
+            size += len(once)
+            if size >= CHUNK:
+                yield emit()
+                held, size = [], 0
+        if held:
+            yield emit()
+
+    def pack(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        part = np.zeros(4096, np.uint8)
+        part[table.column("slot").to_numpy() & 4095] = np.minimum(15, 1 + np.log2(table.column("n").to_numpy()) / 2)
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int64()), "classes": pa.array([part.tobytes()], pa.binary())})
+
+    rows = docs.mapInArrow(run, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n"))
+    parts = rows.withColumn("part", F.shiftright("slot", 12)).groupBy("part").applyInArrow(pack, "part bigint, classes binary").collect()
     classes = np.zeros(SLOTS, np.uint8)
-    classes[rows["slot"].to_numpy(np.int64)] = np.minimum(15, 1 + np.log2(np.maximum(rows["n"].to_numpy(np.int64), 1)) / 2).astype(np.uint8)
+    for r in parts:
+        classes[r["part"] * 4096:(r["part"] + 1) * 4096] = np.frombuffer(r["classes"], np.uint8)
     return classes
 
 
@@ -118,13 +137,14 @@ def _features(docs: DataFrame, classes) -> DataFrame:
             ends = np.concatenate([[0], np.cumsum(length)])
             at = np.arange(ends[-1]) - np.repeat(ends[:-1] - edge[:-1], length)
             yield pa.RecordBatch.from_arrays(
-                [common.column(piece, "node"), common.column(piece, "doc_id"), common.column(piece, "hash"), pa.array(size), pa.array(digest[0]), pa.array(digest[1]),
+                [common.column(piece, "node"), common.column(piece, "doc_id"), common.column(piece, "hash"), pa.array(size),
+                 pa.array(np.bincount(text[token < np.uint64(1 << 60)], minlength=n)), pa.array(digest[0]), pa.array(digest[1]),
                  pa.ListArray.from_arrays(pa.array((np.arange(n + 1) * MINIMA).astype(np.int32)), pa.array(minima.reshape(-1).view(np.int64))),
                  pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(token[at].view(np.int64))),
                  *[pa.array(np.ascontiguousarray(sign[:, i])) for i in range(len(_SIGN))]],
-                ["node", "doc_id", "hash", "n", "h1", "h2", "minima", "prefix", *_SIGN])
+                ["node", "doc_id", "hash", "n", "rare", "h1", "h2", "minima", "prefix", *_SIGN])
 
-    kind = ("node bigint, doc_id bigint, hash bigint, n bigint, h1 bigint, h2 bigint, minima array<bigint>, prefix array<bigint>, "
+    kind = ("node bigint, doc_id bigint, hash bigint, n bigint, rare bigint, h1 bigint, h2 bigint, minima array<bigint>, prefix array<bigint>, "
             + ", ".join(f"{s} bigint" for s in _SIGN))
     return common.cut(rows.mapInArrow(run, kind))
 
@@ -174,12 +194,15 @@ def tree_links(probe: np.ndarray, members: list[np.ndarray]) -> list[int]:
     return found
 
 
-def linked(pairs: DataFrame, texts: DataFrame, classes) -> DataFrame:
-    """The pairs (a, b) that link, by the whole sets of their ``texts`` (node, text)."""
+def linked(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, classes) -> DataFrame:
+    """The pairs (a, b) that link, by the whole sets of their texts: ``rows`` (doc_id, hash, text)."""
     parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / TREE).alias("trees"))
     pairs = pairs.hint("merge").join(parts, "a").select("a", "b", F.pmod(F.hash("b"), F.col("trees")).cast("int").alias("tree"))
     asked = pairs.select("a", "tree", F.col("b").alias("node")).union(pairs.select("a", "tree", F.col("a")).distinct())
-    rows = asked.hint("merge").join(texts, "node").select("a", "tree", "node", "text")
+    asked = common.cut(asked.hint("merge").join(nodes.select("node", F.col("doc_id").alias("d"), F.col("hash").alias("h")), "node"))
+    if asked.count() <= BROADCAST_ROWS:
+        asked = F.broadcast(asked)
+    rows = rows.join(asked, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("hash") == F.col("h"))).select("a", "tree", "node", "text")
     parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(parts, "a", "tree").sortWithinPartitions("a", "tree")
 
@@ -219,26 +242,35 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     sets = found.filter("n > 0").groupBy("h1", "h2").agg(F.min(F.when(F.size("prefix") > 0, F.col("node"))).alias("node"), F.min("doc_id").alias("label"))
     sets = common.cut(sets)
     nodes = common.cut(found.join(sets.select("node"), "node", "left_semi").drop("h1", "h2"))
-    texts = rows.join(nodes.select("node", F.col("doc_id").alias("d"), F.col("hash").alias("h")),
-                      F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("hash") == F.col("h"))).select("node", "text")
 
-    # First round: the least node of each shared minimum.
-    minima = nodes.select("node", F.posexplode("minima").alias("k", "value"))
-    least = minima.groupBy("k", "value").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
+    # First round: of the nodes that share a minimum, the one with the fewest shingles of its own. In a large group of near
+    # copies the shingles that edits made are rare and those of the original are not, so that is the original.
+    minima = nodes.select("node", "rare", F.posexplode("minima").alias("k", "value"))
+    least = minima.groupBy("k", "value").agg(F.min(F.struct("rare", "node"))["node"].alias("a"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
     stars = minima.hint("merge").join(least, ["k", "value"]).filter("node <> a").select("a", F.col("node").alias("b")).distinct()
-    first = common.cut(linked(common.cut(_near(stars, nodes)), texts, classes))
+    first = common.cut(linked(common.cut(_near(stars, nodes)), rows, nodes, classes))
     known = components(first)
 
-    # Second round: prefixes that meet across components.
+    # Second round: prefixes that meet across components. What two prefixes share is counted: a set of n whose partner has
+    # m shares at least I = ceil(PERCENT * (n + m) / (100 + PERCENT)), so of its prefix at most n - I shingles are not the partner's, and
+    # the prefix that ends first in the global order has all others in common with the other prefix.
     at = nodes.select("node", "n", "prefix").join(known, "node", "left").select(
         "node", "n", F.coalesce("component", "node").alias("component"), F.posexplode("prefix").alias("place", "token"))
     left, right = at.alias("l"), at.alias("r")
-    rest = lambda side: F.col(f"{side}.n") - F.col(f"{side}.place")  # noqa: E731  this shingle and those after it
+
+    def shift(x: str, y: str) -> Column:
+        """What stands before a common shingle in one set and not in the other is at most n - I."""
+        return ((F.col(f"{x}.place") - F.col(f"{y}.place")) * (100 + PERCENT)
+                <= 100 * F.col(f"{x}.n") - PERCENT * F.col(f"{y}.n"))
+
     meet = left.hint("merge").join(right, (F.col("l.token") == F.col("r.token")) & (F.col("l.node") < F.col("r.node"))
                                    & (F.col("l.component") != F.col("r.component")) & fits(F.col("l.n"), F.col("r.n"))
-                                   & (F.least(rest("l"), rest("r")) * (100 + PERCENT) >= (F.col("l.n") + F.col("r.n")) * PERCENT))
-    pairs = meet.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
-    second = common.cut(linked(common.cut(_near(pairs, nodes)), texts, classes))
+                                   & shift("l", "r") & shift("r", "l"))
+    shared = meet.groupBy(F.col("l.node").alias("a"), F.col("r.node").alias("b")).agg(
+        F.count(F.lit(1)).alias("shared"), F.first("l.n").alias("n"), F.first("r.n").alias("m"))
+    need = F.ceil((F.col("n") + F.col("m")) * PERCENT / (100 + PERCENT) - 1e-6) - F.ceil(F.greatest("n", "m") * PERCENT / 100 - 1e-6) + 1
+    pairs = shared.filter(F.col("shared") >= need).select("a", "b")
+    second = common.cut(linked(common.cut(_near(pairs, nodes)), rows, nodes, classes))
     final = components(first.union(second))
 
     named = sets.join(final, "node", "left").select("h1", "h2", "label", F.coalesce("component", "node").alias("component"))
