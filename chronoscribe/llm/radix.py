@@ -32,8 +32,8 @@ from chronoscribe.llm import common
 
 DEPTH, GRAM = 50, 20
 WIDTH = DEPTH - GRAM + 1
-#: Bytes of text in a block, and for each part that entries are dealt to.
-BLOCK, PART = 4 << 20, 64 << 20
+#: Bytes of text in a block, of those that are worked on at a time, and for each part that entries are dealt to.
+BLOCK, STEP, PART = 4 << 20, 1 << 20, 64 << 20
 LEAST_PARTS = 64
 REPEAT, OPEN = 0, 1
 _LAST = (1 << 63) - 1
@@ -133,7 +133,12 @@ def _deal(blocks: DataFrame, parts: int) -> DataFrame:
         for batch in batches:
             for block, stored in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 texts = pa.ipc.open_stream(stored).read_all().combine_chunks().to_batches()[0]
-                gram, cover, text, low, more = anchors(*common.raw(common.column(texts, "text")))
+                found, first = [], 0
+                for piece in common.pieces([texts], "text", STEP):
+                    gram, cover, text, low, more = anchors(*common.raw(common.column(piece, "text")))
+                    found.append((gram, cover, text + first, low, more))
+                    first += piece.num_rows
+                gram, cover, text, low, more = map(np.concatenate, zip(*found))
                 own = common.column(texts, "order").to_numpy()[text]
                 yield _batch(_dealt(block, parts, gram, cover, own, text, low, more), _NAMES, _KINDS)
 
