@@ -11,7 +11,7 @@ itself leaves the sort after the digit that shows it:
 3. What is left are anchors that stand in different surroundings, mostly at the edges of copies. Their suffixes
    get the last digit one by one, all ``DEPTH`` bytes; the equal groups are the repeated windows.
 
-Digits are 64-bit hashes. Texts are kept in compressed blocks in the shared folder; entries that repeat within a block
+Digits are whole 64-bit hashes, in what is dealt out too. Texts are kept in compressed blocks in the shared folder; entries that repeat within a block
 leave it as one, so a passage that all documents share gives one entry for each block, not for each document.
 
 Defined cases: a null text is an empty one; a null document id is larger than all others; equal ids are not smaller
@@ -116,10 +116,9 @@ def _dealt(block: int, parts: int, gram, cover, own, text, low, more) -> list[tu
     for p in range(parts):
         o = order[edges[p]:edges[p + 1]]
         if len(o):
-            # 40 bits of the first digit beside the part, 32 of the second.
-            rows.append((p, block, OPEN, _packed(
-                gram=gram[o].astype(np.uint32), gram_high=(gram[o] >> np.uint64(32)).astype(np.uint8), cover=cover[o].astype(np.uint32),
-                order=own[o], text=text[o].astype(np.int32), low=low[o].astype(np.int32), more=more[o].astype(np.uint8))))
+            # Both digits whole: one anchor can stand in millions of surroundings.
+            rows.append((p, block, OPEN, _packed(gram=gram[o], cover=cover[o], order=own[o], text=text[o].astype(np.int32),
+                                                 low=low[o].astype(np.int32), more=more[o].astype(np.uint8))))
     return rows
 
 
@@ -156,8 +155,7 @@ def _settle(table: pa.Table) -> pa.Table:
     got = [_unpacked(b) for b in mine.column("entries").to_pylist()]
     block = np.repeat(mine.column("block").to_numpy(), [len(g["low"]) for g in got])
     one = {c: np.concatenate([g[c] for g in got]) for c in got[0]}
-    gram = one["gram"].astype(np.uint64) | (one["gram_high"].astype(np.uint64) << np.uint64(32))
-    cover = one["cover"]
+    gram, cover = one["gram"], one["cover"]
     order = np.lexsort((one["order"], cover, gram))
     gram, cover, own, block = gram[order], cover[order], one["order"][order], block[order]
     text, low, more = one["text"][order], one["low"][order], one["more"][order]
@@ -220,7 +218,7 @@ def remove(docs: DataFrame, keep: list[str], doc_id: str = "doc_id", text: str =
                 at = off[text] + start
                 h = common.Spans(data).of(at, at + DEPTH)
                 own = common.column(batch, "order").to_numpy()[text]
-                rows += _dealt(block, parts, h, common.mix(h) & np.uint64(0xFFF), own, text, start, np.zeros(len(at), np.int64))
+                rows += _dealt(block, parts, h, np.zeros(len(h), np.uint64), own, text, start, np.zeros(len(at), np.int64))
         return pa.Table.from_batches([_batch(rows, _NAMES, _KINDS)])
 
     open_ = entries.filter(F.col("kind") == OPEN).select("block", "entries")

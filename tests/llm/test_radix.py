@@ -1,6 +1,7 @@
 """Repeated windows against a dictionary of all windows."""
 import random
 
+import numpy as np
 import pytest
 
 from chronoscribe.llm import radix
@@ -60,6 +61,25 @@ def test_edges_of_copies(spark):
     check(spark, rows)
 
 
+def test_surroundings_alike_in_half_their_hash(spark, monkeypatch):
+    """One anchor in two surroundings whose hashes have the same low 32 bits: nothing is repeated."""
+    monkeypatch.setattr(radix, "BLOCK", 50)  # a block for each text
+    rng = np.random.default_rng(3)
+    heads = rng.integers(97, 123, (200_000, 20), dtype=np.uint8)
+    head = heads[radix.common.Spans(heads.reshape(-1)).grams(20)[::20].argmin()]
+    data = np.concatenate([np.tile(head, (300_000, 1)), rng.integers(97, 123, (300_000, 30), dtype=np.uint8)], 1)
+    gram, cover, text, _, _ = radix.anchors(data.reshape(-1), np.arange(len(data) + 1) * 50)
+    cover, text = (x[gram == radix.common.Spans(head).grams(20)[0]] for x in (cover, text))
+    order = np.argsort(cover.astype(np.uint32))
+    half = cover[order].astype(np.uint32)
+    at = np.flatnonzero(half[1:] == half[:-1])
+    assert len(at)
+    rows = []
+    for i in at[:3]:
+        rows += [(len(rows) + k, data[text[order[i + k]]].tobytes().decode()) for k in (0, 1)]
+    check(spark, rows)
+
+
 def test_documents(spark, texts):
     check(spark, texts)
 
