@@ -11,6 +11,8 @@ that look frequent last. Two documents link when 100 * intersection >= ``PERCENT
   size of the groups.
   Pairs must fit in length, in the number of prefix shingles they share, and in the parity of 1,024 bits, which differs in at most
   as many bits as the sets differ in shingles.
+  Pairs within a component are left out, so by default the join gives connectivity only. With ``links=True`` there is one
+  round over all nodes that share a prefix shingle; every link between different sets is verified and counted.
 * ``linked`` verifies: the candidates of one probe stand in a prefix tree in global order; it is traversed with the probe's set,
   sharing the overlap of common prefixes, and a subtree is left when what remains of either set cannot reach
   the overlap that is needed.
@@ -232,30 +234,12 @@ def linked(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, classes) -> Data
     return rows.mapInArrow(run, "a bigint, b bigint")
 
 
-def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, hash) per document row; ``hash`` is of the text, to find the row again. Runs jobs."""
-    spark = docs.sparkSession
-    whole = common.text_of(docs, text)
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), whole.alias("text"), F.xxhash64(whole).alias("hash"))
-    classes = spark.sparkContext.broadcast(_classes(rows.select("text")))
-    found = _features(rows, classes)
-    sets = found.filter("n > 0").groupBy("h1", "h2").agg(F.min(F.when(F.size("prefix") > 0, F.col("node"))).alias("node"), F.min("doc_id").alias("label"))
-    sets = common.cut(sets)
-    nodes = common.cut(found.join(sets.select("node"), "node", "left_semi").drop("h1", "h2"))
-
-    # First round: of the nodes that share a minimum, the one with the fewest shingles of its own. In a large group of near
-    # copies the shingles that edits made are rare and those of the original are not, so that is the original.
-    minima = nodes.select("node", "rare", F.posexplode("minima").alias("k", "value"))
-    least = minima.groupBy("k", "value").agg(F.min(F.struct("rare", "node"))["node"].alias("a"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
-    stars = minima.hint("merge").join(least, ["k", "value"]).filter("node <> a").select("a", F.col("node").alias("b")).distinct()
-    first = common.cut(linked(common.cut(_near(stars, nodes)), rows, nodes, classes))
-    known = components(first)
-
-    # Second round: prefixes that meet across components. What two prefixes share is counted: a set of n whose partner has
+def _meeting(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of ``nodes`` (node, n, component, prefix) of different components whose prefixes share what they must."""
+    # What two prefixes share is counted: a set of n whose partner has
     # m shares at least I = ceil(PERCENT * (n + m) / (100 + PERCENT)), so of its prefix at most n - I shingles are not the partner's, and
     # the prefix that ends first in the global order has all others in common with the other prefix.
-    at = nodes.select("node", "n", "prefix").join(known, "node", "left").select(
-        "node", "n", F.coalesce("component", "node").alias("component"), F.posexplode("prefix").alias("place", "token"))
+    at = nodes.select("node", "n", "component", F.posexplode("prefix").alias("place", "token"))
     left, right = at.alias("l"), at.alias("r")
 
     def shift(x: str, y: str) -> Column:
@@ -269,16 +253,56 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     shared = meet.groupBy(F.col("l.node").alias("a"), F.col("r.node").alias("b")).agg(
         F.count(F.lit(1)).alias("shared"), F.first("l.n").alias("n"), F.first("r.n").alias("m"))
     need = F.ceil((F.col("n") + F.col("m")) * PERCENT / (100 + PERCENT) - 1e-6) - F.ceil(F.greatest("n", "m") * PERCENT / 100 - 1e-6) + 1
-    pairs = shared.filter(F.col("shared") >= need).select("a", "b")
-    second = common.cut(linked(common.cut(_near(pairs, nodes)), rows, nodes, classes))
-    final = components(first.union(second))
+    return shared.filter(F.col("shared") >= need).select("a", "b")
+
+
+def _connected(nodes: DataFrame, rows: DataFrame, classes) -> DataFrame:
+    """(node, component) by the two rounds, which verify no pair that is connected already."""
+    # First round: of the nodes that share a minimum, the one with the fewest shingles of its own. In a large group of near
+    # copies the shingles that edits made are rare and those of the original are not, so that is the original.
+    minima = nodes.select("node", "rare", F.posexplode("minima").alias("k", "value"))
+    least = minima.groupBy("k", "value").agg(F.min(F.struct("rare", "node"))["node"].alias("a"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
+    stars = minima.hint("merge").join(least, ["k", "value"]).filter("node <> a").select("a", F.col("node").alias("b")).distinct()
+    first = common.cut(linked(common.cut(_near(stars, nodes)), rows, nodes, classes))
+    known = components(first)
+
+    # Second round: prefixes that meet across components.
+    at = nodes.select("node", "n", "prefix").join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    second = common.cut(linked(common.cut(_near(_meeting(at), nodes)), rows, nodes, classes))
+    return components(first.union(second))
+
+
+def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", links: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, component_id, hash) per document row; ``hash`` is of the text, to find the row again. With ``links`` also
+    ``n_links``, the number of other rows that the row links with, rows of the same set among them; this verifies each pair of
+    different sets that could link, within groups of near copies too, whose pairs grow with the square of their size. Runs jobs."""
+    spark = docs.sparkSession
+    whole = common.text_of(docs, text)
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), whole.alias("text"), F.xxhash64(whole).alias("hash"))
+    classes = spark.sparkContext.broadcast(_classes(rows.select("text")))
+    found = _features(rows, classes)
+    sets = found.filter("n > 0").groupBy("h1", "h2").agg(F.min(F.when(F.size("prefix") > 0, F.col("node"))).alias("node"), F.min("doc_id").alias("label"),
+                                                         F.count(F.lit(1)).alias("rows"))
+    sets = common.cut(sets)
+    nodes = common.cut(found.join(sets.select("node"), "node", "left_semi").drop("h1", "h2"))
 
-    named = sets.join(final, "node", "left").select("h1", "h2", "label", F.coalesce("component", "node").alias("component"))
+    if links:
+        every = common.cut(linked(common.cut(_near(_meeting(nodes.withColumn("component", F.col("node"))), nodes)), rows, nodes, classes))
+        final = components(every)
+        other = every.union(every.select("b", "a")).toDF("node", "other").join(sets.select(F.col("node").alias("other"), "rows"), "other")
+        sets = sets.join(other.groupBy("node").agg(F.sum("rows").alias("linked")), "node", "left").withColumn(
+            "n_links", F.coalesce("linked", F.lit(0)) + F.col("rows") - 1)
+    else:
+        final = _connected(nodes, rows, classes)
+    count = ["n_links"] if links else []
+    named = sets.join(final, "node", "left").select("h1", "h2", "label", *count, F.coalesce("component", "node").alias("component"))
     lowest = named.groupBy("component").agg(F.min("label").alias("component_id"))
-    of_set = named.join(lowest, "component").select("h1", "h2", "component_id")
+    of_set = named.join(lowest, "component").select("h1", "h2", "component_id", *count)
     out = found.select("doc_id", "hash", "n", F.when(F.col("n") > 0, F.col("h1")).alias("h1"), F.when(F.col("n") > 0, F.col("h2")).alias("h2"))
-    joined = out.filter("n > 0").hint("merge").join(of_set, ["h1", "h2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "hash")
-    return joined.unionByName(out.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "hash"))
+    joined = out.filter("n > 0").hint("merge").join(of_set, ["h1", "h2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "hash", *count)
+    alone = out.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "hash",
+                                       *[F.lit(0).cast("long").alias(c) for c in count])
+    return joined.unionByName(alone)
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -73,6 +73,21 @@ def test_near_copies(spark, seed, monkeypatch):
     check(spark, rows)
 
 
+def test_number_of_links(spark, monkeypatch):
+    """Links inside groups of near copies are counted too, between different texts and equal ones."""
+    monkeypatch.setattr(pt, "TREE", 4)
+    rng = random.Random(5)
+    texts = near_copies(rng, [f"w{i}" for i in range(300)], 6, 14, 4)
+    rows = list(enumerate(texts + texts[:5] + ["", " ", None, "a b", "A  b"])) + [(None, texts[0]), (None, "q r s t u"), (3, texts[4]), (3, texts[4])]
+    s = sets(rows)
+    want = [sum(bool(x) and i != j and 100 * len(x & y) >= 85 * len(x | y) for j, y in enumerate(s)) for i, x in enumerate(s)]
+    assert max(want) > 5
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in pt.join(df, links=True).collect()), key=repr)
+    assert [x[:3] for x in got] == brute(rows)
+    assert sorted([(x[0], x[3]) for x in got], key=repr) == sorted([(d, n) for (d, _), n in zip(rows, want)], key=repr)
+
+
 def test_chain_of_links(spark):
     """Neighbours link, the ends do not: one component nevertheless."""
     words = [f"v{i}" for i in range(400)]
