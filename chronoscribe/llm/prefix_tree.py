@@ -1,7 +1,8 @@
 """N-gram Jaccard join by prefix trees.
 
-A document is the set of its distinct ``N``-word shingles (hashes). All sets are kept in one global order, shingles
-that look frequent last. Two documents link when 100 * intersection >= ``PERCENT`` * union.
+A document is the set of its distinct ``n_words``-word shingles (hashes). All sets are kept in one global order, shingles
+that look frequent last. Two documents link when 100 * intersection >= ``percent`` * union. The defaults
+``N`` and ``PERCENT`` are op7's.
 
 * Documents of one set are one node. ``features`` gives each node its prefix: the shingles of which a partner
   must share one.
@@ -17,7 +18,7 @@ that look frequent last. Two documents link when 100 * intersection >= ``PERCENT
   sharing the overlap of common prefixes, and a subtree is left when what remains of either set cannot reach
   the overlap that is needed.
 
-Words are ``[^\\x20\\x09-\\x0D]+`` after A-Z became lower case. Defined cases: fewer than ``N`` words are one shingle, a text without
+Words are ``[^\\x20\\x09-\\x0D]+`` after A-Z became lower case. Defined cases: fewer than ``n_words`` words are one shingle, a text without
 words or a null text is an empty set and linked with nothing; repeated rows and ids share a component if their sets
 link; a null id joins a component but never names it, and a component of null ids has a null name; texts are taken whole; an empty table gives
 no rows; other columns are ignored.
@@ -46,25 +47,25 @@ BROADCAST_ROWS = 200_000
 _SIGN = [f"s{i}" for i in range(PARITY // 64)]
 
 
-def shingles(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def shingles(data: np.ndarray, off: np.ndarray, n_words: int = N) -> tuple[np.ndarray, np.ndarray]:
     """Shingle hashes of each text, with repeats, and their text numbers."""
     data = common.folded(data)
     starts, ends, text = common.runs(~common.blank(data), off)
     spans = common.Spans(common.Spans(data).of(starts, ends))
-    grams = spans.grams(N)
-    whole = text[:len(grams)] == text[N - 1:] if len(grams) else np.zeros(0, bool)
+    grams = spans.grams(n_words)
+    whole = text[:len(grams)] == text[n_words - 1:] if len(grams) else np.zeros(0, bool)
     n = len(off) - 1
     count = np.bincount(text, minlength=n)
-    short = np.flatnonzero((count > 0) & (count < N))
+    short = np.flatnonzero((count > 0) & (count < n_words))
     first = np.searchsorted(text, short)
     return (np.concatenate([grams[whole], spans.of(first, first + count[short])]),
             np.concatenate([text[:len(grams)][whole], short]))
 
 
-def ordered_sets(data: np.ndarray, off: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def ordered_sets(data: np.ndarray, off: np.ndarray, classes: np.ndarray, n_words: int = N) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingles of all texts in global order within each text, and the texts' edges. The four highest bits
     are the class of frequency, the others the hash."""
-    h, text = shingles(data, off)
+    h, text = shingles(data, off, n_words)
     token = (h >> np.uint64(4)) | (classes[h & np.uint64(SLOTS - 1)].astype(np.uint64) << np.uint64(60))
     order = np.lexsort((token, text))
     token, text = token[order], text[order]
@@ -73,7 +74,7 @@ def ordered_sets(data: np.ndarray, off: np.ndarray, classes: np.ndarray) -> tupl
     return token, np.searchsorted(text, np.arange(len(off)))
 
 
-def _classes(docs: DataFrame) -> np.ndarray:
+def _classes(docs: DataFrame, n_words: int) -> np.ndarray:
     """The class of frequency of each slot, from the shingles that several texts of some chunk have. The driver gets at most
     SLOTS bytes."""
     def run(batches):
@@ -85,7 +86,7 @@ def _classes(docs: DataFrame) -> np.ndarray:
             return pa.RecordBatch.from_arrays([pa.array((hot & np.uint64(SLOTS - 1)).astype(np.int64)), pa.array(n)], ["slot", "n"])
 
         for piece in common.pieces(batches, "text"):
-            h, text = shingles(*common.raw(common.column(piece, "text")))
+            h, text = shingles(*common.raw(common.column(piece, "text")), n_words)
             once = np.unique(common.within(h, text), return_index=True)[1]
             held.append(h[once])
             size += len(once)
@@ -108,14 +109,14 @@ def _classes(docs: DataFrame) -> np.ndarray:
     return classes
 
 
-def _features(docs: DataFrame, classes) -> DataFrame:
+def _features(docs: DataFrame, classes, n_words: int, percent: int) -> DataFrame:
     """A stored table with one row for each document row. Only the first of a piece's equal sets has a prefix."""
     rows = docs.withColumn("node", F.monotonically_increasing_id())
 
     def run(batches):
         for piece in common.pieces(batches, "text"):
             n = piece.num_rows
-            token, edge = ordered_sets(*common.raw(common.column(piece, "text")), classes.value)
+            token, edge = ordered_sets(*common.raw(common.column(piece, "text")), classes.value, n_words)
             size = np.diff(edge)
             text = np.repeat(np.arange(n), size)
             full = size > 0
@@ -135,7 +136,7 @@ def _features(docs: DataFrame, classes) -> DataFrame:
             first = np.zeros(n, bool)
             first[np.unique(digest[0], return_index=True)[1]] = True
             first &= full
-            length = np.where(first, size - (PERCENT * size + 99) // 100 + 1, 0)
+            length = np.where(first, size - (percent * size + 99) // 100 + 1, 0)
             ends = np.concatenate([[0], np.cumsum(length)])
             at = np.arange(ends[-1]) - np.repeat(ends[:-1] - edge[:-1], length)
             yield pa.RecordBatch.from_arrays(
@@ -151,22 +152,22 @@ def _features(docs: DataFrame, classes) -> DataFrame:
     return common.cut(rows.mapInArrow(run, kind))
 
 
-def fits(n: Column, m: Column) -> Column:
+def fits(n: Column, m: Column, percent: int = PERCENT) -> Column:
     """Set sizes of which one can be the needed part of the other."""
-    return F.least(n, m) * 100 >= F.greatest(n, m) * PERCENT
+    return F.least(n, m) * 100 >= F.greatest(n, m) * percent
 
 
-def _near(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+def _near(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose sizes fit and whose parities differ in no more bits than their sets may in shingles."""
     sign = lambda side: nodes.select(F.col("node").alias(side), F.col("n").alias(f"{side}_n"), *[F.col(s).alias(f"{side}_{s}") for s in _SIGN])
     both = pairs.hint("merge").join(sign("a"), "a").hint("merge").join(sign("b"), "b")
     differ = sum((F.bit_count(F.col(f"a_{s}").bitwiseXOR(F.col(f"b_{s}"))) for s in _SIGN), F.lit(0))
-    # |A xor B| = |A| + |B| - 2 * I and I * (100 + PERCENT) >= PERCENT * (|A| + |B|)
+    # |A xor B| = |A| + |B| - 2 * I and I * (100 + percent) >= percent * (|A| + |B|)
     total = F.col("a_n") + F.col("b_n")
-    return both.filter(fits(F.col("a_n"), F.col("b_n")) & (differ * (100 + PERCENT) <= total * (100 - PERCENT))).select("a", "b")
+    return both.filter(fits(F.col("a_n"), F.col("b_n"), percent) & (differ * (100 + percent) <= total * (100 - percent))).select("a", "b")
 
 
-def tree_links(probe: np.ndarray, members: list[np.ndarray]) -> list[int]:
+def tree_links(probe: np.ndarray, members: list[np.ndarray], percent: int = PERCENT) -> list[int]:
     """Places of the members that link with the probe. The members, in lexicographic order, are the paths of a prefix tree; what the
     probe shares with a path's start is kept for the next path that has the same start."""
     keys = [m.astype(">u8").tobytes() for m in members]
@@ -174,7 +175,7 @@ def tree_links(probe: np.ndarray, members: list[np.ndarray]) -> list[int]:
     for i in sorted(range(len(members)), key=keys.__getitem__):
         m = members[i]
         total = len(probe) + len(m)
-        need = -(-PERCENT * total // (100 + PERCENT))
+        need = -(-percent * total // (100 + percent))
         common_size = min(len(before), len(m), len(shared) - 1)
         differs = np.flatnonzero(before[:common_size] != m[:common_size])
         at = int(differs[0]) if len(differs) else common_size
@@ -191,12 +192,12 @@ def tree_links(probe: np.ndarray, members: list[np.ndarray]) -> list[int]:
             place = np.minimum(np.searchsorted(probe, step), len(probe) - 1)
             shared = np.concatenate([shared, shared[at] + np.cumsum(probe[place] == step)])
             at += len(step)
-        if not left_out and shared[len(m)] * (100 + PERCENT) >= PERCENT * total:
+        if not left_out and shared[len(m)] * (100 + percent) >= percent * total:
             found.append(i)
     return found
 
 
-def linked(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, classes) -> DataFrame:
+def linked(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, classes, n_words: int, percent: int) -> DataFrame:
     """The pairs (a, b) that link, by the whole sets of their texts: ``rows`` (doc_id, hash, text)."""
     parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / TREE).alias("trees"))
     pairs = pairs.hint("merge").join(parts, "a").select("a", "b", F.pmod(F.hash("b"), F.col("trees")).cast("int").alias("tree"))
@@ -214,11 +215,11 @@ def linked(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, classes) -> Data
         def done():
             probe = held.pop(key[0])
             names = list(held)
-            return [(key[0], names[i]) for i in tree_links(probe, [held[x] for x in names])]
+            return [(key[0], names[i]) for i in tree_links(probe, [held[x] for x in names], percent)]
 
         out = []
         for piece in common.pieces(batches, "text"):
-            token, edge = ordered_sets(*common.raw(common.column(piece, "text")), classes.value)
+            token, edge = ordered_sets(*common.raw(common.column(piece, "text")), classes.value, n_words)
             for i, (a, tree, node) in enumerate(zip(*(common.column(piece, c).to_pylist() for c in ("a", "tree", "node")))):
                 if key != (a, tree):
                     if key:
@@ -234,66 +235,67 @@ def linked(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, classes) -> Data
     return rows.mapInArrow(run, "a bigint, b bigint")
 
 
-def _meeting(nodes: DataFrame) -> DataFrame:
+def _meeting(nodes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of ``nodes`` (node, n, component, prefix) of different components whose prefixes share what they must."""
     # What two prefixes share is counted: a set of n whose partner has
-    # m shares at least I = ceil(PERCENT * (n + m) / (100 + PERCENT)), so of its prefix at most n - I shingles are not the partner's, and
+    # m shares at least I = ceil(percent * (n + m) / (100 + percent)), so of its prefix at most n - I shingles are not the partner's, and
     # the prefix that ends first in the global order has all others in common with the other prefix.
     at = nodes.select("node", "n", "component", F.posexplode("prefix").alias("place", "token"))
     left, right = at.alias("l"), at.alias("r")
 
     def shift(x: str, y: str) -> Column:
         """What stands before a common shingle in one set and not in the other is at most n - I."""
-        return ((F.col(f"{x}.place") - F.col(f"{y}.place")) * (100 + PERCENT)
-                <= 100 * F.col(f"{x}.n") - PERCENT * F.col(f"{y}.n"))
+        return ((F.col(f"{x}.place") - F.col(f"{y}.place")) * (100 + percent)
+                <= 100 * F.col(f"{x}.n") - percent * F.col(f"{y}.n"))
 
     meet = left.hint("merge").join(right, (F.col("l.token") == F.col("r.token")) & (F.col("l.node") < F.col("r.node"))
-                                   & (F.col("l.component") != F.col("r.component")) & fits(F.col("l.n"), F.col("r.n"))
+                                   & (F.col("l.component") != F.col("r.component")) & fits(F.col("l.n"), F.col("r.n"), percent)
                                    & shift("l", "r") & shift("r", "l"))
     shared = meet.groupBy(F.col("l.node").alias("a"), F.col("r.node").alias("b")).agg(
         F.count(F.lit(1)).alias("shared"), F.first("l.n").alias("n"), F.first("r.n").alias("m"))
-    need = F.ceil((F.col("n") + F.col("m")) * PERCENT / (100 + PERCENT) - 1e-6) - F.ceil(F.greatest("n", "m") * PERCENT / 100 - 1e-6) + 1
+    need = F.ceil((F.col("n") + F.col("m")) * percent / (100 + percent) - 1e-6) - F.ceil(F.greatest("n", "m") * percent / 100 - 1e-6) + 1
     return shared.filter(F.col("shared") >= need).select("a", "b")
 
 
-def _connected(nodes: DataFrame, rows: DataFrame, classes) -> DataFrame:
+def _connected(nodes: DataFrame, rows: DataFrame, classes, n_words: int, percent: int) -> DataFrame:
     """(node, component) by the two rounds, which verify no pair that is connected already."""
     # First round: of the nodes that share a minimum, the one with the fewest shingles of its own. In a large group of near
     # copies the shingles that edits made are rare and those of the original are not, so that is the original.
     minima = nodes.select("node", "rare", F.posexplode("minima").alias("k", "value"))
     least = minima.groupBy("k", "value").agg(F.min(F.struct("rare", "node"))["node"].alias("a"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
     stars = minima.hint("merge").join(least, ["k", "value"]).filter("node <> a").select("a", F.col("node").alias("b")).distinct()
-    first = common.cut(linked(common.cut(_near(stars, nodes)), rows, nodes, classes))
+    first = common.cut(linked(common.cut(_near(stars, nodes, percent)), rows, nodes, classes, n_words, percent))
     known = components(first)
 
     # Second round: prefixes that meet across components.
     at = nodes.select("node", "n", "prefix").join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    second = common.cut(linked(common.cut(_near(_meeting(at), nodes)), rows, nodes, classes))
+    second = common.cut(linked(common.cut(_near(_meeting(at, percent), nodes, percent)), rows, nodes, classes, n_words, percent))
     return components(first.union(second))
 
 
-def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", links: bool = False) -> DataFrame:
+def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", links: bool = False, n_words: int = N, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, hash) per document row; ``hash`` is of the text, to find the row again. With ``links`` also
     ``n_links``, the number of other rows that the row links with, rows of the same set among them; this verifies each pair of
     different sets that could link, within groups of near copies too, whose pairs grow with the square of their size. Runs jobs."""
     spark = docs.sparkSession
     whole = common.text_of(docs, text)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), whole.alias("text"), F.xxhash64(whole).alias("hash"))
-    classes = spark.sparkContext.broadcast(_classes(rows.select("text")))
-    found = _features(rows, classes)
+    classes = spark.sparkContext.broadcast(_classes(rows.select("text"), n_words))
+    found = _features(rows, classes, n_words, percent)
     sets = found.filter("n > 0").groupBy("h1", "h2").agg(F.min(F.when(F.size("prefix") > 0, F.col("node"))).alias("node"), F.min("doc_id").alias("label"),
                                                          F.count(F.lit(1)).alias("rows"))
     sets = common.cut(sets)
     nodes = common.cut(found.join(sets.select("node"), "node", "left_semi").drop("h1", "h2"))
 
     if links:
-        every = common.cut(linked(common.cut(_near(_meeting(nodes.withColumn("component", F.col("node"))), nodes)), rows, nodes, classes))
+        pairs = common.cut(_near(_meeting(nodes.withColumn("component", F.col("node")), percent), nodes, percent))
+        every = common.cut(linked(pairs, rows, nodes, classes, n_words, percent))
         final = components(every)
         other = every.union(every.select("b", "a")).toDF("node", "other").join(sets.select(F.col("node").alias("other"), "rows"), "other")
         sets = sets.join(other.groupBy("node").agg(F.sum("rows").alias("linked")), "node", "left").withColumn(
             "n_links", F.coalesce("linked", F.lit(0)) + F.col("rows") - 1)
     else:
-        final = _connected(nodes, rows, classes)
+        final = _connected(nodes, rows, classes, n_words, percent)
     count = ["n_links"] if links else []
     named = sets.join(final, "node", "left").select("h1", "h2", "label", *count, F.coalesce("component", "node").alias("component"))
     lowest = named.groupBy("component").agg(F.min("label").alias("component_id"))
@@ -305,9 +307,9 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", links: boo
     return joined.unionByName(alone)
 
 
-def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_words: int = N, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs``, unchanged, whose id names their component; repeated rows of such an id and text once."""
-    keep = join(docs, doc_id, text).filter("doc_id <=> component_id").select(F.col("doc_id").alias("keep_id"), F.col("hash").alias("keep_hash")).distinct()
+    keep = join(docs, doc_id, text, n_words=n_words, percent=percent).filter("doc_id <=> component_id").select(F.col("doc_id").alias("keep_id"), F.col("hash").alias("keep_hash")).distinct()
     names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
     rows = docs.select(*[F.col(f"`{c}`").alias(a) for c, a in names.items()], F.xxhash64(common.text_of(docs, text)).alias("hash"))
     met = rows.join(keep, F.col(names[doc_id]).cast("long").eqNullSafe(F.col("keep_id")) & (F.col("hash") == F.col("keep_hash")))

@@ -32,8 +32,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 @_stage
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents connected by links, the one with the smallest id."""
-    return prefix_tree.one_of_each(docs)
+    """Of each group of documents connected by links (Jaccard of 5-word shingles at least 0.8), the one with the smallest id."""
+    return prefix_tree.one_of_each(docs, n_words=5, percent=80)
 
 
 @_stage
