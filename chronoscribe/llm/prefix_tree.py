@@ -273,8 +273,14 @@ def _connected(nodes: DataFrame, rows: DataFrame, classes, n_words: int, percent
     return components(first.union(second))
 
 
+def _rank(doc_id: str, text_hash: str) -> Column:
+    """Rows by id, those without one last, then by the hash of the text."""
+    return F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("doc_id"), F.col(text_hash).alias("hash"))
+
+
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", links: bool = False, n_words: int = N, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id, hash) per document row; ``hash`` is of the text, to find the row again. With ``links`` also
+    """(doc_id, n_shingles, component_id, hash, first) per document row; ``hash`` is of the text, to find the row again, and ``first``
+    tells the component's first row (by id, nulls last, then by hash) and its repetitions. With ``links`` also
     ``n_links``, the number of other rows that the row links with, rows of the same set among them; this verifies each pair of
     different sets that could link, within groups of near copies too, whose pairs grow with the square of their size. Runs jobs."""
     spark = docs.sparkSession
@@ -282,7 +288,8 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", links: boo
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), whole.alias("text"), F.xxhash64(whole).alias("hash"))
     classes = spark.sparkContext.broadcast(_classes(rows.select("text"), n_words))
     found = _features(rows, classes, n_words, percent)
-    sets = found.filter("n > 0").groupBy("h1", "h2").agg(F.min(F.when(F.size("prefix") > 0, F.col("node"))).alias("node"), F.min("doc_id").alias("label"),
+    sets = found.filter("n > 0").groupBy("h1", "h2").agg(F.min(F.when(F.size("prefix") > 0, F.col("node"))).alias("node"),
+                                                         F.min(_rank("doc_id", "hash")).alias("least"),
                                                          F.count(F.lit(1)).alias("rows"))
     sets = common.cut(sets)
     nodes = common.cut(found.join(sets.select("node"), "node", "left_semi").drop("h1", "h2"))
@@ -297,19 +304,21 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", links: boo
     else:
         final = _connected(nodes, rows, classes, n_words, percent)
     count = ["n_links"] if links else []
-    named = sets.join(final, "node", "left").select("h1", "h2", "label", *count, F.coalesce("component", "node").alias("component"))
-    lowest = named.groupBy("component").agg(F.min("label").alias("component_id"))
-    of_set = named.join(lowest, "component").select("h1", "h2", "component_id", *count)
+    named = sets.join(final, "node", "left").select("h1", "h2", "least", *count, F.coalesce("component", "node").alias("component"))
+    lowest = named.groupBy("component").agg(F.min("least").alias("first"))
+    of_set = named.join(lowest, "component").select("h1", "h2", "first", *count)
     out = found.select("doc_id", "hash", "n", F.when(F.col("n") > 0, F.col("h1")).alias("h1"), F.when(F.col("n") > 0, F.col("h2")).alias("h2"))
-    joined = out.filter("n > 0").hint("merge").join(of_set, ["h1", "h2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "hash", *count)
+    joined = out.filter("n > 0").hint("merge").join(of_set, ["h1", "h2"]).select("doc_id", F.col("n").alias("n_shingles"), F.col("first.doc_id").alias("component_id"), "hash", *count,
+                                                                             (F.col("first") == _rank("doc_id", "hash")).alias("first"))
     alone = out.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "hash",
-                                       *[F.lit(0).cast("long").alias(c) for c in count])
+                                       *[F.lit(0).cast("long").alias(c) for c in count], F.lit(True).alias("first"))
     return joined.unionByName(alone)
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_words: int = N, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs``, unchanged, whose id names their component; repeated rows of such an id and text once."""
-    keep = join(docs, doc_id, text, n_words=n_words, percent=percent).filter("doc_id <=> component_id").select(F.col("doc_id").alias("keep_id"), F.col("hash").alias("keep_hash")).distinct()
+    """One row of each component of ``docs``, unchanged: the one with the least id (nulls last) and, of several, the least hash of the text."""
+    keep = join(docs, doc_id, text, n_words=n_words, percent=percent).filter("first").select(
+        F.col("doc_id").alias("keep_id"), F.col("hash").alias("keep_hash")).distinct()
     names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
     rows = docs.select(*[F.col(f"`{c}`").alias(a) for c, a in names.items()], F.xxhash64(common.text_of(docs, text)).alias("hash"))
     met = rows.join(keep, F.col(names[doc_id]).cast("long").eqNullSafe(F.col("keep_id")) & (F.col("hash") == F.col("keep_hash")))

@@ -88,6 +88,18 @@ def test_number_of_links(spark, monkeypatch):
     assert sorted([(x[0], x[3]) for x in got], key=repr) == sorted([(d, n) for (d, _), n in zip(rows, want)], key=repr)
 
 
+def test_one_of_rows_without_an_id_or_of_one_id(spark):
+    """Of linked rows of different texts one stays, also if none has an id or all have the same."""
+    words = [[f"g{g}w{i}" for i in range(100)] for g in range(4)]
+    copies = lambda g: [" ".join(words[g]), *[" ".join(words[g][:-1] + [f"e{k}"]) for k in range(3)]]
+    rows = [*[(None, t) for t in copies(0)], *[(7, t) for t in copies(1)], *zip((None, 9, 9, None), copies(2)), *[(7, t) for t in copies(3)[:2]], (None, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = pt.one_of_each(df).collect()
+    assert set(kept) <= set(df.collect())
+    group = lambda r: (r.doc_id, r.text.partition("w")[0])
+    assert sorted(map(group, kept), key=repr) == sorted([(None, "g0"), (7, "g1"), (9, "g2"), (7, "g3"), (None, "")], key=repr)
+
+
 def test_chain_of_links(spark):
     """Neighbours link, the ends do not: one component nevertheless."""
     words = [f"v{i}" for i in range(400)]
