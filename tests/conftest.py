@@ -1,4 +1,3 @@
-import datetime as dt
 import os
 import sys
 
@@ -9,8 +8,6 @@ sys.path.insert(0, ROOT)
 # Workers import the package and the functions of the test modules.
 os.environ["PYTHONPATH"] = os.pathsep.join([ROOT, os.path.join(ROOT, "tests"), os.environ.get("PYTHONPATH", "")])
 
-BASE = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
-
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
@@ -22,23 +19,3 @@ def spark(tmp_path_factory):
     s.sparkContext.setLogLevel("OFF")
     yield s
     s.stop()
-
-
-def at(seconds: float) -> dt.datetime:
-    return BASE + dt.timedelta(seconds=seconds)
-
-
-CAPTURE_SCHEMA = ("id long, ts timestamp, device string, appName string, windowTitle string, ocrText string, "
-                  "fullOcrText string, textHash string, isSummarized boolean, frameType string, keyframeId long, "
-                  "changePercentage double")
-
-
-def captures(spark, rows):
-    """Rows are dicts with at least id and t (seconds)."""
-    out = []
-    for r in rows:
-        text = r.get("text", f"text {r['id']}")
-        out.append((r["id"], at(r["t"]), r.get("device", "d"), r.get("app", "A"), r.get("title"), text,
-                    r.get("full", text), r.get("hash", "h"), r.get("done", False), r.get("type", "keyframe"),
-                    r.get("parent"), r.get("change", 1.0)))
-    return spark.createDataFrame(out, CAPTURE_SCHEMA)

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronoscribe.operators import frames
-from conftest import at
+from helpers import at
 
 
 def frame_table(spark, images, stream="s"):

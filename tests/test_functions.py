@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from chronoscribe.functions import clock, numbers, replies, text
 from chronoscribe.params import Params
 from chronoscribe.plans.prompts import Templates
-from conftest import at
+from helpers import at
 
 
 def one(spark, col, **values):

@@ -8,7 +8,7 @@ from chronoscribe import schema as S
 from chronoscribe.operators import dedup
 from chronoscribe.streaming import capture, chunks, machine
 from chronoscribe.operators import sequence as seq
-from conftest import at, captures
+from helpers import at, captures
 
 
 def observations(spark, rows):

@@ -10,7 +10,7 @@ from chronoscribe.plans.complete import Completion, CompletionError
 from chronoscribe.plans.prompts import Templates
 from chronoscribe.sources import tables
 from chronoscribe.streaming import chunks as stream_chunks
-from conftest import at, captures
+from helpers import at, captures
 
 
 def test_retry_rules():

@@ -7,7 +7,7 @@ from chronoscribe.functions.stems import porter, stem
 from chronoscribe.operators import search
 from chronoscribe.plans import api, retrieve
 from chronoscribe.sources import views
-from conftest import at
+from helpers import at
 
 FOLDER = "/root/testdata/sf0.001"
 TEXTS = [

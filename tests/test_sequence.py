@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from chronoscribe.operators import dedup, render, sequence as seq
 from chronoscribe.operators.runs import Runs
-from conftest import at, captures
+from helpers import at, captures
 
 CUT = dict(rows_per_task=5, slices=6)
 

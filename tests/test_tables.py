@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 from chronoscribe import schema as S
 from chronoscribe.operators import joins, retention, scan, stats
 from chronoscribe.sources import tables
-from conftest import at, captures
+from helpers import at, captures
 
 
 def full(spark, rows):
