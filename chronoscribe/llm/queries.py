@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoscribe.llm import chat, common, prefix_tree, quality, radix, secret, sentence, sql, tokens, warc, weighting, winnow
+from chronoscribe.llm import audit, chat, common, prefix_tree, quality, radix, secret, sentence, sql, tokens, warc, weighting, winnow
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -105,6 +105,11 @@ def op7(spark: SparkSession, d: str) -> DataFrame:
     return prefix_tree.join(table(spark, d, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+@query("op11_filter_audit", sql.filter_audit())
+def op11(spark: SparkSession, d: str) -> DataFrame:
+    return audit.audit(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, d: str) -> DataFrame:
     return corpus_pipeline.run(spark, d)

@@ -96,3 +96,24 @@ def winnowing() -> str:
   SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(list, '')) AS items_sha256,
     coalesce(n_hit, 0) > 0 AS contaminated
   FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)"""
+
+
+def filter_audit() -> str:
+    return f"""WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+  f AS (SELECT doc_id, part, t, regexp_extract_all(t, '{_BLANKS}') AS ws, min(doc_id) OVER (PARTITION BY t) AS low FROM d),
+  lab AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+  m AS (SELECT part, CASE WHEN len(ws) < 200 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(ws)) < 50 * len(ws) THEN 2 ELSE 0 END
+      + CASE WHEN 100 * len(regexp_extract_all(t, '[A-Z]')) > 2 * len(t) THEN 4 ELSE 0 END + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+      + CASE WHEN low < doc_id THEN 16 ELSE 0 END AS mask, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic FROM f LEFT JOIN lab USING (doc_id)),
+  c AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY 1, 2),
+  x AS (SELECT unnest(string_split('ABCDE', '')) AS l),
+  o AS (SELECT a.l || b.l || c.l || d.l || e.l AS filter_order FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5),
+  s AS (SELECT filter_order, CAST(i AS INTEGER) AS step, filter_order[i] AS filter, 1 << (ascii(filter_order[i]) - 65) AS bit,
+      CAST(coalesce(list_sum(list_transform(string_split(left(filter_order, i - 1), ''), lambda y: CASE WHEN y = '' THEN 0 ELSE 1 << (ascii(y) - 65) END)), 0) AS INTEGER) AS before
+    FROM o, range(1, 6) r(i)),
+  t AS (SELECT part, filter_order, step, filter, sum(n) FILTER (mask & (before | bit) = 0) AS kept, sum(n) FILTER (mask & before = 0 AND mask & bit <> 0) AS removed,
+      sum(n) FILTER (mask & before <> 0 AND mask & bit <> 0) AS redundant, sum(n) FILTER (mask = bit) AS unique_fails,
+      sum(good) FILTER (mask & before = 0 AND mask & bit <> 0) AS good_lost, sum(toxic) FILTER (mask & before = 0 AND mask & bit <> 0) AS toxic_lost
+    FROM c, s GROUP BY 1, 2, 3, 4)
+  SELECT part, filter_order, step, filter, {", ".join(f"CAST(coalesce({c}, 0) AS BIGINT) AS {c}" for c in ("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost"))},
+    CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, filter) AS BIGINT) AS shapley FROM t"""
