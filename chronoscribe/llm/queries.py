@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoscribe.llm import audit, chat, common, prefix_tree, quality, radix, secret, sentence, sql, tokens, warc, weighting, winnow
+from chronoscribe.llm import audit, chat, common, packing, prefix_tree, quality, radix, secret, sentence, sql, tokens, warc, weighting, winnow
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -110,6 +110,12 @@ def op11(spark: SparkSession, d: str) -> DataFrame:
     return audit.audit(table(spark, d, "documents"), table(spark, d, "labels"))
 
 
+@query("op12_best_fit_packing")
+def op12(spark: SparkSession, d: str) -> DataFrame:
+    packed = packing.pack(table(spark, d, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end=1)
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, d: str) -> DataFrame:
     return corpus_pipeline.run(spark, d)
