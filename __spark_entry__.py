@@ -1193,48 +1193,70 @@ def _(spark, d):
 # -- streams, drained into a table ---------------------------------------------------------------------------
 
 
-def _drained(stream, spark):
-    path = scratch(spark, "drained")
-    (stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", scratch(spark, "stream")).outputMode("append")
-     .trigger(availableNow=True).start().awaitTermination())
+def _drained(spark, parts, transform=lambda s: s, **options):
+    """The rows that ``transform`` gives for a stream that gets ``parts`` one after the other; each is drained before the next comes."""
+    source, checkpoint, path = scratch(spark, "source"), scratch(spark, "stream"), scratch(spark, "drained")
+    for part in parts:
+        part.write.mode("append").parquet(source)
+        stream = transform(cap_stream.stream_captures(spark, source, part.schema, **options))
+        (stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
+         .trigger(availableNow=True).start().awaitTermination())
     return spark.read.schema(stream.schema).parquet(path)
 
 
-def _streamed(spark, df, **options):
-    path = scratch(spark, "source")
-    df.write.parquet(path)
-    return cap_stream.stream_captures(spark, path, df.schema, **options)
+def _far(rows):
+    """A row so late that the watermark passes all others; its own key stays waiting."""
+    none = {f.name: F.lit(None).cast(f.dataType) for f in rows.schema.fields}
+    far = {"id": F.lit(-1), "ts": F.lit("2099-01-01 00:00:00").cast("timestamp"), "device": F.lit(-1)}
+    one = rows.sparkSession.range(1)
+    return one.select(*[far.get(c, none[c]).cast(rows.schema[c].dataType).alias(c) for c in rows.columns])
 
 
 @query("stream_captures", "SELECT conv_id * 1000 + turn AS id, CAST(conv_id AS VARCHAR) AS device, role AS appName, text AS fullText FROM conversations")
 def _(spark, d):
-    return _drained(_streamed(spark, views.observations_of_conversations(spark, d), max_files=1), spark).select("id", "device", "appName", "fullText")
+    return _drained(spark, [views.observations_of_conversations(spark, d)], max_files=1).select("id", "device", "appName", "fullText")
 
 
 @query("dedup_consecutive_stream", f"""WITH {EV}, p AS (SELECT id, device, textHash, lag(textHash) OVER (PARTITION BY device ORDER BY ts, id) AS h FROM events_c)
   SELECT id, device FROM p WHERE h IS NULL OR h <> textHash""")
 def _(spark, d):
     rows = events(spark, d).select("id", "ts", "device", "textHash")
-    return _drained(cap_stream.dedup_consecutive_stream(_streamed(spark, rows)), spark).select("id", "device")
+    return _drained(spark, [rows], cap_stream.dedup_consecutive_stream).select("id", "device")
+
+
+@query("dedup_consecutive_stream_unordered", f"""WITH {EV}, p AS (SELECT id, device, appName, textHash, lag(textHash) OVER (PARTITION BY device ORDER BY ts, id) AS h FROM events_c)
+  SELECT id, device, appName FROM p WHERE h IS NULL OR h <> textHash""")
+def _(spark, d):
+    rows = events(spark, d).select("id", "ts", "device", "appName", "textHash")
+    # The later half arrives first; both wait for the watermark.
+    parts = [rows.filter("id % 2 = 1"), rows.filter("id % 2 = 0"), _far(rows)]
+    return _drained(spark, parts, lambda s: cap_stream.dedup_consecutive_stream(s, delay="4000 days", bucket="1 day")).select("id", "device", "appName")
 
 
 @query("dedup_within", f"WITH {EV} SELECT DISTINCT device, textHash FROM events_c")
 def _(spark, d):
     rows = events(spark, d).select("id", "ts", "device", "textHash")
-    return _drained(cap_stream.dedup_within(_streamed(spark, rows, max_files=1), "4000 days"), spark).select("device", "textHash")
+    return _drained(spark, [rows], lambda s: cap_stream.dedup_within(s, "4000 days"), max_files=1).select("device", "textHash")
 
 
 @query("chunk_by_time_stream", f"WITH RECURSIVE {EV}, {_windows('events_c', 86400)} SELECT id, device, windowStart, false AS late FROM windowed")
 def _(spark, d):
     rows = events(spark, d).select("id", "ts", "device", "appName")
-    path = scratch(spark, "source")
-    rows.write.parquet(path)
-    # A later row moves the watermark past all others; its own device stays waiting.
-    last = rows.limit(1).select(F.lit(-1).cast("long").alias("id"), F.lit("2099-01-01 00:00:00").cast("timestamp").alias("ts"), F.lit(-1).cast(rows.schema["device"].dataType).alias("device"), "appName")
-    time.sleep(1.1)  # files are taken in order of their time, which has seconds
-    last.coalesce(1).write.mode("append").parquet(path)
-    stream = cap_stream.stream_captures(spark, path, rows.schema, max_files=1)
-    return _drained(chunk_stream.chunk_by_time_stream(stream, window=86_400, delay="4000 days"), spark).select("id", "device", "windowStart", "late")
+    stream = lambda s: chunk_stream.chunk_by_time_stream(s, window=86_400, delay="4000 days", bucket="7 days")
+    return _drained(spark, [rows, _far(rows)], stream).select("id", "device", "windowStart", "late")
+
+
+# Every fifth row comes after all others and two weeks behind; those whose day the watermark has passed are late.
+_LATE = "(id % 5 = 0 AND epoch_ms(ts) // 86400000 < (SELECT epoch_ms(max(ts)) - 14 * 86400000 FROM events_c WHERE id % 5 <> 0) // 86400000)"
+
+
+@query("chunk_by_time_stream_late", f"""WITH RECURSIVE {EV}, seen AS (SELECT * FROM events_c WHERE NOT {_LATE}), {_windows('seen', 86400)}
+  SELECT id, device, windowStart, false AS late FROM windowed UNION ALL SELECT id, device, CAST(NULL AS TIMESTAMP), true FROM events_c WHERE {_LATE}""")
+def _(spark, d):
+    rows = events(spark, d).select("id", "ts", "device", "appName")
+    parts = [rows.filter("id % 5 <> 0"), rows.filter("id % 5 = 0"), _far(rows)]
+    stream = lambda s: chunk_stream.chunk_by_time_stream(s, window=86_400, delay="14 days", bucket="1 day")
+    return _drained(spark, parts, stream).select("id", "device", "windowStart", "late")
 
 
 # -- frames and regions -------------------------------------------------------------------------------------

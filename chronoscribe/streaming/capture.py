@@ -14,6 +14,7 @@ from chronoscribe import schema as S
 from chronoscribe.functions.text import dedup_hash
 from chronoscribe.params import Params
 from chronoscribe.streaming.machine import OUTCOME, State, outcomes_frame, prepare, step
+from chronoscribe.streaming.ordered import Ordered, duration_ms, in_order, keyed_state
 
 _STATE = T.StructType([
     T.StructField("seen", T.BooleanType()), T.StructField("lastHash", T.StringType()),
@@ -76,6 +77,7 @@ def classify_frames_stream(observations: DataFrame, params: Params = Params(),
     """Streaming form of ``classify_frames`` keyed by ``device``. ``restored`` (see
     ``restore_state``) starts a new query from stored captures."""
     rows = prepare(observations)
+    keyed_state(rows.sparkSession)
     schema = T.StructType([*[f for f in rows.schema.fields if f.name in _KEEP], *OUTCOME.fields])
     schema = T.StructType(sorted(schema.fields, key=lambda f: ([*_KEEP, *OUTCOME.names].index(f.name))))
     initial = None
@@ -89,9 +91,12 @@ def classify_frames_stream(observations: DataFrame, params: Params = Params(),
         initialState=initial)
 
 
+_HASH = T.StructType([T.StructField("hash", T.StringType())])
+
+
 class _LastHash(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", T.StructType([T.StructField("hash", T.StringType())]))
+        self.last = handle.getValueState("last", _HASH)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(rows)).sort_values(["ts", "id"], kind="stable")
@@ -104,11 +109,43 @@ class _LastHash(StatefulProcessor):
         pass
 
 
-def dedup_consecutive_stream(captures: DataFrame, key: str = "device", text: str = "fullOcrText") -> DataFrame:
-    """Drop rows whose hash equals that of the row before them in the key."""
+class _LastHashInOrder(Ordered):
+    """Rows of a key that differ from the row before them in time; a late row is dropped."""
+
+    def __init__(self, row: T.StructType, bucket_ms: int, out: list[str], key: str):
+        super().__init__(row, bucket_ms)
+        self.out, self.key, self.at = out, key, row.fieldNames().index("textHash")
+
+    def open(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", _HASH)
+
+    def advance(self, key, rows: list[tuple]) -> pd.DataFrame:
+        before = self.last.get()[0] if self.last.exists() else None
+        kept = []
+        for r in rows:
+            if r[self.at] != before:
+                kept.append(r)
+            before = r[self.at]
+        self.last.update((before,))
+        frame = pd.DataFrame(kept, columns=self.names).astype({"us": "int64"})
+        return frame.assign(**{self.key: key[0], "ts": pd.to_datetime(frame["us"], unit="us")})[self.out]
+
+
+def dedup_consecutive_stream(captures: DataFrame, key: str = "device", text: str = "fullOcrText", delay: str | None = None,
+                             bucket: str | None = None) -> DataFrame:
+    """Drop rows whose hash equals that of the row before them in the key.
+
+    Without ``delay`` rows are taken in the order in which they arrive, sorted within a batch. With it they wait until the
+    watermark has passed them (see ``ordered``), so that the result does not depend on how they arrive; what comes later is dropped."""
     rows = captures if "textHash" in captures.columns else captures.withColumn("textHash", dedup_hash(text))
-    return rows.groupBy(key).transformWithStateInPandas(
-        statefulProcessor=_LastHash(), outputStructType=rows.schema, outputMode="Append", timeMode="None")
+    keyed_state(rows.sparkSession)
+    if delay is None:
+        return rows.groupBy(key).transformWithStateInPandas(
+            statefulProcessor=_LastHash(), outputStructType=rows.schema, outputMode="Append", timeMode="None")
+    bucket_ms = duration_ms(bucket) if bucket else max(1, duration_ms(delay) // 16)
+    row = T.StructType([T.StructField("us", T.LongType()), rows.schema["id"], *[f for f in rows.schema.fields if f.name not in (key, "id", "ts")]])
+    timed = rows.withWatermark("ts", delay).withColumn("us", F.unix_micros("ts"))
+    return in_order(timed, key, _LastHashInOrder(row, bucket_ms, rows.columns, key), rows.schema)
 
 
 def dedup_within(captures: DataFrame, delay: str = "300 seconds", keys: list[str] = ("device",),

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessorHandle
 
 from chronoscribe.operators.retention import derive_summarized
 from chronoscribe.params import Params
@@ -17,83 +15,62 @@ from chronoscribe.plans.prompts import Templates
 from chronoscribe.plans.summarize import progressive_summarize
 from chronoscribe.sources.tables import append_summaries, append_token_usage, read_captures, read_summaries
 from chronoscribe.session import durable
+from chronoscribe.streaming.ordered import Ordered, duration_ms, in_order
 
-_ROW = T.StructType([T.StructField("us", T.LongType()), T.StructField("id", T.LongType()),
-                     T.StructField("appName", T.StringType())])
-_MARKS = T.StructType([T.StructField("anchor", T.LongType()), T.StructField("released", T.LongType())])
+_MARK = T.StructType([T.StructField("anchor", T.LongType())])
 
 
-class AnchorProcessor(StatefulProcessor):
-    """Holds rows until the watermark has passed them, then marks them in time order.
+class AnchorProcessor(Ordered):
+    """Marks the rows of a key with the start of their window.
 
-    A row older than one already marked comes too late for its window; it is emitted with
-    ``late`` set and no window, so that a caller can route it to a side table."""
+    A late row is emitted at once with ``late`` set and no window, so that a caller can route it to a side table. The start is
+    forgotten when the watermark has passed its window: the next row opens a new one in any case."""
 
-    def __init__(self, window_us: int, key: str):
+    def __init__(self, row: T.StructType, bucket_ms: int, window_us: int, key: str):
+        super().__init__(row, bucket_ms)
         self.window_us, self.key = window_us, key
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.waiting = handle.getListState("waiting", _ROW)
-        self.marks = handle.getValueState("marks", _MARKS)
-
-    def _emit(self, key, rows: list[tuple]) -> pd.DataFrame:
-        ts = pd.to_datetime([r[0] for r in rows], unit="us")
-        start = pd.to_datetime([r[3] for r in rows], unit="us")
-        return pd.DataFrame({self.key: [key[0]] * len(rows), "id": [r[1] for r in rows], "ts": ts,
-                             "appName": [r[2] for r in rows], "windowStart": start,
-                             "late": [r[3] is None for r in rows]})
-
-    def _release(self, key, rows: list[tuple], watermark_us: int) -> Iterator[pd.DataFrame]:
-        anchor, released = self.marks.get() if self.marks.exists() else (None, None)
-        rows.sort(key=lambda r: (r[0], r[1]))
-        out, keep = [], []
-        for us, rid, app in rows:
-            if released is not None and us < released:
-                out.append((us, rid, app, None))
-            elif us <= watermark_us:
-                if anchor is None or us - anchor >= self.window_us:
-                    anchor = us
-                released = us
-                out.append((us, rid, app, anchor))
-            else:
-                keep.append((us, rid, app))
-        if anchor is not None:
-            self.marks.update((anchor, released))
-        if keep:
-            self.waiting.put(keep)
-            self.handle.registerTimer(keep[-1][0] // 1000 + 1)
-        else:
-            self.waiting.clear()
-        if out:
-            yield self._emit(key, out)
-
-    def _held(self) -> list[tuple]:
-        return [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        fresh = [(int(r.us), int(r.id), r.appName) for pdf in rows for r in pdf.itertuples(index=False)]
-        yield from self._release(key, self._held() + fresh, timerValues.getCurrentWatermarkInMs() * 1000)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self._release(key, self._held(), timerValues.getCurrentWatermarkInMs() * 1000)
-
-    def close(self) -> None:
-        pass
-
-
-def chunk_by_time_stream(captures: DataFrame, key: str = "device", window: float = 300.0,
-                         delay: str = "300 seconds") -> DataFrame:
-    """``(key, id, ts, appName, windowStart, late)``. ``delay`` is the time allowed for late rows."""
-    rows = captures.withWatermark("ts", delay).withColumn("us", F.unix_micros("ts")).select(
-        key, "id", "ts", "us", "appName")
-    schema = T.StructType([
-        rows.schema[key], T.StructField("id", T.LongType()), T.StructField("ts", T.TimestampType()),
-        T.StructField("appName", T.StringType()), T.StructField("windowStart", T.TimestampType()),
-        T.StructField("late", T.BooleanType())])
-    return rows.groupBy(key).transformWithStateInPandas(
-        statefulProcessor=AnchorProcessor(int(window * 1_000_000), key), outputStructType=schema,
-        outputMode="Append", timeMode="EventTime")
+    def open(self, handle: StatefulProcessorHandle) -> None:
+        self.mark = handle.getValueState("mark", _MARK)
+
+    def _frame(self, key, rows: list[tuple], starts: list[int | None]) -> pd.DataFrame:
+        us, ids, *rest = zip(*rows)
+        return pd.DataFrame({self.key: [key[0]] * len(rows), "id": ids, "ts": pd.to_datetime(us, unit="us"),
+                             **dict(zip(self.names[2:], rest)), "windowStart": pd.to_datetime(pd.Series(starts, dtype="Int64"), unit="us"),
+                             "late": [s is None for s in starts]})
+
+    def advance(self, key, rows: list[tuple]) -> pd.DataFrame:
+        anchor = self.mark.get()[0] if self.mark.exists() else None
+        starts = []
+        for us, *_ in rows:
+            if anchor is None or us - anchor >= self.window_us:
+                anchor = us
+            starts.append(anchor)
+        self.mark.update((anchor,))
+        self.handle.registerTimer(-(-self._over(anchor) // self.bucket_ms) * self.bucket_ms)
+        return self._frame(key, rows, starts)
+
+    def late(self, key, rows: list[tuple]) -> pd.DataFrame:
+        return self._frame(key, sorted(rows, key=lambda r: r[:2]), [None] * len(rows))
+
+    def _over(self, anchor: int) -> int:
+        return -(-(anchor + self.window_us) // 1000)
+
+    def settled(self, until_ms: int) -> None:
+        if self.mark.exists() and self._over(self.mark.get()[0]) <= until_ms:
+            self.mark.clear()
+
+
+def chunk_by_time_stream(captures: DataFrame, key: str = "device", window: float = 300.0, delay: str = "300 seconds",
+                         bucket: str | None = None) -> DataFrame:
+    """``(key, id, ts, appName, windowStart, late)``. ``delay`` is the time allowed for late rows; they wait in buckets of
+    length ``bucket`` (a sixteenth of the delay), and a row is late once its bucket has ended before the watermark."""
+    bucket_ms = duration_ms(bucket) if bucket else max(1, duration_ms(delay) // 16)
+    rows = captures.withWatermark("ts", delay).withColumn("us", F.unix_micros("ts"))
+    row = T.StructType([T.StructField("us", T.LongType()), T.StructField("id", T.LongType()), rows.schema["appName"]])
+    out = T.StructType([rows.schema[key], row["id"], T.StructField("ts", T.TimestampType()), row["appName"],
+                        T.StructField("windowStart", T.TimestampType()), T.StructField("late", T.BooleanType())])
+    return in_order(rows, key, AnchorProcessor(row, bucket_ms, int(window * 1_000_000), key), out)
 
 
 def summarize_pending(spark, captures_path: str, summaries_path: str, usage_path: str, now, complete: Complete,
