@@ -20,11 +20,12 @@ ignored.
 from __future__ import annotations
 
 import os
+import re
 import zlib
-from array import array
 from bisect import bisect_left, insort
 from collections import Counter
 from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -35,15 +36,26 @@ from pyspark.sql import functions as F
 
 from chronoscribe.llm import common
 
-#: Chunks that a worker remembers, and the longest one; beyond that the memory starts anew.
-REMEMBERED, LONGEST = 500_000, 64
+#: Chunks, and characters of them, that a worker remembers; beyond either the memory starts anew.
+REMEMBERED, CHARACTERS = 500_000, 16 << 20
+#: Words that normalization leaves a single run of letters: such a word is one word of the tokenizer.
+_PLAIN = re.compile("[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+")
+#: The pattern that the cuts below hold for; a fixed value.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_LETTER, _DIGIT, _SIGN = 1, 2, 3
+_KIND = np.zeros(256, np.uint8)
+_KIND[33:127] = _SIGN
+_KIND[48:58] = _DIGIT
+_KIND[[*range(65, 91), *range(97, 123)]] = _LETTER
 
 
 class Encoder:
     """The tokenizers library behind a memory of chunks.
 
-    Chunks are cut behind blanks and line breaks. This holds for tokenizers that drop white space before any merge and
-    whose normalization does not look across a blank; for all others whole texts go to the library."""
+    Where the tokenizer drops white space, splits by ``_PATTERN`` and normalizes nothing across ASCII signs, a text is cut at blanks
+    and line breaks, around digits, behind letters before a sign, and behind a sign other than ``'`` before a letter. Each is an end of
+    a word of the pattern whatever stands around it. New plain words are encoded many in one call, and told apart by the mark
+    that each word's last token has. For all other tokenizers whole texts go to the library."""
 
     def __init__(self, path: str):
         import json
@@ -54,27 +66,53 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             said = json.load(f)
-        steps = (said.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
-        pattern = (steps[0].get("pattern") or {}).get("Regex", "")
+        split = ((said.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
         normal = {n.get("type") for n in (said.get("normalizer") or {}).get("normalizers", [])}
-        self.chunked = (steps[0].get("type") == "Split" and steps[0].get("behavior") == "Removed" and steps[0].get("invert") is True
-                        and pattern.endswith("[^\\s\\p{L}\\p{N}]+") and normal <= {"NFC", "Replace", "Lowercase"}
-                        and said.get("post_processor") is None and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or " " in t["content"]
-                                                                           for t in said.get("added_tokens", [])))
-        self.chunks: dict[str, np.ndarray] = {}
+        suffix = said["model"].get("end_of_word_suffix")
+        self.added = [t["content"].encode() for t in said.get("added_tokens", [])]
+        self.chunked = ((split.get("type"), split.get("behavior"), split.get("invert")) == ("Split", "Removed", True)
+                        and split["pattern"].get("Regex") == _PATTERN and normal <= {"NFC", "Replace", "Lowercase"} and bool(suffix)
+                        and said.get("post_processor") is None
+                        and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or not t["content"].isprintable() or " " in t["content"]
+                                    for t in said.get("added_tokens", [])))
+        self.last = np.zeros(self.library.get_vocab_size(), bool)
+        if self.chunked:
+            for token, i in said["model"]["vocab"].items():
+                self.last[i] = token.endswith(suffix)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.place: dict[str, int] = {}
+        self.flat, self.first, self.characters = np.zeros(0, np.uint32), np.zeros(1, np.int64), 0
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.frombuffer(array("I", e.ids), np.uint32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _known(self, chunks: list[str]) -> list[np.ndarray]:
-        new = [c for c in chunks if c not in self.chunks]
-        if len(self.chunks) + len(new) > REMEMBERED:
-            self.chunks.clear()
-            new = chunks
-        long = {}
-        for c, ids in zip(new, self._ids(new)):
-            (self.chunks if len(c) <= LONGEST else long)[c] = ids
-        return [self.chunks[c] if c in self.chunks else long[c] for c in chunks]
+        return [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, new: list[str]) -> None:
+        plain = [c for c in new if _PLAIN.fullmatch(c)]
+        other = [c for c in new if not _PLAIN.fullmatch(c)]
+        ids = [self._ids([" ".join(plain[i:i + 4096]) for i in range(0, len(plain), 4096)])] if plain else []
+        words = np.concatenate([np.zeros(0, np.uint32), *chain(*ids)])
+        ends = np.flatnonzero(self.last[words]) + 1
+        if len(ends) != len(plain):
+            raise AssertionError("a plain word has not one end")
+        rest = self._ids(other)
+        sizes = np.concatenate([np.diff(ends, prepend=0), np.array(list(map(len, rest)), np.int64)])
+        self.flat = np.concatenate([self.flat, words, *rest])
+        n = len(self.first) - 1
+        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(sizes)])
+        self.place.update(zip(chain(plain, other), range(n, n + len(new))))
+        self.characters += sum(map(len, new))
+
+    def _places(self, chunks: list[str]) -> np.ndarray:
+        if len(self.place) + len(chunks) > REMEMBERED or self.characters > CHARACTERS:
+            self._forget()
+        at = np.fromiter(map(self.place.get, chunks, repeat(-1)), np.int64, len(chunks))
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            self._learn([chunks[i] for i in new.tolist()])
+            at[new] = [self.place[chunks[i]] for i in new.tolist()]
+        return at
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a string column, one after the other, and their number up to each text."""
@@ -84,19 +122,24 @@ class Encoder:
             return np.concatenate([np.zeros(0, np.uint32), *ids]), np.cumsum([0, *map(len, ids)])
         gap = (data == 32) | (data == 10)
         cut = np.zeros(len(data), bool)
-        cut[1:] = gap[:-1] & ~gap[1:]
         cut[off[:-1][np.diff(off) > 0]] = True
-        edges = np.append(np.flatnonzero(cut), len(data)).astype(np.int32)
-        chunks = pa.StringArray.from_buffers(len(edges) - 1, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(data))).dictionary_encode()
-        code = chunks.indices.to_numpy()
-        ids = self._known(chunks.dictionary.to_pylist())
-        size = np.array(list(map(len, ids)), np.int64)
-        table = np.concatenate([np.zeros(0, np.uint32), *ids])
-        count, place = size[code], (np.cumsum(size) - size)[code]
-        before = np.cumsum(count) - count
-        flat = table[np.repeat(place - before, count) + np.arange(count.sum())]
+        cut[1:] |= gap[:-1]
+        blob = data.tobytes()
+        if not any(a in blob for a in self.added):
+            kind = _KIND[data]
+            a, b = kind[:-1], kind[1:]
+            known = (a > 0) & (b > 0)
+            cut[1:] |= known & ((a == _DIGIT) | (b == _DIGIT) | ((a == _LETTER) & (b == _SIGN)) | ((a == _SIGN) & (b == _LETTER) & (data[:-1] != 39)))
+        start = np.flatnonzero(cut & ~gap)
+        before = np.concatenate([[0], np.cumsum(~gap)])
+        edges = np.append(before[start], before[-1]).astype(np.int32)
+        words = pa.StringArray.from_buffers(len(start), pa.py_buffer(edges), pa.py_buffer(data[~gap])).dictionary_encode()
+        at = self._places(words.dictionary.to_pylist())[words.indices.to_numpy()]
+        first = self.first[at]
+        count = self.first[at + 1] - first
         upto = np.concatenate([[0], np.cumsum(count)])
-        return flat, upto[np.searchsorted(edges[:-1], off, "left")]
+        flat = self.flat[np.repeat(first - upto[:-1], count) + np.arange(upto[-1])]
+        return flat, upto[np.searchsorted(start, off, "left")]
 
 
 @lru_cache(maxsize=4)

@@ -134,3 +134,18 @@ def test_small_capacity_and_other_tokenizers(spark, docs, texts):
     made = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode_batch([t or "" for _, t in texts], add_special_tokens=False)
     for (i, _), e in zip(texts, made):
         assert sum((pieces[i][p] for p in sorted(pieces[i])), []) == [*e.ids, 0]
+
+
+def test_encoder_is_the_library():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+    odd = ["a", "B", "don't", "'s", "'", "''t", "1", "23", "x9", "9x", ".", "...", "(", ")", "'tis", "o'clock", "é", "É", "\u0301", "\u0301a", "a\u0301", "1\u20e3", " ", "  ",
+           "\n", "\t", "\r\n", "\x0b", "\x85", "\xa0", "\u2003", "\x00", "\x1c", "<|x", "ΑΣ", "ΑΣ.", "İ", "日本", "ﬁ", "_", "½", "²", "٣", "a'", "'re", "'LL", "I'M", "\u200d", "😀", "ẞ"]
+    rnd, enc, lib = random.Random(2), packing.Encoder(MODEL), Tokenizer.from_file(MODEL)
+    assert enc.chunked
+    for signs in (odd, [*odd, "<|endoftext|>"]):
+        for _ in range(40):
+            texts = ["".join(rnd.choice(signs) for _ in range(rnd.randrange(30))) for _ in range(100)]
+            flat, upto = enc.encode(pa.array(texts))
+            for i, e in enumerate(lib.encode_batch(texts, add_special_tokens=False)):
+                assert flat[upto[i]:upto[i + 1]].tolist() == e.ids, texts[i]
