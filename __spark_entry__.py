@@ -720,6 +720,23 @@ def _(spark, d):
     return machine.classify_frames(views.observations_of_conversations(spark, d)).select("device", "id", "decision", "reason", "stored")
 
 
+@query("classify_frames_sliced", f"WITH RECURSIVE {OBS} SELECT device, id, decision, reason, stored FROM run")
+def _(spark, d):
+    return machine.classify_frames(views.observations_of_conversations(spark, d), cut=True, slices=16).select("device", "id", "decision", "reason", "stored")
+
+
+# All turns as one sequence of one application.
+OBS_ONE = (OBS.replace("CAST(conv_id AS VARCHAR) AS device", "'all' AS device").replace("role AS app", "'app' AS app")
+           .replace("turn * 20 AS sec", "conv_id * 3600 + turn * 20 AS sec").replace("PARTITION BY conv_id ORDER BY turn", "ORDER BY conv_id, turn"))
+
+
+@query("materialize_frames_one_sequence", f"""WITH RECURSIVE {OBS_ONE} SELECT id, ot AS ocrText, ft AS fullOcrText, sha256(last) AS textHash,
+  decision AS frameType, ki AS keyframeId, cp AS changePercentage FROM run WHERE stored""")
+def _(spark, d):
+    rows = views.observations_of_conversations(spark, d).withColumn("appName", F.lit("app")).drop("device")
+    return machine.materialize_frames(rows, [], cut=True, slices=32).select("id", "ocrText", "fullOcrText", "textHash", "frameType", "keyframeId", "changePercentage")
+
+
 @query("materialize_frames", f"""WITH RECURSIVE {OBS} SELECT device, id, ot AS ocrText, ft AS fullOcrText, sha256(last) AS textHash,
   decision AS frameType, ki AS keyframeId, cp AS changePercentage FROM run WHERE stored""")
 def _(spark, d):

@@ -4,9 +4,9 @@
 Within one task the rows arrive in key and value order and one pass marks the
 anchors. A key cut into slices (see ``runs``) is resolved in three steps: each
 slice tells, for every row that could be its first anchor, which anchor would be
-its last; those maps are chained in slice order; then every slice is marked with
-the anchor it inherits. Only rows in the first ``width`` of a slice can be its
-first anchor, so the maps stay a small part of the data.
+its last; those maps are composed in a tree (see ``scans``); then every slice is
+marked with the anchor it inherits. Only rows in the first ``width`` of a slice can be
+its first anchor, and composing two maps keeps it so, so they stay a small part of the data.
 """
 
 from __future__ import annotations
@@ -15,12 +15,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from chronoscribe.operators.runs import _SLICE, Runs
+from chronoscribe.operators.scans import carried
 from chronoscribe.session import stored
 
 
@@ -50,7 +51,7 @@ def _next_start(v: np.ndarray, i: int, n: int, anchor, width, strict: bool) -> i
     return j
 
 
-def _marker(keys: list[str], value: str, width, strict: bool, carried: str | None, starts_only: bool = False):
+def _marker(keys: list[str], value: str, width, strict: bool, inherited: str | None, starts_only: bool = False):
     """mapInArrow function that appends the anchor value of each row, or keeps the first row of
     each window only."""
 
@@ -66,8 +67,8 @@ def _marker(keys: list[str], value: str, width, strict: bool, carried: str | Non
             out, starts = np.empty(len(v), v.dtype), []
             for a, b in zip(edges, [*edges[1:], len(v)]):
                 if new[a]:
-                    given = batch.column(carried)[a].as_py() if carried else None
-                    anchor = v[a] if given is None else given
+                    given = batch.column(inherited)[a].as_py() if inherited else None
+                    anchor = v[a] if given is None else np.frombuffer(given, v.dtype)[0]
                     starts.append(a)
                 # One jump for each window.
                 i = a
@@ -79,8 +80,8 @@ def _marker(keys: list[str], value: str, width, strict: bool, carried: str | Non
                         if not (j == a and new[a]):
                             starts.append(j)
                     i = j
-            arrays = [c for name, c in zip(batch.schema.names, batch.columns) if name != carried]
-            names = [name for name in batch.schema.names if name != carried]
+            arrays = [c for name, c in zip(batch.schema.names, batch.columns) if name != inherited]
+            names = [name for name in batch.schema.names if name != inherited]
             arrays.append(pa.array(out, type=batch.column(value).type))
             marked = pa.RecordBatch.from_arrays(arrays, names=[*names, "__anchor"])
             yield marked.take(pa.array(starts, pa.int64())) if starts_only else marked
@@ -88,83 +89,77 @@ def _marker(keys: list[str], value: str, width, strict: bool, carried: str | Non
     return mark
 
 
-def _exit_maps(keys: list[str], value: str, width, strict: bool):
-    """mapInArrow function: per slice and key, first anchor -> last anchor."""
-    side = "right" if strict else "left"
+class ExitMaps:
+    """A slice's function: the entries that may be its first anchor, in order, and the anchor that each of them leads to. The first
+    entry that opens a window after the inherited anchor counts; if none does, that anchor lasts on."""
 
-    def one(seg: pa.RecordBatch | pa.Table) -> pa.RecordBatch:
-        v = seg.column(value).to_numpy()
+    def __init__(self, dtype, width, strict: bool):
+        self.dtype, self.width, self.strict = np.dtype(dtype), width, strict
+
+    def pack(self, entries: np.ndarray, exits: np.ndarray) -> bytes:
+        # Of neighbours with the same exit the last one answers for all.
+        keep = np.append(exits[1:] != exits[:-1], True) if len(exits) else np.zeros(0, bool)
+        return np.concatenate([entries[keep], exits[keep]]).astype(self.dtype).tobytes()
+
+    def unpack(self, summary: bytes) -> tuple[np.ndarray, np.ndarray]:
+        both = np.frombuffer(summary, self.dtype)
+        return both[:len(both) // 2], both[len(both) // 2:]
+
+    def of(self, v: np.ndarray) -> bytes:
+        """The function of a slice with values ``v``."""
         n = len(v)
-        nxt = np.searchsorted(v, v + width, side=side)
+        nxt = np.searchsorted(v, v + self.width, "right" if self.strict else "left")
         last = list(range(n))
         for i in range(n - 1, -1, -1):
             j = int(nxt[i])
             if j < n:
                 last[i] = last[j]
-        # The slice that opens the key has one possible first anchor: its first row.
-        opens = seg.column("__opens")[0].as_py()
-        reach = 1 if opens else min(n, int(np.searchsorted(v, v[0] + width, side="right")) + 1)
-        exits = v[np.asarray(last[:reach])]
-        # Of neighbours with the same last anchor the final one answers for all.
-        keep = np.append(exits[1:] != exits[:-1], True)
-        rows = np.flatnonzero(keep)
-        cols = [pa.array([seg.column(k)[0].as_py()] * len(rows), type=seg.schema.field(k).type) for k in keys]
-        s = seg.column(_SLICE)[0].as_py()
+        # Later rows lie beyond a window that began before the slice.
+        reach = min(n, int(np.searchsorted(v, v[0] + self.width, "right")) + 1)
+        return self.pack(v[:reach], v[np.asarray(last[:reach])])
+
+    def leave(self, anchor, summary: bytes):
+        """The anchor after the slice; without an inherited one the slice's first row is one."""
+        entries, exits = self.unpack(summary)
+        if anchor is None:
+            return exits[0]
+        i = _next_start(entries, 0, len(entries), anchor, self.width, self.strict)
+        return exits[i] if i < len(entries) else anchor
+
+    def apply(self, state: bytes | None, summary: bytes) -> bytes:
+        anchor = None if state is None else np.frombuffer(state, self.dtype)[0]
+        return np.array([self.leave(anchor, summary)], self.dtype).tobytes()
+
+    def combine(self, a: bytes, b: bytes) -> bytes:
+        entries, exits = self.unpack(a)
+        exits = np.array([self.leave(x, b) for x in exits], self.dtype)
+        # An anchor that outlasts the first slice may be followed in the second one.
+        more, beyond = self.unpack(b)
+        reach = min(len(more), int(np.searchsorted(more, entries[0] + self.width, "right")) + 1)
+        return self.pack(np.concatenate([entries, more[:reach]]), np.concatenate([exits, beyond[:reach]]))
+
+
+def _summaries(keys: list[str], value: str, maps: ExitMaps):
+    """mapInArrow function: the function of each key's rows in a slice."""
+
+    def one(seg: pa.RecordBatch) -> pa.RecordBatch:
+        cols = [pa.array([seg.column(k)[0].as_py()], type=seg.schema.field(k).type) for k in keys]
         return pa.RecordBatch.from_arrays(
-            [*cols, pa.array([s] * len(rows), pa.int32()), pa.array([opens] * len(rows), pa.bool_()),
-             pa.array(v[rows], type=seg.schema.field(value).type),
-             pa.array(exits[rows], type=seg.schema.field(value).type)],
-            names=[*keys, _SLICE, "__opens", "__entry", "__exit"])
+            [*cols, pa.array([seg.column(_SLICE)[0].as_py()], pa.int32()), pa.array([maps.of(seg.column(value).to_numpy())], pa.binary())],
+            names=[*keys, _SLICE, "summary"])
 
-    def maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # One slice is one bounded partition; its narrow rows are held as arrays.
         held = [b for b in batches if b.num_rows]
         if not held:
             return
-        table = pa.Table.from_batches(held).combine_chunks()
-        batch = table.to_batches()[0]
+        batch = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
         new, _ = _key_breaks(batch, keys, None)
         starts = np.flatnonzero(new).tolist()
         for a, b in zip(starts, [*starts[1:], batch.num_rows]):
             yield one(batch.slice(a, b - a))
 
-    return maps
-
-
-def _chain(keys: list[str], width, strict: bool):
-    """mapInArrow function: walk the maps in slice order; emit each slice's inherited anchor."""
-
-    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
-        current, anchor, found = None, None, True
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            new, last = _key_breaks(batch, keys, last)
-            slices = batch.column(_SLICE).to_pylist()
-            entries = batch.column("__entry").to_pylist()
-            exits = batch.column("__exit").to_pylist()
-            picked, carried = [], []
-            for i, fresh in enumerate(new.tolist()):
-                if fresh:
-                    current, anchor = slices[i], exits[i]
-                    found = True
-                    continue
-                if slices[i] != current:
-                    current, found = slices[i], False
-                    picked.append(i)
-                    carried.append(anchor)
-                if not found:
-                    gap = entries[i] - anchor
-                    if gap > width or (not strict and gap == width):
-                        anchor, found = exits[i], True
-            idx = pa.array(picked, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [*[pc.take(batch.column(k), idx) for k in keys], pc.take(batch.column(_SLICE), idx),
-                 pa.array(carried, type=batch.column("__exit").type)],
-                names=[*keys, _SLICE, "__carry"])
-
-    return chain
+    return run
 
 
 def _with_fields(schema: T.StructType, *fields: T.StructField) -> T.StructType:
@@ -193,34 +188,21 @@ def mark_anchors(runs: Runs, value: str, width, out: str, strict: bool = False)
                      .filter("__row = 1").drop("__row", "__anchor"))
         return runs
 
-    order = Window.partitionBy(*keys)
-    parts = (df.groupBy(_SLICE, *keys).agg(F.lit(1).alias("__one"))
-             .select(_SLICE, *keys, F.count(F.lit(1)).over(order).alias("__n"),
-                     (F.min(_SLICE).over(order) == F.col(_SLICE)).alias("__opens"))
-             .filter("__n > 1").drop("__n"))
-    parts = stored(parts)
-    tag = ["__opens"]
-    cut_rows = _null_safe_join(df.select(_SLICE, *keys, value), parts, keys, "inner", tag)
-    map_schema = T.StructType(
-        [*[df.schema[k] for k in keys], T.StructField(_SLICE, T.IntegerType()),
-         T.StructField("__opens", T.BooleanType()),
-         T.StructField("__entry", kind), T.StructField("__exit", kind)])
-    maps = cut_rows.mapInArrow(_exit_maps(keys, value, width, strict), map_schema)
-    # Only the maps meet in one task, not the slices that they are made from.
-    maps = maps.repartition(*keys) if keys else maps.repartition(1)
-    carry = maps.sortWithinPartitions(*keys, _SLICE, "__entry").mapInArrow(
-        _chain(keys, width, strict),
-        T.StructType([*[df.schema[k] for k in keys], T.StructField(_SLICE, T.IntegerType()),
-                      T.StructField("__carry", kind)]))
-    carry = stored(carry)
-    rows = _null_safe_join(df, carry, keys, "left", ["__carry"])
+    across = Window.partitionBy(*keys)
+    cut = (df.groupBy(_SLICE, *keys).agg(F.lit(1).alias("__one"))
+           .withColumn("__n", F.count(F.lit(1)).over(across)).filter("__n > 1").drop("__n"))
+    cut_rows = null_safe_join(df.select(_SLICE, *keys, value), stored(cut), keys, "inner", ["__one"])
+    maps = ExitMaps(pa.RecordBatch.from_arrays([pa.array([], to_arrow_type(kind))], ["v"]).column(0).to_numpy(zero_copy_only=False).dtype, width, strict)
+    summary_schema = T.StructType([*[df.schema[k] for k in keys], T.StructField(_SLICE, T.IntegerType()), T.StructField("summary", T.BinaryType())])
+    carry = carried(cut_rows.mapInArrow(_summaries(keys, value, maps), summary_schema), keys, _SLICE, runs.slices, maps.combine, maps.apply)
+    rows = null_safe_join(df, carry, keys, "left", ["carry"]).withColumnRenamed("carry", "__carry")
     schema = _with_fields(df.schema, T.StructField("__anchor", kind))
     runs.rows = rows.mapInArrow(_marker(keys, value, width, strict, "__carry"), schema) \
         .withColumnRenamed("__anchor", out)
     return runs
 
 
-def _null_safe_join(rows: DataFrame, small: DataFrame, keys: list[str], how: str, keep: list[str]) -> DataFrame:
+def null_safe_join(rows: DataFrame, small: DataFrame, keys: list[str], how: str, keep: list[str]) -> DataFrame:
     """Map-side join on slice and keys: ``small`` has at most one row per slice and cut key."""
     s = small.select(F.col(_SLICE).alias("__s"), *keep, *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)])
     cond = F.col(_SLICE) == F.col("__s")

@@ -44,7 +44,7 @@ class Runs:
                  needs: list[str] | None = None, measured: DataFrame | None = None):
         limit = ROWS_PER_TASK if rows_per_task is None else rows_per_task
         self.keys, self.ts, self.id = list(keys), ts, id
-        self.wide = None
+        self.wide, self.slices = None, 1
         one, rows = (0, 0) if cut is not None else sizes(df if measured is None else measured, self.keys)
         self.cut = cut if cut is not None else one > limit
         if self.cut:
@@ -52,6 +52,7 @@ class Runs:
             if slices is None:
                 # Range bounds come from a sample: aim at half the limit.
                 n = max(n, -(-2 * rows // limit))
+            self.slices = n
             if needs is not None:
                 # Only what the scan looks at is sliced; the rest rejoins by id at the end.
                 self.wide = df

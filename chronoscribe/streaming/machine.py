@@ -2,9 +2,9 @@
 
 One small ``step`` serves batch and stream. What it keeps per key is the last
 stored hash and the current keyframe. In a batch, whole sequences run where they
-lie, sorted, inside one task; a key too long for that is cut into slices, every
-slice is first run from a cold state, and only slices whose inherited state turns
-out different are run again until nothing changes.
+lie, sorted, inside one task; a key too long for that is cut into slices. A slice
+is a function of the state that it inherits (``Slice``); the functions are composed
+in a tree (see ``scans``), and then each slice runs once from its own state.
 """
 
 from __future__ import annotations
@@ -15,13 +15,16 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chronoscribe.functions.text import normalize_text
+from chronoscribe.operators.anchors import null_safe_join
 from chronoscribe.operators.runs import _SLICE, Runs
+from chronoscribe.operators.scans import carried
 from chronoscribe.params import Params
+from chronoscribe.session import stored
 
 
 class State(NamedTuple):
@@ -107,8 +110,11 @@ def outcomes_frame(pdf: pd.DataFrame, keep: list[str], results: list[Outcome]) -
     return out
 
 
+_STATE_FIELDS = [T.StructField(n, T.LongType() if n in ("kfId", "kfTs") else T.StringType()) for n in State._fields if n != "seen"]
+
+
 class _Seeds:
-    """Restored states: rows that sort before a key's first observation."""
+    """Restored and inherited states: rows that sort before a key's, or a slice's, first observation."""
 
     @staticmethod
     def rows(restored: DataFrame, like: DataFrame, keys: list[str]) -> DataFrame:
@@ -118,11 +124,29 @@ class _Seeds:
         cols = [F.col(k) if k in keys else values.get(k, F.lit(None)) for k in like.columns]
         return restored.select(*[c.cast(like.schema[n].dataType).alias(n) for c, n in zip(cols, like.columns)])
 
+    @staticmethod
+    def inherited(carry: DataFrame, like: DataFrame, keys: list[str]) -> DataFrame:
+        """Packed states as rows of ``like``; 0 in ``seed`` where no frame has been seen yet, else 2."""
+        own = [k for k in like.columns if k in keys or k == _SLICE]
+        fields = T.StructType([*[like.schema[k] for k in own], T.StructField("seen", T.BooleanType()), *_STATE_FIELDS])
+
+        def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                states = pd.DataFrame([pickle.loads(c) for c in pdf["carry"]], columns=State._fields).astype({"kfId": "Int64", "kfTs": "Int64"})
+                yield pd.concat([pdf[own].reset_index(drop=True), states], axis=1)[fields.names]
+
+        rows = carry.mapInPandas(unpack, fields)
+        values = {"id": F.col("kfId"), "us": F.col("kfTs"), "appName": F.col("kfApp"), "fullText": F.col("kfText"), "fullNorm": F.col("kfNorm"),
+                  "changedText": F.col("lastHash"), "seed": F.when(F.col("seen"), 2).otherwise(0)}
+        cols = [F.col(k) if k in own else values.get(k, F.lit(None)) for k in like.columns]
+        return rows.select(*[c.cast(like.schema[n].dataType).alias(n) for c, n in zip(cols, like.columns)])
+
     @staticmethod
     def state(row) -> State:
-        kf = None if pd.isna(row.id) else int(row.id)
-        us = None if pd.isna(row.us) else int(row.us)
-        return State(False, row.changedText, kf, row.fullText, row.fullNorm, row.appName, us)
+        none = lambda v: None if pd.isna(v) else v
+        kf, us = none(row.id), none(row.us)
+        return State(row.seed == 2, none(row.changedText), None if kf is None else int(kf), none(row.fullText), none(row.fullNorm),
+                     none(row.appName), None if us is None else int(us))
 
 
 def restore_state(captures: DataFrame, keys: list[str]) -> DataFrame:
@@ -135,65 +159,154 @@ def restore_state(captures: DataFrame, keys: list[str]) -> DataFrame:
         F.col("k.appName").alias("kfApp"), F.col("k.ts").alias("kfTs"))
 
 
-def _runner(keys: list[str], keep: list[str], params: Params, carry, exits: bool):
-    """mapInPandas function over sorted rows; emits outcomes, or one exit state per slice."""
+#: The way of a slice that nothing precedes.
+_COLD = -1
+
+
+class Summary(NamedTuple):
+    """A slice as a function. ``deciding`` are the rows that tell where the first keyframe is stored, as (entry, change, app, us, digest
+    of the full text, changed text); from there on only that row counts, so ``exits`` has the state that follows from each entry.
+    A ``closed`` slice stores a keyframe whatever it inherits."""
+    deciding: list[tuple]
+    states: list[State]
+    exits: dict[int, int]
+    closed: bool
+    rows: int
+
+
+def _packed(deciding: list[tuple], found: dict[int, State], closed: bool, rows: int) -> Summary:
+    states: dict[State, int] = {}
+    exits = {entry: states.setdefault(state, len(states)) for entry, state in found.items()}
+    return Summary(deciding, list(states), exits, closed, rows)
+
+
+class Slice:
+    """Builds the summary of a slice row by row: every way through it that an inherited state can take is followed, and ways that
+    meet go on as one. A keyframe is at most ``cap`` old, so only rows within ``cap`` of the slice's first one can be its first
+    keyframe; or the next row after them; or, where that one repeats the last text, the next row with another text."""
+
+    def __init__(self, threshold: float, cap_us: int, cold: State = State()):
+        self.threshold, self.cap = threshold, cap_us
+        self.deciding: list[tuple] = []
+        self.ways: dict[State, list[int]] = {cold: [_COLD]}
+        self.rows, self.closed, self.overdue = 0, False, None
+
+    def add(self, row) -> None:
+        ways: dict[State, list[int]] = {}
+        for state, entries in self.ways.items():
+            ways.setdefault(step(state, row, self.threshold, self.cap)[0], []).extend(entries)
+        if not self.rows:
+            self.until = row.us + self.cap
+        change = 1.0 if row.changedFraction is None or row.changedFraction != row.changedFraction else row.changedFraction
+        if not self.closed and (change != 0 or not self.rows):
+            digest = _hash(row.fullNorm)
+            enters = True
+            if row.us >= self.until and change != 0:
+                enters = digest != self.overdue
+                self.closed = self.overdue is not None and enters
+                self.overdue = self.overdue or digest
+            if enters:
+                self.deciding.append((self.rows, change, row.appName, int(row.us), digest, row.changedNorm))
+                fresh = State(True, digest, int(row.id), row.fullText, row.fullNorm, row.appName, int(row.us))
+                ways.setdefault(fresh, []).append(self.rows)
+        self.rows += 1
+        self.ways = ways
+
+    def summary(self) -> Summary:
+        return _packed(self.deciding, {e: s for s, entries in self.ways.items() for e in entries}, self.closed, self.rows)
+
+
+def leave(state: State | None, f: Summary, threshold: float, cap_us: int) -> State:
+    """The state after a slice."""
+    if state is None:
+        return f.states[f.exits[_COLD]]
+    for entry, change, app, us, digest, changed in f.deciding:
+        if state.seen and change == 0:
+            continue
+        keyframe = (not state.seen or change >= threshold or app != state.kfApp or state.kfTs is None or us - state.kfTs >= cap_us)
+        state = state._replace(seen=True)
+        if not keyframe:
+            state = state._replace(lastHash=_hash(" ".join(t for t in (state.kfNorm, changed) if t)))
+        elif digest != state.lastHash:
+            return f.states[f.exits[entry]]
+    return state
+
+
+def compose(a: Summary, b: Summary, threshold: float, cap_us: int) -> Summary:
+    """``a``, then ``b``."""
+    after = [leave(s, b, threshold, cap_us) for s in a.states]
+    found = {entry: after[i] for entry, i in a.exits.items()}
+    deciding = a.deciding
+    if not a.closed:
+        deciding = [*deciding, *[(entry + a.rows, *rest) for entry, *rest in b.deciding]]
+        found.update({entry + a.rows: b.states[i] for entry, i in b.exits.items() if entry != _COLD})
+    return _packed(deciding, found, a.closed or b.closed, a.rows + b.rows)
+
+
+def _states(runs: Runs, params: Params) -> DataFrame:
+    """(*keys, slice, carry): the packed state that each slice of a cut key inherits."""
+    keys, threshold, cap = runs.keys, params.keyframe_threshold, int(params.max_keyframe_interval * 1_000_000)
+    across = Window.partitionBy(*keys)
+    cut = stored(runs.rows.groupBy(_SLICE, *keys).agg(F.lit(1).alias("__one")).withColumn("__n", F.count(F.lit(1)).over(across)).filter("__n > 1").drop("__n"))
+    rows = null_safe_join(runs.rows, cut, keys, "inner", ["__one"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        made, place, key = None, None, None
+
+        def done():
+            return pd.DataFrame({**{k: [v] for k, v in zip(keys, key)}, _SLICE: [place], "summary": [pickle.dumps(made.summary())]})
+
+        for pdf in batches:
+            row_keys = _keys_of(pdf, keys)
+            for row_key, row in zip(row_keys, pdf.itertuples(index=False)):
+                if made is None or row_key != key:
+                    if made is not None:
+                        yield done()
+                    made, place, key = Slice(threshold, cap), int(pdf[_SLICE].iloc[0]), row_key
+                if row.seed != 1:
+                    made = Slice(threshold, cap, _Seeds.state(row))
+                else:
+                    made.add(row)
+        if made is not None:
+            yield done()
+
+    schema = T.StructType([*[runs.rows.schema[k] for k in keys], T.StructField(_SLICE, T.IntegerType()), T.StructField("summary", T.BinaryType())])
+
+    def combine(a: bytes, b: bytes) -> bytes:
+        return pickle.dumps(compose(pickle.loads(a), pickle.loads(b), threshold, cap))
+
+    def apply(state: bytes | None, f: bytes) -> bytes:
+        return pickle.dumps(leave(None if state is None else pickle.loads(state), pickle.loads(f), threshold, cap))
+
+    return carried(rows.mapInPandas(run, schema), keys, _SLICE, runs.slices, combine, apply)
+
+
+def _keys_of(pdf: pd.DataFrame, names: list[str]) -> list[tuple]:
+    return list(zip(*[pdf[n].astype(object).where(pdf[n].notna(), None).tolist() for n in names])) if names else [()] * len(pdf)
+
+
+def _runner(group: list[str], keep: list[str], params: Params):
+    """mapInPandas function over sorted rows: the outcome of each."""
     threshold, cap = params.keyframe_threshold, int(params.max_keyframe_interval * 1_000_000)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, state, first, slice_id = None, State(), None, None
+        key, state = None, State()
         for pdf in batches:
-            if pdf.empty:
-                continue
-            row_keys = list(zip(*[pdf[k].tolist() for k in keys])) if keys else [()] * len(pdf)
-            if slice_id is None and _SLICE in pdf:
-                slice_id = int(pdf[_SLICE].iloc[0])
-                first = row_keys[0]
-                inherited = carry.value.get(slice_id) if carry is not None else None
-                if inherited is not None and inherited[0] == first:
-                    key, state = inherited
             results, kept = [], []
-            for row_key, row in zip(row_keys, pdf.itertuples(index=False)):
+            for row_key, row in zip(_keys_of(pdf, group), pdf.itertuples(index=False)):
                 if row_key != key:
                     key, state = row_key, State()
-                if getattr(row, "seed", 1) == 0:
+                kept.append(row.seed == 1)
+                if row.seed != 1:
                     state = _Seeds.state(row)
-                    kept.append(False)
                     continue
-                kept.append(True)
                 state, outcome = step(state, row, threshold, cap)
                 results.append(outcome)
-            if not exits:
-                yield outcomes_frame(pdf[kept], keep, results)
-        if exits and slice_id is not None:
-            yield pd.DataFrame({"slice": [slice_id], "first": [pickle.dumps(first)],
-                                "last": [pickle.dumps((key, state))]})
+            yield outcomes_frame(pdf[kept], keep, results)
 
     return run
 
 
-def _slice_states(rows: DataFrame, keys: list[str], params: Params) -> dict[int, tuple]:
-    """Inherited state per slice: one small record each, repeated until stable."""
-    sc = rows.sparkSession.sparkContext
-    schema = "slice int, first binary, last binary"
-
-    def run(carry: dict, only: list[int] | None) -> dict[int, tuple]:
-        part = rows if only is None else rows.filter(F.col(_SLICE).isin(only))
-        fn = _runner(keys, [], params, sc.broadcast(carry), True)
-        return {r["slice"]: (pickle.loads(r["first"]), pickle.loads(r["last"]))
-                for r in part.mapInPandas(fn, schema).collect()}
-
-    ends = run({}, None)
-    used: dict[int, tuple] = {}
-    while True:
-        order = sorted(ends)
-        wanted = {s: ends[p][1] for p, s in zip(order, order[1:]) if ends[p][1][0] == ends[s][0]}
-        changed = [s for s in wanted if used.get(s) != wanted[s]]
-        if not changed:
-            return wanted
-        used = wanted
-        ends.update(run(wanted, changed))
-
-
 def classify_frames(observations: DataFrame, keys: list[str] = ("device",), params: Params = Params(),
                     restored: DataFrame | None = None, **size) -> DataFrame:
     """Every observation with its decision, reason, whether it is stored, and what is stored."""
@@ -205,12 +318,14 @@ def classify_frames(observations: DataFrame, keys: list[str] = ("device",), para
     runs = Runs(rows, keys, **size)
     keep = list(dict.fromkeys([*keys, *_CARRIED]))
     schema = T.StructType([*[rows.schema[c] for c in keep], *OUTCOME.fields])
-    if runs.cut:
-        states = _slice_states(runs.rows, keys, params)
-        carry = runs.rows.sparkSession.sparkContext.broadcast(states)
-        return runs.rows.mapInPandas(_runner(keys, keep, params, carry, False), schema)
-    ordered = (rows.repartition(*keys) if keys else rows.repartition(1)).sortWithinPartitions(*keys, "ts", "id")
-    return ordered.mapInPandas(_runner(keys, keep, params, None, False), schema)
+    if not runs.cut:
+        ordered = (rows.repartition(*keys) if keys else rows.repartition(1)).sortWithinPartitions(*keys, "ts", "id")
+        return ordered.mapInPandas(_runner(keys, keep, params), schema)
+    # Inherited states are rows too: they sort before the first observation of their slice.
+    inherited = _Seeds.inherited(_states(runs, params), runs.rows, keys)
+    ordered = (runs.rows.unionByName(inherited).repartition(runs.slices, _SLICE)
+               .sortWithinPartitions(_SLICE, *keys, "ts", "id"))
+    return ordered.mapInPandas(_runner([_SLICE, *keys], keep, params), schema)
 
 
 def materialize_frames(observations: DataFrame, keys: list[str] = ("device",), params: Params = Params(),

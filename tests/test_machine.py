@@ -1,4 +1,5 @@
 """Frame machine: cases, slices, restored state, stream against batch."""
+import collections
 import random
 
 import pandas as pd
@@ -75,6 +76,62 @@ def test_slices_equal_whole(spark, seed):
     assert dedup.dedup_consecutive(out, ["device"]).count() == out.count()
 
 
+def observed(rows):
+    """Rows as the machine sees them."""
+    fields = ["id", "us", "appName", "changedFraction", "fullText", "fullNorm", "changedText", "changedNorm"]
+    Row = collections.namedtuple("Row", fields)
+    return [Row(i, int(r["t"] * 1e6), r["app"], r["change"], r["full"], r["full"], r["delta"], r["delta"]) for i, r in enumerate(rows)]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_slices_compose(seed):
+    """A sequence cut anywhere and composed in any nesting leaves the state of the whole, whatever it inherits."""
+    rnd = random.Random(seed)
+    for _ in range(60):
+        rows = observed(random_observations(rnd.random(), rnd.randrange(1, 40), "a"))
+        cap = rnd.choice([1, 60, 200]) * 1_000_000
+        cuts = sorted({0, *[rnd.randrange(len(rows)) for _ in range(5)], len(rows)})
+        parts = []
+        for a, b in zip(cuts, cuts[1:]):
+            part = machine.Slice(0.5, cap)
+            for row in rows[a:b]:
+                part.add(row)
+            parts.append(part.summary())
+        while len(parts) > 1:
+            i = rnd.randrange(len(parts) - 1)
+            parts[i:i + 2] = [machine.compose(*parts[i:i + 2], 0.5, cap)]
+        digest = machine._hash
+        inherited = [machine.State(seen, last, -1, text, text, app, us) for seen in (True, False) for last in (None, digest("x"), digest("x p"))
+                     for text in ("x", "y") for app in "AB" for us in (None, -1_000_000, -50_000_000)]
+        for state in [None, *inherited]:
+            want = state or machine.State()
+            for row in rows:
+                want, _ = machine.step(want, row, 0.5, cap)
+            assert machine.leave(state, parts[0], 0.5, cap) == want
+
+
+def test_frames_of_one_long_sequence(spark):
+    """Many slices of one device: no driver loop over them, and nothing in one partition."""
+    obs = observations(spark, random_observations(5, 400, "a"))
+    sc = spark.sparkContext
+    sc.setJobGroup("frames", "")
+    cut = machine.classify_frames(obs, rows_per_task=10, slices=40)
+    jobs = len(sc.statusTracker().getJobIdsForGroup("frames"))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs <= 20 and "SinglePartition" not in cut._jdf.queryExecution().toString()
+    whole = machine.classify_frames(obs)
+    assert whole.exceptAll(cut).count() == 0 and cut.exceptAll(whole).count() == 0
+
+
+def test_slices_of_restored_keys(spark):
+    stored = captures(spark, [dict(id=7000 + i, t=-30, text="k", hash="old", app="A", device=d) for i, d in enumerate("ab")])
+    obs = observations(spark, random_observations(8, 80))
+    state = machine.restore_state(stored, ["device"])
+    whole = machine.classify_frames(obs, restored=state).collect()
+    cut = machine.classify_frames(obs, restored=state, rows_per_task=5, slices=12).collect()
+    assert sorted(map(repr, whole)) == sorted(map(repr, cut)) and len(whole) == 80
+
+
 def write_batches(df, folder, parts):
     for i in range(parts):
         df.filter(F.floor(F.col("id") * parts / 150) == i).coalesce(1).write.mode("append").parquet(folder)

@@ -1,10 +1,11 @@
 """Sequence operators against plain loops, whole and cut into slices."""
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from chronoscribe.operators import dedup, render, sequence as seq
+from chronoscribe.operators import anchors, dedup, render, scans, sequence as seq
 from chronoscribe.operators.runs import Runs
 from helpers import at, captures
 
@@ -230,3 +231,55 @@ def test_slices_stand_once_in_the_plan(spark):
     assert counts[0] == counts[-1]
     hybrid = seq.chunk_hybrid(df, [], 100, 15, cut=True)
     assert hybrid._jdf.queryExecution().executedPlan().toString().count("Scan ExistingRDD") <= 3
+
+
+@pytest.mark.parametrize("strict", [False, True])
+def test_exit_maps_compose(strict):
+    """Maps of neighbouring slices, composed in any nesting, lead where the whole sequence leads."""
+    rnd = random.Random(int(strict))
+    for _ in range(200):
+        v = np.sort(np.array([rnd.randrange(60) for _ in range(rnd.randrange(1, 40))], np.int64))
+        maps = anchors.ExitMaps(np.int64, rnd.choice([0, 1, 3, 10, 100]), strict)
+        cuts = sorted({0, *[rnd.randrange(len(v)) for _ in range(6)], len(v)})
+        parts = [maps.of(v[a:b]) for a, b in zip(cuts, cuts[1:])]
+
+        def walk(anchor, values):
+            for x in values:
+                if anchor is None or x - anchor > maps.width or (not strict and x - anchor == maps.width):
+                    anchor = x
+            return anchor
+
+        while len(parts) > 1:
+            i = rnd.randrange(len(parts) - 1)
+            parts[i:i + 2] = [maps.combine(*parts[i:i + 2])]
+        for anchor in [None, *range(int(v[0]) - 12, int(v[0]) + 1)]:
+            assert maps.leave(anchor, parts[0]) == walk(anchor, v)
+
+
+def test_scan_jobs_grow_with_the_logarithm(spark):
+    """Sums as states; the number of jobs is two a level, and no stage puts all summaries into one task."""
+    sc = spark.sparkContext
+
+    def scan(n):
+        rows = spark.createDataFrame([(k, s, s.to_bytes(8, "little")) for k in ("a", None) for s in range(n)], "key string, slice int, summary binary")
+        number = lambda b: int.from_bytes(b, "little")
+        group = f"scan-{n}"
+        sc.setJobGroup(group, "")
+        out = scans.carried(rows, ["key"], "slice", n, lambda a, b: (number(a) + number(b)).to_bytes(8, "little"),
+                            lambda s, f: ((number(s) if s is not None else 0) + number(f)).to_bytes(8, "little"))
+        got = {(r.key, r.slice): number(r.carry) for r in out.collect()}
+        assert got == {(k, s): sum(range(s)) for k in ("a", None) for s in range(1, n)}
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        return len(sc.statusTracker().getJobIdsForGroup(group))
+
+    few, many = scan(10), scan(300)
+    assert many <= few + 2 * 2 * 3
+
+
+def test_no_single_task_over_the_maps(spark):
+    """One sequence in many slices: no stage after the slicing reads all of it, and nothing is put into one partition."""
+    df = captures(spark, [dict(id=i, t=i) for i in range(400)]).select("id", "ts")
+    out = seq.chunk_by_time(df, [], 7, rows_per_task=10, slices=40)
+    assert [r.id for r in out.orderBy("id").collect()] == list(range(400))
+    assert "SinglePartition" not in out._jdf.queryExecution().toString()
+    assert {r.id: r.windowStart for r in out.collect()} == {r.id: r.windowStart for r in seq.chunk_by_time(df, [], 7).collect()}
