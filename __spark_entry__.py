@@ -810,7 +810,7 @@ _PHRASES = [["of", "the"], ["the", "the"], ["in"], ["es", "src1"]]
 
 @query("phrase_match", f"WITH {DC}, {CAP_TOK}, {_rank_sql(_PHRASES)} SELECT id, CAST(phrase AS BIGINT) AS phrase, tf FROM tf")
 def _(spark, d):
-    return search.phrase_occurrences(_index(spark, d).postings, _PHRASES)
+    return _index(spark, d).occurrences(_PHRASES).select("id", F.col("phrase").cast("long").alias("phrase"), "tf")
 
 
 def _q(text_: str) -> list[list[str]]:

@@ -18,7 +18,8 @@ whole table; filters on rows come after scoring and before the limit.
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
 
 import regex
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
@@ -28,6 +29,7 @@ from chronoscribe.functions.clock import local_time, seconds_before
 from chronoscribe.functions.stems import stem as stem_one
 from chronoscribe.functions.stems import stem_tokens
 from chronoscribe.functions.text import TOKEN_PATTERN, like_contains, raw_tokens
+from chronoscribe.operators.postings import pack, positions
 from chronoscribe.session import stored
 
 # BM25 parameters and the floor of the inverse document frequency.
@@ -157,26 +159,30 @@ def _ranked(table: DataFrame, fields: list[str | Column], parse, text: str, stem
     return ranked.join(table.select("id", *keep), "id") if keep else ranked
 
 
+def _top(table: DataFrame, fields: list[str | Column], parse, text: str, limit: int, stem: bool, index: "TextIndex | None") -> DataFrame:
+    """The ``limit`` best of ``_ranked``."""
+    if index is None:
+        return best(_ranked(table, fields, parse, text, stem, None), limit)
+    return index.top(parse(text, index.stem), limit)
+
+
 def search_captures(captures: DataFrame, text: str, limit: int = 50, stem: bool = True,
                     index: "TextIndex | None" = None) -> DataFrame:
     """Best ``limit`` captures of all times, with ``rank``."""
-    ranked = _ranked(captures, CAPTURE_FIELDS, parse_query, text, stem, index)
-    return fetch(captures, best(ranked, limit), limit)
+    return fetch(captures, _top(captures, CAPTURE_FIELDS, parse_query, text, limit, stem, index), limit)
 
 
 def search_phrase(captures: DataFrame, text: str, limit: int = 20, chars: int = 120, stem: bool = True,
                   tz: str = "UTC", index: "TextIndex | None" = None) -> DataFrame:
     """The whole argument as one phrase, with a text preview."""
-    ranked = _ranked(captures, CAPTURE_FIELDS, parse_phrase, text, stem, index)
-    return fetch(captures, best(ranked, limit), limit).select(
+    return fetch(captures, _top(captures, CAPTURE_FIELDS, parse_phrase, text, limit, stem, index), limit).select(
         "id", local_time("ts", tz).alias("time"), F.col("frameType").alias("type"), F.col("appName").alias("app"),
         F.col("windowTitle").alias("window"), F.substring("fullOcrText", 1, chars).alias("text_preview"), "rank")
 
 
 def search_phrase_summaries(summaries: DataFrame, text: str, limit: int = 20, chars: int = 150, stem: bool = True,
                             tz: str = "UTC", index: "TextIndex | None" = None) -> DataFrame:
-    ranked = _ranked(summaries, summary_fields(), parse_phrase, text, stem, index)
-    return fetch(summaries, best(ranked, limit), limit).select(
+    return fetch(summaries, _top(summaries, summary_fields(), parse_phrase, text, limit, stem, index), limit).select(
         "id", local_time("startTs", tz).alias("start"), F.to_json("appNames").alias("apps"),
         F.substring("summary", 1, chars).alias("summary_preview"), "rank")
 
@@ -223,117 +229,271 @@ def document_lengths(docs: DataFrame, fields: dict[str, str | Column], id: str =
     return token_rows(docs, fields, False, id).select("id", "len")
 
 
-def phrase_occurrences(postings: DataFrame, phrases: list[list[str]]) -> DataFrame:
-    """``(id, phrase, tf)`` of each phrase number in each row that contains it."""
-    places: dict[str, list[Column]] = {}
-    for i, p in enumerate(phrases):
-        for o, t in enumerate(p):
-            places.setdefault(t, []).append(
-                F.struct(F.lit(i).alias("phrase"), F.lit(o).alias("o"), F.lit(len(p)).alias("n")))
-    lookup = F.create_map(*[c for t, where in places.items() for c in (F.lit(t), F.array(*where))])
-    hits = (postings.filter(F.col("term").isin(sorted(places)))
-            .select("id", "field", "pos", F.inline(F.element_at(lookup, F.col("term")))))
-    # Only phrases of several tokens need their starts told apart; the others are counted map-side.
-    start = F.when(F.col("n") > 1, F.col("pos") - F.col("o"))
-    starts = hits.groupBy("id", "field", "phrase", "n", start.alias("s")).agg(F.count(F.lit(1)).alias("c"))
-    found = F.sum(F.when(F.col("n") == 1, F.col("c")).otherwise((F.col("c") == F.col("n")).cast("long")))
-    return starts.groupBy("id", "phrase").agg(found.alias("tf")).filter("tf > 0")
-
-
-@dataclass
+_SEGMENT = 1 << 40
+#: Terms of fewer rows have no stored blocks; their postings are read whole.
+FREQUENT = 128
+#: Blocks that are read first, to learn which rank the last one of the best has.
+FIRST = 32
+
+
+def _level() -> Column:
+    """Blocks hold rows of like length: a row's weight depends on its length, so blocks differ in what they can reach."""
+    return F.floor(F.log2(F.col("len") + F.lit(1)) * 4).cast("int")
+
+
+def _blocks(rows: DataFrame) -> DataFrame:
+    """``(term, block, rows, tops)`` for frequent terms: ``tops`` has, for each number of places that some row of the block
+    has, the least length of such a row. No row of the block weighs more than the best of them."""
+    per_tf = rows.groupBy("term", "block", "tf").agg(F.count(F.lit(1)).alias("n"), F.min("len").alias("len"))
+    blocks = per_tf.groupBy("term", "block").agg(F.sum("n").alias("rows"), F.collect_list(F.struct("tf", "len")).alias("tops"))
+    df = rows.groupBy("term").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") >= FREQUENT)
+    return blocks.join(df.select("term"), "term", "left_semi")
+
+
+@dataclass(frozen=True)
 class TextIndex:
-    """Postings and document lengths of one table."""
+    """Packed postings of one table (see ``postings``), in segments of blocks.
+
+    A deleted row stays where it is; its id and block are in ``gone`` and are left out of whatever is read. So a delete
+    costs a look at the lengths, an update a delete and a segment of its own, and neither touches the postings. ``totals`` has the
+    rows and tokens of each segment, deleted ones included. ``blocks`` tell what the rows of a block can weigh at most (``top``)."""
 
-    postings: DataFrame
-    lengths: DataFrame
+    postings: DataFrame           # id, len, term, tf, at, block (and bucket)
+    lengths: DataFrame            # id, len, block
+    totals: DataFrame             # rows, tokens
     stem: bool = True
     buckets: int | None = None
+    blocks: DataFrame | None = None
+    gone: DataFrame | None = None
+    segments: int = 1
+
+    # -- making, saving ---------------------------------------------------
 
     @classmethod
     def build(cls, docs: DataFrame, fields: dict[str, str | Column], stem: bool = True, id: str = "id",
               keep: bool = True) -> "TextIndex":
-        """With ``keep`` the token arrays are stored, so each text is tokenised once however often
+        """With ``keep`` the packed postings are stored, so each text is tokenised once however often
         the index is read; without it everything stays lazy (as for ``save``)."""
-        rows = token_rows(docs, fields, stem, id)
+        tokens = [raw_tokens(col) for col in fields.values()]
+        if stem:
+            tokens = [stem_tokens(t) for t in tokens]
+        rows = pack(docs.select(F.col(id).alias("id"), *[t.alias(f"t{i}") for i, t in enumerate(tokens)]))
         rows = stored(rows) if keep else rows
-        return cls(_postings(rows), rows.select("id", "len"), stem)
+        return cls._of(rows.withColumn("block", F.lit(0).cast("long")), stem)
+
+    @classmethod
+    def _of(cls, rows: DataFrame, stem: bool) -> "TextIndex":
+        lengths = rows.filter("term IS NULL").select("id", "len", "block")
+        totals = lengths.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.col("len").cast("long")), F.lit(0)).alias("tokens"))
+        return cls(rows.filter("term IS NOT NULL"), lengths, totals, stem)
 
     @staticmethod
     def _bucket(buckets: int) -> Column:
         return F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
 
-    def save(self, path: str, buckets: int = 64, parts_per_bucket: int = 8, mode: str = "overwrite") -> None:
-        """Postings by term bucket, sorted by term inside files. The postings of a frequent term are
-        spread over ``parts_per_bucket`` writers by row id. ``mode="append"`` adds a batch; ids that are there
-        already are refused, since their postings would count twice (see ``updated``)."""
+    def save(self, path: str, buckets: int = 64, parts_per_bucket: int = 8, mode: str = "overwrite",
+             rows_per_block: int = 1024) -> None:
+        """Postings by term bucket, sorted by term and block inside files, and the blocks of frequent terms. The postings of a
+        frequent term are spread over ``parts_per_bucket`` writers by row id. ``mode="append"`` adds a segment; ids that are there
+        already are refused, since their postings would count twice (see ``delete``)."""
+        spark = self.lengths.sparkSession
+        segment = 0
         if mode == "append":
-            there = self.lengths.sparkSession.read.parquet(f"{path}/lengths")
-            if not self.lengths.join(there.select("id"), "id", "left_semi").isEmpty():
-                raise ValueError("ids of this batch are in the index; save what ``updated`` gives instead")
-        rows = self.postings.withColumn("bucket", self._bucket(buckets))
-        (rows.repartition(buckets * parts_per_bucket, "bucket", F.pmod(F.xxhash64("id"), F.lit(parts_per_bucket)))
-         .sortWithinPartitions("bucket", "term", "id", "field", "pos")
+            there = TextIndex.load(spark, path, self.stem, buckets)
+            segment = there.segments
+            if not self.lengths.join(there._alive(there.lengths).select("id"), "id", "left_semi").isEmpty():
+                raise ValueError("ids of this batch are in the index; delete them first")
+        columns = ["id", "len", "term", "tf", "at"]
+        rows = stored(self._alive(self.postings).select(*columns).unionByName(
+            self._alive(self.lengths).select("id", "len"), allowMissingColumns=True))
+        levels = rows.filter("term IS NULL").groupBy(_level().alias("level")).agg(F.count(F.lit(1)).alias("n"))
+        # Four levels an octave, so some hundred at most.
+        parts = F.create_map(*[F.lit(x) for r in levels.collect() for x in (r["level"], -(-r["n"] // rows_per_block))] or [F.lit(0), F.lit(1)])
+        block = (F.lit(segment * _SEGMENT) + _level().cast("long") * (1 << 32) + F.pmod(F.xxhash64("id"), F.element_at(parts, _level())))
+        made = TextIndex._of(rows.withColumn("block", block), self.stem)
+        (made.postings.withColumn("bucket", self._bucket(buckets))
+         .repartition(buckets * parts_per_bucket, "bucket", F.pmod(F.xxhash64("id"), F.lit(parts_per_bucket)))
+         .sortWithinPartitions("bucket", "term", "block", "id")
          .write.mode(mode).partitionBy("bucket").parquet(f"{path}/postings"))
-        self.lengths.write.mode(mode).parquet(f"{path}/lengths")
+        made.lengths.write.mode(mode).parquet(f"{path}/lengths")
+        (_blocks(made.postings).withColumn("bucket", self._bucket(buckets)).repartition(buckets, "bucket").sortWithinPartitions("bucket", "term")
+         .write.mode(mode).partitionBy("bucket").parquet(f"{path}/blocks"))
+        made.totals.withColumn("segment", F.lit(segment)).write.mode(mode).parquet(f"{path}/totals")
+        none = spark.createDataFrame([], made.lengths.schema)
+        none.write.mode(mode).parquet(f"{path}/gone")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, stem: bool = True, buckets: int = 64) -> "TextIndex":
-        return cls(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths"), stem, buckets)
+        totals, gone = spark.read.parquet(f"{path}/totals"), spark.read.parquet(f"{path}/gone")
+        segments = totals.agg(F.max("segment")).first()[0] + 1
+        lengths = spark.read.parquet(f"{path}/lengths")
+        # Tables by bucket have no file where they have no row.
+        kind = lengths.schema["id"].dataType.simpleString()
+        postings = spark.read.schema(f"id {kind}, len int, term string, tf int, at binary, block long, bucket int").parquet(f"{path}/postings")
+        blocks = spark.read.schema("term string, block long, rows long, tops array<struct<tf:int,len:int>>, bucket int").parquet(f"{path}/blocks")
+        return cls(postings, lengths, totals.select("rows", "tokens"), stem, buckets, blocks, None if gone.isEmpty() else gone, segments)
+
+    @classmethod
+    def delete(cls, spark: SparkSession, path: str, ids: DataFrame) -> None:
+        """Delete rows of a saved index: their ids and blocks are added to those that are gone."""
+        index = cls.load(spark, path)
+        stored(index._found(ids)).write.mode("append").parquet(f"{path}/gone")
+
+    # -- maintenance ---------------------------------------------------------
+
+    def _alive(self, rows: DataFrame) -> DataFrame:
+        if self.gone is None:
+            return rows
+        return rows.join(self.gone.select("id", "block"), ["id", "block"], "left_anti")
+
+    def _found(self, ids: DataFrame) -> DataFrame:
+        return self._alive(self.lengths).join(ids.select(F.col(ids.columns[0]).alias("id")).distinct(), "id", "left_semi").select("id", "len", "block")
 
     def without(self, ids: DataFrame) -> "TextIndex":
-        """Drop deleted rows."""
-        gone = ids.select(F.col(ids.columns[0]).alias("id"))
-        return TextIndex(self.postings.join(gone, "id", "left_anti"), self.lengths.join(gone, "id", "left_anti"),
-                         self.stem, self.buckets)
+        """Drop deleted rows. Only lengths are read."""
+        found = stored(self._found(ids))
+        return replace(self, gone=found if self.gone is None else self.gone.unionByName(found))
 
     def plus(self, other: "TextIndex") -> "TextIndex":
-        """Add the rows of another batch, which has none of this index's ids. Term buckets stay as they are."""
+        """Add the rows of another batch, which has none of this index's ids, as segments of their own."""
         if self.stem != other.stem:
             raise ValueError("one index stems, the other does not")
-        cols = ["id", "field", "pos", "term"]
-        mine, more = self.postings.select(*cols), other.postings.select(*cols)
+        after = lambda df: df.withColumn("block", F.col("block") + F.lit(self.segments * _SEGMENT))
+        more = after(other.postings)
+        mine = self.postings
         if self.buckets is not None:
-            mine = self.postings.select(*cols, "bucket")
-            more = (other.postings.select(*cols, "bucket") if other.buckets == self.buckets
-                    else more.withColumn("bucket", self._bucket(self.buckets)))
-        return TextIndex(mine.unionByName(more), self.lengths.unionByName(other.lengths), self.stem, self.buckets)
+            more = more if other.buckets == self.buckets else more.withColumn("bucket", self._bucket(self.buckets))
+        elif "bucket" in more.columns:
+            more = more.drop("bucket")
+        blocks = None
+        if self.blocks is not None:
+            extra = after(other.blocks) if other.blocks is not None and other.buckets == self.buckets else _blocks(more).withColumn("bucket", self._bucket(self.buckets))
+            blocks = self.blocks.unionByName(extra)
+        gone = [g for g in (self.gone, None if other.gone is None else after(other.gone)) if g is not None]
+        return replace(self, postings=mine.unionByName(more.select(*mine.columns)), lengths=self.lengths.unionByName(after(other.lengths)),
+                       totals=self.totals.unionByName(other.totals), blocks=blocks, segments=self.segments + other.segments,
+                       gone=reduce(DataFrame.unionByName, gone) if gone else None)
 
     def updated(self, other: "TextIndex") -> "TextIndex":
         """Rows of ``other`` in place of those with the same id: delete, then insert."""
         return self.without(other.lengths.select("id")).plus(other)
 
-    def _of_terms(self, terms: list[str]) -> DataFrame:
-        if self.buckets is None:
-            return self.postings
-        return self.of_buckets(self.postings.sparkSession.createDataFrame([(t,) for t in terms], "term string"))
+    # -- reading ------------------------------------------------------------
 
-    def of_buckets(self, terms: DataFrame) -> DataFrame:
-        """Postings of the buckets that hold the terms; the driver gets at most one number for each bucket."""
+    def _in_buckets(self, rows: DataFrame, terms: DataFrame) -> DataFrame:
+        """Rows of the buckets that hold the terms; the driver gets at most one number for each bucket."""
         if self.buckets is None:
-            return self.postings
+            return rows
         wanted = terms.select(self._bucket(self.buckets).alias("bucket")).distinct().collect()
-        return self.postings.filter(F.col("bucket").isin(sorted(r[0] for r in wanted)))
+        return rows.filter(F.col("bucket").isin(sorted(r[0] for r in wanted)))
+
+    def _of_terms(self, terms: list[str], rows: DataFrame | None = None) -> DataFrame:
+        rows = self.postings if rows is None else rows
+        listed = rows.sparkSession.createDataFrame([(t,) for t in terms], "term string")
+        return self._in_buckets(rows, listed).filter(F.col("term").isin(terms))
+
+    def of_buckets(self, terms: DataFrame) -> DataFrame:
+        """Packed postings, without deleted rows, of the buckets that hold the terms."""
+        return self._alive(self._in_buckets(self.postings, terms))
 
     def _corpus(self) -> Column:
         """``struct(rows, mean)`` of the whole table as a scalar subquery."""
-        return self.lengths.agg(F.struct(F.count(F.lit(1)).alias("rows"), F.avg("len").alias("mean"))).scalar()
+        totals = self.totals
+        if self.gone is not None:
+            totals = totals.unionByName(self.gone.agg((-F.count(F.lit(1))).alias("rows"), (-F.coalesce(F.sum(F.col("len").cast("long")), F.lit(0))).alias("tokens")))
+        return totals.agg(F.struct(F.sum("rows").alias("rows"), (F.sum("tokens") / F.sum("rows")).alias("mean"))).scalar()
+
+    def occurrences(self, phrases: list[list[str]], within: DataFrame | None = None) -> DataFrame:
+        """``(id, len, block, phrase, tf)`` of each phrase number in each row that contains it; of ``within``, if given."""
+        one: dict[str, list[Column]] = {}
+        more: dict[str, list[Column]] = {}
+        for i, p in enumerate(phrases):
+            if len(p) == 1:
+                one.setdefault(p[0], []).append(F.lit(i))
+            for o, t in enumerate(p) if len(p) > 1 else ():
+                more.setdefault(t, []).append(F.struct(F.lit(i).alias("phrase"), F.lit(o).alias("o"), F.lit(len(p)).alias("n")))
+        lookup = lambda d: F.element_at(F.create_map(*[c for t, v in d.items() for c in (F.lit(t), F.array(*v))]), F.col("term"))
+        found = []
+        rows = self._alive(self._of_terms(sorted({*one, *more}), within))
+        if one:
+            # Counts are read, positions are not.
+            found.append(rows.filter(F.col("term").isin(sorted(one))).select("id", "len", "block", F.explode(lookup(one)).alias("phrase"), F.col("tf").cast("long")))
+        if more:
+            places = rows.filter(F.col("term").isin(sorted(more))).select("id", "len", "block", "term", F.explode(positions("at")).alias("pos"))
+            starts = (places.select("id", "len", "block", "pos", F.inline(lookup(more))).groupBy("id", "len", "block", "phrase", "n", (F.col("pos") - F.col("o")).alias("s"))
+                      .agg(F.count(F.lit(1)).alias("c")).filter("c = n"))
+            found.append(starts.groupBy("id", "len", "block", "phrase").agg(F.count(F.lit(1)).alias("tf")))
+        return reduce(DataFrame.unionByName, found)
+
+    def _scored(self, tf: DataFrame, df: DataFrame, phrases: int) -> DataFrame:
+        """``(id, rank)`` of the rows that have all phrases; ``df`` has one row a phrase."""
+        weight = _idf(F.col("__c.rows"), F.col("df")) * _weight(F.col("tf"), F.col("len"), F.col("__c.mean"))
+        weighted = tf.join(F.broadcast(df), "phrase").withColumn("__c", self._corpus()).select("id", weight.alias("w"))
+        return (weighted.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("w"))
+                .filter(F.col("n") == phrases).select("id", (-F.col("w")).alias("rank")))
 
     def rank(self, phrases: list[list[str]]) -> DataFrame:
         """``(id, rank)`` of the rows that contain every phrase."""
         if not phrases:
             return self.lengths.select("id", F.lit(0.0).alias("rank")).filter(F.lit(False))
-        tf = phrase_occurrences(self._of_terms(sorted({t for p in phrases for t in p})), phrases)
+        tf = self.occurrences(phrases)
         # One row per phrase of the query.
-        df = tf.groupBy("phrase").agg(F.count(F.lit(1)).alias("df"))
-        weighted = (tf.join(F.broadcast(df), "phrase").join(self.lengths, "id")
-                    .withColumn("__c", self._corpus()).select(
-                        "id", "phrase", (_idf(F.col("__c.rows"), F.col("df"))
-                                         * _weight(F.col("tf"), F.col("len"), F.col("__c.mean"))).alias("w")))
-        return (weighted.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("w"))
-                .filter(F.col("n") == len(phrases)).select("id", (-F.col("w")).alias("rank")))
+        return self._scored(tf, tf.groupBy("phrase").agg(F.count(F.lit(1)).alias("df")), len(phrases))
+
+    def bounds(self, phrases: list[list[str]]) -> tuple[DataFrame, DataFrame]:
+        """For single tokens: ``(phrase, df)``, and ``(block, rows, bound)``: the blocks that have all of them, and what a row of
+        theirs weighs at most. Reads blocks of frequent terms and whole postings of rare ones."""
+        terms = [p[0] for p in phrases]
+        listed = sorted(set(terms))
+        known = stored(self._of_terms(listed, self.blocks).select("term", "block", "rows", "tops"))
+        covered = known.select("term", F.floor(F.col("block") / _SEGMENT).alias("segment")).distinct()
+        # A term may be frequent in some segments only.
+        if covered.count() < len(listed) * self.segments:
+            left = self._of_terms(listed).withColumn("segment", F.floor(F.col("block") / _SEGMENT)).join(F.broadcast(covered), ["term", "segment"], "left_anti")
+            tops = left.groupBy("term", "block", "tf").agg(F.count(F.lit(1)).alias("n"), F.min("len").alias("len")).groupBy("term", "block").agg(
+                F.sum("n").alias("rows"), F.collect_list(F.struct("tf", "len")).alias("tops"))
+            known = known.unionByName(tops)
+        df = known.groupBy("term").agg(F.sum("rows").alias("df"))
+        if self.gone is not None:
+            # Deleted rows are looked for in their own blocks only.
+            hit = F.broadcast(self.gone.select("block").distinct()) if self.gone.count() <= BROADCAST_ROWS else self.gone.select("block").distinct()
+            dead = (self._of_terms(listed).join(hit, "block", "left_semi").join(self.gone.select("id", "block"), ["id", "block"], "left_semi")
+                    .groupBy("term").agg((-F.count(F.lit(1))).alias("df")))
+            df = df.unionByName(dead).groupBy("term").agg(F.sum("df").alias("df"))
+        phrase = F.explode(F.element_at(F.create_map(*[c for t in listed for c in (F.lit(t), F.array(*[F.lit(i) for i, x in enumerate(terms) if x == t]))]), F.col("term")))
+        df = stored(df.filter("df > 0").select(phrase.alias("phrase"), "df"))
+        most = F.array_max(F.transform("tops", lambda t: _weight(t["tf"], t["len"], F.col("__c.mean"))))
+        per_phrase = known.select("block", "rows", "tops", phrase.alias("phrase")).join(F.broadcast(df), "phrase").withColumn("__c", self._corpus())
+        blocks = (per_phrase.select("block", "rows", (_idf(F.col("__c.rows"), F.col("df")) * most).alias("w"))
+                  .groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("bound"), F.min("rows").alias("rows"))
+                  .filter(F.col("n") == len(phrases)).select("block", "rows", "bound"))
+        return df, stored(blocks)
+
+    def top(self, phrases: list[list[str]], limit: int, seen: dict | None = None) -> DataFrame:
+        """The ``limit`` best rows of ``rank``, best first. For single tokens of a saved index, blocks with the highest bounds are
+        ranked first; then only those that can still reach the rank of the last of the best. ``seen`` gets the number of
+        blocks with all tokens (``blocks``) and of those read (``read``)."""
+        if self.blocks is None or not phrases or any(len(p) > 1 for p in phrases) or limit < 1:
+            return best(self.rank(phrases), limit)
+        df, blocks = self.bounds(phrases)
+        head = [r[0] for r in blocks.orderBy(F.desc("bound"), "block").limit(FIRST).collect()]
+        first = stored(best(self._scored(self.occurrences(phrases, self.postings.filter(F.col("block").isin(head))), df, len(phrases)), limit))
+        last = first.agg(F.count(F.lit(1)), F.max("rank")).first()
+        rest = blocks.filter(~F.col("block").isin(head))
+        if last[0] >= limit:
+            # A little below, since sums of doubles may round otherwise.
+            rest = rest.filter(F.col("bound") >= -last[1] - 1e-9)
+        n = rest.count()
+        if seen is not None:
+            seen.update(blocks=blocks.count(), read=len(head) + n)
+        if not n:
+            return best(first, limit)
+        chosen = F.broadcast(rest.select("block")) if n <= BROADCAST_ROWS else rest.select("block")
+        more = self._scored(self.occurrences(phrases, self.postings.join(chosen, "block", "left_semi")), df, len(phrases))
+        return best(first.unionByName(best(more, limit)), limit)
 
     def search(self, text: str, limit: int = 50) -> DataFrame:
-        return best(self.rank(parse_query(text, self.stem)), limit)
+        return self.top(parse_query(text, self.stem), limit)
 
 
 # -- many queries ------------------------------------------------------------
@@ -369,8 +529,8 @@ def search_many(index: TextIndex, queries: DataFrame, limit: int = 50, query_id:
     few = F.broadcast if n_phrases <= BROADCAST_ROWS else (lambda df: df)
     terms = phrases.select("term").distinct()
     hits = index.of_buckets(terms).join(few(terms), "term", "left_semi")
-    # Read three times below: frequencies, candidates, weights. Postings move by id and term, never by term alone.
-    doc_terms = stored(hits.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf")))
+    # Read three times below: frequencies, candidates, weights.
+    doc_terms = stored(hits.select("id", "term", F.col("tf").cast("long").alias("tf"), "len"))
     term_df = stored(doc_terms.groupBy("term").agg(F.count(F.lit(1)).alias("df")))
     rare = (phrases.join(few(term_df), "term", "left")
             .groupBy("query_id").agg(F.min_by("term", F.struct(F.coalesce("df", F.lit(0)), "term")).alias("term")))
@@ -380,22 +540,22 @@ def search_many(index: TextIndex, queries: DataFrame, limit: int = 50, query_id:
     single = (phrases.filter("phraseLen = 1").join(term_df, "term")
               .select("query_id", "phrase", "phrases", "term", "df"))
     single_tf = (candidates.join(few(single), "query_id").join(doc_terms, ["id", "term"])
-                 .select("query_id", "id", "phrase", "phrases", "tf", "df"))
+                 .select("query_id", "id", "phrase", "phrases", "tf", "df", "len"))
 
     # Phrases of several tokens: occurrences are found once per distinct phrase.
     multi = phrases.filter("phraseLen > 1")
     distinct_multi = multi.select("tokens", "phraseLen", "offset", "term").distinct()
-    starts = (hits.join(few(distinct_multi), "term")
-              .groupBy("tokens", "id", "field", (F.col("pos") - F.col("offset")).alias("s"))
+    places = hits.join(few(distinct_multi.select("term").distinct()), "term", "left_semi").select("id", "len", "term", F.explode(positions("at")).alias("pos"))
+    starts = (places.join(few(distinct_multi), "term")
+              .groupBy("tokens", "id", "len", (F.col("pos") - F.col("offset")).alias("s"))
               .agg(F.count(F.lit(1)).alias("c"), F.first("phraseLen").alias("n")).filter("c = n"))
-    multi_tf = starts.groupBy("tokens", "id").agg(F.count(F.lit(1)).alias("tf"))
+    multi_tf = starts.groupBy("tokens", "id", "len").agg(F.count(F.lit(1)).alias("tf"))
     multi_df = multi_tf.groupBy("tokens").agg(F.count(F.lit(1)).alias("df"))
     multi_rows = (candidates.join(few(multi.filter("offset = 0").select("query_id", "phrase", "phrases", "tokens")), "query_id")
                   .join(multi_tf, ["id", "tokens"]).join(multi_df, "tokens")
-                  .select("query_id", "id", "phrase", "phrases", "tf", "df"))
+                  .select("query_id", "id", "phrase", "phrases", "tf", "df", "len"))
 
-    found = (single_tf.unionByName(multi_rows).join(index.lengths, "id")
-             .withColumn("__c", index._corpus()).select("*", "__c.*"))
+    found = single_tf.unionByName(multi_rows).withColumn("__c", index._corpus()).select("*", "__c.*")
     w = _idf(F.col("rows"), F.col("df")) * _weight(F.col("tf"), F.col("len"), F.col("mean"))
     ranked = (found.groupBy("query_id", "id")
               .agg(F.count(F.lit(1)).alias("n"), F.first("phrases").alias("phrases"), F.sum(w).alias("w"))

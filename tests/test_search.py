@@ -1,10 +1,14 @@
 """Search against SQLite's full-text index (standard library) on the same rows."""
+import pathlib
+import random
 import sqlite3
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from chronoscribe.functions.stems import porter, stem
-from chronoscribe.operators import search
+from chronoscribe.operators import postings, search
 from chronoscribe.plans import api, retrieve
 from chronoscribe.sources import views
 from helpers import at
@@ -82,6 +86,119 @@ def test_index_maintenance(spark, docs):
     assert got == pytest.approx(expected, abs=1e-9)
 
 
+def test_packed_numbers():
+    rnd = np.random.default_rng(3)
+    numbers = np.concatenate([[0, 1, 127, 128, 16383, 16384, 2**35, 2**62], rnd.integers(0, 2**40, 3000)])
+    data, size = postings.gaps_to_bytes(numbers)
+    back, ends = postings.bytes_to_gaps(data)
+    assert (back == numbers).all() and (np.cumsum(size) - 1 == ends).all() and size[:6].tolist() == [1, 1, 1, 2, 2, 3]
+
+
+def test_packed_postings_are_the_tokens(spark, docs, tmp_path):
+    rows, df = docs
+    fields = {c: c for c in search.CAPTURE_FIELDS}
+    index = search.TextIndex.build(df, fields, False)
+    plain = search.build_postings(df, fields, False)
+    want = {}
+    for r in plain.collect():
+        want.setdefault((r.term, r.id), []).append((list(fields).index(r.field), r.pos))
+    sizes = {(r.id, f.field): len(f.tokens) for r in search.token_rows(df, fields, False).collect() for f in r.f}
+    got = {(r.term, r.id): (r.tf, r.places) for r in index.postings.select("term", "id", "tf", postings.positions("at").alias("places")).collect()}
+    assert got.keys() == want.keys()
+    names = list(fields)
+    for (term, i), places in want.items():
+        before = [sum(sizes[i, n] + 1 for n in names[:f]) + pos for f, pos in sorted(places)]
+        assert got[term, i] == (len(places), before)
+    assert {(r.id, r.len) for r in index.lengths.collect()} == {(r.id, r.len) for r in search.document_lengths(df, fields).collect()}
+
+
+def weights(rows, query, gone=()):
+    return sqlite_rank([r for r in rows if r[0] not in gone], query)
+
+
+def test_saved_index_is_kept_up(spark, docs, tmp_path):
+    """Deletes, inserts and updates of a saved index write what they bring and leave all older files as they are."""
+    rows, df = docs
+    path, fields = str(tmp_path / "index"), {c: c for c in search.CAPTURE_FIELDS}
+    files = lambda: {str(f): f.stat().st_mtime_ns for f in pathlib.Path(path).rglob("*.parquet")}
+    search.TextIndex.build(df.filter("id < 12"), fields).save(path, 4, 2, rows_per_block=2)
+    first = files()
+    search.TextIndex.delete(spark, path, spark.createDataFrame([(0,), (10,), (77,)], "id long"))
+    with pytest.raises(ValueError):
+        search.TextIndex.build(df.filter("id = 3"), fields).save(path, 4, 2, "append")
+    changed = df.filter("id >= 12 OR id = 10").withColumn("fullOcrText", F.expr("if(id = 10, 'the new the text', fullOcrText)"))
+    search.TextIndex.build(changed, fields).save(path, 4, 2, "append")
+    assert all(files()[f] == t for f, t in first.items())
+    index = search.TextIndex.load(spark, path, buckets=4)
+    now = [(i, "the new the text" if i == 10 else t, *rest) for i, t, *rest in rows if i != 0]
+    assert index.segments == 2 and index.gone.count() == 2
+    for query in ["the", "the the", "new", "title app", "foo-bar", "connect the"]:
+        want = sqlite_rank(now, query)
+        assert {r.id: r["rank"] for r in index.rank(search.parse_query(query)).collect()} == pytest.approx(want, abs=1e-9), query
+        top = [(r.id, r["rank"]) for r in index.search(query, 3).collect()]
+        assert top == [(i, pytest.approx(r, abs=1e-9)) for i, r in sorted(want.items(), key=lambda x: (round(x[1], 9), x[0]))[:3]], query
+
+
+def test_deletes_read_no_postings(spark, docs):
+    """A delete joins lengths; what is read for a query afterwards leaves the deleted rows out of the query's own postings."""
+    _, df = docs
+    index = search.TextIndex.build(df, {c: c for c in search.CAPTURE_FIELDS})
+    less = index.without(spark.createDataFrame([(3,), (4,)], "id long"))
+    assert less.postings is index.postings and less.gone.count() == 2
+    assert less.without(spark.createDataFrame([(4,), (5,)], "id long")).gone.count() == 3
+
+
+@pytest.fixture(scope="module")
+def large(spark, tmp_path_factory):
+    """Three thousand rows of few words, of very different lengths, in an index of small blocks."""
+    rnd = random.Random(4)
+    rows = [(i, " ".join(rnd.choices(["the", "and", "of", "w%d" % rnd.randrange(40), "rare%d" % rnd.randrange(500)], [4, 3, 2, 5, 1], k=rnd.choice([3, 8, 30, 90, 200]))), None, "App")
+            for i in range(3000)]
+    df = spark.createDataFrame(rows, "id long, fullOcrText string, windowTitle string, appName string")
+    path = str(tmp_path_factory.mktemp("large"))
+    search.TextIndex.build(df, {c: c for c in search.CAPTURE_FIELDS}, False).save(path, 4, 2, rows_per_block=16)
+    return rows, path, search.TextIndex.load(spark, path, False, 4)
+
+
+@pytest.mark.parametrize("query", ["the and", "the", "the the and", "of app", "w1 w2", "rare3 the", "rare3", "nothing the", "the-and of"])
+def test_top_reads_some_blocks_and_ranks_all(large, query):
+    _, _, index = large
+    phrases, seen = search.parse_query(query, False), {}
+    want = [(r.id, round(r["rank"], 9)) for r in search.best(index.rank(phrases), 20).collect()]
+    assert [(r.id, round(r["rank"], 9)) for r in index.top(phrases, 20, seen).collect()] == want
+    if query in ("the and", "the", "the the and"):
+        assert seen["read"] < 0.5 * seen["blocks"] and seen["blocks"] > 150, seen
+
+
+def test_top_after_deletes(spark, large):
+    rows, _, index = large
+    best = [r.id for r in index.search("the and", 30).collect()]
+    less = index.without(spark.createDataFrame([(i,) for i in best[:10]], "id long"))
+    want = [(r.id, round(r["rank"], 9)) for r in search.best(less.rank([["the"], ["and"]]), 20).collect()]
+    assert [(r.id, round(r["rank"], 9)) for r in less.search("the and", 20).collect()] == want
+    assert not {i for i, _ in want} & set(best[:10])
+    expected = sqlite3_plain([r for r in rows if r[0] not in best[:10]], "the and")
+    assert dict(want) == pytest.approx({i: expected[i] for i, _ in want}, abs=1e-8)
+
+
+def sqlite3_plain(rows, query):
+    con = sqlite3.connect(":memory:")
+    con.execute("CREATE VIRTUAL TABLE f USING fts5(a, b, c, tokenize='unicode61')")
+    con.executemany("INSERT INTO f(rowid, a, b, c) VALUES (?,?,?,?)", rows)
+    return dict(con.execute("SELECT rowid, rank FROM f WHERE f MATCH ?", [match(query)]).fetchall())
+
+
+def test_index_bytes(spark, large, tmp_path):
+    """Packed postings against one row a token, sorted and compressed alike."""
+    rows, path, _ = large
+    df = spark.createDataFrame(rows, "id long, fullOcrText string, windowTitle string, appName string")
+    plain = search.build_postings(df, {c: c for c in search.CAPTURE_FIELDS}, False)
+    plain.repartition(8, "term").sortWithinPartitions("term", "id", "field", "pos").write.parquet(str(tmp_path / "plain"))
+    size = lambda p: sum(f.stat().st_size for f in pathlib.Path(p).rglob("*.parquet"))
+    assert size(f"{path}/postings") < size(tmp_path / "plain") * 1.2
+    assert size(f"{path}/blocks") < size(f"{path}/postings")
+
+
 def test_real_texts_with_stemming(spark):
     df = views.captures_of_documents(spark, FOLDER)
     rows = [(r.id, r.fullOcrText, r.windowTitle, r.appName) for r in df.collect()]
