@@ -44,6 +44,8 @@ OFTEN, CHUNK = 3, 4 << 20
 TREE = 256
 #: Asked texts are broadcast by their ids up to this counted number (some 10 MB); beyond it texts are shuffled to them.
 BROADCAST_ROWS = 200_000
+#: Nodes with one prefix shingle that are a crowd, and how many of them one task takes on one side.
+CROWD, SHARE = 32, 4096
 _SIGN = [f"s{i}" for i in range(PARITY // 64)]
 
 
@@ -157,14 +159,18 @@ def fits(n: Column, m: Column, percent: int = PERCENT) -> Column:
     return F.least(n, m) * 100 >= F.greatest(n, m) * percent
 
 
+def _alike(n: Column, m: Column, a: str, b: str, percent: int) -> Column:
+    """Parities that differ in no more bits than the sets may in shingles."""
+    differ = sum((F.bit_count(F.col(a.format(s)).bitwiseXOR(F.col(b.format(s)))) for s in _SIGN), F.lit(0))
+    # |A xor B| = |A| + |B| - 2 * I and I * (100 + percent) >= percent * (|A| + |B|)
+    return differ * (100 + percent) <= (n + m) * (100 - percent)
+
+
 def _near(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose sizes fit and whose parities differ in no more bits than their sets may in shingles."""
+    """Pairs (a, b) whose sizes fit and whose parities allow a link."""
     sign = lambda side: nodes.select(F.col("node").alias(side), F.col("n").alias(f"{side}_n"), *[F.col(s).alias(f"{side}_{s}") for s in _SIGN])
     both = pairs.hint("merge").join(sign("a"), "a").hint("merge").join(sign("b"), "b")
-    differ = sum((F.bit_count(F.col(f"a_{s}").bitwiseXOR(F.col(f"b_{s}"))) for s in _SIGN), F.lit(0))
-    # |A xor B| = |A| + |B| - 2 * I and I * (100 + percent) >= percent * (|A| + |B|)
-    total = F.col("a_n") + F.col("b_n")
-    return both.filter(fits(F.col("a_n"), F.col("b_n"), percent) & (differ * (100 + percent) <= total * (100 - percent))).select("a", "b")
+    return both.filter(fits(F.col("a_n"), F.col("b_n"), percent) & _alike(F.col("a_n"), F.col("b_n"), "a_{}", "b_{}", percent)).select("a", "b")
 
 
 def tree_links(probe: np.ndarray, members: list[np.ndarray], percent: int = PERCENT) -> list[int]:
@@ -236,23 +242,31 @@ def linked(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, classes, n_words
 
 
 def _meeting(nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of ``nodes`` (node, n, component, prefix) of different components whose prefixes share what they must."""
+    """Pairs (a, b) of ``nodes`` (node, n, component, prefix, parities) of different components whose prefixes share what they must."""
     # What two prefixes share is counted: a set of n whose partner has
     # m shares at least I = ceil(percent * (n + m) / (100 + percent)), so of its prefix at most n - I shingles are not the partner's, and
     # the prefix that ends first in the global order has all others in common with the other prefix.
     at = nodes.select("node", "n", "component", F.posexplode("prefix").alias("place", "token"))
-    left, right = at.alias("l"), at.alias("r")
+    crowds = common.cut(at.groupBy("token").agg(F.count(F.lit(1)).alias("members")).filter(F.col("members") > CROWD)
+                        .select("token", F.ceil(F.col("members") / SHARE).cast("int").alias("shares")))
 
     def shift(x: str, y: str) -> Column:
         """What stands before a common shingle in one set and not in the other is at most n - I."""
         return ((F.col(f"{x}.place") - F.col(f"{y}.place")) * (100 + percent)
                 <= 100 * F.col(f"{x}.n") - percent * F.col(f"{y}.n"))
 
-    meet = left.hint("merge").join(right, (F.col("l.token") == F.col("r.token")) & (F.col("l.node") < F.col("r.node"))
-                                   & (F.col("l.component") != F.col("r.component")) & fits(F.col("l.n"), F.col("r.n"), percent)
-                                   & shift("l", "r") & shift("r", "l"))
-    shared = meet.groupBy(F.col("l.node").alias("a"), F.col("r.node").alias("b")).agg(
-        F.count(F.lit(1)).alias("shared"), F.first("l.n").alias("n"), F.first("r.n").alias("m"))
+    together = ((F.col("l.token") == F.col("r.token")) & (F.col("l.node") < F.col("r.node")) & (F.col("l.component") != F.col("r.component"))
+                & fits(F.col("l.n"), F.col("r.n"), percent) & shift("l", "r") & shift("r", "l"))
+    few = at.join(crowds, "token", "left_anti")
+    # Members of a crowd bring their parities: pairs that cannot link are not made. A crowd is dealt to several tasks.
+    many = at.join(crowds, "token").join(nodes.select("node", *_SIGN), "node")
+    left = many.withColumn("share", F.pmod(F.hash("node"), F.col("shares"))).drop("shares")
+    right = many.withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("shares")
+    columns = [F.col("l.node").alias("a"), F.col("r.node").alias("b"), F.col("l.n").alias("n"), F.col("r.n").alias("m")]
+    meet = few.alias("l").hint("merge").join(few.alias("r"), together).select(*columns).union(
+        left.alias("l").hint("merge").join(right.alias("r"), together & (F.col("l.share") == F.col("r.share"))
+                                           & _alike(F.col("l.n"), F.col("r.n"), "l.{}", "r.{}", percent)).select(*columns))
+    shared = meet.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.first("n").alias("n"), F.first("m").alias("m"))
     need = F.ceil((F.col("n") + F.col("m")) * percent / (100 + percent) - 1e-6) - F.ceil(F.greatest("n", "m") * percent / 100 - 1e-6) + 1
     return shared.filter(F.col("shared") >= need).select("a", "b")
 
@@ -268,7 +282,7 @@ def _connected(nodes: DataFrame, rows: DataFrame, classes, n_words: int, percent
     known = components(first)
 
     # Second round: prefixes that meet across components.
-    at = nodes.select("node", "n", "prefix").join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    at = nodes.select("node", "n", "prefix", *_SIGN).join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
     second = common.cut(linked(common.cut(_near(_meeting(at, percent), nodes, percent)), rows, nodes, classes, n_words, percent))
     return components(first.union(second))
 
