@@ -2,49 +2,95 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.functions import arrow_udf, pandas_udf
+from pyspark.sql.functions import arrow_udf
 
 from chronoscribe.operators.anchors import mark_anchors
 from chronoscribe.operators.runs import Runs
+from chronoscribe.session import stored
 
 # Tile edge, padding of regions, share of noise, share that makes a frame new.
 TILE, PADDING, NOISE, SIGNIFICANT = 32, 32, 10.0 / 255.0, 0.50
 MAX_REGIONS = 8
 
-_TILES = T.StructType([
-    T.StructField("stream", T.StringType()), T.StructField("ts", T.TimestampType()),
-    T.StructField("id", T.LongType()), T.StructField("width", T.IntegerType()),
-    T.StructField("height", T.IntegerType()), T.StructField("row", T.IntegerType()),
-    T.StructField("col", T.IntegerType()), T.StructField("tileWidth", T.IntegerType()),
-    T.StructField("tileHeight", T.IntegerType()), T.StructField("bytes", T.BinaryType()),
-])
+_PLACE = [T.StructField(n, T.IntegerType()) for n in ("width", "height", "row", "col", "tileWidth", "tileHeight")]
+_TILES = T.StructType([T.StructField("stream", T.StringType()), T.StructField("ts", T.TimestampType()), T.StructField("id", T.LongType()),
+                       *_PLACE, T.StructField("bytes", T.BinaryType())])
+_DIGESTS = T.StructType([*[f for f in _TILES.fields if f.name not in ("ts", "bytes")], T.StructField("digest", T.BinaryType())])
+#: Bytes of pixels that are cut at a time.
+_PIXELS = 8 << 20
+
+
+def _cells(images: np.ndarray, tile: int) -> Iterator[tuple]:
+    """Tiles of images of one size, (images, height, width, 4): (image, row, column, width, height, bytes) by areas in which all
+    tiles have one size."""
+    n, h, w, _ = images.shape
+    for y, th, ny in ((0, tile, h // tile), (h - h % tile, h % tile, 1)):
+        for x, tw, nx in ((0, tile, w // tile), (w - w % tile, w % tile, 1)):
+            if n and th and tw and ny and nx:
+                area = images[:, y:y + ny * th, x:x + nx * tw, :3].reshape(n, ny, th, nx, tw, 3).transpose(0, 1, 3, 2, 4, 5)
+                image, row, col = np.unravel_index(np.arange(n * ny * nx), (n, ny, nx))
+                yield image, row + y // tile, col + x // tile, tw, th, np.ascontiguousarray(area).reshape(n * ny * nx, th * tw * 3)
+
+
+def _cut(frames: DataFrame, tile: int, schema: T.StructType, last) -> DataFrame:
+    """Rows of ``schema``, whose last column ``last`` makes from the bytes of tiles."""
+    names = schema.fieldNames()
+
+    def column(like: pa.RecordBatch, name: str, pick: np.ndarray) -> pa.Array:
+        return like.column(like.schema.get_field_index(name)).take(pa.array(pick))
+
+    def made(batch: pa.RecordBatch, width: int, height: int) -> Iterator[pa.RecordBatch]:
+        pixels = batch.column(batch.schema.get_field_index("pixels"))
+        images = np.frombuffer(b"".join(pixels.to_pylist()), np.uint8).reshape(-1, height, width, 4)
+        for image, row, col, tw, th, data in _cells(images, tile):
+            n = len(image)
+            own = {"width": width, "height": height, "tileWidth": tw, "tileHeight": th}
+            arrays = [pa.array(np.full(n, own[c], np.int32)) if c in own else pa.array({"row": row, "col": col}[c].astype(np.int32)) if c in ("row", "col")
+                      else column(batch, c, image) for c in names[:-1]]
+            yield pa.RecordBatch.from_arrays([*arrays, last(data)], names)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = [batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("width", "height")]
+            at = 0
+            while at < batch.num_rows:
+                # Frames of one size together, many small ones or one large one.
+                w, h = int(size[0][at]), int(size[1][at])
+                most = at + max(1, _PIXELS // max(1, 4 * w * h))
+                other = np.flatnonzero((size[0][at:most] != w) | (size[1][at:most] != h))
+                to = at + int(other[0]) if len(other) else min(most, batch.num_rows)
+                yield from made(batch.slice(at, to - at), w, h)
+                at = to
+
+    return frames.select("stream", "ts", "id", "width", "height", "pixels").mapInArrow(cut, schema)
+
+
+def _binaries(data: np.ndarray) -> pa.Array:
+    n, size = data.shape
+    return pa.BinaryArray.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1) * size).astype(np.int32)), pa.py_buffer(data)])
+
+
+def _hashes(data: np.ndarray) -> pa.Array:
+    return pa.array([hashlib.blake2b(tile, digest_size=16).digest() for tile in data], pa.binary())
 
 
 def cut_tiles(frames: DataFrame, tile: int = TILE) -> DataFrame:
     """Frames ``(stream, ts, id, width, height, pixels)`` of BGRA bytes to one row per tile."""
+    return _cut(frames, tile, _TILES, _binaries)
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for f in pdf.itertuples(index=False):
-                out = []  # the tiles of one frame, however many frames a batch has
-                grid = np.frombuffer(f.pixels, np.uint8).reshape(f.height, f.width, 4)
-                for y in range(0, f.height, tile):
-                    for x in range(0, f.width, tile):
-                        part = grid[y:y + tile, x:x + tile, :3]
-                        out.append((f.stream, f.ts, f.id, f.width, f.height, y // tile, x // tile,
-                                    part.shape[1], part.shape[0], part.tobytes()))
-                yield pd.DataFrame(out, columns=_TILES.names)
 
-    return frames.select("stream", "ts", "id", "width", "height", "pixels").mapInPandas(cut, _TILES)
+def tile_digests(frames: DataFrame, tile: int = TILE) -> DataFrame:
+    """As ``cut_tiles``, with a 128-bit digest instead of the bytes."""
+    return _cut(frames, tile, _DIGESTS, _hashes)
 
 
 @arrow_udf(T.LongType())
@@ -76,25 +122,27 @@ def tile_diff(frames: DataFrame, noise: float = NOISE, tile: int = TILE, **size)
     """One row per tile of every frame: ``total`` difference to the frame before it in the stream
     and ``changed``. Without such a frame, or with one of another size, every tile is changed.
 
-    Tiles, not frames, are spread by key, so one busy stream uses as many tasks as it has tiles.
+    Digests travel first, by frame and place; a tile whose digest is that of the tile before it differs in nothing. Only the others,
+    and the tiles before them, send their bytes, so what is shuffled falls with the share of tiles that stay as they are.
     """
-    # A tile has no more rows than its stream has frames, and frames are counted without their pixels.
     order = Runs(frames.select("stream", "ts", "id"), ["stream"], **size).previous("__p", F.col("id"))
-    tile_size = size if order.cut else {**size, "cut": False}
-    tiles = Runs(cut_tiles(frames, tile), ["stream", "row", "col"], **tile_size)
-    tiles.previous("__prev", F.struct("id", "width", "height", "bytes"))
-    before = F.col("__prev.v")
-    same_size = (before["width"] == F.col("width")) & (before["height"] == F.col("height"))
-    tiles.with_column("total", byte_difference("bytes", F.when(same_size, before["bytes"])))
-    tiles.with_column("__pid", before["id"])
-    sums = tiles.drop("bytes", "__prev").frame()
-    # The previous tile must belong to the very frame before this one, not to an older one.
-    prior = order.frame().select(F.col("id"), F.col("__p.v").alias("previousId"))
-    rows = sums.join(prior, "id")
-    total = F.when(F.col("__pid") == F.col("previousId"), F.col("total"))
-    return (rows.withColumn("total", total)
+    prior = order.frame().select("id", "ts", F.col("__p.v").alias("previousId"))
+    now = tile_digests(frames, tile).join(prior, "id")
+    before = now.select(F.col("id").alias("previousId"), "row", "col", F.col("width").alias("__w"), F.col("height").alias("__h"), F.col("digest").alias("__d"))
+    same_size = (F.col("__w") == F.col("width")) & (F.col("__h") == F.col("height"))
+    met = stored(now.join(before, ["previousId", "row", "col"], "left").select(
+        "stream", "ts", "id", *[f.name for f in _PLACE], "previousId",
+        F.when(same_size, F.col("digest") == F.col("__d")).alias("__same")))
+    differ = met.filter("NOT __same").select("id", "previousId", "row", "col")
+    wanted = stored(differ.select("id", "row", "col").union(differ.select("previousId", "row", "col")).distinct())
+    sent = cut_tiles(frames, tile).select("id", "row", "col", "bytes").join(wanted, ["id", "row", "col"], "left_semi")
+    old = sent.select(F.col("id").alias("previousId"), "row", "col", F.col("bytes").alias("__old"))
+    sums = (differ.join(sent, ["id", "row", "col"]).join(old, ["previousId", "row", "col"])
+            .select("id", "row", "col", byte_difference("bytes", "__old").alias("__sum")))
+    total = F.when(F.col("__same"), F.lit(0).cast("long")).otherwise(F.col("__sum"))
+    return (met.join(sums, ["id", "row", "col"], "left").withColumn("total", total)
             .withColumn("changed", F.coalesce(tile_changed(F.col("total"), "tileWidth", "tileHeight", noise), F.lit(True)))
-            .drop("__pid"))
+            .drop("__same", "__sum"))
 
 
 def array_tile_diff(df: DataFrame, values: str, keys: list[str], scale: float = 1.0, **size) -> DataFrame:
@@ -114,6 +162,41 @@ def change_fraction(tiles: DataFrame, keys: list[str] = ("stream", "id"),
         .withColumn("significant", F.col("changedFraction") >= F.lit(float(significant))))
 
 
+def boxes(cells: pa.Array) -> tuple[np.ndarray, ...]:
+    """(frame, left, top, right, bottom) of the 4-connected groups of cells (row, col), which are sorted within each frame; groups in the
+    order of their first cells. Cells of a row that touch are one run; runs of neighbouring rows that overlap are one group."""
+    n = len(cells)
+    flat = cells.flatten()
+    frame = np.repeat(np.arange(n), np.diff(cells.offsets.to_numpy()))
+    row, col = (flat.field(i).to_numpy().astype(np.int64) for i in range(2))
+    if not len(row):
+        return (np.zeros(0, np.int64),) * 5
+    # One grid of all frames, with an empty row between them.
+    line, span = frame * (row.max() + 2) + row, col.max() + 2
+    first = np.flatnonzero(np.append(True, (line[1:] != line[:-1]) | (col[1:] != col[:-1] + 1)))
+    last = np.append(first[1:], len(row)) - 1
+    start, end = line[first] * span + col[first], line[last] * span + col[last]
+    # Runs in the row below that overlap a run: a stretch of all runs.
+    low, high = np.searchsorted(end, start + span), np.searchsorted(start, end + span, "right")
+    count = np.maximum(0, high - low)
+    a = np.repeat(np.arange(len(start)), count)
+    b = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(count.sum())
+    group = np.arange(len(start))
+    while True:
+        before = group.copy()
+        least = np.minimum(group[a], group[b])
+        np.minimum.at(group, group[a], least)
+        np.minimum.at(group, group[b], least)
+        group = group[group]
+        if (group == before).all():
+            break
+    names, of = np.unique(group, return_inverse=True)
+    box = [np.full(len(names), 1 << 62, np.int64), np.full(len(names), 1 << 62, np.int64), np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)]
+    for at, pick, values in ((0, np.minimum, col[first]), (1, np.minimum, row[first]), (2, np.maximum, col[last]), (3, np.maximum, row[first])):
+        pick.at(box[at], of, values)
+    return frame[first[names]], *box
+
+
 _RECTS = "array<struct<x:int,y:int,width:int,height:int>>"
 
 
@@ -122,31 +205,14 @@ def merge_changed_tiles(tiles: DataFrame, tile: int = TILE, padding: int = PADDI
 
     A frame's grid is bounded by the image size, so its tiles fit in one array."""
 
-    @pandas_udf(_RECTS)
-    def rectangles(cells: pd.Series, width: pd.Series, height: pd.Series) -> pd.Series:
-        out = []
-        for members, w, h in zip(cells, width, height):
-            left = {(c["row"], c["col"]) for c in members}
-            rects = []
-            for c in members:
-                start = (c["row"], c["col"])
-                if start not in left:
-                    continue
-                left.discard(start)
-                group, frontier = [start], [start]
-                while frontier:
-                    r, q = frontier.pop()
-                    near = {(r - 1, q), (r + 1, q), (r, q - 1), (r, q + 1)} & left
-                    left -= near
-                    group.extend(near)
-                    frontier.extend(near)
-                rs, cs = [g[0] for g in group], [g[1] for g in group]
-                x, y = max(0, min(cs) * tile - padding), max(0, min(rs) * tile - padding)
-                right = min(w, (max(cs) + 1) * tile + padding)
-                bottom = min(h, (max(rs) + 1) * tile + padding)
-                rects.append({"x": int(x), "y": int(y), "width": int(right - x), "height": int(bottom - y)})
-            out.append(rects)
-        return pd.Series(out)
+    @arrow_udf(_RECTS)
+    def rectangles(cells: pa.Array, width: pa.Array, height: pa.Array) -> pa.Array:
+        frame, x0, y0, x1, y1 = boxes(cells)
+        w, h = (c.to_numpy()[frame] for c in (width, height))
+        left, top = np.maximum(0, x0 * tile - padding), np.maximum(0, y0 * tile - padding)
+        right, bottom = np.minimum(w, (x1 + 1) * tile + padding), np.minimum(h, (y1 + 1) * tile + padding)
+        rects = pa.StructArray.from_arrays([pa.array(v.astype(np.int32)) for v in (left, top, right - left, bottom - top)], ["x", "y", "width", "height"])
+        return pa.ListArray.from_arrays(pa.array(np.searchsorted(frame, np.arange(len(cells) + 1)).astype(np.int32)), rects)
 
     cells = tiles.filter("changed").groupBy("stream", "id").agg(
         F.sort_array(F.collect_list(F.struct("row", "col"))).alias("cells"),

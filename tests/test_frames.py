@@ -1,4 +1,7 @@
+import uuid
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,3 +91,67 @@ def test_fallback_and_crop(spark):
                                 "bounds struct<x:double,y:double,width:double,height:double>, crop struct<x:double,y:double,width:double,height:double>, full_width int, full_height int")
     assert tuple(frames.crop_to_full_coords(box).first().bounds) == pytest.approx((0.2, 0.15, 0.02, 0.04))
     assert frames.crop_to_full_coords(box, origin="bottom_left").first().bounds.y == pytest.approx((350 + 25) / 500)
+
+
+def test_boxes_of_many_grids():
+    """Random grids of several frames at once against a flood fill."""
+    rnd = np.random.default_rng(7)
+    for share in (0.1, 0.4, 0.6, 0.9):
+        grids = [rnd.random((rnd.integers(1, 12), rnd.integers(1, 12))) < share for _ in range(30)] + [np.zeros((3, 3), bool)]
+        cells = pa.array([[{"row": int(r), "col": int(c)} for r, c in np.argwhere(g)] for g in grids], pa.list_(pa.struct([("row", pa.int32()), ("col", pa.int32())])))
+        want = []
+        for f, g in enumerate(grids):
+            left = {tuple(x) for x in np.argwhere(g).tolist()}
+            for start in sorted(left):
+                if start not in left:
+                    continue
+                group, todo = [], [start]
+                left.discard(start)
+                while todo:
+                    r, c = todo.pop()
+                    group.append((r, c))
+                    near = {(r + 1, c), (r - 1, c), (r, c + 1), (r, c - 1)} & left
+                    left -= near
+                    todo += near
+                rs, cs = zip(*group)
+                want.append((f, min(cs), min(rs), max(cs), max(rs)))
+        assert list(zip(*[v.tolist() for v in frames.boxes(cells)])) == want
+
+
+def test_tiles_of_any_size(spark):
+    """Frames of several sizes in one batch, with smaller tiles at the edges, give the bytes of each tile."""
+    rnd = np.random.default_rng(2)
+    images = [rnd.integers(0, 256, (h, w, 4), dtype=np.uint8) for h, w in ((5, 7), (5, 7), (4, 4), (1, 9), (8, 3), (5, 7))]
+    got = {(r.id, r.row, r.col): (r.tileWidth, r.tileHeight, bytes(r.bytes)) for r in frames.cut_tiles(frame_table(spark, images), 4).collect()}
+    want = {}
+    for i, im in enumerate(images):
+        for y in range(0, im.shape[0], 4):
+            for x in range(0, im.shape[1], 4):
+                part = im[y:y + 4, x:x + 4, :3]
+                want[i, y // 4, x // 4] = (part.shape[1], part.shape[0], part.tobytes())
+    assert got == want
+
+
+def test_shuffled_bytes_fall_with_equal_tiles(spark):
+    """What the comparison sends is the changed tiles and those before them."""
+    still = grey(128, 128, 9)
+    moved = still.copy()
+    moved[:32, :32, :3] = 77
+    rows = frames.tile_diff(frame_table(spark, [still, still, moved, moved, still])).collect()
+    assert sorted((r.id, r.row, r.col) for r in rows if r.total) == [(2, 0, 0), (4, 0, 0)]
+    assert all(r.total == 0 for r in rows if r.id in (1, 3)) and all(r.total is None and r.changed for r in rows if r.id == 0)
+    written = lambda images: shuffled(spark, lambda: frames.tile_diff(frame_table(spark, images)).collect())
+    noise = [np.random.default_rng(i).integers(0, 256, (256, 256, 4), dtype=np.uint8) for i in range(6)]
+    quiet = [noise[0]] * 6
+    assert written(quiet) < written(noise) / 10
+
+
+def shuffled(spark, run):
+    """Bytes that the stages of ``run`` write for shuffles."""
+    sc, group = spark.sparkContext, f"group-{uuid.uuid4()}"
+    sc.setJobGroup(group, "")
+    run()
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    tracker, store = sc.statusTracker(), sc._jsc.sc().statusStore()
+    stages = {s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds}
+    return sum(store.lastStageAttempt(s).shuffleWriteBytes() for s in stages)
