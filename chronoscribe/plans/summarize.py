@@ -62,7 +62,7 @@ def summaries_from_replies(replies: DataFrame) -> DataFrame:
 
 def progressive_summarize(captures: DataFrame, now, complete: Complete, keys: list[str] = (),
                           params: Params = Params(), templates: Templates = Templates(), model: str = "default",
-                          max_tokens: int = 1024, tz: str = "UTC", **size) -> tuple[DataFrame, DataFrame, DataFrame]:
+                          max_tokens: int = 1024, tz: str = "UTC", ledger: str | None = None, **size) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Summaries, token usage and failed chunks of the captures that wait and are old enough.
 
     A failed chunk stays waiting because no summary covers its captures. The whole backlog is taken
@@ -72,7 +72,7 @@ def progressive_summarize(captures: DataFrame, now, complete: Complete, keys: li
     else:
         waiting = unsummarized_older_than(captures, now, params.minimum_age, params.summary_batch_limit)
     prompts = summary_prompts(waiting, keys, params, templates, tz, **size)
-    replies = ai_map(prompts, "prompt", complete, model, max_tokens, templates.summary_system)
+    replies = ai_map(prompts, "prompt", complete, model, max_tokens, templates.summary_system, ledger=ledger)
     stamped = replies.withColumn("ts", instant(now)).withColumn(
         "id", F.xxhash64(chunk_key(), F.lit("summarizer")).bitwiseAND(F.lit(2**63 - 1)))
     usage = usage_from_responses(stamped, "summarizer", model)

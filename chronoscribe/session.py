@@ -78,6 +78,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
+def uri(path: str) -> str:
+    """A path as a URI with a scheme, as file system libraries of the workers want it."""
+    if path.startswith("file:") and not path.startswith("file://"):
+        return "file://" + path[len("file:"):]
+    return path if "://" in path else "file://" + os.path.abspath(path)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Cut lineage by a reliable checkpoint; partitions and their order stay as they are."""
     _shared_folder(df.sparkSession)

@@ -1,7 +1,7 @@
 """Readers and writers of the three tables.
 
-Captures lie in ``date=`` folders (and are sorted by time inside files), so a
-time range reads only its days and its row groups.
+Rows lie in ``date=`` folders: captures and usage by their time, summaries by their end. Captures are sorted by
+time inside files, so a time range reads only its days and its row groups. Retention drops whole folders.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from chronoscribe import schema as S
 from chronoscribe.functions.clock import instant, local_time
 from chronoscribe.functions.text import dedup_hash
 from chronoscribe.operators.scan import newest
+from chronoscribe.sources.folders import Pending, dates_of, drop_before
 
 # Parquet, ORC and JSON files hold the tables; JSON keeps array columns as text.
 FORMATS = ("parquet", "orc", "json")
@@ -23,7 +24,8 @@ def _read(spark: SparkSession, path: str, schema: T.StructType, fmt: str) -> Dat
     if fmt not in FORMATS:
         raise ValueError(f"format must be one of {FORMATS}")
     if fmt != "json":
-        return spark.read.format(fmt).schema(schema).load(path)
+        df = spark.read.format(fmt).schema(schema).load(path)
+        return df.drop("date") if "date" not in schema.names else df
     arrays = {f.name: f.dataType for f in schema.fields if isinstance(f.dataType, T.ArrayType)}
     flat = T.StructType([T.StructField(f.name, T.StringType() if f.name in arrays else f.dataType) for f in schema.fields])
     df = spark.read.schema(flat).json(path)
@@ -37,14 +39,16 @@ def with_extra(schema: T.StructType, extra: T.StructType | None) -> T.StructType
 
 
 def read_captures(spark: SparkSession, path: str, fmt: str = "parquet", start=None, end=None,
-                  extra: T.StructType | None = None) -> DataFrame:
-    """Typed scan. ``start``/``end`` prune date folders beside the exact time predicate."""
+                  extra: T.StructType | None = None, days: list | None = None) -> DataFrame:
+    """Typed scan. ``start``/``end`` prune date folders beside the exact time predicate; ``days`` are the only folders to read."""
     schema = with_extra(S.CAPTURES, extra)
     if fmt == "json":
         df = _read(spark, path, schema, fmt)
     else:
         df = spark.read.format(fmt).schema(with_extra(schema, T.StructType([T.StructField("date", T.DateType())]))).load(path)
     dated = "date" in df.columns
+    if days is not None:
+        df = _of_days(df, days)
     if start is not None:
         df = df.filter(F.col("ts") >= instant(start))
         df = df.filter(F.col("date") >= F.to_date(instant(start))) if dated else df
@@ -54,8 +58,16 @@ def read_captures(spark: SparkSession, path: str, fmt: str = "parquet", start=No
     return df.drop("date")
 
 
-def read_summaries(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    return _read(spark, path, S.SUMMARIES, fmt)
+def _of_days(df: DataFrame, days) -> DataFrame:
+    return df.filter(F.col("date").isin([F.lit(d) for d in sorted(days)]) if days else F.lit(False))
+
+
+def read_summaries(spark: SparkSession, path: str, fmt: str = "parquet", days: list | None = None) -> DataFrame:
+    """Typed scan; ``days`` (of the ends) are the only folders to read."""
+    if days is None:
+        return _read(spark, path, S.SUMMARIES, fmt)
+    dated = with_extra(S.SUMMARIES, T.StructType([T.StructField("date", T.DateType())]))
+    return _of_days(_read(spark, path, dated, fmt), days).drop("date")
 
 
 def read_token_usage(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
@@ -70,29 +82,52 @@ def capture_records(frames: DataFrame) -> DataFrame:
     return out
 
 
-def append_captures(frames: DataFrame, path: str) -> None:
-    """Append by day. Rows of one day are split over writers by the hash of their id."""
+def append_captures(frames: DataFrame, path: str, pending: str | None = None) -> None:
+    """Append by day. Rows of one day are split over writers by the hash of their id. With ``pending`` the days are marked
+    there before anything is written (see ``summarize_pending``)."""
     rows = capture_records(frames).withColumn("date", F.to_date("ts"))
+    if pending is not None:
+        Pending(frames.sparkSession, pending).open(dates_of(frames, "ts"))
     (rows.repartition("date", F.pmod(F.xxhash64("id"), F.lit(16))).sortWithinPartitions("date", "ts", "id")
      .write.mode("append").partitionBy("date").parquet(path))
 
 
 def append_summaries(summaries: DataFrame, path: str, key: str | None = None) -> None:
-    """Append; with ``key`` rows already present under the same key are left out (safe to repeat)."""
+    """Append by the day of the end; with ``key`` rows already present under the same key are left out (safe to repeat). A key's
+    row has the same end each time, so only the days of the new rows are looked at."""
     spark = summaries.sparkSession
+    dated = "endTs" in summaries.columns
+    rows = summaries.withColumn("date", F.to_date("endTs")) if dated else summaries
     if key is not None:
         try:
-            stored = spark.read.parquet(path).select(key)
+            there = spark.read.parquet(path)
         except Exception as missing:  # first write
             if "PATH_NOT_FOUND" not in str(missing):
                 raise
         else:
-            summaries = summaries.join(stored, key, "left_anti")
-    summaries.write.mode("append").parquet(path)
+            if dated and "date" in there.columns:
+                there = there.filter(F.col("date").isin([F.to_date(F.lit(d)) for d in dates_of(summaries, "endTs")]))
+            rows = rows.join(there.select(key), key, "left_anti")
+    writer = rows.write.mode("append")
+    (writer.partitionBy("date") if dated else writer).parquet(path)
 
 
 def append_token_usage(usage: DataFrame, path: str) -> None:
-    usage.select(*S.TOKEN_USAGE.names).write.mode("append").parquet(path)
+    usage.select(*S.TOKEN_USAGE.names, F.to_date("ts").alias("date")).write.mode("append").partitionBy("date").parquet(path)
+
+
+def drop_captures(spark: SparkSession, path: str, now, days: float = 7.0) -> int:
+    """Delete old captures of the stored table; their number."""
+    return drop_before(spark, path, "ts", now, days)
+
+
+def drop_summaries(spark: SparkSession, path: str, now, days: float = 7.0) -> int:
+    """Delete summaries that ended long ago."""
+    return drop_before(spark, path, "endTs", now, days)
+
+
+def drop_token_usage(spark: SparkSession, path: str, now, days: float = 7.0) -> int:
+    return drop_before(spark, path, "ts", now, days)
 
 
 def export_json(captures: DataFrame, tz: str = "UTC", ordered: bool = False) -> DataFrame:

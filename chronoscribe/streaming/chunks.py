@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +15,7 @@ from chronoscribe.params import Params
 from chronoscribe.plans.complete import Complete
 from chronoscribe.plans.prompts import Templates
 from chronoscribe.plans.summarize import progressive_summarize
+from chronoscribe.sources.folders import Pending, dates_of
 from chronoscribe.sources.tables import append_summaries, append_token_usage, read_captures, read_summaries
 from chronoscribe.session import durable
 from chronoscribe.streaming.ordered import Ordered, duration_ms, in_order
@@ -75,23 +78,38 @@ def chunk_by_time_stream(captures: DataFrame, key: str = "device", window: float
 
 def summarize_pending(spark, captures_path: str, summaries_path: str, usage_path: str, now, complete: Complete,
                       keys: list[str] = (), params: Params = Params(), templates: Templates = Templates(),
-                      model: str = "default", extra: T.StructType | None = None, tz: str = "UTC") -> DataFrame:
+                      model: str = "default", extra: T.StructType | None = None, tz: str = "UTC",
+                      pending: str | None = None, ledger: str | None = None) -> DataFrame:
     """One round over the stored tables; returns the chunks that failed.
 
     Safe to repeat: chunk keys are deterministic, and whether a capture waits is read off the
-    summaries table, so a crash between the two appends loses only usage counts."""
-    captures = read_captures(spark, captures_path, extra=extra)
-    try:
-        stored = read_summaries(spark, summaries_path)
-        captures = derive_summarized(captures, stored)
-    except Exception as missing:
-        if "PATH_NOT_FOUND" not in str(missing):
-            raise
-    summaries, usage, failed = progressive_summarize(captures, now, complete, keys, params, templates, model, tz=tz)
+    summaries table, so a crash between the two appends loses only usage counts.
+
+    With ``pending`` (see ``append_captures``) only days that may have waiting captures are read, of both tables; a day is settled when
+    none of its captures waits any more. ``ledger`` keeps replies (see ``ai_map``), so a round that is repeated calls for no
+    prompt twice."""
+    marks = None if pending is None else Pending(spark, pending).markers()
+    days = None if marks is None else [dt.date.fromisoformat(d) for d in marks]
+    # A chunk ends on the day of its captures or, at the latest, on the next one.
+    ends = None if days is None else {d + dt.timedelta(days=i) for d in days for i in (0, 1)}
+
+    def waiting() -> DataFrame:
+        captures = read_captures(spark, captures_path, extra=extra, days=days)
+        try:
+            return derive_summarized(captures, read_summaries(spark, summaries_path, days=ends))
+        except Exception as missing:
+            if "PATH_NOT_FOUND" not in str(missing):
+                raise
+            return captures
+
+    summaries, usage, failed = progressive_summarize(waiting(), now, complete, keys, params, templates, model, tz=tz, ledger=ledger)
     # The new rows are fixed before the tables they were computed from grow.
     summaries, usage = durable(summaries), durable(usage)
     append_summaries(summaries, summaries_path, "chunkKey")
     append_token_usage(usage, usage_path)
+    if marks:
+        left = set(dates_of(waiting().filter(~F.col("isSummarized")), "ts"))
+        Pending(spark, pending).settle({d: names for d, names in marks.items() if d not in left})
     return failed
 
 

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 from chronoscribe import schema as S
 from chronoscribe.params import Params
 from chronoscribe.plans import complete, retrieve, summarize
-from chronoscribe.plans.complete import Completion, CompletionError
+from chronoscribe.plans.complete import Completion, CompletionError, ai_map
 from chronoscribe.plans.prompts import Templates
 from chronoscribe.sources import tables
+from chronoscribe.sources.folders import Pending
 from chronoscribe.streaming import chunks as stream_chunks
 from helpers import at, captures
 
@@ -84,6 +85,73 @@ def test_progressive_rounds(spark, tmp_path):
     assert usage.agg(F.sum("inputTokens")).first()[0] == 22
 
 
+def test_settled_days_are_not_read(spark, tmp_path):
+    """Files of settled days are made unreadable; the next round does not notice. Late captures open their day again."""
+    rows = [dict(id=i, t=i * 43_200, text=f"t{i}", app="A") for i in range(6)]  # two a day
+    table = lambda rows: captures(spark, rows).withColumn("appBundleID", F.lit(None).cast("string")).withColumn(
+        "visibleWindows", F.lit(None).cast(S.WINDOWS)).select(*S.CAPTURES.names)
+    paths, pending, ledger = [str(tmp_path / n) for n in ("c", "s", "u")], str(tmp_path / "pending"), str(tmp_path / "ledger")
+    tables.append_captures(table(rows), paths[0], pending)
+    marks = Pending(spark, pending)
+    assert sorted(marks.markers()) == ["2024-01-01", "2024-01-02", "2024-01-03"]
+    go = lambda now: stream_chunks.summarize_pending(spark, *paths, now, model, pending=pending, ledger=ledger).collect()
+    assert go(at(2 * 86_400 + 400)) == []
+    # The last capture is still to come of age, so its day stays open.
+    assert marks.low_water() == "2024-01-03" and sorted(c for r in tables.read_summaries(spark, paths[1]).collect() for c in r.captureIds) == [0, 1, 2, 3, 4]
+    kept = {}
+    for f in (tmp_path / "c").rglob("*.parquet"):
+        if "2024-01-03" not in str(f):
+            kept[f] = f.read_bytes()
+            f.write_bytes(b"no parquet")
+    assert go(at(2 * 86_400 + 43_200 + 400)) == [] and marks.markers() == {}
+    assert sorted(c for r in tables.read_summaries(spark, paths[1]).collect() for c in r.captureIds) == list(range(6))
+    assert go(at(5 * 86_400)) == []
+    for f, data in kept.items():
+        f.write_bytes(data)
+        (f.parent / f".{f.name}.crc").unlink(missing_ok=True)
+    tables.append_captures(table([dict(id=77, t=100, text="late", app="A")]), paths[0], pending)
+    assert sorted(marks.markers()) == ["2024-01-01"]
+    assert go(at(5 * 86_400)) == [] and marks.markers() == {}
+    assert sorted(c for r in tables.read_summaries(spark, paths[1]).collect() for c in r.captureIds) == [0, 1, 2, 3, 4, 5, 77]
+
+
+def test_rows_that_come_during_a_round_keep_their_day_open(spark, tmp_path):
+    marks = Pending(spark, str(tmp_path / "p"))
+    marks.open(["2024-01-01", "2024-01-02"])
+    seen = marks.markers()
+    marks.open(["2024-01-01"])
+    marks.settle(seen)
+    assert list(marks.markers()) == ["2024-01-01"] and len(marks.markers()["2024-01-01"]) == 1
+
+
+def test_ledger_repeats_no_call(spark, tmp_path):
+    """The task's worker dies after half of its rows; the second run calls for the other half only."""
+    calls, stop = tmp_path / "calls", tmp_path / "stop"
+    calls.mkdir()
+    stop.touch()
+
+    def paid(messages, model_, max_tokens, system, temperature):
+        import os
+        text = messages[0]["content"]
+        if len(os.listdir(calls)) >= 10 and stop.exists():
+            os._exit(1)
+        (calls / f"{text}-{len(os.listdir(calls))}").touch()
+        return Completion(f"re {text}", 1, 2)
+
+    df = spark.createDataFrame([(f"p{i}",) for i in range(20)], "prompt string").coalesce(1)
+    ledger = str(tmp_path / "ledger")
+    with pytest.raises(Exception):
+        ai_map(df, "prompt", paid, threads=1, ledger=ledger)
+    assert len(list(calls.iterdir())) == 10
+    stop.unlink()
+    rows = ai_map(df, "prompt", paid, threads=1, ledger=ledger).collect()
+    assert {r.prompt: (r.reply, r.inputTokens, r.outputTokens, r.error) for r in rows} == {f"p{i}": (f"re p{i}", 1, 2, None) for i in range(20)}
+    assert len(list(calls.iterdir())) == 20
+    # Another model, or other settings, ask anew; failures are not kept.
+    ai_map(df.limit(1), "prompt", paid, "other", threads=1, ledger=ledger).collect()
+    assert len(list(calls.iterdir())) == 21
+
+
 def test_summarize_stream(spark, tmp_path):
     df = captures(spark, [dict(id=1, t=0)])
     df.write.parquet(str(tmp_path / "in"))

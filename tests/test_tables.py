@@ -127,3 +127,44 @@ def test_range_rows_stay_few(spark):
     assert got.count() == 200
     exploded = joins._laid(r, "start", "end", "r", 60).select("__rlevel").first()[0]
     assert 20 < exploded < 30
+
+
+def stamps(folder):
+    return {str(f.relative_to(folder)): f.stat().st_mtime_ns for f in sorted(folder.rglob("*.parquet"))}
+
+
+def test_retention_drops_folders(spark, tmp_path):
+    """Old days go as folders, the day of the limit is rewritten, later days keep their files."""
+    path = tmp_path / "captures"
+    df = full(spark, [dict(id=i, t=i * 21_600) for i in range(40)])  # four a day
+    tables.append_captures(df, str(path))
+    before = stamps(path)
+    now = at(7 * 86_400 + 4 * 86_400 + 22_000)  # the limit is on the fifth day, after its second row
+    assert tables.drop_captures(spark, str(path), now, 7) == 18
+    after = stamps(path)
+    assert sorted(r.id for r in tables.read_captures(spark, str(path)).collect()) == list(range(18, 40))
+    assert {f for f in after if not f.startswith("date=2024-01-05")} == {f for f in before if f >= "date=2024-01-06"}
+    assert all(before[f] == t for f, t in after.items() if not f.startswith("date=2024-01-05"))
+    assert tables.drop_captures(spark, str(path), now, 7) == 0 and stamps(path) == after
+    assert tables.drop_captures(spark, str(path), at(400 * 86_400), 7) == 22 and not stamps(path)
+
+
+def test_retention_of_summaries_and_usage(spark, tmp_path):
+    s, u = str(tmp_path / "s"), str(tmp_path / "u")
+    rows = spark.createDataFrame([(i, at(i * 40_000 - 60), at(i * 40_000), ["A"], "x", ["t"], [i]) for i in range(10)], S.SUMMARIES)
+    tables.append_summaries(rows, s)
+    usage = spark.createDataFrame([(i, at(i * 40_000), "c", "m", 1, 1) for i in range(10)], S.TOKEN_USAGE)
+    tables.append_token_usage(usage, u)
+    # A summary is as old as its end.
+    now = at(86_400 + 120_000)
+    assert tables.drop_summaries(spark, s, now, 1) == 3 == tables.drop_token_usage(spark, u, now, 1)
+    assert sorted(r.id for r in tables.read_summaries(spark, s).collect()) == list(range(3, 10)) == sorted(r.id for r in tables.read_token_usage(spark, u).collect())
+    assert tables.read_summaries(spark, s).schema.names == S.SUMMARIES.names
+
+
+def test_storage_size_is_the_sum_of_the_files(spark, tmp_path):
+    path = tmp_path / "captures"
+    tables.append_captures(full(spark, [dict(id=i, t=i * 40_000) for i in range(9)]), str(path))
+    files = list(path.rglob("*.parquet"))
+    size = tables.storage_size(spark, str(path)).first()
+    assert (size.bytes, size.files) == (sum(f.stat().st_size for f in files), len(files))
