@@ -7,7 +7,6 @@ maps the same name to SQL over the same tables. Both read whole tables.
 from __future__ import annotations
 
 import importlib.util
-import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -131,11 +130,15 @@ def _(spark, d):
     return tables.read_captures(spark, _captures_table(spark, d), start=START, end=END).drop("visibleWindows")
 
 
-@query("storage_size", f"WITH {EV} SELECT count(*) > 0 AS has_files, count(*) > 0 AS has_bytes, count(*) AS captures FROM events_c")
+@query("storage_size", f"WITH {EV} SELECT count(*) > 0 AS has_files, count(*) > 0 AS sums_up, count(*) AS captures FROM events_c")
 def _(spark, d):
     path = _captures_table(spark, d)
-    n = tables.read_captures(spark, path).agg(F.count(F.lit(1))).scalar()
-    return tables.storage_size(spark, path).select((F.col("files") > 0).alias("has_files"), (F.col("bytes") > 0).alias("has_bytes"), n.alias("captures"))
+    rows = spark.read.parquet(path)
+    # The files, each once, as the scan sees them.
+    seen = rows.select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_size").alias("size")).groupBy("f").agg(
+        F.first("size").alias("size"), F.count(F.lit(1)).alias("n")).agg(F.sum("size").alias("seen"), F.count(F.lit(1)).alias("nf"), F.sum("n").alias("captures"))
+    return tables.storage_size(spark, path).join(seen, F.lit(True)).select(
+        ((F.col("files") > 0) & (F.col("files") == F.col("nf"))).alias("has_files"), (F.col("bytes") == F.col("seen")).alias("sums_up"), "captures")
 
 
 @query("append_summaries", f"WITH {SM} SELECT id, startTs, endTs, app AS appNames, summary, lang || ',' || app AS keyTopics, CAST(id AS VARCHAR) AS captureIds FROM sums")
@@ -436,6 +439,38 @@ def _(spark, d):
     return retention.pruned_count(events(spark, d), NOW)
 
 
+def _stored_copy(spark, name, rows, append):
+    path = scratch(spark, name)
+    append(rows, path)
+    return path
+
+
+@query("drop_captures", f"""WITH {EV} SELECT id, ts, appName, (SELECT count(*) FROM events_c WHERE ts < TIMESTAMP '{NOW}' - INTERVAL 7 DAY) AS deleted
+  FROM events_c WHERE NOT ts < TIMESTAMP '{NOW}' - INTERVAL 7 DAY""")
+def _(spark, d):
+    path = _stored_copy(spark, "captures", events(spark, d).drop("isSummarized"), tables.append_captures)
+    deleted = tables.drop_captures(spark, path, NOW)
+    return tables.read_captures(spark, path).select("id", "ts", "appName", F.lit(deleted).cast("long").alias("deleted"))
+
+
+@query("drop_summaries", f"""WITH {SM} SELECT id, startTs, endTs, (SELECT count(*) FROM sums WHERE endTs < TIMESTAMP '2024-01-08 06:00:00' - INTERVAL 7 DAY) AS deleted
+  FROM sums WHERE NOT endTs < TIMESTAMP '2024-01-08 06:00:00' - INTERVAL 7 DAY""")
+def _(spark, d):
+    rows = S.from_columns(summaries(spark, d), {n: n for n in S.SUMMARIES.names}, S.SUMMARIES)
+    path = _stored_copy(spark, "summaries", rows, tables.append_summaries)
+    deleted = tables.drop_summaries(spark, path, "2024-01-08 06:00:00")
+    return tables.read_summaries(spark, path).select("id", "startTs", "endTs", F.lit(deleted).cast("long").alias("deleted"))
+
+
+@query("drop_token_usage", f"""WITH {US} SELECT id, ts, caller, (SELECT count(*) FROM usages WHERE ts < TIMESTAMP '1998-06-01' - INTERVAL 90 DAY) AS deleted
+  FROM usages WHERE NOT ts < TIMESTAMP '1998-06-01' - INTERVAL 90 DAY""")
+def _(spark, d):
+    rows = S.from_columns(usage(spark, d), {n: n for n in S.TOKEN_USAGE.names}, S.TOKEN_USAGE)
+    path = _stored_copy(spark, "usage", rows, tables.append_token_usage)
+    deleted = tables.drop_token_usage(spark, path, "1998-06-01 00:00:00", 90)
+    return tables.read_token_usage(spark, path).select("id", "ts", "caller", F.lit(deleted).cast("long").alias("deleted"))
+
+
 # -- text and duplicates -----------------------------------------------------------------
 
 WS = "[\\t-\\r \\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+"
@@ -869,11 +904,30 @@ def _saved_index(spark, d, kind: str):
             "captures": (documents(spark, d), {c: c for c in search.CAPTURE_FIELDS}),
             "summaries": (summaries(spark, d), dict(zip(["summary", "keyTopics", "appNames"], search.summary_fields()))),
         }[kind.split("-")[0]]
-        search.TextIndex.build(rows, fields, kind.endswith("-stemmed"), keep=False).save(path, 16, 2)
+        search.TextIndex.build(rows, fields, kind.endswith("-stemmed"), keep=False).save(path, 16, 2, rows_per_block=64)
         _SAVED[key] = path
     return search.TextIndex.load(spark, _SAVED[key], kind.endswith("-stemmed"), 16)
 
 
+@query("build_index", f"WITH {DC}, {CAP_TOK} SELECT term, count(DISTINCT id) AS rows, count(*) AS occurrences FROM tk GROUP BY term")
+def _(spark, d):
+    """Tokenises, packs and saves; the searches below read what this has saved."""
+    rows = _saved_index(spark, d, "captures").postings
+    return rows.groupBy("term").agg(F.count(F.lit(1)).alias("rows"), F.sum("tf").alias("occurrences"))
+
+
+@query("build_index_stemmed", f"WITH {DC}, {CAP_TOK} SELECT id, len FROM ln")
+def _(spark, d):
+    return _saved_index(spark, d, "captures-stemmed").lengths.select("id", "len")
+
+
+@query("top_blocks", f"""WITH {DC}, {CAP_TOK}, {_rank_sql(_q('the of and'))}
+  SELECT id, round(rank, 9) AS rank FROM ranked ORDER BY ranked.rank, id LIMIT 20""")
+def _(spark, d):
+    """Frequent words: blocks that cannot reach the best twenty are left out."""
+    return _saved_index(spark, d, "captures").top(_q("the of and"), 20).select("id", F.round("rank", 9).alias("rank"))
+
+
 @query("search_captures_indexed", f"""WITH {DC}, {CAP_TOK}, {_rank_sql(_q('the and src3'))}
   SELECT id, ts, appName, fullOcrText, round(rank, 9) AS rank FROM ranked JOIN docs_c USING (id) ORDER BY ranked.rank, id LIMIT 50""")
 def _(spark, d):
@@ -888,6 +942,18 @@ def _(spark, d):
     return search.search_captures(documents(spark, d), "src5", 50, index=_saved_index(spark, d, "captures-stemmed")).select("id", F.round("rank", 9).alias("rank"))
 
 
+# The words of the documents that have the stems of two query words; the stemmer changes most of them.
+_STEMS = {"erli": ["erly", "erlyed", "erlying"], "erh": ["erhe", "erheing", "erhely", "erhelyed", "erhelying"]}
+_STEMMED = "stemmed AS (SELECT id, field, pos, CASE " + " ".join(
+    f"WHEN term IN ({', '.join(repr(w) for w in words)}) THEN '{s}'" for s, words in _STEMS.items()) + " ELSE term END AS term FROM tk)"
+
+
+@query("search_words_stemmed", f"""WITH {DC}, {CAP_TOK}, {_STEMMED}, {_rank_sql([["erli"], ["erh"]]).replace("FROM tk t0", "FROM stemmed t0")}
+  SELECT id, round(rank, 9) AS rank FROM ranked ORDER BY ranked.rank, id LIMIT 50""")
+def _(spark, d):
+    return search.search_captures(documents(spark, d), "Erlying erhely", 50, index=_saved_index(spark, d, "captures-stemmed")).select("id", F.round("rank", 9).alias("rank"))
+
+
 @query("search_summaries_indexed", f"""WITH {SM}, {SUM_TOK}, {_rank_sql(_q('the of'))}
   SELECT id, startTs, app, summary, round(rank, 9) AS rank FROM ranked JOIN sums USING (id)
   WHERE endTs >= TIMESTAMP '{DOC_NOW}' - INTERVAL 43200 SECOND AND '["' || app || '"]' LIKE '%src1%' ORDER BY ranked.rank, id LIMIT 20""")
@@ -922,6 +988,17 @@ def _(spark, d):
     return index.rank(_q("the changed")).select("id", F.round("rank", 9).alias("rank"))
 
 
+@query("index_maintenance_saved", f"""WITH {_CHANGED}, {CAP_TOK}, {_rank_sql(_q('the changed'))} SELECT id, round(rank, 9) AS rank FROM ranked""")
+def _(spark, d):
+    """The same on the files of a saved index: ids that are gone and a segment for the new rows are added."""
+    docs, fields, path = documents(spark, d), {c: c for c in search.CAPTURE_FIELDS}, scratch(spark, "index-kept")
+    search.TextIndex.build(docs, fields, False, keep=False).save(path, 16, 2, rows_per_block=64)
+    search.TextIndex.delete(spark, path, docs.filter("id % 7 = 3 OR id % 5 = 1").select("id"))
+    new = docs.filter("id % 5 = 1 AND id % 7 <> 3").withColumn("fullOcrText", F.concat("windowTitle", F.lit(" the changed text "), "appName"))
+    search.TextIndex.build(new, fields, False, keep=False).save(path, 16, 2, "append")
+    return search.TextIndex.load(spark, path, False, 16).rank(_q("the changed")).select("id", F.round("rank", 9).alias("rank"))
+
+
 def _many_sql(queries_: str, limit: int) -> str:
     """CTE ``many(query_id, id, rank, position)`` for queries whose words may hold several tokens."""
     return f"""qw AS (SELECT query_id, unnest(w) AS word, generate_subscripts(w, 1) AS phrase FROM (
@@ -1196,6 +1273,20 @@ def _(spark, d):
     return made.withColumns({c: _list(c) for c in ("appNames", "keyTopics", "captureIds")}).drop("id", "chunkKey")
 
 
+@query("summarize_pending", f"""WITH RECURSIVE {CV}, {_hybrid('conv_c', 300, 15)}, {FEATURES}, {_sections('hybrid', 'device, chunkId', 10, 3, 2000, 300)}
+  SELECT startTs, endTs, appNames, '' AS keyTopics, captureIds, '[^1]: ' || md5({_SUMMARY}) AS summary
+  FROM feat JOIN prime USING (device, chunkId) JOIN rendered USING (device, chunkId)""")
+def _(spark, d):
+    """Three rounds over stored tables; half of the devices come between the first and the second, the third finds nothing to do."""
+    rows, extra = conversations(spark, d), T.StructType([T.StructField("device", T.StringType())])
+    rows = rows.withColumn("device", F.col("device").cast("string")).drop("isSummarized")
+    c, s, u, pending, ledger = (scratch(spark, n) for n in ("captures", "summaries", "usage", "pending", "ledger"))
+    for part in ("pmod(hash(device), 2) = 0", "pmod(hash(device), 2) = 1", "false"):
+        tables.append_captures(rows.filter(part), c, pending)
+        chunk_stream.summarize_pending(spark, c, s, u, "2034-01-01 00:00:00", _echo, ["device"], extra=extra, pending=pending, ledger=ledger)
+    return tables.read_summaries(spark, s).withColumns({n: _list(n) for n in ("appNames", "keyTopics", "captureIds")}).drop("id")
+
+
 @query("usage_from_responses", f"""WITH RECURSIVE {CV}, {_hybrid('conv_c', 300, 15)}, {FEATURES}, {_sections('hybrid', 'device, chunkId', 10, 3, 2000, 300)}
   SELECT captures, startTs, 'summarizer' AS caller, 'default' AS model, length({_SUMMARY}) AS "inputTokens", CAST(1 AS BIGINT) AS "outputTokens"
   FROM (SELECT *, len(string_split("captureIds", ',')) AS captures FROM feat) JOIN prime USING (device, chunkId) JOIN rendered USING (device, chunkId)""")
