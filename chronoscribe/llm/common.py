@@ -19,20 +19,30 @@ from chronoscribe.session import durable, stored
 #: Bytes of text that are worked on at a time.
 PIECE = 1 << 20
 
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_TABLE = np.random.Generator(np.random.PCG64(20240101)).integers(1, 1 << 63, 256, dtype=np.uint64)
-_POWERS = {"base": np.ones(1, np.uint64), "back": np.ones(1, np.uint64)}
+#: Hashes of spans are polynomials over two fields of this size, at two fixed points each chosen at random.
+_P = np.uint64((1 << 31) - 1)
+_RANDOM = np.random.Generator(np.random.PCG64(20240101))
+_POINTS = [int(x) for x in _RANDOM.integers(1 << 20, int(_P) - 1, 2)]
+_TABLES = [_RANDOM.integers(1, int(_P), 256, dtype=np.uint64) for _ in _POINTS]
+_POWERS = [[np.ones(1, np.uint32), np.ones(1, np.uint32)] for _ in _POINTS]
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS["base"]) < n:
-        size = max(n, 1 << 16)
-        for name, x in (("base", _BASE), ("back", _BACK)):
-            p = np.full(size, x, np.uint64)
-            p[0] = 1
-            _POWERS[name] = np.cumprod(p, dtype=np.uint64)
-    return _POWERS["base"][:n], _POWERS["back"][:n]
+def _mod(x: np.ndarray) -> np.ndarray:
+    """Remainder of 64-bit numbers by ``_P``."""
+    x = (x & _P) + (x >> np.uint64(31))
+    x = (x & _P) + (x >> np.uint64(31))
+    return x - _P * (x >= _P)
+
+
+def _powers(k: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of point ``k``, and of its inverse."""
+    for which, x in enumerate((_POINTS[k], pow(_POINTS[k], -1, int(_P)))):
+        have = _POWERS[k][which]
+        while len(have) < n:
+            step = np.uint64(pow(x, len(have), int(_P)))
+            have = np.concatenate([have, _mod(have.astype(np.uint64) * step).astype(np.uint32)])
+        _POWERS[k][which] = have
+    return _POWERS[k][0][:n], _POWERS[k][1][:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -46,24 +56,34 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Spans:
-    """64-bit hashes of any span of a sequence of symbols, from running sums modulo 2**64.
+    """64-bit hashes of any span of a sequence of symbols, from running sums.
 
-    Equal spans have equal hashes wherever they stand."""
+    Equal spans have equal hashes wherever they stand. A span of n symbols is a polynomial of degree below n over two fields of 2**31 - 1
+    elements; two given spans of equal length have equal hashes by chance only, at odds of at most (n / 2**31)**2 over the choice of
+    the two points."""
 
     def __init__(self, symbols: np.ndarray):
-        values = _TABLE[symbols] if symbols.dtype == np.uint8 else symbols
-        p, self.back = _powers(len(values) + 1)
-        self.sums = np.zeros(len(values) + 1, np.uint64)
-        np.cumsum(values * p[:-1], out=self.sums[1:])
+        self.sums, self.back = [], []
+        for k in range(len(_POINTS)):
+            values = _TABLES[k][symbols] if symbols.dtype == np.uint8 else _mod(mix(symbols) if k else symbols)
+            p, back = _powers(k, len(values) + 1)
+            sums = np.zeros(len(values) + 1, np.uint64)
+            np.cumsum(_mod(values * p[:-1]), out=sums[1:])
+            self.sums.append(sums)
+            self.back.append(back)
+
+    @staticmethod
+    def _both(parts: list[np.ndarray], length) -> np.ndarray:
+        return mix((parts[0] << np.uint64(32) | parts[1]) ^ mix(np.asarray(length, np.uint64)))
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mix((self.sums[ends] - self.sums[starts]) * self.back[starts] + (ends - starts).astype(np.uint64))
+        return self._both([_mod(_mod(s[ends] - s[starts]) * b[starts]) for s, b in zip(self.sums, self.back)], ends - starts)
 
     def grams(self, n: int) -> np.ndarray:
         """The hash of the ``n`` symbols from each position that has as many."""
-        if len(self.sums) <= n:
+        if len(self.sums[0]) <= n:
             return np.zeros(0, np.uint64)
-        return mix((self.sums[n:] - self.sums[:-n]) * self.back[:len(self.sums) - n] + np.uint64(n))
+        return self._both([_mod(_mod(s[n:] - s[:-n]) * b[:len(s) - n]) for s, b in zip(self.sums, self.back)], np.array([n]))
 
 
 def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
