@@ -9,7 +9,7 @@ Matches are leftmost and not overlapping within a kind; then those that fail the
 Positions count code points, ends are exclusive. Defined cases: a null text is an empty one; repeated rows
 share postings and each gets its spans; texts are scanned whole; an empty table gives no rows; columns not
 named in ``keep`` are ignored. The work of one text grows with the square of its matches (they are
-numbered by an array fold), which is 0.1 s for ten thousand.
+numbered by an array fold, which copies what it has so far): some 5 s for ten thousand, 90 s for forty thousand.
 """
 
 from __future__ import annotations

@@ -11,7 +11,7 @@ compared with the library in one call; with ``check="texts"`` whole texts are.
 
 Defined cases: a null text is an empty one (only the begin and end ids); a text of any length is encoded
 whole; repeated rows are encoded alike; an empty table gives an empty one; columns of the input pass
-through and the new column gets a free name.
+through, and the new column has the name that the caller gives (``common.fresh`` finds a free one).
 """
 
 from __future__ import annotations

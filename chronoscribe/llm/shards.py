@@ -6,22 +6,15 @@ so that only the files of the attempts that Spark accepted are ever read.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark import TaskContext
 from pyspark.sql import SparkSession
 
-from chronoscribe.session import _shared_folder
+from chronoscribe.session import scratch, uri
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A new folder's URI below ``spark.checkpoint.dir``."""
-    base = _shared_folder(spark)
-    if base.startswith("file:") and not base.startswith("file://"):
-        base = "file://" + base[len("file:"):]
-    elif base.startswith("/"):
-        base = "file://" + base
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    """A new folder's URI below ``spark.checkpoint.dir``; ``session.remove_stored`` deletes it with the stored tables."""
+    return uri(scratch(spark, name))
 
 
 def own_name() -> tuple[int, str]:
