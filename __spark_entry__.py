@@ -1338,7 +1338,7 @@ def _(spark, d):
     rows = events(spark, d).select("id", "ts", "device", "appName", "textHash")
     # The later half arrives first; both wait for the watermark.
     parts = [rows.filter("id % 2 = 1"), rows.filter("id % 2 = 0"), _far(rows)]
-    return _drained(spark, parts, lambda s: cap_stream.dedup_consecutive_stream(s, delay="4000 days", bucket="1 day")).select("id", "device", "appName")
+    return _drained(spark, parts, lambda s: cap_stream.dedup_consecutive_stream(s, delay="4000 days", bucket="60 days")).select("id", "device", "appName")
 
 
 @query("dedup_within", f"WITH {EV} SELECT DISTINCT device, textHash FROM events_c")
@@ -1354,8 +1354,8 @@ def _(spark, d):
     return _drained(spark, [rows, _far(rows)], stream).select("id", "device", "windowStart", "late")
 
 
-# Every fifth row comes after all others and two weeks behind; those whose day the watermark has passed are late.
-_LATE = "(id % 5 = 0 AND epoch_ms(ts) // 86400000 < (SELECT epoch_ms(max(ts)) - 14 * 86400000 FROM events_c WHERE id % 5 <> 0) // 86400000)"
+# Every fifth row comes after all others and two weeks behind; those whose bucket of a week the watermark has passed are late.
+_LATE = "(id % 5 = 0 AND epoch_ms(ts) // 604800000 < (SELECT epoch_ms(max(ts)) - 14 * 86400000 FROM events_c WHERE id % 5 <> 0) // 604800000)"
 
 
 @query("chunk_by_time_stream_late", f"""WITH RECURSIVE {EV}, seen AS (SELECT * FROM events_c WHERE NOT {_LATE}), {_windows('seen', 86400)}
@@ -1363,7 +1363,7 @@ _LATE = "(id % 5 = 0 AND epoch_ms(ts) // 86400000 < (SELECT epoch_ms(max(ts)) -
 def _(spark, d):
     rows = events(spark, d).select("id", "ts", "device", "appName")
     parts = [rows.filter("id % 5 <> 0"), rows.filter("id % 5 = 0"), _far(rows)]
-    stream = lambda s: chunk_stream.chunk_by_time_stream(s, window=86_400, delay="14 days", bucket="1 day")
+    stream = lambda s: chunk_stream.chunk_by_time_stream(s, window=86_400, delay="14 days", bucket="7 days")
     return _drained(spark, parts, stream).select("id", "device", "windowStart", "late")
 
 
