@@ -259,7 +259,11 @@ def _meeting(nodes: DataFrame, percent: int) -> DataFrame:
                 & fits(F.col("l.n"), F.col("r.n"), percent) & shift("l", "r") & shift("r", "l"))
     few = at.join(crowds, "token", "left_anti")
     # Members of a crowd bring their parities: pairs that cannot link are not made. A crowd is dealt to several tasks.
-    many = at.join(crowds, "token").join(nodes.select("node", *_SIGN), "node")
+    if crowds.count() <= BROADCAST_ROWS:
+        signed = nodes.select("node", "n", "component", *_SIGN, F.posexplode("prefix").alias("place", "token"))
+        many = signed.join(F.broadcast(crowds), "token")
+    else:
+        many = common.cut(at.join(crowds, "token").join(nodes.select("node", *_SIGN), "node"))
     left = many.withColumn("share", F.pmod(F.hash("node"), F.col("shares"))).drop("shares")
     right = many.withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("shares")
     columns = [F.col("l.node").alias("a"), F.col("r.node").alias("b"), F.col("l.n").alias("n"), F.col("r.n").alias("m")]
