@@ -134,7 +134,7 @@ class Encoder:
         before = np.concatenate([[0], np.cumsum(~gap)])
         edges = np.append(before[start], before[-1]).astype(np.int32)
         words = pa.StringArray.from_buffers(len(start), pa.py_buffer(edges), pa.py_buffer(data[~gap])).dictionary_encode()
-        at = self._places(words.dictionary.to_pylist())[words.indices.to_numpy()]
+        at = self._places(words.dictionary.to_numpy(zero_copy_only=False).tolist())[words.indices.to_numpy()]
         first = self.first[at]
         count = self.first[at + 1] - first
         upto = np.concatenate([[0], np.cumsum(count)])

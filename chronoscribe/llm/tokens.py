@@ -23,7 +23,6 @@ from functools import lru_cache
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -82,15 +81,16 @@ class Encoder:
         cut = data == 32
         cut[off[:-1][np.diff(off) > 0]] = True
         start = np.flatnonzero(cut)
-        end = np.append(start[1:], len(data)) if len(start) else start
         of = np.searchsorted(off, start, "right") - 1
         plain = ~whole[of]
-        start, end, of = start[plain], end[plain], of[plain]
-        code, distinct = pd.factorize(common.Spans(data).of(start, end))
-        where = np.empty(len(distinct), np.int64)
-        where[code[::-1]] = np.arange(len(code))[::-1]
-        chunks = [blob[s:e] for s, e in zip(start[where].tolist(), end[where].tolist())]
-        ids = self._known(chunks)
+        edges = np.append(start, len(data)).astype(np.int32)
+        chunks = pa.BinaryArray.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(edges), pa.py_buffer(blob)])
+        # Chunks are compared byte by byte.
+        if not plain.all():
+            chunks, of = chunks.filter(pa.array(plain)), of[plain]
+        chunks = chunks.dictionary_encode()
+        code = chunks.indices.to_numpy()
+        ids = self._known(chunks.dictionary.to_numpy(zero_copy_only=False).tolist())
         size = np.array(list(map(len, ids)), np.int64) // self.width.itemsize
         table = np.frombuffer(b"".join(ids), self.width)
         place = np.cumsum(size) - size
