@@ -6,17 +6,21 @@ through all fields of the row, with one place left free between fields, so that
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import unicodedata
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Tokens that are packed at a time.
-TOKENS = 1 << 20
+from chronoscribe.functions.text import raw_tokens
+
+#: Tokens that are packed at a time, and the bytes of text that are taken for one.
+TOKENS, BYTES_A_TOKEN = 1 << 20, 4
 
 
 def gaps_to_bytes(gaps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -54,21 +58,68 @@ def positions(at: pd.Series) -> pd.Series:
     return pd.Series([total[a + 1:b + 1] - total[a] for a, b in zip(edges[:-1], edges[1:])])
 
 
-def _pack(batch: pa.RecordBatch, fields: int) -> pa.RecordBatch:
-    """Packed rows of a batch (id, token arrays); each row of the batch also gives one without a term."""
+def _letters() -> np.ndarray:
+    """Which code points below ``_KNOWN`` are letters or numbers; there are no combining marks among them."""
+    return np.array([unicodedata.category(chr(i))[0] in "LN" for i in range(_KNOWN)])
+
+
+#: Texts of code points below this one are cut by a table; in UTF-8 they take two bytes at most.
+_KNOWN = 0x240
+_WORD = _letters()
+_ASCII = np.concatenate([_WORD[:128], np.zeros(128, bool)])
+
+
+def _cut(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Tokens of lower-cased texts below ``_KNOWN``: the row of each, its place in the row, and itself."""
+    off = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset:texts.offset + len(texts) + 1]
+    blob = texts.buffers()[2]
+    data = np.frombuffer(blob, np.uint8)[:off[-1]] if blob is not None else np.zeros(0, np.uint8)
+    word = _ASCII[data]
+    lead = np.flatnonzero(data >= 0xC0)
+    word[lead] = _WORD[((data[lead] & 31).astype(np.int64) << 6) | (data[lead + 1] & 63)] if len(lead) else False
+    word[lead + 1] = word[lead]
+    word[:off[0]] = False
+    edge = np.zeros(len(data) + 1, bool)
+    edge[off] = True
+    start = np.flatnonzero(word & (edge[:-1] | ~np.concatenate([[False], word[:-1]])))
+    if not len(start):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), pa.array([], pa.string())
+    end = np.flatnonzero(word & (edge[1:] | ~np.concatenate([word[1:], [False]]))) + 1
+    # Tokens and what lies between them; every second piece is a token.
+    pieces = pa.StringArray.from_buffers(2 * len(start) - 1, pa.py_buffer(np.stack([start, end], 1).astype(np.int32)), blob)
+    rows = np.searchsorted(off, start, "right") - 1
+    count = np.bincount(rows, minlength=len(texts))
+    return rows, np.arange(len(rows)) - np.repeat(np.cumsum(count) - count, count), pieces.take(pa.array(np.arange(0, len(pieces), 2)))
+
+
+def _listed(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """The same from token arrays."""
+    count = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    rows = np.repeat(np.arange(len(lists)), count)
+    return rows, np.arange(len(rows)) - np.repeat(np.cumsum(count) - count, count), lists.flatten().cast(pa.string())
+
+
+def _pack(batch: pa.RecordBatch, fields: int, stem: Callable[[str], str] | None, places: bool) -> pa.RecordBatch:
+    """Packed rows of a batch (id, text and token array of each field); each row of the batch also gives one without a term."""
     n = batch.num_rows
-    lists = [batch.column(1 + i) for i in range(fields)]
-    counts = [np.diff(c.offsets.to_numpy()) for c in lists]
-    rows = np.concatenate([np.repeat(np.arange(n), c) for c in counts])
-    first, free = [], np.zeros(n, np.int64)
-    for c in counts:
-        start = np.cumsum(c) - c
-        first.append(np.arange(c.sum()) - np.repeat(start - free, c))
-        free = free + c + 1
-    place = np.concatenate(first)
-    words = pa.concat_arrays([c.flatten().cast(pa.string()) for c in lists]).dictionary_encode()
-    code = words.indices.to_numpy(zero_copy_only=False)
-    order = np.lexsort((place, code, rows))
+    found, free = [], np.zeros(n, np.int64)
+    for i in range(fields):
+        # A row has a text or an array.
+        parts = [_cut(batch.column(1 + 2 * i).fill_null("")), _listed(batch.column(2 + 2 * i))]
+        found += [(r, p + free[r], w) for r, p, w in parts]
+        free = free + sum(np.bincount(r, minlength=n) for r, _, _ in parts) + 1
+    length = free - fields
+    if not places:
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(length, pa.int32()), pa.nulls(n, pa.string()), pa.array(np.zeros(n, np.int64), pa.int32()),
+                                           pa.nulls(n, pa.binary())], ["id", "len", "term", "tf", "at"])
+    rows, place = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+    words = pa.concat_arrays([w for _, _, w in found]).dictionary_encode()
+    code, known = words.indices.to_numpy(zero_copy_only=False).astype(np.int64), words.dictionary
+    if stem is not None:
+        stems = pa.array([stem(w) for w in known.to_pylist()], pa.string()).dictionary_encode()
+        code, known = stems.indices.to_numpy(zero_copy_only=False).astype(np.int64)[code], stems.dictionary
+    # Places of a row come in order, so a stable sort keeps them. Rows of one term stand together.
+    order = np.argsort(code * n + rows, kind="stable")
     rows, code, place = rows[order], code[order], place[order]
     new = np.ones(len(rows), bool)
     new[1:] = (rows[1:] != rows[:-1]) | (code[1:] != code[:-1])
@@ -79,31 +130,63 @@ def _pack(batch: pa.RecordBatch, fields: int) -> pa.RecordBatch:
     tf = np.diff(np.append(head, len(rows)))
     edges = np.concatenate([[0], np.cumsum(np.add.reduceat(size, head) if len(head) else np.zeros(0, np.int64))])
     at = pa.BinaryArray.from_buffers(pa.binary(), len(head), [None, pa.py_buffer(edges.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
-    length = sum(counts)
     own = np.concatenate([np.arange(n), rows[head]])
-    terms = pa.concat_arrays([pa.nulls(n, pa.string()), words.dictionary.take(pa.array(code[head]))])
+    terms = pa.concat_arrays([pa.nulls(n, pa.string()), known.take(pa.array(code[head]))])
     return pa.RecordBatch.from_arrays(
         [batch.column(0).take(pa.array(own)), pa.array(length[own], pa.int32()), terms,
          pa.array(np.concatenate([np.zeros(n, np.int64), tf]), pa.int32()), pa.concat_arrays([pa.nulls(n, pa.binary()), at])],
         ["id", "len", "term", "tf", "at"])
 
 
-def pack(rows: DataFrame) -> DataFrame:
-    """``(id, len, term, tf, at)`` from ``(id, tokens, tokens, ...)``: ``tf`` places of ``term`` in a row of ``len`` tokens. Each row also
-    has one line whose term is null. A map-only job."""
-    fields = len(rows.columns) - 1
-    kind = rows.schema[0].dataType
+def pack(docs: DataFrame, id: str, fields: list[str | Column], stem: Callable[[str], str] | None = None, places: bool = True) -> DataFrame:
+    """``(id, len, term, tf, at)``: ``tf`` places of ``term`` in a row of ``len`` tokens. Each row also has one line whose term is
+    null; without ``places`` it has this line only. A map-only job.
+
+    Texts that stay below ``_KNOWN`` when lower-cased travel as they are and are cut beside the packing; the others are cut by the
+    expression of ``raw_tokens``. Each distinct token of a batch is stemmed once."""
+    columns = []
+    for i, field in enumerate(fields):
+        c = F.coalesce(F.col(field) if isinstance(field, str) else field, F.lit(""))
+        unknown = F.lower(c).rlike(f"[^\\x00-\\x{{{_KNOWN - 1:x}}}]")
+        columns += [F.when(~unknown, F.lower(c)).alias(f"x{i}"), F.when(unknown, raw_tokens(c)).alias(f"t{i}")]
+    rows = docs.select(F.col(id).alias("id"), *columns)
+    n, kind = len(fields), rows.schema[0].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            upto = np.cumsum(np.concatenate([[0], sum(np.diff(batch.column(1 + i).offsets.to_numpy()) for i in range(fields))]))
+            texts = sum(pc.fill_null(pc.binary_length(batch.column(1 + 2 * i)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(n))
+            lists = sum(pc.fill_null(pc.list_value_length(batch.column(2 + 2 * i)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(n))
+            upto = np.cumsum(np.concatenate([[0], texts // BYTES_A_TOKEN + lists]))
             at = 0
             while at < batch.num_rows:
                 to = max(at + 1, int(np.searchsorted(upto, upto[at] + TOKENS, "right")) - 1)
-                # A slice of a list column keeps its offsets into the whole.
-                yield _pack(pa.RecordBatch.from_arrays([pa.concat_arrays([c]) for c in batch.slice(at, to - at).columns], batch.schema.names), fields)
+                # A slice of a column keeps its offsets into the whole.
+                yield _pack(pa.RecordBatch.from_arrays([pa.concat_arrays([c]) for c in batch.slice(at, to - at).columns], batch.schema.names), n, stem, places)
                 at = to
 
     schema = T.StructType([T.StructField("id", kind), T.StructField("len", T.IntegerType()), T.StructField("term", T.StringType()),
                            T.StructField("tf", T.IntegerType()), T.StructField("at", T.BinaryType())])
     return rows.mapInArrow(run, schema)
+
+
+def tops(rows: DataFrame) -> DataFrame:
+    """``(term, block, tf, rows, len, bucket)`` of postings ``(term, block, tf, len, bucket)``: how many rows of a block have a term
+    ``tf`` times, and the least length of such a row. No row of the block weighs more than the best of these.
+
+    A map-only job: rows that are read apart are counted apart, and who reads the result adds them up. Postings that are sorted by
+    term and block, as files of an index are, give few such parts."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = batch.column(0).dictionary_encode()
+            block, tf, length = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3))
+            keys = (words.indices.to_numpy(zero_copy_only=False), block, tf)
+            order = np.lexsort((length, tf, block, keys[0]))
+            new = np.ones(len(order), bool)
+            if len(order):
+                new[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)
+            head = np.flatnonzero(new)
+            first = batch.take(pa.array(order[head]))
+            n = pa.array(np.diff(np.append(head, len(order))), pa.int64())
+            yield pa.RecordBatch.from_arrays([*first.columns[:3], n, *first.columns[3:]], ["term", "block", "tf", "rows", "len", "bucket"])
+
+    return rows.mapInArrow(run, "term string, block long, tf int, rows long, len int, bucket int")

@@ -29,7 +29,7 @@ from chronoscribe.functions.clock import local_time, seconds_before
 from chronoscribe.functions.stems import stem as stem_one
 from chronoscribe.functions.stems import stem_tokens
 from chronoscribe.functions.text import TOKEN_PATTERN, like_contains, raw_tokens
-from chronoscribe.operators.postings import pack, positions
+from chronoscribe.operators.postings import pack, positions, tops
 from chronoscribe.session import stored
 
 # BM25 parameters and the floor of the inverse document frequency.
@@ -232,6 +232,8 @@ def document_lengths(docs: DataFrame, fields: dict[str, str | Column], id: str =
 _SEGMENT = 1 << 40
 #: Terms of fewer rows have no stored blocks; their postings are read whole.
 FREQUENT = 128
+#: Tokens whose postings a writer of an index sorts, about; the number of writers grows with the tokens.
+TOKENS_PER_WRITER = 1_500_000
 #: Blocks that are read first, to learn which rank the last one of the best has.
 FIRST = 32
 
@@ -242,12 +244,10 @@ def _level() -> Column:
 
 
 def _blocks(rows: DataFrame) -> DataFrame:
-    """``(term, block, rows, tops)`` for frequent terms: ``tops`` has, for each number of places that some row of the block
-    has, the least length of such a row. No row of the block weighs more than the best of them."""
-    per_tf = rows.groupBy("term", "block", "tf").agg(F.count(F.lit(1)).alias("n"), F.min("len").alias("len"))
-    blocks = per_tf.groupBy("term", "block").agg(F.sum("n").alias("rows"), F.collect_list(F.struct("tf", "len")).alias("tops"))
-    df = rows.groupBy("term").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") >= FREQUENT)
-    return blocks.join(df.select("term"), "term", "left_semi")
+    """``tops`` of the frequent terms, by bucket."""
+    frequent = stored(rows.groupBy("term").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") >= FREQUENT).select("term"))
+    few = F.broadcast(frequent) if frequent.count() <= BROADCAST_ROWS else frequent
+    return tops(rows.select("term", "block", "tf", "len", "bucket").join(few, "term", "left_semi"))
 
 
 @dataclass(frozen=True)
@@ -274,18 +274,21 @@ class TextIndex:
               keep: bool = True) -> "TextIndex":
         """With ``keep`` the packed postings are stored, so each text is tokenised once however often
         the index is read; without it everything stays lazy (as for ``save``)."""
-        tokens = [raw_tokens(col) for col in fields.values()]
-        if stem:
-            tokens = [stem_tokens(t) for t in tokens]
-        rows = pack(docs.select(F.col(id).alias("id"), *[t.alias(f"t{i}") for i, t in enumerate(tokens)]))
-        rows = stored(rows) if keep else rows
-        return cls._of(rows.withColumn("block", F.lit(0).cast("long")), stem)
+        columns, block = list(fields.values()), F.lit(0).cast("long")
+        if keep:
+            return cls._of(stored(pack(docs, id, columns, stem_one if stem else None)).withColumn("block", block), stem)
+        rows = pack(docs, id, columns, stem_one if stem else None).filter("term IS NOT NULL")
+        # Stemming does not change the number of tokens; cutting texts again takes less than storing all postings.
+        return cls._with(rows.withColumn("block", block), pack(docs, id, columns, places=False).select("id", "len").withColumn("block", block), stem)
 
     @classmethod
     def _of(cls, rows: DataFrame, stem: bool) -> "TextIndex":
-        lengths = rows.filter("term IS NULL").select("id", "len", "block")
+        return cls._with(rows.filter("term IS NOT NULL"), rows.filter("term IS NULL").select("id", "len", "block"), stem)
+
+    @classmethod
+    def _with(cls, postings: DataFrame, lengths: DataFrame, stem: bool) -> "TextIndex":
         totals = lengths.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.col("len").cast("long")), F.lit(0)).alias("tokens"))
-        return cls(rows.filter("term IS NOT NULL"), lengths, totals, stem)
+        return cls(postings, lengths, totals, stem)
 
     @staticmethod
     def _bucket(buckets: int) -> Column:
@@ -294,7 +297,7 @@ class TextIndex:
     def save(self, path: str, buckets: int = 64, parts_per_bucket: int = 8, mode: str = "overwrite",
              rows_per_block: int = 1024) -> None:
         """Postings by term bucket, sorted by term and block inside files, and the blocks of frequent terms. The postings of a
-        frequent term are spread over ``parts_per_bucket`` writers by row id. ``mode="append"`` adds a segment; ids that are there
+        frequent term are spread over ``parts_per_bucket`` writers by block, or more where there are many postings. ``mode="append"`` adds a segment; ids that are there
         already are refused, since their postings would count twice (see ``delete``)."""
         spark = self.lengths.sparkSession
         segment = 0
@@ -303,34 +306,40 @@ class TextIndex:
             segment = there.segments
             if not self.lengths.join(there._alive(there.lengths).select("id"), "id", "left_semi").isEmpty():
                 raise ValueError("ids of this batch are in the index; delete them first")
-        columns = ["id", "len", "term", "tf", "at"]
-        rows = stored(self._alive(self.postings).select(*columns).unionByName(
-            self._alive(self.lengths).select("id", "len"), allowMissingColumns=True))
-        levels = rows.filter("term IS NULL").groupBy(_level().alias("level")).agg(F.count(F.lit(1)).alias("n"))
+        # The lengths alone are stored; the postings go from the texts to their writers.
+        lengths = stored(self._alive(self.lengths).select("id", "len"))
+        levels = lengths.groupBy(_level().alias("level")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("len").cast("long")).alias("tokens")).collect()
         # Four levels an octave, so some hundred at most.
-        parts = F.create_map(*[F.lit(x) for r in levels.collect() for x in (r["level"], -(-r["n"] // rows_per_block))] or [F.lit(0), F.lit(1)])
+        parts = F.create_map(*[F.lit(x) for r in levels for x in (r["level"], -(-r["n"] // rows_per_block))] or [F.lit(0), F.lit(1)])
         block = (F.lit(segment * _SEGMENT) + _level().cast("long") * (1 << 32) + F.pmod(F.xxhash64("id"), F.element_at(parts, _level())))
-        made = TextIndex._of(rows.withColumn("block", block), self.stem)
-        (made.postings.withColumn("bucket", self._bucket(buckets))
-         .repartition(buckets * parts_per_bucket, "bucket", F.pmod(F.xxhash64("id"), F.lit(parts_per_bucket)))
+        # A writer sorts a bounded number of postings; blocks stay whole. What it can compute does not travel.
+        writers = max(parts_per_bucket, -(-sum(r["tokens"] for r in levels) // (buckets * TOKENS_PER_WRITER)))
+        made = TextIndex._with(self._alive(self.postings).select("id", "len", "term", "tf", "at"), lengths.withColumn("block", block), self.stem)
+        (made.postings
+         .repartitionById(buckets * writers, self._bucket(buckets) * writers + F.pmod(F.xxhash64(block), F.lit(writers)).cast("int"))
+         .withColumn("block", block).withColumn("bucket", self._bucket(buckets))
          .sortWithinPartitions("bucket", "term", "block", "id")
          .write.mode(mode).partitionBy("bucket").parquet(f"{path}/postings"))
         made.lengths.write.mode(mode).parquet(f"{path}/lengths")
-        (_blocks(made.postings).withColumn("bucket", self._bucket(buckets)).repartition(buckets, "bucket").sortWithinPartitions("bucket", "term")
-         .write.mode(mode).partitionBy("bucket").parquet(f"{path}/blocks"))
+        written = TextIndex._postings(spark, path, lengths).filter(F.col("block") >= segment * _SEGMENT)
+        _blocks(written).write.mode(mode).partitionBy("bucket").parquet(f"{path}/blocks")
         made.totals.withColumn("segment", F.lit(segment)).write.mode(mode).parquet(f"{path}/totals")
         none = spark.createDataFrame([], made.lengths.schema)
         none.write.mode(mode).parquet(f"{path}/gone")
 
+    @staticmethod
+    def _postings(spark: SparkSession, path: str, lengths: DataFrame) -> DataFrame:
+        kind = lengths.schema["id"].dataType.simpleString()
+        return spark.read.schema(f"id {kind}, len int, term string, tf int, at binary, block long, bucket int").parquet(f"{path}/postings")
+
     @classmethod
     def load(cls, spark: SparkSession, path: str, stem: bool = True, buckets: int = 64) -> "TextIndex":
         totals, gone = spark.read.parquet(f"{path}/totals"), spark.read.parquet(f"{path}/gone")
         segments = totals.agg(F.max("segment")).first()[0] + 1
         lengths = spark.read.parquet(f"{path}/lengths")
         # Tables by bucket have no file where they have no row.
-        kind = lengths.schema["id"].dataType.simpleString()
-        postings = spark.read.schema(f"id {kind}, len int, term string, tf int, at binary, block long, bucket int").parquet(f"{path}/postings")
-        blocks = spark.read.schema("term string, block long, rows long, tops array<struct<tf:int,len:int>>, bucket int").parquet(f"{path}/blocks")
+        postings = cls._postings(spark, path, lengths)
+        blocks = spark.read.schema("term string, block long, tf int, rows long, len int, bucket int").parquet(f"{path}/blocks")
         return cls(postings, lengths, totals.select("rows", "tokens"), stem, buckets, blocks, None if gone.isEmpty() else gone, segments)
 
     @classmethod
@@ -367,7 +376,7 @@ class TextIndex:
             more = more.drop("bucket")
         blocks = None
         if self.blocks is not None:
-            extra = after(other.blocks) if other.blocks is not None and other.buckets == self.buckets else _blocks(more).withColumn("bucket", self._bucket(self.buckets))
+            extra = after(other.blocks) if other.blocks is not None and other.buckets == self.buckets else _blocks(more)
             blocks = self.blocks.unionByName(extra)
         gone = [g for g in (self.gone, None if other.gone is None else after(other.gone)) if g is not None]
         return replace(self, postings=mine.unionByName(more.select(*mine.columns)), lengths=self.lengths.unionByName(after(other.lengths)),
@@ -445,14 +454,12 @@ class TextIndex:
         theirs weighs at most. Reads blocks of frequent terms and whole postings of rare ones."""
         terms = [p[0] for p in phrases]
         listed = sorted(set(terms))
-        known = stored(self._of_terms(listed, self.blocks).select("term", "block", "rows", "tops"))
+        known = stored(self._of_terms(listed, self.blocks).select("term", "block", "tf", "rows", "len"))
         covered = known.select("term", F.floor(F.col("block") / _SEGMENT).alias("segment")).distinct()
         # A term may be frequent in some segments only.
         if covered.count() < len(listed) * self.segments:
             left = self._of_terms(listed).withColumn("segment", F.floor(F.col("block") / _SEGMENT)).join(F.broadcast(covered), ["term", "segment"], "left_anti")
-            tops = left.groupBy("term", "block", "tf").agg(F.count(F.lit(1)).alias("n"), F.min("len").alias("len")).groupBy("term", "block").agg(
-                F.sum("n").alias("rows"), F.collect_list(F.struct("tf", "len")).alias("tops"))
-            known = known.unionByName(tops)
+            known = known.unionByName(tops(left.select("term", "block", "tf", "len", "bucket")).drop("bucket"))
         df = known.groupBy("term").agg(F.sum("rows").alias("df"))
         if self.gone is not None:
             # Deleted rows are looked for in their own blocks only.
@@ -462,9 +469,10 @@ class TextIndex:
             df = df.unionByName(dead).groupBy("term").agg(F.sum("df").alias("df"))
         phrase = F.explode(F.element_at(F.create_map(*[c for t in listed for c in (F.lit(t), F.array(*[F.lit(i) for i, x in enumerate(terms) if x == t]))]), F.col("term")))
         df = stored(df.filter("df > 0").select(phrase.alias("phrase"), "df"))
-        most = F.array_max(F.transform("tops", lambda t: _weight(t["tf"], t["len"], F.col("__c.mean"))))
-        per_phrase = known.select("block", "rows", "tops", phrase.alias("phrase")).join(F.broadcast(df), "phrase").withColumn("__c", self._corpus())
-        blocks = (per_phrase.select("block", "rows", (_idf(F.col("__c.rows"), F.col("df")) * most).alias("w"))
+        per_phrase = known.select("block", "tf", "rows", "len", phrase.alias("phrase")).join(F.broadcast(df), "phrase").withColumn("__c", self._corpus())
+        most = _idf(F.col("__c.rows"), F.col("df")) * _weight(F.col("tf"), F.col("len"), F.col("__c.mean"))
+        blocks = (per_phrase.select("block", "phrase", "rows", most.alias("w"))
+                  .groupBy("block", "phrase").agg(F.sum("rows").alias("rows"), F.max("w").alias("w"))
                   .groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("bound"), F.min("rows").alias("rows"))
                   .filter(F.col("n") == len(phrases)).select("block", "rows", "bound"))
         return df, stored(blocks)

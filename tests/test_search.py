@@ -261,3 +261,42 @@ def test_api_rules(spark):
     assert api.list_summaries(s, at(100), minutes=-5, limit=0).count() == 1
     assert search.sanitize_query(' a "b"  ""\tc ') == ["a", "b", "", "c"]
     assert api.search_metadata(api.search(s, "beta", at(300)), "beta").first().summaries_searched == 4
+
+
+ODD = ["İstanbul IŞIK", "Ⱥx ⱥy ȺZ", "ß ²½ª ǅ x²y", None, "", " \t\n", "áb café ́x", "日本 語x 1２3", "ef g", "😀a b😀", "ɀa ɐb", "ÀÉ-Ÿ_ñ'o",
+       " x­z×w÷v", "x" * 300 + "ÿ", "one", "a" + "ͅ" + "A"]
+
+
+def test_texts_are_cut_as_the_expression_cuts_them(spark):
+    """Packing cuts texts of low code points itself; every code point below the bound, alone and between letters, and texts beyond it."""
+    texts = ODD + [f"q{chr(i)}r {chr(i)}" for i in range(0x300)]
+    df = spark.createDataFrame([(i, t, texts[-i - 1]) for i, t in enumerate(texts)], "id long, a string, b string").repartition(5)
+    for stem_ in (False, True):
+        index = search.TextIndex.build(df, {"a": "a", "b": "b"}, stem_, keep=False)
+        tokens = df.select("id", search.tokenize("a", stem_).alias("a"), search.tokenize("b", stem_).alias("b")).collect()
+        want = {}
+        for r in tokens:
+            for place, t in [*enumerate(r.a), *enumerate(r.b, len(r.a) + 1)]:
+                want.setdefault((r.id, t), []).append(place)
+        got = {(r.id, r.term): r.at for r in index.postings.select("id", "term", postings.positions("at").alias("at")).collect()}
+        assert got == want
+        assert {(r.id, r.len) for r in index.lengths.collect()} == {(r.id, len(r.a) + len(r.b)) for r in tokens}
+
+
+def test_writers_of_an_index_grow_with_it(spark, large, tmp_path, monkeypatch):
+    """What one writer sorts is bounded, whatever the number of buckets; blocks stay in one file and no intermediate of all postings is stored."""
+    rows, _, index = large
+    df = spark.createDataFrame(rows, "id long, fullOcrText string, windowTitle string, appName string")
+    monkeypatch.setattr(search, "TOKENS_PER_WRITER", 2000, raising=False)
+    path = str(tmp_path / "index")
+    search.TextIndex.build(df, {c: c for c in search.CAPTURE_FIELDS}, False, keep=False).save(path, 4, 2, rows_per_block=16)
+    files = list(pathlib.Path(f"{path}/postings").rglob("*.parquet"))
+    tokens = index.totals.first().tokens
+    assert tokens > 100_000 and len(files) > tokens // 2000 // 2
+    assert max(spark.read.parquet(str(f)).count() for f in files) < 4000
+    again = search.TextIndex.load(spark, path, False, 4)
+    homes = spark.read.parquet(f"{path}/postings").select("term", "block", F.input_file_name().alias("f")).groupBy("term", "block").agg(F.countDistinct("f").alias("n"))
+    assert homes.filter("n > 1").isEmpty()
+    for query in ["the and", "w1 w2", "rare3 the", "the-and of"]:
+        phrases = search.parse_query(query, False)
+        assert [(r.id, round(r["rank"], 9)) for r in again.top(phrases, 20).collect()] == [(r.id, round(r["rank"], 9)) for r in index.top(phrases, 20).collect()]
