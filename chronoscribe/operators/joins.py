@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 
 from chronoscribe.operators.scan import newest
 from chronoscribe.operators.sequence import look_up
+from chronoscribe.session import stored
+
+# Rows of a part of a crowded bucket; pairs that a task compares, about; crowded buckets that are broadcast; tasks of the join.
+PART, PAIRS_PER_TASK, BROADCAST_CELLS, MOST_TASKS = 2_000, 50_000_000, 200_000, 20_000
 
 
 def _laid(df: DataFrame, start: str, end: str, name: str, base_seconds: int) -> DataFrame:
@@ -27,7 +31,8 @@ def summaries_in_ranges(summaries: DataFrame, ranges: DataFrame, base_seconds: i
     Intervals are sorted into levels by length. A pair meets at the higher of its two levels, where either
     lies in at most two buckets (three at a rounding edge), so a range of any length is a few rows for each level
     that the other side has. The levels of both sides, some dozens of numbers, are read first. A pair that
-    shares two buckets is kept in the first of them. Crowded buckets are split by adaptive skew handling."""
+    shares two buckets is kept in the first of them. Buckets with many pairs, as long ranges have, are dealt as a grid:
+    a side is split into parts of some ``PART`` rows, and each part of one side meets each part of the other."""
     left = _laid(summaries, "startTs", "endTs", "l", base_seconds)
     right = _laid(ranges, "start", "end", "r", base_seconds)
 
@@ -45,12 +50,30 @@ def summaries_in_ranges(summaries: DataFrame, ranges: DataFrame, base_seconds: i
         at = at.withColumn("__w", width).withColumn(f"__{name}first", first)
         return at.withColumn("__b", F.explode(F.sequence(f"__{name}first", F.col(f"__{name}hi") - F.pmod(F.col(f"__{name}hi"), F.col("__w")), "__w"))).drop("__w")
 
-    met = dealt(left, "l", "r").join(dealt(right, "r", "l"), ["__m", "__b"])
+    left, right, cell = dealt(left, "l", "r"), dealt(right, "r", "l"), ["__m", "__b"]
+    sides = [df.groupBy(*cell).agg(F.count(F.lit(1)).alias(f"__n{n}")) for df, n in ((left, "l"), (right, "r"))]
+    crowded = stored(sides[0].join(sides[1], cell).filter(F.col("__nl") * F.col("__nr") > PART * PART))
+    cells, pairs = crowded.agg(F.count(F.lit(1)), F.sum(F.col("__nl").cast("double") * F.col("__nr"))).first()
+    if cells:
+        few = F.broadcast(crowded) if cells <= BROADCAST_CELLS else crowded
+        n = min(MOST_TASKS, max(int(summaries.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(pairs // PAIRS_PER_TASK)))
+
+        def parted(df: DataFrame, name: str, other: str, own: list[str]) -> DataFrame:
+            count = lambda x: F.coalesce(F.ceil(F.col(f"__n{x}") / F.lit(PART)), F.lit(1)).cast("int")
+            df = df.join(few, cell, "left").withColumn(f"__{name}part", F.pmod(F.xxhash64(*own), count(name)).cast("int"))
+            df = df.withColumn(f"__{other}part", F.explode(F.sequence(F.lit(0), count(other) - 1))).drop("__nl", "__nr")
+            cell_part = [*cell, "__lpart", "__rpart"]
+            return df.repartition(n, *cell_part)
+
+        left = parted(left, "l", "r", [c for c in ("id", "startTs", "endTs") if c in summaries.columns])
+        right = parted(right, "r", "l", [c for c in ("range_id", "start", "end") if c in ranges.columns])
+        cell = [*cell, "__lpart", "__rpart"]
+    met = left.join(right, cell)
     overlap = (F.col("endTs") >= F.col("start")) & (F.col("startTs") <= F.col("end"))
     own_level = F.col("__m") == F.greatest("__llevel", "__rlevel")
     once = F.col("__b") == F.greatest("__lfirst", "__rfirst")
     return met.filter(overlap & own_level & once).drop(
-        "__m", "__b", *[f"__{n}{c}" for n in "lr" for c in ("lo", "hi", "level", "first")])
+        "__m", "__b", *[f"__{n}{c}" for n in "lr" for c in ("lo", "hi", "level", "first", "part")])
 
 
 def resolve_captures(captures: DataFrame, summaries: DataFrame, relevant: DataFrame,
