@@ -82,13 +82,19 @@ def capture_records(frames: DataFrame) -> DataFrame:
     return out
 
 
+def _by_day(rows: DataFrame) -> DataFrame:
+    """Rows of a day go to one writer, those of a large day to several (adaptive execution splits them by size), so that an append
+    writes about as many files as it has days."""
+    return rows.hint("rebalance", "date")
+
+
 def append_captures(frames: DataFrame, path: str, pending: str | None = None) -> None:
-    """Append by day. Rows of one day are split over writers by the hash of their id. With ``pending`` the days are marked
-    there before anything is written (see ``summarize_pending``)."""
+    """Append by day (see ``_by_day``). With ``pending`` the days are marked there before anything is written (see
+    ``summarize_pending``)."""
     rows = capture_records(frames).withColumn("date", F.to_date("ts"))
     if pending is not None:
         Pending(frames.sparkSession, pending).open(dates_of(frames, "ts"))
-    (rows.repartition("date", F.pmod(F.xxhash64("id"), F.lit(16))).sortWithinPartitions("date", "ts", "id")
+    (_by_day(rows).sortWithinPartitions("date", "ts", "id")
      .write.mode("append").partitionBy("date").parquet(path))
 
 
@@ -108,12 +114,14 @@ def append_summaries(summaries: DataFrame, path: str, key: str | None = None) ->
             if dated and "date" in there.columns:
                 there = there.filter(F.col("date").isin([F.to_date(F.lit(d)) for d in dates_of(summaries, "endTs")]))
             rows = rows.join(there.select(key), key, "left_anti")
-    writer = rows.write.mode("append")
-    (writer.partitionBy("date") if dated else writer).parquet(path)
+    if dated:
+        _by_day(rows).write.mode("append").partitionBy("date").parquet(path)
+    else:
+        rows.write.mode("append").parquet(path)
 
 
 def append_token_usage(usage: DataFrame, path: str) -> None:
-    usage.select(*S.TOKEN_USAGE.names, F.to_date("ts").alias("date")).write.mode("append").partitionBy("date").parquet(path)
+    _by_day(usage.select(*S.TOKEN_USAGE.names, F.to_date("ts").alias("date"))).write.mode("append").partitionBy("date").parquet(path)
 
 
 def drop_captures(spark: SparkSession, path: str, now, days: float = 7.0) -> int:

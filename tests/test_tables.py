@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chronoscribe import schema as S
-from chronoscribe.operators import joins, retention, scan, stats
+from chronoscribe.operators import dedup, joins, retention, scan, stats
 from chronoscribe.sources import tables
 from helpers import at, captures
 
@@ -168,3 +168,46 @@ def test_storage_size_is_the_sum_of_the_files(spark, tmp_path):
     files = list(path.rglob("*.parquet"))
     size = tables.storage_size(spark, str(path)).first()
     assert (size.bytes, size.files) == (sum(f.stat().st_size for f in files), len(files))
+
+
+def test_an_append_writes_a_file_a_day(spark, tmp_path):
+    """Many small days: the files, whose names go to the driver, are as many as the days, not days times writers."""
+    rows = spark.range(0, 4000, 1, 8).select("id", F.timestamp_seconds(F.col("id") % 100 * 86_400).alias("ts"), F.lit("c").alias("caller"), F.lit("m").alias("model"),
+                                             F.col("id").alias("inputTokens"), F.col("id").alias("outputTokens"))
+    tables.append_token_usage(rows, str(tmp_path / "usage"))
+    assert len(list((tmp_path / "usage").rglob("*.parquet"))) == 100
+    assert tables.read_token_usage(spark, str(tmp_path / "usage")).count() == 4000
+    captures = S.from_columns(rows.withColumn("fullOcrText", F.lit("t")), {n: n for n in ("id", "ts", "fullOcrText")} | {
+        n: F.lit(None) for n in S.CAPTURES.names if n not in ("id", "ts", "fullOcrText")}, S.CAPTURES)
+    tables.append_captures(captures, str(tmp_path / "captures"))
+    assert len(list((tmp_path / "captures").rglob("*.parquet"))) == 100
+    assert tables.read_captures(spark, str(tmp_path / "captures")).count() == 4000
+
+
+def test_crowded_ranges_are_dealt_to_many_tasks(spark, monkeypatch):
+    """A few long ranges over all summaries, repeated and null rows: the pairs are those of a plain join, and no key of the join has them all."""
+    monkeypatch.setattr(joins, "PART", 20, raising=False)
+    s = spark.range(600).select((F.col("id") % 590).alias("id"), F.timestamp_seconds(F.col("id") * 60).alias("startTs"), F.timestamp_seconds(F.col("id") * 60 + 300).alias("endTs"))
+    s = s.unionByName(s.limit(3)).unionByName(spark.createDataFrame([(None, None, None)], "id long, startTs timestamp, endTs timestamp"))
+    r = spark.range(90).select(F.col("id").alias("range_id"), F.timestamp_seconds(F.col("id") * 30).alias("start"),
+                               F.timestamp_seconds(F.col("id") * 30 + F.when(F.col("id") % 3 == 0, 100_000_000).when(F.col("id") % 5 == 1, -30).otherwise(90)).alias("end"))
+    r = r.unionByName(r.filter("range_id = 9"))
+    made = joins.summaries_in_ranges(s, r)
+    got = sorted((x.range_id, x.id) for x in made.select("range_id", "id").collect())
+    want = sorted((x.range_id, x.id) for x in s.join(r, (F.col("endTs") >= F.col("start")) & (F.col("startTs") <= F.col("end"))).select("range_id", "id").collect())
+    assert got == want and set(made.columns) == {*s.columns, *r.columns}
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "__lpart" in plan and "__rpart" in plan
+
+
+def test_texts_of_a_key_are_cut_by_bytes(spark, monkeypatch):
+    """Few rows of long texts are cut as well; ids may repeat or be null, and no row is lost or doubled."""
+
+    rows = [(None if i % 11 == 0 else i // 2, at(i), "k%d" % (i % 2), " ".join(f"w{(i * j) % 17}" for j in range(40))) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, ts timestamp, k string, fullOcrText string")
+    out = lambda d: sorted((str(r.id), r.ts, r.k, r.similarity, r.nearDuplicate) for r in d.collect())
+    want = out(dedup.compare_with_previous(df, ["k"], threshold=0.5, cut=False))
+    monkeypatch.setattr(dedup, "BYTES_PER_TASK", 2000, raising=False)
+    made = dedup.compare_with_previous(df, ["k"], threshold=0.5)
+    assert out(made) == want and len(want) == 300
+    assert dedup._by_bytes(df, ["k"], "fullOcrText")["slices"] > 5
