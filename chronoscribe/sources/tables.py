@@ -82,10 +82,22 @@ def capture_records(frames: DataFrame) -> DataFrame:
     return out
 
 
+#: Rows of a day that one writer takes, about.
+ROWS_PER_WRITER = 1_000_000
+
+
 def _by_day(rows: DataFrame) -> DataFrame:
-    """Rows of a day go to one writer, those of a large day to several (adaptive execution splits them by size), so that an append
-    writes about as many files as it has days."""
-    return rows.hint("rebalance", "date")
+    """Rows of a day go to one writer, those of a large day to several, so that an append writes about as many files as it has days.
+    The days are dealt to all partitions, since a file costs more than its few rows. The driver gets the counts of large days."""
+    per_day = rows.groupBy("date").agg(F.count(F.lit(1)).alias("n"))
+    large = per_day.filter((F.col("n") > ROWS_PER_WRITER) & F.col("date").isNotNull()).collect()
+    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = F.lit(1)
+    if large:
+        known = F.create_map(*[c for r in large for c in (F.lit(r["date"]), F.lit(-(-r["n"] // ROWS_PER_WRITER)))])
+        parts = F.coalesce(known[F.col("date")], parts)
+    part = F.pmod(F.xxhash64("id"), parts) if large and "id" in rows.columns else F.lit(0)
+    return rows.repartition(least + sum(-(-r["n"] // ROWS_PER_WRITER) for r in large), "date", part)
 
 
 def append_captures(frames: DataFrame, path: str, pending: str | None = None) -> None:

@@ -170,6 +170,15 @@ def test_storage_size_is_the_sum_of_the_files(spark, tmp_path):
     assert (size.bytes, size.files) == (sum(f.stat().st_size for f in files), len(files))
 
 
+def test_a_large_day_has_several_writers(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables, "ROWS_PER_WRITER", 100, raising=False)
+    rows = spark.range(1000).select("id", F.timestamp_seconds(F.when(F.col("id") < 900, 0).otherwise(F.col("id") * 86_400)).alias("ts"), F.lit("c").alias("caller"),
+                                    F.lit("m").alias("model"), F.col("id").alias("inputTokens"), F.col("id").alias("outputTokens"))
+    tables.append_token_usage(rows.unionByName(rows.limit(2).withColumn("ts", F.lit(None).cast("timestamp"))), str(tmp_path))
+    assert 3 < len(list((tmp_path / "date=1970-01-01").glob("*.parquet"))) < 10
+    assert len(list(tmp_path.rglob("*.parquet"))) < 115 and tables.read_token_usage(spark, str(tmp_path)).count() == 1002
+
+
 def test_an_append_writes_a_file_a_day(spark, tmp_path):
     """Many small days: the files, whose names go to the driver, are as many as the days, not days times writers."""
     rows = spark.range(0, 4000, 1, 8).select("id", F.timestamp_seconds(F.col("id") % 100 * 86_400).alias("ts"), F.lit("c").alias("caller"), F.lit("m").alias("model"),
