@@ -108,7 +108,8 @@ class ExitMaps:
     def of(self, v: np.ndarray) -> bytes:
         """The function of a slice with values ``v``."""
         n = len(v)
-        nxt = np.searchsorted(v, v + self.width, "right" if self.strict else "left")
+        # A row never follows itself, also where windows have no width.
+        nxt = np.maximum(np.searchsorted(v, v + self.width, "right" if self.strict else "left"), np.arange(n) + 1)
         last = list(range(n))
         for i in range(n - 1, -1, -1):
             j = int(nxt[i])
