@@ -31,9 +31,16 @@ from chronoscribe.llm import common, shards
 
 #: Chunks that a worker remembers; beyond it the cache starts anew.
 REMEMBERED = 900_000
+#: New chunks that are encoded as one text.
+JOINED = 4096
+#: A blank and then no white space: such a chunk ends where the next one begins, whatever that is.
+_PLAIN = re.compile(r" \S+")
 #: Bytes that are, or may begin, white space. Texts with a blank before one are not cut into chunks.
 _UNSURE = np.zeros(256, bool)
 _UNSURE[[*range(9, 14), *range(28, 33), 0xC2, 0xE1, 0xE2, 0xE3]] = True
+#: Letters and digits, full stop and comma, and all signs that are seen, of ASCII.
+_WORD, _STOPS, _SEEN = (np.isin(np.arange(256), list(x)) for x in (
+    b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", b".,", range(33, 127)))
 #: A new chunk's parts: cut where a full stop or comma follows a letter or digit, and around a line break
 #: that stands alone. Both are ends of tokens before any merge.
 _PARTS = re.compile(r" ?[^ \n]*?[^\W_](?=[.,])|(?:(?<=\S)\n(?=\S))|(?: ?[^ \n]|(?<!\S)\n|\n(?!\S)| )(?:[^ \n]|(?<!\S)\n|\n(?!\S))*")
@@ -42,7 +49,8 @@ _PARTS = re.compile(r" ?[^ \n]*?[^\W_](?=[.,])|(?:(?<=\S)\n(?=\S))|(?: ?[^ \n]|(
 class Encoder:
     """The tokenizers library behind a cache of chunks.
 
-    A chunk starts at a blank. Byte-level pre-tokenization always starts a token at a blank that follows
+    A chunk starts at a blank, at a full stop or comma behind a letter or digit, or at either side of a line break that stands
+    alone. Byte-level pre-tokenization always starts a token at a blank that follows
     something else than white space, and a single blank in a stretch of white space never shares a token
     with what stands before it, so chunks are encoded as they are within the text. Texts with more
     blanks in a stretch, or with the string of an added token, go to the library whole."""
@@ -61,14 +69,37 @@ class Encoder:
         self.chunked = (pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
                         and said.get("normalizer") is None and post is None)
         self.added = [t["content"] for t in said.get("added_tokens", [])]
+        self.joins = self.chunked and not any(" " in a for a in self.added)
         self.width = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         self.end = np.array([end], self.width).tobytes()
+        self.heads = np.zeros(self.library.get_vocab_size(), bool)
+        if self.chunked:
+            self.heads[[i for t, i in self.library.get_vocab().items() if t.startswith("\u0120")]] = True
         self.chunks: dict[bytes, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         kind = "H" if self.width.itemsize == 2 else "I"
         return [array(kind, e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _ids_of(self, chunks: list[bytes]) -> list[bytes]:
+        """Ids of each chunk. Chunks of a blank and what is not white space are encoded many in one text: the blank before each is
+        the only one, so tokens that begin with a blank tell them apart."""
+        texts = list(map(bytes.decode, chunks))
+        plain = [i for i, t in enumerate(texts) if _PLAIN.fullmatch(t)] if self.joins else []
+        out: list[bytes | None] = [None] * len(chunks)
+        joined = ["".join([texts[i] for i in plain[k:k + JOINED]]) for k in range(0, len(plain), JOINED)]
+        flat = np.frombuffer(b"".join(self._ids(joined)), self.width)
+        heads = np.flatnonzero(self.heads[flat])
+        if len(heads) == len(plain):
+            data = flat.tobytes()
+            edges = [*(heads * self.width.itemsize).tolist(), len(data)]
+            for i, s, e in zip(plain, edges, edges[1:]):
+                out[i] = data[s:e]
+        rest = [i for i, ids in enumerate(out) if ids is None]
+        for i, ids in zip(rest, self._ids([texts[i] for i in rest])):
+            out[i] = ids
+        return out
+
     def encode(self, column: pa.Array) -> list[bytes]:
         """Ids of each text of a string column and the end id, as bytes."""
         data, off = common.raw(column)
@@ -80,6 +111,11 @@ class Encoder:
             whole |= np.array([any(a in t for a in self.added) for t in column.to_pylist()])
         cut = data == 32
         cut[off[:-1][np.diff(off) > 0]] = True
+        # Of the cuts of ``_PARTS`` those that ASCII neighbours decide are made here, so that fewer chunks are distinct.
+        cut[1:] |= _STOPS[data[1:]] & _WORD[data[:-1]]
+        line = np.flatnonzero(data[1:-1] == 10) + 1
+        line = line[_SEEN[data[line - 1]] & _SEEN[data[line + 1]]]
+        cut[line] = cut[line + 1] = True
         start = np.flatnonzero(cut)
         of = np.searchsorted(off, start, "right") - 1
         plain = ~whole[of]
@@ -106,16 +142,24 @@ class Encoder:
 
     def _known(self, chunks: list[bytes]) -> list[bytes]:
         """Ids of distinct chunks; new ones are encoded part by part."""
-        new = [c for c in chunks if c not in self.chunks]
+        ids = list(map(self.chunks.get, chunks))
+        new = [i for i, x in enumerate(ids) if x is None]
         if len(self.chunks) + 2 * len(new) > REMEMBERED:
             self.chunks.clear()
-            new = chunks
+            new = range(len(chunks))
         get = self.chunks.__getitem__
-        parts = {c: tuple(map(str.encode, _PARTS.findall(c.decode()))) for c in new if b"." in c or b"," in c or b"\n" in c}
-        learn = list(set(chain((c for c in new if c not in parts), *parts.values())).difference(self.chunks))
-        self.chunks.update(zip(learn, self._ids(list(map(bytes.decode, learn)))))
+        parts, single = {}, []
+        for c in [chunks[i] for i in new]:
+            if b"." in c or b"," in c or b"\n" in c:
+                parts[c] = tuple(map(str.encode, _PARTS.findall(c.decode())))
+            else:
+                single.append(c)
+        learn = [*single, *set(chain.from_iterable(parts.values())).difference(self.chunks, single)]
+        self.chunks.update(zip(learn, self._ids_of(learn)))
         self.chunks.update([(c, b"".join(map(get, p))) for c, p in parts.items() if len(p) != 1])
-        return list(map(get, chunks))
+        for i in new:
+            ids[i] = get(chunks[i])
+        return ids
 
 
 @lru_cache(maxsize=4)

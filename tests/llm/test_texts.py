@@ -122,3 +122,20 @@ def test_chunks_are_the_library():
         part = texts[at:at + 500]
         for t, ids in zip(part, enc.encode(pa.array(part))):
             assert np.frombuffer(ids, enc.width).tolist() == lib.encode(t, add_special_tokens=False).ids + [0], repr(t)
+
+
+def test_new_chunks_of_token_files_share_calls():
+    """New words go to the library many in one text, stops and line breaks are cut off first; ids stay those of whole texts."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+    enc, lib, sent = tokens.Encoder(BYTES, 0), Tokenizer.from_file(BYTES), []
+    ids = enc._ids
+    enc._ids = lambda texts: sent.extend(texts) or ids(texts)
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}é{i}" for i in range(600)]
+    odd = ["", " ", "\n", "a\nb", "\na", "a\n", "a\n\nb c", "1,234.5 it's. x", "a.\nb ,c .d", "é.é ,é\ne", "a \n b", "x y \u0085z", "q\x1c r\x1c\x1cs",
+           "a<|endoftext|>. b", "a.b,c\n.d\n,e", " . , \n", "a\r\nb.\tc", "中.文,\n字 。x"]
+    texts = ["".join(f" {w}{'.,'[i % 2]}" + "\n" * (i % 7 == 0) + f"v{i % 3}" for i, w in enumerate(words)), *odd, "\n".join(words)]
+    got = [np.frombuffer(b, enc.width).tolist() for b in enc.encode(pa.array(texts))]
+    assert got == [[*lib.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+    assert len(sent) < 1000
+    assert enc.encode(pa.array(texts)) == [np.array(g, enc.width).tobytes() for g in got]
