@@ -99,7 +99,7 @@ def _listed(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     return rows, np.arange(len(rows)) - np.repeat(np.cumsum(count) - count, count), lists.flatten().cast(pa.string())
 
 
-def _pack(batch: pa.RecordBatch, fields: int, stem: Callable[[str], str] | None, places: bool) -> pa.RecordBatch:
+def _pack(batch: pa.RecordBatch, fields: int, stem: Callable[[pa.Array], pa.Array] | None, places: bool) -> pa.RecordBatch:
     """Packed rows of a batch (id, text and token array of each field); each row of the batch also gives one without a term."""
     n = batch.num_rows
     found, free = [], np.zeros(n, np.int64)
@@ -116,7 +116,7 @@ def _pack(batch: pa.RecordBatch, fields: int, stem: Callable[[str], str] | None,
     words = pa.concat_arrays([w for _, _, w in found]).dictionary_encode()
     code, known = words.indices.to_numpy(zero_copy_only=False).astype(np.int64), words.dictionary
     if stem is not None:
-        stems = pa.array([stem(w) for w in known.to_pylist()], pa.string()).dictionary_encode()
+        stems = stem(known).dictionary_encode()
         code, known = stems.indices.to_numpy(zero_copy_only=False).astype(np.int64)[code], stems.dictionary
     # Places of a row come in order, so a stable sort keeps them. Rows of one term stand together.
     order = np.argsort(code * n + rows, kind="stable")
@@ -138,12 +138,12 @@ def _pack(batch: pa.RecordBatch, fields: int, stem: Callable[[str], str] | None,
         ["id", "len", "term", "tf", "at"])
 
 
-def pack(docs: DataFrame, id: str, fields: list[str | Column], stem: Callable[[str], str] | None = None, places: bool = True) -> DataFrame:
+def pack(docs: DataFrame, id: str, fields: list[str | Column], stem: Callable[[pa.Array], pa.Array] | None = None, places: bool = True) -> DataFrame:
     """``(id, len, term, tf, at)``: ``tf`` places of ``term`` in a row of ``len`` tokens. Each row also has one line whose term is
     null; without ``places`` it has this line only. A map-only job.
 
     Texts that stay below ``_KNOWN`` when lower-cased travel as they are and are cut beside the packing; the others are cut by the
-    expression of ``raw_tokens``. Each distinct token of a batch is stemmed once."""
+    expression of ``raw_tokens``. ``stem`` gets the distinct tokens of a batch."""
     columns = []
     for i, field in enumerate(fields):
         c = F.coalesce(F.col(field) if isinstance(field, str) else field, F.lit(""))
@@ -170,7 +170,7 @@ def pack(docs: DataFrame, id: str, fields: list[str | Column], stem: Callable[[s
 
 
 def tops(rows: DataFrame) -> DataFrame:
-    """``(term, block, tf, rows, len, bucket)`` of postings ``(term, block, tf, len, bucket)``: how many rows of a block have a term
+    """``(term, block, tf, rows, len)`` of postings ``(term, block, tf, len)``: how many rows of a block have a term
     ``tf`` times, and the least length of such a row. No row of the block weighs more than the best of these.
 
     A map-only job: rows that are read apart are counted apart, and who reads the result adds them up. Postings that are sorted by
@@ -187,6 +187,6 @@ def tops(rows: DataFrame) -> DataFrame:
             head = np.flatnonzero(new)
             first = batch.take(pa.array(order[head]))
             n = pa.array(np.diff(np.append(head, len(order))), pa.int64())
-            yield pa.RecordBatch.from_arrays([*first.columns[:3], n, *first.columns[3:]], ["term", "block", "tf", "rows", "len", "bucket"])
+            yield pa.RecordBatch.from_arrays([*first.columns[:3], n, first.column(3)], ["term", "block", "tf", "rows", "len"])
 
-    return rows.mapInArrow(run, "term string, block long, tf int, rows long, len int, bucket int")
+    return rows.mapInArrow(run, "term string, block long, tf int, rows long, len int")

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from chronoscribe.functions.clock import local_time, seconds_before
 from chronoscribe.functions.stems import stem as stem_one
-from chronoscribe.functions.stems import stem_tokens
+from chronoscribe.functions.stems import stem_tokens, stem_words
 from chronoscribe.functions.text import TOKEN_PATTERN, like_contains, raw_tokens
 from chronoscribe.operators.postings import pack, positions, tops
 from chronoscribe.session import stored
@@ -243,11 +243,11 @@ def _level() -> Column:
     return F.floor(F.log2(F.col("len") + F.lit(1)) * 4).cast("int")
 
 
-def _blocks(rows: DataFrame) -> DataFrame:
-    """``tops`` of the frequent terms, by bucket."""
+def _blocks(rows: DataFrame, buckets: int) -> DataFrame:
+    """``tops`` of the frequent terms, by bucket. The bucket follows from the term, so it does not travel."""
     frequent = stored(rows.groupBy("term").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") >= FREQUENT).select("term"))
     few = F.broadcast(frequent) if frequent.count() <= BROADCAST_ROWS else frequent
-    return tops(rows.select("term", "block", "tf", "len", "bucket").join(few, "term", "left_semi"))
+    return tops(rows.select("term", "block", "tf", "len").join(few, "term", "left_semi")).withColumn("bucket", TextIndex._bucket(buckets))
 
 
 @dataclass(frozen=True)
@@ -276,8 +276,8 @@ class TextIndex:
         the index is read; without it everything stays lazy (as for ``save``)."""
         columns, block = list(fields.values()), F.lit(0).cast("long")
         if keep:
-            return cls._of(stored(pack(docs, id, columns, stem_one if stem else None)).withColumn("block", block), stem)
-        rows = pack(docs, id, columns, stem_one if stem else None).filter("term IS NOT NULL")
+            return cls._of(stored(pack(docs, id, columns, stem_words if stem else None)).withColumn("block", block), stem)
+        rows = pack(docs, id, columns, stem_words if stem else None).filter("term IS NOT NULL")
         # Stemming does not change the number of tokens; cutting texts again takes less than storing all postings.
         return cls._with(rows.withColumn("block", block), pack(docs, id, columns, places=False).select("id", "len").withColumn("block", block), stem)
 
@@ -322,7 +322,7 @@ class TextIndex:
          .write.mode(mode).partitionBy("bucket").parquet(f"{path}/postings"))
         made.lengths.write.mode(mode).parquet(f"{path}/lengths")
         written = TextIndex._postings(spark, path, lengths).filter(F.col("block") >= segment * _SEGMENT)
-        _blocks(written).write.mode(mode).partitionBy("bucket").parquet(f"{path}/blocks")
+        _blocks(written, buckets).write.mode(mode).partitionBy("bucket").parquet(f"{path}/blocks")
         made.totals.withColumn("segment", F.lit(segment)).write.mode(mode).parquet(f"{path}/totals")
         none = spark.createDataFrame([], made.lengths.schema)
         none.write.mode(mode).parquet(f"{path}/gone")
@@ -376,7 +376,7 @@ class TextIndex:
             more = more.drop("bucket")
         blocks = None
         if self.blocks is not None:
-            extra = after(other.blocks) if other.blocks is not None and other.buckets == self.buckets else _blocks(more)
+            extra = after(other.blocks) if other.blocks is not None and other.buckets == self.buckets else _blocks(more, self.buckets)
             blocks = self.blocks.unionByName(extra)
         gone = [g for g in (self.gone, None if other.gone is None else after(other.gone)) if g is not None]
         return replace(self, postings=mine.unionByName(more.select(*mine.columns)), lengths=self.lengths.unionByName(after(other.lengths)),
@@ -459,7 +459,7 @@ class TextIndex:
         # A term may be frequent in some segments only.
         if covered.count() < len(listed) * self.segments:
             left = self._of_terms(listed).withColumn("segment", F.floor(F.col("block") / _SEGMENT)).join(F.broadcast(covered), ["term", "segment"], "left_anti")
-            known = known.unionByName(tops(left.select("term", "block", "tf", "len", "bucket")).drop("bucket"))
+            known = known.unionByName(tops(left.select("term", "block", "tf", "len")))
         df = known.groupBy("term").agg(F.sum("rows").alias("df"))
         if self.gone is not None:
             # Deleted rows are looked for in their own blocks only.

@@ -108,3 +108,21 @@ def test_params_ranges():
     for bad in (dict(chunk_seconds=59), dict(retention_days=91), dict(keyframe_threshold=0.1), dict(max_keyframe_interval=301)):
         with pytest.raises(ValueError):
             Params(**bad)
+
+
+def test_words_that_no_rule_changes_are_not_stemmed_one_by_one(monkeypatch):
+    import random
+
+    import pyarrow as pa
+    from chronoscribe.functions import stems
+
+    rnd = random.Random(3)
+    ends = ["", "", "s", "ss", "sses", "ies", "eed", "ed", "ing", "y", "e", "ll", *[a for a, _ in stems.STEP_2 + stems.STEP_3], *stems.STEP_4]
+    words = ["".join(rnd.choice("aeiouybcdlstz0é") for _ in range(rnd.randint(0, 6))) + rnd.choice(ends) + rnd.choice(ends) for _ in range(20000)]
+    words += ["mond", "strab", "zu", "", "as", "a" * 63 + "s", "a" * 64 + "s", "ﬁed", "日", "és"]
+    want = [stems.stem(w) for w in words]
+    asked, one = [], stems.stem
+    monkeypatch.setattr(stems, "stem", lambda w: asked.append(w) or one(w))
+    assert stems.stem_words(pa.array([*words, None], pa.string())).to_pylist() == [*want, None]
+    assert stems.stem_words(pa.array([], pa.string())).to_pylist() == [] and stems.stem_words(pa.array([None], pa.string())).to_pylist() == [None]
+    assert not {"mond", "strab", "zu"} & set(asked) and len(asked) < len(words)
