@@ -15,6 +15,8 @@ def spark(tmp_path_factory):
     s = build_session(
         "tests", "local[8]", spark__sql__shuffle__partitions="3", spark__ui__enabled="false",
         spark__ui__showConsoleProgress="false", spark__driver__memory="6g",
+        # Tests ask for figures of their stages, which a long session would have dropped.
+        spark__ui__retainedStages="100000", spark__ui__retainedJobs="100000",
         spark__checkpoint__dir=str(tmp_path_factory.mktemp("checkpoint")))
     s.sparkContext.setLogLevel("OFF")
     yield s
