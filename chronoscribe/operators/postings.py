@@ -69,8 +69,8 @@ _WORD = _letters()
 _ASCII = np.concatenate([_WORD[:128], np.zeros(128, bool)])
 
 
-def _cut(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-    """Tokens of lower-cased texts below ``_KNOWN``: the row of each, its place in the row, and itself."""
+def _edges(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Offsets of lower-cased texts below ``_KNOWN``, and the first byte of each token and of what follows it."""
     off = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset:texts.offset + len(texts) + 1]
     blob = texts.buffers()[2]
     data = np.frombuffer(blob, np.uint8)[:off[-1]] if blob is not None else np.zeros(0, np.uint8)
@@ -82,11 +82,16 @@ def _cut(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     edge = np.zeros(len(data) + 1, bool)
     edge[off] = True
     start = np.flatnonzero(word & (edge[:-1] | ~np.concatenate([[False], word[:-1]])))
+    return off, start, np.flatnonzero(word & (edge[1:] | ~np.concatenate([word[1:], [False]]))) + 1
+
+
+def _cut(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Tokens of such texts: the row of each, its place in the row, and itself."""
+    off, start, end = _edges(texts)
     if not len(start):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), pa.array([], pa.string())
-    end = np.flatnonzero(word & (edge[1:] | ~np.concatenate([word[1:], [False]]))) + 1
     # Tokens and what lies between them; every second piece is a token.
-    pieces = pa.StringArray.from_buffers(2 * len(start) - 1, pa.py_buffer(np.stack([start, end], 1).astype(np.int32)), blob)
+    pieces = pa.StringArray.from_buffers(2 * len(start) - 1, pa.py_buffer(np.stack([start, end], 1).astype(np.int32)), texts.buffers()[2])
     rows = np.searchsorted(off, start, "right") - 1
     count = np.bincount(rows, minlength=len(texts))
     return rows, np.arange(len(rows)) - np.repeat(np.cumsum(count) - count, count), pieces.take(pa.array(np.arange(0, len(pieces), 2)))
@@ -99,8 +104,20 @@ def _listed(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     return rows, np.arange(len(rows)) - np.repeat(np.cumsum(count) - count, count), lists.flatten().cast(pa.string())
 
 
-def _pack(batch: pa.RecordBatch, fields: int, stem: Callable[[pa.Array], pa.Array] | None, places: bool) -> pa.RecordBatch:
-    """Packed rows of a batch (id, text and token array of each field); each row of the batch also gives one without a term."""
+def _lengths(batch: pa.RecordBatch, fields: int) -> pa.RecordBatch:
+    """The lines without a term: nothing but the tokens of a row is counted."""
+    n, length = batch.num_rows, np.zeros(batch.num_rows, np.int64)
+    for i in range(fields):
+        off, start, _ = _edges(batch.column(1 + 2 * i).fill_null(""))
+        length += np.diff(np.searchsorted(start, off)) + pc.fill_null(pc.list_value_length(batch.column(2 + 2 * i)), 0).to_numpy(zero_copy_only=False)
+    return pa.RecordBatch.from_arrays([batch.column(0), pa.array(length, pa.int32()), pa.nulls(n, pa.string()), pa.array(np.zeros(n, np.int64), pa.int32()),
+                                       pa.nulls(n, pa.binary())], ["id", "len", "term", "tf", "at"])
+
+
+def _found(batch: pa.RecordBatch, fields: int, stem: Callable[[pa.Array], pa.Array] | None, deal) -> tuple:
+    """Postings of a batch (id, text and token array of each field): length of each row; row, term number, count of each posting and
+    its packed places; the terms; the group of each row. Postings are sorted by group, term and the order of the rows, both given by
+    ``deal`` from the batch and the lengths; without it by term and row, terms as they come."""
     n = batch.num_rows
     found, free = [], np.zeros(n, np.int64)
     for i in range(fields):
@@ -109,17 +126,22 @@ def _pack(batch: pa.RecordBatch, fields: int, stem: Callable[[pa.Array], pa.Arra
         found += [(r, p + free[r], w) for r, p, w in parts]
         free = free + sum(np.bincount(r, minlength=n) for r, _, _ in parts) + 1
     length = free - fields
-    if not places:
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(length, pa.int32()), pa.nulls(n, pa.string()), pa.array(np.zeros(n, np.int64), pa.int32()),
-                                           pa.nulls(n, pa.binary())], ["id", "len", "term", "tf", "at"])
     rows, place = (np.concatenate([f[k] for f in found]) for k in (0, 1))
     words = pa.concat_arrays([w for _, _, w in found]).dictionary_encode()
     code, known = words.indices.to_numpy(zero_copy_only=False).astype(np.int64), words.dictionary
     if stem is not None:
         stems = stem(known).dictionary_encode()
         code, known = stems.indices.to_numpy(zero_copy_only=False).astype(np.int64)[code], stems.dictionary
+    group, rank = np.zeros(n, np.int64), np.arange(n)
+    if deal is not None:
+        by = pc.array_sort_indices(known)
+        known, number = known.take(by), np.empty(len(known), np.int64)
+        number[by.to_numpy(zero_copy_only=False)] = np.arange(len(known))
+        code = number[code]
+        group, order = deal(batch, length)
+        rank[order] = np.arange(n)
     # Places of a row come in order, so a stable sort keeps them. Rows of one term stand together.
-    order = np.argsort(code * n + rows, kind="stable")
+    order = np.argsort((group[rows] * max(1, len(known)) + code) * n + rank[rows], kind="stable")
     rows, code, place = rows[order], code[order], place[order]
     new = np.ones(len(rows), bool)
     new[1:] = (rows[1:] != rows[:-1]) | (code[1:] != code[:-1])
@@ -130,28 +152,41 @@ def _pack(batch: pa.RecordBatch, fields: int, stem: Callable[[pa.Array], pa.Arra
     tf = np.diff(np.append(head, len(rows)))
     edges = np.concatenate([[0], np.cumsum(np.add.reduceat(size, head) if len(head) else np.zeros(0, np.int64))])
     at = pa.BinaryArray.from_buffers(pa.binary(), len(head), [None, pa.py_buffer(edges.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
-    own = np.concatenate([np.arange(n), rows[head]])
-    terms = pa.concat_arrays([pa.nulls(n, pa.string()), known.take(pa.array(code[head]))])
+    return length, rows[head], code[head], tf, at, known, group
+
+
+def _pack(batch: pa.RecordBatch, fields: int, stem: Callable[[pa.Array], pa.Array] | None) -> pa.RecordBatch:
+    """Packed rows of a batch; each row of the batch also gives one without a term."""
+    n = batch.num_rows
+    length, rows, code, tf, at, known, _ = _found(batch, fields, stem, None)
+    own = np.concatenate([np.arange(n), rows])
     return pa.RecordBatch.from_arrays(
-        [batch.column(0).take(pa.array(own)), pa.array(length[own], pa.int32()), terms,
+        [batch.column(0).take(pa.array(own)), pa.array(length[own], pa.int32()), pa.concat_arrays([pa.nulls(n, pa.string()), known.take(pa.array(code))]),
          pa.array(np.concatenate([np.zeros(n, np.int64), tf]), pa.int32()), pa.concat_arrays([pa.nulls(n, pa.binary()), at])],
         ["id", "len", "term", "tf", "at"])
 
 
-def pack(docs: DataFrame, id: str, fields: list[str | Column], stem: Callable[[pa.Array], pa.Array] | None = None, places: bool = True) -> DataFrame:
-    """``(id, len, term, tf, at)``: ``tf`` places of ``term`` in a row of ``len`` tokens. Each row also has one line whose term is
-    null; without ``places`` it has this line only. A map-only job.
+def _pack_dealt(batch: pa.RecordBatch, fields: int, stem: Callable[[pa.Array], pa.Array] | None, deal) -> pa.RecordBatch:
+    """Packed rows of a batch by group, each with its group."""
+    length, rows, code, tf, at, known, group = _found(batch, fields, stem, deal)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(group[rows], pa.int32()), batch.column(0).take(pa.array(rows)), pa.array(length[rows], pa.int32()), known.take(pa.array(code)), pa.array(tf, pa.int32()), at],
+        ["writer", "id", "len", "term", "tf", "at"])
+
 
-    Texts that stay below ``_KNOWN`` when lower-cased travel as they are and are cut beside the packing; the others are cut by the
-    expression of ``raw_tokens``. ``stem`` gets the distinct tokens of a batch."""
+def _texts(docs: DataFrame, id: str, fields: list[str | Column], *more: Column) -> DataFrame:
+    """What is packed: the id, each field as a text or as an array of tokens, and ``more``. Texts that stay below ``_KNOWN`` when lower-cased
+    travel as they are and are cut beside the packing; the others are cut by the expression of ``raw_tokens``."""
     columns = []
     for i, field in enumerate(fields):
         c = F.coalesce(F.col(field) if isinstance(field, str) else field, F.lit(""))
         unknown = F.lower(c).rlike(f"[^\\x00-\\x{{{_KNOWN - 1:x}}}]")
         columns += [F.when(~unknown, F.lower(c)).alias(f"x{i}"), F.when(unknown, raw_tokens(c)).alias(f"t{i}")]
-    rows = docs.select(F.col(id).alias("id"), *columns)
-    n, kind = len(fields), rows.schema[0].dataType
+    return docs.select(F.col(id).alias("id"), *columns, *more)
 
+
+def _by_tokens(n: int, made: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``made`` of batches of ``n`` fields, some ``TOKENS`` at a time."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = sum(pc.fill_null(pc.binary_length(batch.column(1 + 2 * i)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(n))
@@ -161,12 +196,40 @@ def pack(docs: DataFrame, id: str, fields: list[str | Column], stem: Callable[[p
             while at < batch.num_rows:
                 to = max(at + 1, int(np.searchsorted(upto, upto[at] + TOKENS, "right")) - 1)
                 # A slice of a column keeps its offsets into the whole.
-                yield _pack(pa.RecordBatch.from_arrays([pa.concat_arrays([c]) for c in batch.slice(at, to - at).columns], batch.schema.names), n, stem, places)
+                yield made(pa.RecordBatch.from_arrays([pa.concat_arrays([c]) for c in batch.slice(at, to - at).columns], batch.schema.names))
                 at = to
 
-    schema = T.StructType([T.StructField("id", kind), T.StructField("len", T.IntegerType()), T.StructField("term", T.StringType()),
-                           T.StructField("tf", T.IntegerType()), T.StructField("at", T.BinaryType())])
-    return rows.mapInArrow(run, schema)
+    return run
+
+
+def _schema(rows: DataFrame) -> T.StructType:
+    return T.StructType([T.StructField("id", rows.schema[0].dataType), T.StructField("len", T.IntegerType()), T.StructField("term", T.StringType()),
+                         T.StructField("tf", T.IntegerType()), T.StructField("at", T.BinaryType())])
+
+
+def pack(docs: DataFrame, id: str, fields: list[str | Column], stem: Callable[[pa.Array], pa.Array] | None = None, places: bool = True) -> DataFrame:
+    """``(id, len, term, tf, at)``: ``tf`` places of ``term`` in a row of ``len`` tokens. Each row also has one line whose term is
+    null; without ``places`` it has this line only. A map-only job. ``stem`` gets the distinct tokens of a batch."""
+    rows, n = _texts(docs, id, fields), len(fields)
+    return rows.mapInArrow(_by_tokens(n, lambda b: _pack(b, n, stem) if places else _lengths(b, n)), _schema(rows))
+
+
+def pack_dealt(docs: DataFrame, id: str, fields: list[str | Column], stem: Callable[[pa.Array], pa.Array] | None,
+               levels: list[tuple[int, int]], writers: int) -> DataFrame:
+    """``(writer, id, len, term, tf, at)``: the postings of ``pack``, sorted within each batch by writer, term and block, so that a writer
+    merges what it gets. ``levels`` has the greatest length of each level of lengths, ascending, and the number of its blocks. The rows
+    of a block have one writer."""
+    rows, n = _texts(docs, id, fields, F.xxhash64(F.col(id)).alias("hash")), len(fields)
+    most, blocks = (np.array([x[k] for x in levels], np.int64) for k in (0, 1))
+    first = np.cumsum(blocks) - blocks
+
+    def deal(batch: pa.RecordBatch, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        level = np.minimum(np.searchsorted(most, length), len(most) - 1)
+        part = np.mod(batch.column(1 + 2 * n).to_numpy(zero_copy_only=False), blocks[level])
+        return (first[level] + part) % writers, np.lexsort((np.arange(len(length)), part, level))
+
+    schema = T.StructType([T.StructField("writer", T.IntegerType()), *_schema(rows)])
+    return rows.mapInArrow(_by_tokens(n, lambda b: _pack_dealt(b, n, stem, deal)), schema)
 
 
 def tops(rows: DataFrame) -> DataFrame:

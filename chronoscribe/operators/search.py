@@ -29,7 +29,7 @@ from chronoscribe.functions.clock import local_time, seconds_before
 from chronoscribe.functions.stems import stem as stem_one
 from chronoscribe.functions.stems import stem_tokens, stem_words
 from chronoscribe.functions.text import TOKEN_PATTERN, like_contains, raw_tokens
-from chronoscribe.operators.postings import pack, positions, tops
+from chronoscribe.operators.postings import pack, pack_dealt, positions, tops
 from chronoscribe.session import stored
 
 # BM25 parameters and the floor of the inverse document frequency.
@@ -266,6 +266,7 @@ class TextIndex:
     blocks: DataFrame | None = None
     gone: DataFrame | None = None
     segments: int = 1
+    texts: tuple | None = None    # what the postings are packed from, if they are not stored
 
     # -- making, saving ---------------------------------------------------
 
@@ -279,7 +280,8 @@ class TextIndex:
             return cls._of(stored(pack(docs, id, columns, stem_words if stem else None)).withColumn("block", block), stem)
         rows = pack(docs, id, columns, stem_words if stem else None).filter("term IS NOT NULL")
         # Stemming does not change the number of tokens; cutting texts again takes less than storing all postings.
-        return cls._with(rows.withColumn("block", block), pack(docs, id, columns, places=False).select("id", "len").withColumn("block", block), stem)
+        lengths = pack(docs, id, columns, places=False).select("id", "len").withColumn("block", block)
+        return replace(cls._with(rows.withColumn("block", block), lengths, stem), texts=(docs, id, columns, stem_words if stem else None))
 
     @classmethod
     def _of(cls, rows: DataFrame, stem: bool) -> "TextIndex":
@@ -308,24 +310,25 @@ class TextIndex:
                 raise ValueError("ids of this batch are in the index; delete them first")
         # The lengths alone are stored; the postings go from the texts to their writers.
         lengths = stored(self._alive(self.lengths).select("id", "len"))
-        levels = lengths.groupBy(_level().alias("level")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("len").cast("long")).alias("tokens")).collect()
+        levels = lengths.groupBy(_level().alias("level")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("len").cast("long")).alias("tokens"), F.max("len").alias("most")).collect()
         # Four levels an octave, so some hundred at most.
         parts = F.create_map(*[F.lit(x) for r in levels for x in (r["level"], -(-r["n"] // rows_per_block))] or [F.lit(0), F.lit(1)])
         block = (F.lit(segment * _SEGMENT) + _level().cast("long") * (1 << 32) + F.pmod(F.xxhash64("id"), F.element_at(parts, _level())))
         # A writer sorts a bounded number of postings; blocks stay whole. What it can compute does not travel.
         writers = max(parts_per_bucket, -(-sum(r["tokens"] for r in levels) // (buckets * TOKENS_PER_WRITER)))
-        made = TextIndex._with(self._alive(self.postings).select("id", "len", "term", "tf", "at"), lengths.withColumn("block", block), self.stem)
-        (made.postings
-         .repartitionById(buckets * writers, self._bucket(buckets) * writers + F.pmod(F.xxhash64(block), F.lit(writers)).cast("int"))
-         .withColumn("block", block).withColumn("bucket", self._bucket(buckets))
-         .sortWithinPartitions("bucket", "term", "block", "id")
-         .write.mode(mode).partitionBy("bucket").parquet(f"{path}/postings"))
+        if self.texts is not None and levels:
+            sizes = sorted((r["most"], -(-r["n"] // rows_per_block)) for r in levels)
+            dealt, writer = pack_dealt(*self.texts, sizes, writers), F.col("writer")
+        else:
+            dealt, writer = self._alive(self.postings), F.pmod(F.xxhash64(block), F.lit(writers)).cast("int")
+        dealt = dealt.repartitionById(buckets * writers, self._bucket(buckets) * writers + writer).withColumn("bucket", self._bucket(buckets))
+        made = TextIndex._with(dealt.withColumn("block", block).select("id", "len", "term", "tf", "at", "block", "bucket"), lengths.withColumn("block", block), self.stem)
+        made.postings.sortWithinPartitions("bucket", "term", "block", "id").write.mode(mode).partitionBy("bucket").parquet(f"{path}/postings")
         made.lengths.write.mode(mode).parquet(f"{path}/lengths")
         written = TextIndex._postings(spark, path, lengths).filter(F.col("block") >= segment * _SEGMENT)
         _blocks(written, buckets).write.mode(mode).partitionBy("bucket").parquet(f"{path}/blocks")
         made.totals.withColumn("segment", F.lit(segment)).write.mode(mode).parquet(f"{path}/totals")
-        none = spark.createDataFrame([], made.lengths.schema)
-        none.write.mode(mode).parquet(f"{path}/gone")
+        made.lengths.filter(F.lit(False)).write.mode(mode).parquet(f"{path}/gone")
 
     @staticmethod
     def _postings(spark: SparkSession, path: str, lengths: DataFrame) -> DataFrame:
@@ -361,7 +364,7 @@ class TextIndex:
     def without(self, ids: DataFrame) -> "TextIndex":
         """Drop deleted rows. Only lengths are read."""
         found = stored(self._found(ids))
-        return replace(self, gone=found if self.gone is None else self.gone.unionByName(found))
+        return replace(self, gone=found if self.gone is None else self.gone.unionByName(found), texts=None)
 
     def plus(self, other: "TextIndex") -> "TextIndex":
         """Add the rows of another batch, which has none of this index's ids, as segments of their own."""
@@ -381,7 +384,7 @@ class TextIndex:
         gone = [g for g in (self.gone, None if other.gone is None else after(other.gone)) if g is not None]
         return replace(self, postings=mine.unionByName(more.select(*mine.columns)), lengths=self.lengths.unionByName(after(other.lengths)),
                        totals=self.totals.unionByName(other.totals), blocks=blocks, segments=self.segments + other.segments,
-                       gone=reduce(DataFrame.unionByName, gone) if gone else None)
+                       gone=reduce(DataFrame.unionByName, gone) if gone else None, texts=None)
 
     def updated(self, other: "TextIndex") -> "TextIndex":
         """Rows of ``other`` in place of those with the same id: delete, then insert."""

@@ -300,3 +300,34 @@ def test_writers_of_an_index_grow_with_it(spark, large, tmp_path, monkeypatch):
     for query in ["the and", "w1 w2", "rare3 the", "the-and of"]:
         phrases = search.parse_query(query, False)
         assert [(r.id, round(r["rank"], 9)) for r in again.top(phrases, 20).collect()] == [(r.id, round(r["rank"], 9)) for r in index.top(phrases, 20).collect()]
+
+
+def test_dealt_postings_come_sorted(spark):
+    rows = [(i // 2, " ".join(f"w{(i * k) % 23}" for k in range(1 + i % 40)) + (" 日本 ẞ" if i % 5 == 0 else ""), None if i % 3 else "Déjà w1") for i in range(300)] + [(None, None, None)]
+    df = spark.createDataFrame(rows, "id long, a string, b string").coalesce(1)
+    packed = postings.pack(df, "id", ["a", "b"]).collect()
+    # Lengths are counted without packing, in the same order.
+    counted = postings.pack(df, "id", ["a", "b"], places=False).select("id", "len").collect()
+    assert counted == [(r.id, r.len) for r in packed if r.term is None]
+    levels = [(5, 2), (20, 3), (60, 1)]
+    got = postings.pack_dealt(df, "id", ["a", "b"], None, levels, 3).withColumn("hash", F.xxhash64("id")).collect()
+    plain = lambda rs: sorted((-1 if r.id is None else r.id, r.len, r.term, r.tf, bytes(r.at)) for r in rs)
+    assert plain(got) == plain(r for r in packed if r.term is not None)
+    place = [next((i, r.hash % n) for i, (most, n) in enumerate(levels) if r.len <= most) for r in got]
+    order = [(r.writer, r.term.encode(), p) for r, p in zip(got, place)]
+    assert order == sorted(order) and {r.writer for r in got} == {0, 1, 2}
+    assert len({(p, r.writer) for r, p in zip(got, place)}) == len(set(place))
+
+
+def test_build_for_saving_equals_the_stored_one(spark, large, tmp_path):
+    docs = spark.createDataFrame(large[0], "id long, fullOcrText string, windowTitle string, appName string")
+    fields = {c: c for c in search.CAPTURE_FIELDS}
+    for name, keep in (("a", False), ("b", True)):
+        index = search.TextIndex.build(docs, fields, True, keep=keep)
+        assert (index.texts is None) == keep
+        index.save(f"{tmp_path}/{name}", 4, 3, rows_per_block=16)
+        assert index.without(docs.limit(1).select("id")).texts is None
+    a, b = (search.TextIndex.load(spark, f"{tmp_path}/{name}", True, 4) for name in "ab")
+    for x, y in ((a.postings, b.postings), (a.lengths, b.lengths), (a.totals, b.totals)):
+        assert x.exceptAll(y).isEmpty() and y.exceptAll(x).isEmpty()
+    assert a.gone is None and a.lengths.schema == b.lengths.schema
