@@ -2,6 +2,9 @@
 
 The positions of a term stand in one binary, as the gaps between them in variable-length numbers of seven bits a byte. Positions run
 through all fields of the row, with one place left free between fields, so that no phrase spans two of them.
+
+Lists hold many such rows of one term: the ids as an array, the numbers of each column and the places of all rows in one binary each. They are what is
+written, since a value costs Spark more than the bytes that it holds.
 """
 
 from __future__ import annotations
@@ -21,6 +24,8 @@ from chronoscribe.functions.text import raw_tokens
 
 #: Tokens that are packed at a time, and the bytes of text that are taken for one.
 TOKENS, BYTES_A_TOKEN = 1 << 20, 4
+#: Bytes of text over ``BYTES_A_TOKEN`` that are packed into lists at a time (more give longer lists but leave the caches), and the rows that a list has at most.
+LIST_TOKENS, LIST = 2 * TOKENS, 1024
 
 
 def gaps_to_bytes(gaps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -58,6 +63,29 @@ def positions(at: pd.Series) -> pd.Series:
     return pd.Series([total[a + 1:b + 1] - total[a] for a, b in zip(edges[:-1], edges[1:])])
 
 
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def numbers(packed: pd.Series) -> pd.Series:
+    """Packed numbers as they are."""
+    blobs = packed.tolist()
+    values, ends = bytes_to_gaps(np.frombuffer(b"".join(blobs), np.uint8))
+    edges = np.searchsorted(ends, np.cumsum([0, *map(len, blobs)]))
+    return pd.Series([values[a:b] for a, b in zip(edges[:-1], edges[1:])])
+
+
+@F.pandas_udf(T.ArrayType(T.BinaryType()))
+def split_places(at: pd.Series, tf: pd.Series) -> pd.Series:
+    """The packed places of each row of a list, from those of all its rows and the packed numbers of them."""
+    blobs = at.tolist()
+    ends = np.flatnonzero(np.frombuffer(b"".join(blobs), np.uint8) < 128) + 1
+    out, seen, begun = [], 0, 0
+    for blob, packed in zip(blobs, tf.tolist()):
+        last = seen + np.cumsum(bytes_to_gaps(np.frombuffer(packed, np.uint8))[0])
+        cut = [0, *(ends[last - 1] - begun).tolist()]
+        out.append([blob[a:b] for a, b in zip(cut, cut[1:])])
+        seen, begun = int(last[-1]), begun + len(blob)
+    return pd.Series(out)
+
+
 def _letters() -> np.ndarray:
     """Which code points below ``_KNOWN`` are letters or numbers; there are no combining marks among them."""
     return np.array([unicodedata.category(chr(i))[0] in "LN" for i in range(_KNOWN)])
@@ -104,13 +132,19 @@ def _listed(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     return rows, np.arange(len(rows)) - np.repeat(np.cumsum(count) - count, count), lists.flatten().cast(pa.string())
 
 
-def _lengths(batch: pa.RecordBatch, fields: int) -> pa.RecordBatch:
-    """The lines without a term: nothing but the tokens of a row is counted."""
-    n, length = batch.num_rows, np.zeros(batch.num_rows, np.int64)
+def _count(batch: pa.RecordBatch, fields: int) -> pa.Array:
+    """Tokens of each row."""
+    length = np.zeros(batch.num_rows, np.int64)
     for i in range(fields):
         off, start, _ = _edges(batch.column(1 + 2 * i).fill_null(""))
         length += np.diff(np.searchsorted(start, off)) + pc.fill_null(pc.list_value_length(batch.column(2 + 2 * i)), 0).to_numpy(zero_copy_only=False)
-    return pa.RecordBatch.from_arrays([batch.column(0), pa.array(length, pa.int32()), pa.nulls(n, pa.string()), pa.array(np.zeros(n, np.int64), pa.int32()),
+    return pa.array(length, pa.int32())
+
+
+def _lengths(batch: pa.RecordBatch, fields: int) -> pa.RecordBatch:
+    """The lines without a term: nothing but the tokens of a row is counted."""
+    n = batch.num_rows
+    return pa.RecordBatch.from_arrays([batch.column(0), _count(batch, fields), pa.nulls(n, pa.string()), pa.array(np.zeros(n, np.int64), pa.int32()),
                                        pa.nulls(n, pa.binary())], ["id", "len", "term", "tf", "at"])
 
 
@@ -185,8 +219,8 @@ def _texts(docs: DataFrame, id: str, fields: list[str | Column], *more: Column)
     return docs.select(F.col(id).alias("id"), *columns, *more)
 
 
-def _by_tokens(n: int, made: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``made`` of batches of ``n`` fields, some ``TOKENS`` at a time."""
+def _by_tokens(n: int, made: Callable[[pa.RecordBatch], pa.RecordBatch], tokens: int = TOKENS) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``made`` of batches of ``n`` fields, some ``tokens`` at a time."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = sum(pc.fill_null(pc.binary_length(batch.column(1 + 2 * i)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(n))
@@ -194,7 +228,7 @@ def _by_tokens(n: int, made: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Call
             upto = np.cumsum(np.concatenate([[0], texts // BYTES_A_TOKEN + lists]))
             at = 0
             while at < batch.num_rows:
-                to = max(at + 1, int(np.searchsorted(upto, upto[at] + TOKENS, "right")) - 1)
+                to = max(at + 1, int(np.searchsorted(upto, upto[at] + tokens, "right")) - 1)
                 # A slice of a column keeps its offsets into the whole.
                 yield made(pa.RecordBatch.from_arrays([pa.concat_arrays([c]) for c in batch.slice(at, to - at).columns], batch.schema.names))
                 at = to
@@ -232,6 +266,90 @@ def pack_dealt(docs: DataFrame, id: str, fields: list[str | Column], stem: Calla
     return rows.mapInArrow(_by_tokens(n, lambda b: _pack_dealt(b, n, stem, deal)), schema)
 
 
+def counted(docs: DataFrame, id: str, fields: list[str | Column]) -> DataFrame:
+    """Rows as ``pack_lists`` takes them: what is packed (``_texts``), and ``len``. A map-only job."""
+    rows, n = _texts(docs, id, fields), len(fields)
+    made = lambda b: pa.RecordBatch.from_arrays([*b.columns, _count(b, n)], [*b.schema.names, "len"])
+    return rows.mapInArrow(_by_tokens(n, made), T.StructType([*rows.schema, T.StructField("len", T.IntegerType())]))
+
+
+def _bytes(packed: pa.Array) -> tuple[np.ndarray, pa.Buffer]:
+    """Where each binary begins, the end of the last, and what they lie in."""
+    return np.frombuffer(packed.buffers()[1], np.int32)[packed.offset:packed.offset + len(packed) + 1], packed.buffers()[2]
+
+
+def _runs(code: np.ndarray, terms: pa.Array, columns: dict[str, pa.Array | np.ndarray]) -> pa.RecordBatch:
+    """Lists: one row for each run of equal numbers of ``terms``, or more where it is longer than ``LIST``, and its length ``n``. Blocks ascend in a
+    run and are packed as gaps, other numbers as they are."""
+    new = np.ones(len(code), bool)
+    new[1:] = code[1:] != code[:-1]
+    run = np.flatnonzero(new)
+    head = np.flatnonzero((np.arange(len(code)) - np.repeat(run, np.diff(np.append(run, len(code))))) % LIST == 0)
+    off = np.append(head, len(code))
+    made = [terms.take(pa.array(code[head])), pa.array(np.diff(off), pa.int32())]
+    for name, c in columns.items():
+        if name == "id":
+            made.append(pa.ListArray.from_arrays(pa.array(off, pa.int32()), c))
+            continue
+        if name == "at":
+            edges, data = _bytes(c)
+        else:
+            if name == "block":
+                c = np.diff(c, prepend=0)
+                c[head] = columns[name][head]
+            data, size = gaps_to_bytes(c)
+            edges, data = np.concatenate([[0], np.cumsum(size)]).astype(np.int32), pa.py_buffer(data)
+        made.append(pa.BinaryArray.from_buffers(pa.binary(), len(head), [None, pa.py_buffer(edges[off]), data]))
+    return pa.RecordBatch.from_arrays(made, ["term", "n", *columns])
+
+
+def _as_lists(id: T.DataType) -> T.StructType:
+    kinds = {"term": T.StringType(), "n": T.IntegerType(), "block": T.BinaryType(), "id": T.ArrayType(id), "len": T.BinaryType(), "tf": T.BinaryType(), "at": T.BinaryType()}
+    return T.StructType([T.StructField(k, t) for k, t in kinds.items()])
+
+
+def pack_lists(rows: DataFrame, fields: int, stem: Callable[[pa.Array], pa.Array] | None = None) -> DataFrame:
+    """``(term, n, block, id, len, tf, at)``: the postings of rows of ``counted`` and their ``block``, as lists. Rows stay in their order. A map-only job."""
+    as_it_is = lambda batch, length: (np.zeros(batch.num_rows, np.int64), np.arange(batch.num_rows))
+
+    def made(batch: pa.RecordBatch) -> pa.RecordBatch:
+        length, own, code, tf, at, known, _ = _found(batch, fields, stem, as_it_is)
+        block = batch.column(2 + 2 * fields).to_numpy(zero_copy_only=False)
+        return _runs(code, known, {"block": block[own], "id": batch.column(0).take(pa.array(own)), "len": length[own], "tf": tf, "at": at})
+
+    wanted = rows.select("id", *[f"{x}{i}" for i in range(fields) for x in "xt"], "len", "block")
+    return wanted.mapInArrow(_by_tokens(fields, made, LIST_TOKENS), _as_lists(rows.schema["id"].dataType))
+
+
+def listed(rows: DataFrame) -> DataFrame:
+    """Postings of one row each, sorted by term and block, as such lists. A map-only job."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = batch.column(0).dictionary_encode()
+            block, length, tf = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (1, 3, 4))
+            yield _runs(words.indices.to_numpy(zero_copy_only=False), words.dictionary, {"block": block, "id": batch.column(2), "len": length, "tf": tf, "at": batch.column(5)})
+
+    return rows.select("term", "block", "id", "len", "tf", "at").mapInArrow(run, _as_lists(rows.schema["id"].dataType))
+
+
+def unlisted(lists: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """One row for each element of lists: ``columns`` and their types, ``term`` and ``bucket``. What is not asked for is not read."""
+    unpacked = {"id": F.col("id"), "block": positions("block"), "at": split_places("at", "tf")}
+    rows = lists.select("term", "bucket", "n", *[unpacked.get(c, numbers(c)).alias(c) for c in columns])
+    rows = rows.withColumn("__i", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    return rows.select(*[F.get(c, F.col("__i")).cast(t).alias(c) for c, t in columns.items()], "term", "bucket")
+
+
+def _best_counts(code: np.ndarray, block: np.ndarray, tf: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each term, block and ``tf``, in this order: where its row of the least length stands, and the number of its rows."""
+    order = np.lexsort((length, tf, block, code))
+    new = np.ones(len(order), bool)
+    if len(order):
+        new[1:] = np.any([k[order][1:] != k[order][:-1] for k in (code, block, tf)], axis=0)
+    head = np.flatnonzero(new)
+    return order[head], np.diff(np.append(head, len(order)))
+
+
 def tops(rows: DataFrame) -> DataFrame:
     """``(term, block, tf, rows, len)`` of postings ``(term, block, tf, len)``: how many rows of a block have a term
     ``tf`` times, and the least length of such a row. No row of the block weighs more than the best of these.
@@ -242,14 +360,30 @@ def tops(rows: DataFrame) -> DataFrame:
         for batch in batches:
             words = batch.column(0).dictionary_encode()
             block, tf, length = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3))
-            keys = (words.indices.to_numpy(zero_copy_only=False), block, tf)
-            order = np.lexsort((length, tf, block, keys[0]))
-            new = np.ones(len(order), bool)
-            if len(order):
-                new[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)
-            head = np.flatnonzero(new)
-            first = batch.take(pa.array(order[head]))
-            n = pa.array(np.diff(np.append(head, len(order))), pa.int64())
-            yield pa.RecordBatch.from_arrays([*first.columns[:3], n, first.column(3)], ["term", "block", "tf", "rows", "len"])
+            at, n = _best_counts(words.indices.to_numpy(zero_copy_only=False), block, tf, length)
+            first = batch.take(pa.array(at))
+            yield pa.RecordBatch.from_arrays([*first.columns[:3], pa.array(n, pa.int64()), first.column(3)], ["term", "block", "tf", "rows", "len"])
 
     return rows.mapInArrow(run, "term string, block long, tf int, rows long, len int")
+
+
+def tops_listed(lists: DataFrame) -> DataFrame:
+    """``tops`` of lists, as lists ``(term, n, block, tf, rows, len)``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            upto = np.concatenate([[0], np.cumsum(batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64))])
+            at = 0
+            while at < batch.num_rows:
+                to = max(at + 1, int(np.searchsorted(upto, upto[at] + TOKENS, "right")) - 1)
+                part, n = batch.slice(at, to - at), np.diff(upto[at:to + 1])
+                words = part.column(0).dictionary_encode()
+                code = np.repeat(words.indices.to_numpy(zero_copy_only=False), n)
+                edges = [_bytes(part.column(i)) for i in (2, 3, 4)]
+                gaps, tf, length = (bytes_to_gaps(np.frombuffer(data, np.uint8)[e[0]:e[-1]])[0] for e, data in edges)
+                total, first = np.cumsum(gaps), upto[at:to] - upto[at]
+                block = total - np.repeat(total[first] - gaps[first], n)
+                own, rows = _best_counts(code, block, tf, length)
+                yield _runs(code[own], words.dictionary, {"block": block[own], "tf": tf[own], "rows": rows, "len": length[own]})
+                at = to
+
+    return lists.select("term", "n", "block", "tf", "len").mapInArrow(run, "term string, n int, block binary, tf binary, rows binary, len binary")

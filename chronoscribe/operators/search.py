@@ -29,7 +29,7 @@ from chronoscribe.functions.clock import local_time, seconds_before
 from chronoscribe.functions.stems import stem as stem_one
 from chronoscribe.functions.stems import stem_tokens, stem_words
 from chronoscribe.functions.text import TOKEN_PATTERN, like_contains, raw_tokens
-from chronoscribe.operators.postings import pack, pack_dealt, positions, tops
+from chronoscribe.operators.postings import counted, listed, pack, pack_lists, positions, tops, tops_listed, unlisted
 from chronoscribe.session import stored
 
 # BM25 parameters and the floor of the inverse document frequency.
@@ -232,8 +232,9 @@ def document_lengths(docs: DataFrame, fields: dict[str, str | Column], id: str =
 _SEGMENT = 1 << 40
 #: Terms of fewer rows have no stored blocks; their postings are read whole.
 FREQUENT = 128
-#: Tokens whose postings a writer of an index sorts, about; the number of writers grows with the tokens.
-TOKENS_PER_WRITER = 1_500_000
+#: Tokens whose postings a writer of an index sorts, about; the number of writers grows with the tokens. A writer that packs texts itself, for
+#: all buckets, takes four times as many, or fewer where that leaves cores idle, but not below the least.
+TOKENS_PER_WRITER, LEAST_TOKENS = 1_500_000, 500_000
 #: Blocks that are read first, to learn which rank the last one of the best has.
 FIRST = 32
 
@@ -243,11 +244,11 @@ def _level() -> Column:
     return F.floor(F.log2(F.col("len") + F.lit(1)) * 4).cast("int")
 
 
-def _blocks(rows: DataFrame, buckets: int) -> DataFrame:
-    """``tops`` of the frequent terms, by bucket. The bucket follows from the term, so it does not travel."""
-    frequent = stored(rows.groupBy("term").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") >= FREQUENT).select("term"))
+def _blocks(lists: DataFrame, buckets: int) -> DataFrame:
+    """``tops`` of the frequent terms of lists, by bucket. The bucket follows from the term, so it does not travel."""
+    frequent = stored(lists.groupBy("term").agg(F.sum("n").alias("df")).filter(F.col("df") >= FREQUENT).select("term"))
     few = F.broadcast(frequent) if frequent.count() <= BROADCAST_ROWS else frequent
-    return tops(rows.select("term", "block", "tf", "len").join(few, "term", "left_semi")).withColumn("bucket", TextIndex._bucket(buckets))
+    return tops_listed(lists.select("term", "n", "block", "tf", "len").join(few, "term", "left_semi")).withColumn("bucket", TextIndex._bucket(buckets))
 
 
 @dataclass(frozen=True)
@@ -298,7 +299,7 @@ class TextIndex:
 
     def save(self, path: str, buckets: int = 64, parts_per_bucket: int = 8, mode: str = "overwrite",
              rows_per_block: int = 1024) -> None:
-        """Postings by term bucket, sorted by term and block inside files, and the blocks of frequent terms. The postings of a
+        """Postings by term bucket, as lists (see ``postings``), runs of them sorted by term and block inside files, and the blocks of frequent terms. The postings of a
         frequent term are spread over ``parts_per_bucket`` writers by block, or more where there are many postings. ``mode="append"`` adds a segment; ids that are there
         already are refused, since their postings would count twice (see ``delete``)."""
         spark = self.lengths.sparkSession
@@ -308,32 +309,41 @@ class TextIndex:
             segment = there.segments
             if not self.lengths.join(there._alive(there.lengths).select("id"), "id", "left_semi").isEmpty():
                 raise ValueError("ids of this batch are in the index; delete them first")
-        # The lengths alone are stored; the postings go from the texts to their writers.
+        # The lengths alone are stored.
         lengths = stored(self._alive(self.lengths).select("id", "len"))
-        levels = lengths.groupBy(_level().alias("level")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("len").cast("long")).alias("tokens"), F.max("len").alias("most")).collect()
+        levels = lengths.groupBy(_level().alias("level")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("len").cast("long")).alias("tokens")).orderBy("level").collect()
         # Four levels an octave, so some hundred at most.
-        parts = F.create_map(*[F.lit(x) for r in levels for x in (r["level"], -(-r["n"] // rows_per_block))] or [F.lit(0), F.lit(1)])
-        block = (F.lit(segment * _SEGMENT) + _level().cast("long") * (1 << 32) + F.pmod(F.xxhash64("id"), F.element_at(parts, _level())))
-        # A writer sorts a bounded number of postings; blocks stay whole. What it can compute does not travel.
-        writers = max(parts_per_bucket, -(-sum(r["tokens"] for r in levels) // (buckets * TOKENS_PER_WRITER)))
-        if self.texts is not None and levels:
-            sizes = sorted((r["most"], -(-r["n"] // rows_per_block)) for r in levels)
-            dealt, writer = pack_dealt(*self.texts, sizes, writers), F.col("writer")
+        blocks = [-(-r["n"] // rows_per_block) for r in levels]
+        of_level = lambda numbers: F.element_at(F.create_map(*[F.lit(x) for r, n in zip(levels, numbers) for x in (r["level"], n)] or [F.lit(0), F.lit(1)]), _level())
+        number = F.pmod(F.xxhash64("id"), of_level(blocks))
+        block = F.lit(segment * _SEGMENT) + _level().cast("long") * (1 << 32) + number
+        # A writer sorts a bounded number of postings; blocks stay whole.
+        tokens, bucket = sum(r["tokens"] for r in levels), self._bucket(buckets)
+        if self.texts is not None:
+            # Texts are dealt and packed where they are written: they take far less to move than their postings.
+            docs, id, columns, stem = self.texts
+            idle = min(spark.sparkContext.defaultParallelism, -(-tokens // LEAST_TOKENS))
+            writers = max(parts_per_bucket, idle, -(-tokens // (4 * TOKENS_PER_WRITER)))
+            writer = F.pmod(of_level([sum(blocks[:i]) for i in range(len(blocks))]) + number, F.lit(writers)).cast("int")
+            dealt = counted(docs, id, columns).withColumn("block", block).repartitionById(writers, writer).sortWithinPartitions("block", "id")
+            lists = pack_lists(dealt, len(columns), stem)
         else:
-            dealt, writer = self._alive(self.postings), F.pmod(F.xxhash64(block), F.lit(writers)).cast("int")
-        dealt = dealt.repartitionById(buckets * writers, self._bucket(buckets) * writers + writer).withColumn("bucket", self._bucket(buckets))
-        made = TextIndex._with(dealt.withColumn("block", block).select("id", "len", "term", "tf", "at", "block", "bucket"), lengths.withColumn("block", block), self.stem)
-        made.postings.sortWithinPartitions("bucket", "term", "block", "id").write.mode(mode).partitionBy("bucket").parquet(f"{path}/postings")
+            writers = max(parts_per_bucket, -(-tokens // (buckets * TOKENS_PER_WRITER)))
+            dealt = self._alive(self.postings).withColumn("block", block).repartitionById(buckets * writers, bucket * writers + F.pmod(F.xxhash64("block"), F.lit(writers)).cast("int"))
+            lists = listed(dealt.sortWithinPartitions("term", "block", "id"))
+        made = TextIndex._with(lists, lengths.withColumn("block", block), self.stem)
+        lists = lists.withColumn("segment", F.lit(segment)).withColumn("bucket", bucket)
+        lists.sortWithinPartitions("bucket").write.mode(mode).partitionBy("bucket").parquet(f"{path}/postings")
         made.lengths.write.mode(mode).parquet(f"{path}/lengths")
-        written = TextIndex._postings(spark, path, lengths).filter(F.col("block") >= segment * _SEGMENT)
+        written = TextIndex._lists(spark, path, lengths).filter(F.col("segment") == segment)
         _blocks(written, buckets).write.mode(mode).partitionBy("bucket").parquet(f"{path}/blocks")
         made.totals.withColumn("segment", F.lit(segment)).write.mode(mode).parquet(f"{path}/totals")
         made.lengths.filter(F.lit(False)).write.mode(mode).parquet(f"{path}/gone")
 
     @staticmethod
-    def _postings(spark: SparkSession, path: str, lengths: DataFrame) -> DataFrame:
+    def _lists(spark: SparkSession, path: str, lengths: DataFrame) -> DataFrame:
         kind = lengths.schema["id"].dataType.simpleString()
-        return spark.read.schema(f"id {kind}, len int, term string, tf int, at binary, block long, bucket int").parquet(f"{path}/postings")
+        return spark.read.schema(f"term string, n int, block binary, id array<{kind}>, len binary, tf binary, at binary, segment int, bucket int").parquet(f"{path}/postings")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, stem: bool = True, buckets: int = 64) -> "TextIndex":
@@ -341,8 +351,9 @@ class TextIndex:
         segments = totals.agg(F.max("segment")).first()[0] + 1
         lengths = spark.read.parquet(f"{path}/lengths")
         # Tables by bucket have no file where they have no row.
-        postings = cls._postings(spark, path, lengths)
-        blocks = spark.read.schema("term string, block long, tf int, rows long, len int, bucket int").parquet(f"{path}/blocks")
+        postings = unlisted(cls._lists(spark, path, lengths), {"id": lengths.schema["id"].dataType, "len": "int", "tf": "int", "at": "binary", "block": "long"})
+        blocks = spark.read.schema("term string, n int, block binary, tf binary, rows binary, len binary, bucket int").parquet(f"{path}/blocks")
+        blocks = unlisted(blocks, {"block": "long", "tf": "int", "rows": "long", "len": "int"})
         return cls(postings, lengths, totals.select("rows", "tokens"), stem, buckets, blocks, None if gone.isEmpty() else gone, segments)
 
     @classmethod
@@ -379,7 +390,7 @@ class TextIndex:
             more = more.drop("bucket")
         blocks = None
         if self.blocks is not None:
-            extra = after(other.blocks) if other.blocks is not None and other.buckets == self.buckets else _blocks(more, self.buckets)
+            extra = after(other.blocks) if other.blocks is not None and other.buckets == self.buckets else tops(more.select("term", "block", "tf", "len")).withColumn("bucket", self._bucket(self.buckets))
             blocks = self.blocks.unionByName(extra)
         gone = [g for g in (self.gone, None if other.gone is None else after(other.gone)) if g is not None]
         return replace(self, postings=mine.unionByName(more.select(*mine.columns)), lengths=self.lengths.unionByName(after(other.lengths)),

@@ -331,3 +331,28 @@ def test_build_for_saving_equals_the_stored_one(spark, large, tmp_path):
     for x, y in ((a.postings, b.postings), (a.lengths, b.lengths), (a.totals, b.totals)):
         assert x.exceptAll(y).isEmpty() and y.exceptAll(x).isEmpty()
     assert a.gone is None and a.lengths.schema == b.lengths.schema
+
+
+def test_a_saved_index_is_lists(spark, large, tmp_path):
+    """Writers get texts, not postings, and write many postings in a row; read back they are those that are packed, and blocks stay in one file."""
+    fields = {c: c for c in search.CAPTURE_FIELDS}
+    docs = spark.createDataFrame([*large[0], (7, "the déjà 日本 the", None, "App"), (None, "the w1 of", "the", "App"), (3000, None, None, None)],
+                                 "id long, fullOcrText string, windowTitle string, appName string")
+    index = search.TextIndex.build(docs, fields, False, keep=False)
+    index.save(f"{tmp_path}/i", 4, 2, rows_per_block=16)
+    files = spark.read.parquet(f"{tmp_path}/i/postings").withColumn("f", F.input_file_name())
+    again = search.TextIndex.load(spark, f"{tmp_path}/i", False, 4)
+    columns = ["id", "len", "term", "tf", "at"]
+    want = index.postings.select(*columns)
+    n = want.count()
+    assert files.count() < 0.5 * n and files.filter((F.col("n") != F.size("id")) | (F.col("n") > postings.LIST)).isEmpty() and again.postings.count() == n
+    assert again.postings.select(*columns).exceptAll(want).isEmpty() and want.exceptAll(again.postings.select(*columns)).isEmpty()
+    assert files.select("term", F.explode(postings.positions("block")).alias("block"), "f").groupBy("term", "block").agg(F.countDistinct("f").alias("n")).filter("n > 1").isEmpty()
+    # Blocks of lists are those of single rows.
+    key = ["term", "block", "tf"]
+    added = lambda rows: rows.groupBy(*key).agg(F.sum("rows").alias("rows"), F.min("len").alias("len"))
+    frequent = again.postings.groupBy("term").count().filter(F.col("count") >= search.FREQUENT).select("term")
+    blocks, single = added(again.blocks), added(postings.tops(again.postings.select(*key, "len").join(frequent, "term", "left_semi")))
+    assert blocks.exceptAll(single).isEmpty() and single.exceptAll(blocks).isEmpty() and blocks.count() > 100
+    # Places of a row are not read where only counts are asked for.
+    assert "at:" not in again.postings.groupBy("term").agg(F.sum("tf"))._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[-1]
