@@ -5,13 +5,18 @@ itself leaves the sort after the digit that shows it:
 
 1. A suffix's first digit is an anchor: of the ``GRAM``-byte strings within its ``DEPTH`` bytes, the one with the
    least hash. Equal strings of ``DEPTH`` bytes have equal anchors at equal places. Neighbouring suffixes share
-   an anchor, so what is dealt out by Spark is one entry for each anchor, a sixteenth of all suffixes.
+   an anchor, so what is dealt out by Spark is one digit for each anchor, a sixteenth of all suffixes. The answer is a
+   bit: anchors that one document has to itself go no further.
 2. The second digit is all bytes that the suffixes of one anchor cover together. Where an earlier document has
    the same ones, all of them are repeats; so a long copy is settled here, entry by entry.
-3. What is left are anchors that stand in different surroundings, mostly at the edges of copies. Their suffixes
-   get the last digit one by one, all ``DEPTH`` bytes; the equal groups are the repeated windows.
-
-Digits are whole 64-bit hashes, in what is dealt out too. Texts are kept in compressed blocks in the shared folder; entries that repeat within a block
+3. What is left are anchors that stand in different surroundings, mostly at the edges of copies. Their suffixes begin
+   in the farther or in the nearer half of the places before the anchor; the third digit is the bytes that all suffixes of a half
+   have in common, and a bit says whether other documents have them.
+4. The suffixes of shared halves get the last digit one by one, all ``DEPTH`` bytes; the equal groups are the repeated windows.
+
+Digits that settle something (2 and 4) are whole 64-bit hashes, in what is dealt out too. Where only a bit is asked (1 and 3), 40 bits
+of the digit travel besides those that choose its part: a chance match there leaves an entry in the sort and decides nothing. Shuffle
+files go with the job that wrote them. Texts are kept in compressed blocks in the shared folder; entries that repeat within a block
 leave it as one, so a passage that all documents share gives one entry for each block, not for each document.
 
 Defined cases: a null text is an empty one; a null document id is larger than all others; equal ids are not smaller
@@ -21,6 +26,8 @@ whole in one block; an empty table gives no rows; columns not named in ``keep``
 
 from __future__ import annotations
 
+import contextlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -35,7 +42,9 @@ WIDTH = DEPTH - GRAM + 1
 #: Bytes of text in a block, of those that are worked on at a time, and for each part that entries are dealt to.
 BLOCK, STEP, PART = 4 << 20, 1 << 20, 64 << 20
 LEAST_PARTS = 64
-REPEAT, OPEN = 0, 1
+REPEAT, OPEN, ANSWER = 0, 1, 2
+#: Suffixes begin at most so many bytes before their anchor: those of the nearer half, and of the farther one.
+HALVES = (0, WIDTH // 2), (WIDTH // 2 + 1, WIDTH - 1)
 _LAST = (1 << 63) - 1
 
 
@@ -52,12 +61,34 @@ def _unpacked(blob: bytes) -> dict[str, np.ndarray]:
     return {c: table.column(c).to_numpy() for c in table.column_names}
 
 
+@contextlib.contextmanager
+def _tidy(df: DataFrame):
+    """Shuffle files of the jobs inside are removed as a job ends, not when the driver next collects its garbage."""
+    name, conf = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", df.sparkSession.conf
+    before = conf.get(name, "false")
+    conf.set(name, "true")
+    try:
+        yield
+    finally:
+        conf.set(name, before)
+
+
+def _cut(df: DataFrame) -> DataFrame:
+    with _tidy(df):
+        return common.cut(df)
+
+
 def anchors(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
     """For each anchor: the hash of its string, the hash of all bytes of its suffixes, its text, the place of its first
     suffix in the text, and how many more follow."""
+    return _anchored(data, off)[:5]
+
+
+def _anchored(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
+    """``anchors``, and how far the anchor's string stands from the first suffix."""
     none = np.zeros(0, np.uint64)
     if len(data) < DEPTH:
-        return none, none, *[np.zeros(0, np.int64)] * 3
+        return none, none, *[np.zeros(0, np.int64)] * 4
     spans = common.Spans(data)
     h = spans.grams(GRAM)
     place = np.uint64(0xFFFFFFFF)
@@ -73,7 +104,7 @@ def anchors(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
     last = np.repeat(off[1:], size)[:len(at)]
     start = np.flatnonzero(np.arange(len(at)) + DEPTH <= last)
     if not len(start):
-        return none, none, *[np.zeros(0, np.int64)] * 3
+        return none, none, *[np.zeros(0, np.int64)] * 4
     a = at[start]
     new = np.ones(len(start), bool)
     new[1:] = (a[1:] != a[:-1]) | (start[1:] != start[:-1] + 1)
@@ -81,16 +112,18 @@ def anchors(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
     end = np.append(first[1:], len(start)) - 1
     low, high = start[first], start[end]
     text = np.searchsorted(off, low, "right") - 1
-    return h[a[first]], spans.of(low, high + DEPTH), text, low - off[text], high - low
+    return h[a[first]], spans.of(low, high + DEPTH), text, low - off[text], high - low, a[first] - low
 
 
-def _by_block(block: np.ndarray, kind: int, text: np.ndarray, low: np.ndarray, more: np.ndarray):
+def _by_block(block: np.ndarray, kind: int, text: np.ndarray, low: np.ndarray, more: np.ndarray, ahead: np.ndarray | None = None):
     """Rows (block, kind, entries) from entries of several blocks."""
     order = np.lexsort((low, text, block))
     block, text, low, more = block[order], text[order], low[order], more[order]
+    ahead = np.zeros(len(block)) if ahead is None else ahead[order]
     edges = np.flatnonzero(np.append(True, block[1:] != block[:-1])) if len(block) else []
     for i, e in zip(edges, [*edges[1:], len(block)]):
-        yield int(block[i]), kind, _packed(text=text[i:e].astype(np.int32), low=low[i:e].astype(np.int32), more=more[i:e].astype(np.uint8))
+        yield int(block[i]), kind, _packed(text=text[i:e].astype(np.int32), low=low[i:e].astype(np.int32), more=more[i:e].astype(np.uint8),
+                                          ahead=ahead[i:e].astype(np.uint8))
 
 
 _ROWS = "part int, block bigint, kind int, entries binary"
@@ -101,15 +134,94 @@ def _batch(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
 
-def _dealt(block: int, parts: int, gram, cover, own, text, low, more) -> list[tuple]:
+def _distinct(digit: np.ndarray, parts: int) -> tuple[np.ndarray, ...]:
+    """The order of ``digit`` by value, where each value begins in it, the part of each value, the order in which values are
+    dealt (by part, then by their first place), and for each entry the place of its value in that order."""
+    order = np.argsort(digit, kind="stable")
+    new = np.append(True, digit[order[1:]] != digit[order[:-1]])
+    first = np.flatnonzero(new)
+    part = (digit[order[first]] >> np.uint64(48)).astype(np.int64) % parts
+    dealt = np.lexsort((order[first], part))
+    place = np.empty(len(dealt), np.int64)
+    place[dealt] = np.arange(len(dealt))
+    of = np.empty(len(digit), np.int64)
+    of[order] = place[np.cumsum(new) - 1]
+    return order, first, part, dealt, of
+
+
+def _asked(block: int, parts: int, digit: np.ndarray, own: np.ndarray) -> list[tuple]:
+    """Rows (part, block, kind, entries) with the distinct digits of a block: 40 bits of each, the least order of a document that has
+    it, and whether others of the block have it. A value leaves the block once."""
+    if not len(digit):
+        return []
+    order, first, part, dealt, _ = _distinct(digit, parts)
+    least, most = np.minimum.reduceat(own[order], first), np.maximum.reduceat(own[order], first)
+    value, several = digit[order[first]], least != most
+    edges, rows = np.searchsorted(part[dealt], np.arange(parts + 1)), []
+    for p in range(parts):
+        o = dealt[edges[p]:edges[p + 1]]
+        if len(o):
+            rows.append((p, block, OPEN, b"".join([
+                np.array([len(o)], "<u4").tobytes(), value[o].astype("<u4").tobytes(), (value[o] >> np.uint64(32)).astype(np.uint8).tobytes(),
+                np.packbits(several[o]).tobytes(), pa.Codec("zstd").compress(least[o].astype("<i8").tobytes(), asbytes=True)])))
+    return rows
+
+
+def _answer(table: pa.Table) -> pa.Table:
+    """For one part: which digits documents of different orders have; a row (block, kind, entries) for each row, in its order."""
+    parts_of, digit, own, several, size = table.column("part").to_pylist(), [], [], [], []
+    for blob in table.column("entries").to_pylist():
+        n = int(np.frombuffer(blob, "<u4", 1)[0])
+        digit.append(np.frombuffer(blob, "<u4", n, 4).astype(np.uint64) | np.frombuffer(blob, np.uint8, n, 4 + 4 * n).astype(np.uint64) << np.uint64(32))
+        bits = -(-n // 8)
+        several.append(np.unpackbits(np.frombuffer(blob, np.uint8, bits, 4 + 5 * n), count=n).astype(bool))
+        own.append(np.frombuffer(pa.Codec("zstd").decompress(blob[4 + 5 * n + bits:], decompressed_size=8 * n, asbytes=True), "<i8"))
+        size.append(n)
+    digit, own, several = np.concatenate(digit), np.concatenate(own), np.concatenate(several)
+    order = np.argsort(digit, kind="stable")
+    new = np.append(True, digit[order[1:]] != digit[order[:-1]])
+    first = np.flatnonzero(new)
+    own = own[order]
+    shared = (np.minimum.reduceat(own, first) != np.maximum.reduceat(own, first)) | np.logical_or.reduceat(several[order], first)
+    flag = np.empty(len(digit), bool)
+    flag[order] = shared[np.cumsum(new) - 1]
+    ends = np.cumsum(size)
+    rows = [(b, ANSWER, np.array([p], "<u4").tobytes() + np.packbits(flag[e - n:e]).tobytes())
+            for b, p, n, e in zip(table.column("block").to_pylist(), parts_of, size, ends)]
+    return pa.Table.from_batches([_batch(rows, _NAMES[1:], _KINDS[1:])])
+
+
+def _told(blobs: list[bytes], parts: int, digit: np.ndarray) -> np.ndarray:
+    """For each entry: other documents have its digit, from the answers to ``_asked``."""
+    if not len(digit):
+        return np.zeros(0, bool)
+    _, _, part, _, of = _distinct(digit, parts)
+    answers = {int(np.frombuffer(b, "<u4", 1)[0]): b for b in blobs}
+    count = np.bincount(part, minlength=parts)
+    return np.concatenate([np.unpackbits(np.frombuffer(answers[p], np.uint8, offset=4), count=count[p]) for p in np.flatnonzero(count).tolist()]).astype(bool)[of]
+
+
+def _halves(text, low, more, ahead, at) -> tuple[np.ndarray, ...]:
+    """For each half that an entry has suffixes of: the entry, its first suffix and its last one (from the entry's first), and the
+    bytes that all suffixes of the half have in common, from and to. ``at``: where the texts of the entries begin."""
+    out = []
+    for near, far in HALVES:
+        first, last = np.maximum(0, ahead - far), np.minimum(more, ahead - near)
+        of = np.flatnonzero(first <= last)
+        anchor = (at + low + ahead)[of]
+        out.append((of, first[of], last[of], anchor - near, anchor - far + DEPTH))
+    return tuple(map(np.concatenate, zip(*out)))
+
+
+def _dealt(block: int, parts: int, gram, cover, own, text, low, more, ahead) -> list[tuple]:
     """Rows (part, block, kind, entries) of one block's entries, by the high bits of ``gram``. Of equal ones only those of the
     block's first document leave it; the others are repeats already and go to parts from ``parts`` on."""
     order = np.lexsort((own, cover, gram))
-    gram, cover, own, text, low, more = (x[order] for x in (gram, cover, own, text, low, more))
+    gram, cover, own, text, low, more, ahead = (x[order] for x in (gram, cover, own, text, low, more, ahead))
     new = np.append(True, (gram[1:] != gram[:-1]) | (cover[1:] != cover[:-1])) if len(gram) else np.zeros(0, bool)
     later = own > own[np.flatnonzero(new)][np.cumsum(new) - 1] if len(own) else new
     rows = [(parts + block % parts, *r) for r in _by_block(np.full(int(later.sum()), block), REPEAT, text[later], low[later], more[later])]
-    gram, cover, own, text, low, more = (x[~later] for x in (gram, cover, own, text, low, more))
+    gram, cover, own, text, low, more, ahead = (x[~later] for x in (gram, cover, own, text, low, more, ahead))
     part = (gram >> np.uint64(48)).astype(np.int64) % parts
     order = np.lexsort((low, text, part))
     edges = np.searchsorted(part[order], np.arange(parts + 1))
@@ -118,7 +230,7 @@ def _dealt(block: int, parts: int, gram, cover, own, text, low, more) -> list[tu
         if len(o):
             # Both digits whole: one anchor can stand in millions of surroundings.
             rows.append((p, block, OPEN, _packed(gram=gram[o], cover=cover[o], order=own[o], text=text[o].astype(np.int32),
-                                                 low=low[o].astype(np.int32), more=more[o].astype(np.uint8))))
+                                                 low=low[o].astype(np.int32), more=more[o].astype(np.uint8), ahead=ahead[o].astype(np.uint8))))
     return rows
 
 
@@ -126,26 +238,30 @@ _NAMES = ["part", "block", "kind", "entries"]
 _KINDS = [pa.int32(), pa.int64(), pa.int32(), pa.binary()]
 
 
+def _found(texts: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """Of the anchors of a block: gram, cover, order of the document, text, first suffix, how many more, place of the anchor."""
+    found, first = [], 0
+    for piece in common.pieces([texts], "text", STEP):
+        gram, cover, text, *places = _anchored(*common.raw(common.column(piece, "text")))
+        found.append((gram, cover, text + first, *places))
+        first += piece.num_rows
+    gram, cover, text, *places = map(np.concatenate, zip(*found))
+    return gram, cover, common.column(texts, "order").to_numpy()[text], text, *places
+
+
 def _deal(blocks: DataFrame, parts: int) -> DataFrame:
     """First digit: (part, block, kind, entries)."""
     def run(batches):
         for batch in batches:
             for block, stored in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                texts = pa.ipc.open_stream(stored).read_all().combine_chunks().to_batches()[0]
-                found, first = [], 0
-                for piece in common.pieces([texts], "text", STEP):
-                    gram, cover, text, low, more = anchors(*common.raw(common.column(piece, "text")))
-                    found.append((gram, cover, text + first, low, more))
-                    first += piece.num_rows
-                gram, cover, text, low, more = map(np.concatenate, zip(*found))
-                own = common.column(texts, "order").to_numpy()[text]
-                yield _batch(_dealt(block, parts, gram, cover, own, text, low, more), _NAMES, _KINDS)
+                gram, _, own, *_ = _found(pa.ipc.open_stream(stored).read_all().combine_chunks().to_batches()[0])
+                yield _batch(_asked(block, parts, gram, own), _NAMES, _KINDS)
 
     return blocks.select("block", "data").mapInArrow(run, _ROWS)
 
 
 def _settle(table: pa.Table) -> pa.Table:
-    """Second digit, for one part: entries whose bytes an earlier document has are repeats; those whose anchor
+    """Second or last digit, for one part: entries whose bytes an earlier document has are repeats; those whose anchor
     stands in other surroundings too stay open."""
     names, kinds = ["block", "kind", "entries"], [pa.int64(), pa.int32(), pa.binary()]
     through = table.filter(pa.compute.equal(table["kind"], REPEAT)).select(names)
@@ -158,7 +274,7 @@ def _settle(table: pa.Table) -> pa.Table:
     gram, cover = one["gram"], one["cover"]
     order = np.lexsort((one["order"], cover, gram))
     gram, cover, own, block = gram[order], cover[order], one["order"][order], block[order]
-    text, low, more = one["text"][order], one["low"][order], one["more"][order]
+    text, low, more, ahead = (one[c][order] for c in ("text", "low", "more", "ahead"))
     new_gram = np.append(True, gram[1:] != gram[:-1])
     new = new_gram | np.append(True, cover[1:] != cover[:-1])
     least = own[np.flatnonzero(new)]
@@ -167,7 +283,7 @@ def _settle(table: pa.Table) -> pa.Table:
     starts = np.cumsum(new)[np.flatnonzero(new_gram)] - 1
     mixed = (np.minimum.reduceat(least, starts) != np.maximum.reduceat(least, starts))[np.cumsum(new_gram) - 1]
     open_ = ~later & mixed
-    rows = [*_by_block(block[later], REPEAT, text[later], low[later], more[later]), *_by_block(block[open_], OPEN, text[open_], low[open_], more[open_])]
+    rows = [*_by_block(block[later], REPEAT, text[later], low[later], more[later]), *_by_block(block[open_], OPEN, text[open_], low[open_], more[open_], ahead[open_])]
     return pa.concat_tables([through.cast(pa.schema(list(zip(names, kinds)))), pa.Table.from_batches([_batch(rows, names, kinds)])])
 
 
@@ -175,10 +291,16 @@ def _texts(table: pa.Table) -> list[pa.RecordBatch]:
     return [pa.ipc.open_stream(b).read_all().combine_chunks().to_batches()[0] for b in table.column("data").to_pylist()]
 
 
-def _entries(blobs: list[bytes]) -> tuple[np.ndarray, ...]:
-    got = [_unpacked(b) for b in blobs]
-    cat = lambda c: np.concatenate([g[c] for g in got]).astype(np.int64) if got else np.zeros(0, np.int64)
-    return cat("text"), cat("low"), cat("more")
+def _entries(table: pa.Table, kind: int) -> tuple[np.ndarray, ...]:
+    """text, low, more, ahead of the entries of one kind, by their place."""
+    got = [_unpacked(b) for b in _blobs(table, kind)]
+    text, low, more, ahead = (np.concatenate([np.zeros(0, np.int64), *[g[c].astype(np.int64) for g in got]]) for c in ("text", "low", "more", "ahead"))
+    order = np.lexsort((low, text))
+    return text[order], low[order], more[order], ahead[order]
+
+
+def _blobs(table: pa.Table, kind: int) -> list[bytes]:
+    return table.filter(pa.compute.equal(table["kind"], kind)).column("entries").to_pylist()
 
 
 def remove(docs: DataFrame, keep: list[str], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -197,37 +319,65 @@ def remove(docs: DataFrame, keep: list[str], doc_id: str = "doc_id", text: str =
             yield pa.RecordBatch.from_arrays([pa.array([(task << 24) + i]), pa.array([common.column(piece, "text").nbytes], pa.int64()),
                                               pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "size", "data"])
 
-    blocks = common.cut(rows.mapInArrow(to_blocks, "block bigint, size bigint, data binary"))
-    size = blocks.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    blocks = _cut(rows.mapInArrow(to_blocks, "block bigint, size bigint, data binary"))
+    with _tidy(blocks):
+        size = blocks.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     parts = max(LEAST_PARTS, int(size) // PART)
-    entries = common.cut(_deal(blocks, parts).groupBy("part").applyInArrow(_settle, "block bigint, kind int, entries binary"))
-
+    told = "block bigint, kind int, entries binary"
     texts = blocks.select(F.col("block").alias("block"), "data")
 
-    def windows(left: pa.Table, right: pa.Table) -> pa.Table:
-        """Last digit: the suffixes of open entries one by one, as entries of their own."""
-        rows = []
-        if right.num_rows:
-            block = right.column("block")[0].as_py()
-            of, low, more = _entries(right.column("entries").to_pylist())
-            for batch in _texts(left):
-                data, off = common.raw(common.column(batch, "text"))
-                owner = np.repeat(np.arange(len(of)), more + 1)
-                start = low[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(more + 1) - more - 1, more + 1)
-                text = of[owner]
-                at = off[text] + start
-                h = common.Spans(data).of(at, at + DEPTH)
-                own = common.column(batch, "order").to_numpy()[text]
-                rows += _dealt(block, parts, h, np.zeros(len(h), np.uint64), own, text, start, np.zeros(len(at), np.int64))
-        return pa.Table.from_batches([_batch(rows, _NAMES, _KINDS)])
-
-    open_ = entries.filter(F.col("kind") == OPEN).select("block", "entries")
-    met = texts.groupBy("block").cogroup(open_.groupBy("block")).applyInArrow(windows, _ROWS)
-    late = common.cut(met.groupBy("part").applyInArrow(_settle, "block bigint, kind int, entries binary"))
-    marks = entries.unionByName(late).filter(F.col("kind") == REPEAT).select(F.col("block").alias("block"), "entries")
+    def with_texts(known: DataFrame, fn) -> DataFrame:
+        """``fn`` of each block's number, texts and what is known of it; rows to deal."""
+        def run(left: pa.Table, right: pa.Table) -> pa.Table:
+            rows = []
+            if right.num_rows:
+                block = right.column("block")[0].as_py()
+                for batch in _texts(left):
+                    rows += fn(block, batch, right)
+            return pa.Table.from_batches([_batch(rows, _NAMES, _KINDS)])
+
+        known = known.select(F.col("block").alias("block"), "kind", "entries")
+        return texts.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(run, _ROWS)
+
+    def covers(block, batch, known):
+        """Second digit, of the anchors that several documents have."""
+        gram, cover, *places = _found(batch)
+        shared = _told(_blobs(known, ANSWER), parts, gram)
+        return _dealt(block, parts, *(x[shared] for x in (gram, cover, *places)))
+
+    def halves_of(batch, known):
+        data, off = common.raw(common.column(batch, "text"))
+        text, low, more, ahead = _entries(known, OPEN)
+        of, first, last, start, end = _halves(text, low, more, ahead, off[text])
+        spans = common.Spans(data)
+        own = common.column(batch, "order").to_numpy()
+        return spans, off, text[of], (low[of] + first), last - first, spans.of(start, end), own[text[of]]
+
+    def halves(block, batch, known):
+        """Third digit, of the halves of open entries."""
+        *_, digit, own = halves_of(batch, known)
+        return _asked(block, parts, digit, own)
+
+    def windows(block, batch, known):
+        """Last digit: the suffixes of shared halves one by one, as entries of their own."""
+        spans, off, text, low, more, digit, own = halves_of(batch, known)
+        shared = _told(_blobs(known, ANSWER), parts, digit)
+        text, low, more, own = text[shared], low[shared], more[shared], own[shared]
+        half = np.repeat(np.arange(len(text)), more + 1)
+        start = low[half] + np.arange(len(half)) - np.repeat(np.cumsum(more + 1) - more - 1, more + 1)
+        at = off[text[half]] + start
+        none = np.zeros(len(at), np.int64)
+        return _dealt(block, parts, spans.of(at, at + DEPTH), none.astype(np.uint64), own[half], text[half], start, none, none)
+
+    answers = _cut(_deal(blocks, parts).groupBy("part").applyInArrow(_answer, told))
+    entries = _cut(with_texts(answers, covers).groupBy("part").applyInArrow(_settle, told))
+    open_ = entries.filter(F.col("kind") == OPEN)
+    answers = _cut(with_texts(open_, halves).groupBy("part").applyInArrow(_answer, told))
+    late = _cut(with_texts(open_.unionByName(answers), windows).groupBy("part").applyInArrow(_settle, told))
+    marks = entries.unionByName(late).filter(F.col("kind") == REPEAT).select(F.col("block").alias("block"), "kind", "entries")
 
     def apply(left: pa.Table, right: pa.Table) -> pa.Table:
-        of, low, more = _entries(right.column("entries").to_pylist())
+        of, low, more, _ = _entries(right, REPEAT)
         out = []
         for batch in _texts(left):
             data, off = common.raw(common.column(batch, "text"))

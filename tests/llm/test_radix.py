@@ -87,3 +87,40 @@ def test_documents(spark, texts):
 def test_empty(spark):
     check(spark, [])
     check(spark, [(1, "short"), (2, "short")])
+
+
+def test_strings_shared_in_part(spark, monkeypatch):
+    """Strings of less than 50 bytes, of 50 and of more that documents share at either side of other bytes."""
+    monkeypatch.setattr(radix, "BLOCK", 400)
+    rng = random.Random(5)
+    text = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    pool = [text(n) for n in range(20, 80)]
+    check(spark, [(rng.randint(-20, 20), "".join(text(rng.randint(0, 30)) + rng.choice(pool) for _ in range(6))) for _ in range(200)])
+
+
+def test_first_digit_is_small(spark):
+    """What leaves a block of texts with nothing in common is less than half of the texts (before: more than the texts)."""
+    import pyarrow as pa
+    rng = np.random.default_rng(1)
+    size = 1 << 21
+    letters = rng.integers(97, 123, size, dtype=np.uint8).tobytes().decode()
+    batch = pa.RecordBatch.from_pydict({"order": pa.array(range(1024), pa.int64()), "text": [letters[i:i + 2048] for i in range(0, size, 2048)]})
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as w:
+        w.write_batch(batch)
+    blocks = spark.createDataFrame([(1, size, sink.getvalue().to_pybytes())], "block long, size long, data binary")
+    assert 0 < radix._deal(blocks, 64).selectExpr("sum(length(entries))").first()[0] < size // 2
+
+
+def test_shuffle_files_go_with_their_jobs(spark):
+    def files():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().iterator()
+        names = set()
+        while found.hasNext():
+            names.add(found.next().getName())
+        return {n for n in names if n.startswith("shuffle_")}
+
+    before = files()
+    letters = "".join(random.Random(2).choice("abcdefgh ") for _ in range(20_000))
+    radix.remove(spark.createDataFrame([(i, letters[i * 100:]) for i in range(20)], "doc_id long, text string"), ["doc_id"])
+    assert not files() - before
