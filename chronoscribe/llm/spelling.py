@@ -33,6 +33,9 @@ SHORTEST, LONGEST = 2, 6
 LONG = 64
 #: Marks before and after a word; no letters.
 _FIRST, _LAST = "^", "$"
+#: For every join here: both sides grow with the vocabulary, and Spark takes a table for about as large as the compressed file that it comes
+#: from, however many grams a word is exploded into. So it would broadcast what the driver cannot hold.
+_BOTH_LARGE = "merge"
 
 
 def words(docs: DataFrame, least_length: int = 6, least_n: int = 5, doc_id: str = "doc_id", text: str = "text",
@@ -71,7 +74,7 @@ def decompose(vocabulary: DataFrame, frequent: int = FREQUENT, longest: int = LO
     every = marked.select("key", "n", "size", F.explode(spans).alias("s")).select("key", "n", "size", "s.*")
     lists = every.groupBy("gram").agg(F.count(F.lit(1)).alias("lists"))
     # The word's place in the shuffle serves both groupings.
-    rows = every.join(lists, "gram").repartition("key")
+    rows = every.join(lists.hint(_BOTH_LARGE), "gram").repartition("key")
     here = rows.groupBy("key", "n", "size", "place").agg(F.sort_array(F.collect_list(F.struct("k", "gram", "lists"))).alias("steps"))
     chosen = F.coalesce(F.get(F.filter("steps", lambda s: s["lists"] <= frequent), F.lit(0)), F.element_at("steps", -1))
     here = here.select("key", "n", "size", "place", chosen.alias("g"))
@@ -93,13 +96,13 @@ def near_pairs(vocabulary: DataFrame, frequent: int = FREQUENT, longest: int = L
     keyed = lists.select("key", "n", "size", "gram", F.explode(F.array(F.col("place"), F.col("place") - F.col("size"))).alias("side"))
     probe = keyed.select(F.col("key").alias("a"), F.col("n").alias("n_a"), "gram", "side", F.explode(F.expr("array(size, size + 1)")).alias("size"), F.col("size").alias("own"))
     long = F.col("a").startswith("#") | F.col("b").startswith("#")
-    met = probe.join(keyed.withColumnsRenamed({"key": "b", "n": "n_b"}), ["gram", "side", "size"]).where(
+    met = probe.join(keyed.withColumnsRenamed({"key": "b", "n": "n_b"}).hint(_BOTH_LARGE), ["gram", "side", "size"]).where(
         ((F.col("own") < F.col("size")) | (F.col("a") < F.col("b"))) & (long | (F.levenshtein("a", "b", 1) == 1)))
     met = common.cut(met.select("a", "b", "n_a", "n_b").distinct())
     whole = vocabulary.where(F.char_length("word") > LONG).select(_key(F.col("word")).alias("key"), "word")
     for side in ("a", "b"):
         texts = whole.select(F.col("key").alias(side), F.col("word").alias(f"{side}_word"))
-        met = met.join(texts, side, "left")
+        met = met.join(texts.hint(_BOTH_LARGE), side, "left")
     met = met.withColumns({c: F.coalesce(f"{c}_word", c) for c in ("a", "b")})
     return met.where(~(F.col("a_word").isNotNull() | F.col("b_word").isNotNull()) | (F.levenshtein("a", "b", 1) == 1)).select("a", "b", "n_a", "n_b")
 
@@ -111,7 +114,7 @@ def follow(forms: DataFrame) -> DataFrame:
     while True:
         # Both sides hold only words that have a form.
         ahead = step.select(F.col("word").alias("root"), F.col("root").alias("beyond"))
-        joined = common.cut(step.join(ahead, "root", "left").select("word", F.coalesce("beyond", "root").alias("root"), F.col("beyond").isNotNull().alias("moved")))
+        joined = common.cut(step.join(ahead.hint(_BOTH_LARGE), "root", "left").select("word", F.coalesce("beyond", "root").alias("root"), F.col("beyond").isNotNull().alias("moved")))
         step = joined.select("word", "root")
         if joined.where("moved").isEmpty():
             return step
@@ -125,5 +128,5 @@ def variants(vocabulary: DataFrame, times: int = 5, frequent: int = FREQUENT, lo
     best = common.cut(both.groupBy("word", "n").agg(F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("less"), "near")).alias("best")).select(
         "word", "n_near", F.when(-F.col("best.less") >= times * F.col("n"), F.struct(F.col("best.near").alias("form"), (-F.col("best.less")).alias("form_n"))).alias("f")))
     roots = follow(best.where("f IS NOT NULL").select("word", "f.form"))
-    return vocabulary.join(best, "word", "left").join(roots, "word", "left").select(
+    return vocabulary.join(best.hint(_BOTH_LARGE), "word", "left").join(roots.hint(_BOTH_LARGE), "word", "left").select(
         "word", "f.form", F.coalesce("root", "word").alias("root"), "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), "f.form_n")

@@ -113,3 +113,20 @@ def test_documents(spark, texts, none):
 def test_chains(spark):
     forms = spark.createDataFrame([(f"w{i}", f"w{i + 1}") for i in range(20)] + [("v", "w0")], "word string, form string")
     assert {r.word: r.root for r in spelling.follow(forms).collect()} == {**{f"w{i}": "w20" for i in range(20)}, "v": "w20"}
+
+
+def test_nothing_is_broadcast(spark, monkeypatch):
+    """The vocabulary's file is small, its exploded grams are not: no join may send a side to all by the size of the file."""
+    plans, cut = [], spelling.common.cut
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df)
+
+    monkeypatch.setattr(spelling.common, "cut", seen)
+    words = [("spelling", 100), ("speling", 10), ("spellings", 2), ("spelings", 1), ("x" * 70, 60), ("x" * 71, 6)]
+    vocabulary = cut(spark.createDataFrame(words, "word string, n long"))
+    found = spelling.variants(vocabulary)
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert {r.word: r.root for r in found.collect()} == dict(zip([w for w, _ in words], ["spelling"] * 4 + ["x" * 70] * 2))
+    assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
