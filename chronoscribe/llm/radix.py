@@ -26,8 +26,6 @@ whole in one block; an empty table gives no rows; columns not named in ``keep``
 
 from __future__ import annotations
 
-import contextlib
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -36,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoscribe.llm import common
+from chronoscribe.session import tidy
 
 DEPTH, GRAM = 50, 20
 WIDTH = DEPTH - GRAM + 1
@@ -61,20 +60,8 @@ def _unpacked(blob: bytes) -> dict[str, np.ndarray]:
     return {c: table.column(c).to_numpy() for c in table.column_names}
 
 
-@contextlib.contextmanager
-def _tidy(df: DataFrame):
-    """Shuffle files of the jobs inside are removed as a job ends, not when the driver next collects its garbage."""
-    name, conf = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", df.sparkSession.conf
-    before = conf.get(name, "false")
-    conf.set(name, "true")
-    try:
-        yield
-    finally:
-        conf.set(name, before)
-
-
 def _cut(df: DataFrame) -> DataFrame:
-    with _tidy(df):
+    with tidy(df.sparkSession):
         return common.cut(df)
 
 
@@ -320,7 +307,7 @@ def remove(docs: DataFrame, keep: list[str], doc_id: str = "doc_id", text: str =
                                               pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "size", "data"])
 
     blocks = _cut(rows.mapInArrow(to_blocks, "block bigint, size bigint, data binary"))
-    with _tidy(blocks):
+    with tidy(docs.sparkSession):
         size = blocks.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     parts = max(LEAST_PARTS, int(size) // PART)
     told = "block bigint, kind int, entries binary"

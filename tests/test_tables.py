@@ -1,4 +1,6 @@
+import datetime as dt
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -220,3 +222,32 @@ def test_texts_of_a_key_are_cut_by_bytes(spark, monkeypatch):
     made = dedup.compare_with_previous(df, ["k"], threshold=0.5)
     assert out(made) == want and len(want) == 300
     assert dedup._by_bytes(df, ["k"], "fullOcrText")["slices"] > 5
+
+
+@pytest.mark.parametrize("threshold", [0.9, 0.5])
+def test_all_rows_are_compared(spark, threshold):
+    """Near copies are found wherever they stand, not only next to each other; against a loop over all pairs."""
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(300)]
+    base = [rng.sample(words, 20) for _ in range(12)]
+    texts = [None, "", " ", "A  b", "a B", "b a"]
+    for _ in range(160):
+        made = list(rng.choice(base))
+        for _ in range(rng.randint(0, 3)):
+            made[rng.randrange(len(made))] = rng.choice(words)
+        texts.append(" ".join(made if rng.random() < .8 else rng.sample(words, rng.randint(1, 25))))
+    rng.shuffle(texts)
+    rows = [(None if i % 40 == 7 else i - i % 9 // 8, at(i % 50), "k", t) for i, t in enumerate(texts)]
+    rows += rows[:5]
+    made = dedup.near_duplicates(spark.createDataFrame(rows, "id long, ts timestamp, k string, fullOcrText string"), ["ts", "id"], threshold=threshold)
+
+    def near(a, b):
+        a, b = a.lower().split(), b.lower().split()
+        return a == b or not a and not b or len({*a} & {*b}) / len({*a} | {*b}) >= threshold
+
+    key = lambda r: (r[1], r[0] is not None, r[0] or 0)
+    want = [(r[0], r[1], r[3], r[3] is not None and any(key(o) < key(r) and o[3] is not None and near(o[3], r[3]) for o in rows)) for r in rows]
+    got = [(r.id, r.ts, r.fullOcrText, r.seenBefore) for r in made.collect()]
+    plain = lambda found: sorted((str(i), ts.timestamp() if ts.tzinfo else ts.replace(tzinfo=dt.timezone.utc).timestamp(), str(t), s) for i, ts, t, s in found)
+    assert plain(got) == plain(want)
+    assert {s for *_, s in got} == {True, False}
